@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 _NUMBER = r"(-?[0-9]+\.?[0-9]*(?:[eE][-+]?[0-9]+)?)"
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, with ``value`` evaluated once however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def bbox_struct(west: Column, south: Column, east: Column, north: Column) -> Column:
     return F.struct(west.alias("minx"), south.alias("miny"), east.alias("maxx"), north.alias("maxy"))
 
@@ -37,11 +42,13 @@ def bbox_rings(bbox: Column) -> Column:
 
 def rings_envelope(rings: Column) -> Column:
     """``[minx, miny, maxx, maxy]`` over all points; null without points."""
-    points = F.flatten(rings)
-    xs, ys = F.transform(points, lambda p: p[0]), F.transform(points, lambda p: p[1])
-    return F.when(
-        F.size(points) > 0, F.array(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
-    )
+    def box(points: Column) -> Column:
+        xs, ys = F.transform(points, lambda p: p[0]), F.transform(points, lambda p: p[1])
+        return F.when(
+            F.size(points) > 0, F.array(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
+        )
+
+    return _let(F.flatten(rings), box)
 
 
 def _close(ring: Column) -> Column:
@@ -70,8 +77,12 @@ def cmr_rings(polygons: Column, boxes: Column) -> Column:
 
 def rings_geometry(rings: Column) -> Column:
     """Geometry struct: one ring is a polygon, several shells a multi-polygon (one ring per part)."""
-    kind = F.when(F.size(rings) == 1, F.lit("Polygon")).otherwise(F.lit("MultiPolygon"))
-    return F.when(F.size(rings) > 0, F.struct(kind.alias("type"), rings.alias("coordinates")))
+
+    def build(r: Column) -> Column:
+        kind = F.when(F.size(r) == 1, F.lit("Polygon")).otherwise(F.lit("MultiPolygon"))
+        return F.when(F.size(r) > 0, F.struct(kind.alias("type"), r.alias("coordinates")))
+
+    return _let(rings, build)
 
 
 def geometry_json(geometry: Column) -> Column:
@@ -156,11 +167,12 @@ def _contains_point(edges: Column, point: Column) -> Column:
 
 def rings_intersect(a: Column, b: Column) -> Column:
     """Exact test: borders meet, or a part of one lies inside the other."""
-    ea, eb = _edges(a), _edges(b)
-    return (
-        F.exists(ea, lambda s: F.exists(eb, lambda t: _segments_meet(s, t)))
-        | F.exists(b, lambda ring: _contains_point(ea, ring[0]))
-        | F.exists(a, lambda ring: _contains_point(eb, ring[0]))
+    both = F.struct(a.alias("a"), b.alias("b"), _edges(a).alias("ea"), _edges(b).alias("eb"))
+    return _let(
+        both,
+        lambda p: F.exists(p["ea"], lambda s: F.exists(p["eb"], lambda t: _segments_meet(s, t)))
+        | F.exists(p["b"], lambda ring: _contains_point(p["ea"], ring[0]))
+        | F.exists(p["a"], lambda ring: _contains_point(p["eb"], ring[0])),
     )
 
 
@@ -179,8 +191,12 @@ def grid_corners(transform: Column, width: Column, height: Column) -> Column:
 
 
 def corners_to_rings(corners: Column) -> Column:
-    whole = (F.size(corners) == 4) & ~F.exists(corners, lambda p: (F.size(p) != 2) | p[0].isNull() | p[1].isNull())
-    return F.when(whole, F.array(F.concat(corners, F.slice(corners, 1, 1))))
+
+    def close(c: Column) -> Column:
+        whole = (F.size(c) == 4) & ~F.exists(c, lambda p: (F.size(p) != 2) | p[0].isNull() | p[1].isNull())
+        return F.when(whole, F.array(F.concat(c, F.slice(c, 1, 1))))
+
+    return _let(corners, close)
 
 
 # ---- inverse transverse Mercator, third-order series in the third flattening ----
@@ -194,33 +210,48 @@ _DELTA = (2 * _N - 2 * _N**2 / 3 - 2 * _N**3, 7 * _N**2 / 3 - 8 * _N**3 / 5, 56
 def utm_to_lonlat(epsg: Column, x: Column, y: Column) -> Column:
     """``[lon, lat]`` for UTM zones (EPSG 326xx, 327xx) and EPSG 4326; null for any other system."""
     zone, south = epsg % 100, epsg.between(32701, 32760)
-    xi = (y - F.when(south, 10_000_000.0).otherwise(0.0)) / (_K0 * _RECTIFYING)
-    eta = (x - 500_000.0) / (_K0 * _RECTIFYING)
-    xi1, eta1 = xi, eta
-    for j, beta in enumerate(_BETA, 1):
-        xi1 = xi1 - beta * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-        eta1 = eta1 - beta * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    chi = F.asin(F.sin(xi1) / F.cosh(eta1))
-    lat = chi
-    for j, delta in enumerate(_DELTA, 1):
-        lat = lat + delta * F.sin(2 * j * chi)
-    lon = F.atan2(F.sinh(eta1), F.cos(xi1))
-    degrees = 180.0 / math.pi
-    projected = F.array(lon * degrees + zone * 6.0 - 183.0, lat * degrees)
     is_utm = epsg.between(32601, 32660) | south
+    scaled = F.struct(
+        ((y - F.when(south, 10_000_000.0).otherwise(0.0)) / (_K0 * _RECTIFYING)).alias("xi"),
+        ((x - 500_000.0) / (_K0 * _RECTIFYING)).alias("eta"),
+    )
+
+    def remove_series(p: Column) -> Column:
+        xi, eta = p["xi"], p["eta"]
+        for j, beta in enumerate(_BETA, 1):
+            xi = xi - beta * F.sin(2 * j * p["xi"]) * F.cosh(2 * j * p["eta"])
+            eta = eta - beta * F.cos(2 * j * p["xi"]) * F.sinh(2 * j * p["eta"])
+        return F.struct(xi.alias("xi"), eta.alias("eta"))
+
+    def on_sphere(p: Column) -> Column:
+        return F.struct(
+            F.asin(F.sin(p["xi"]) / F.cosh(p["eta"])).alias("chi"), F.atan2(F.sinh(p["eta"]), F.cos(p["xi"])).alias("lon")
+        )
+
+    def degrees(p: Column) -> Column:
+        lat = p["chi"]
+        for j, delta in enumerate(_DELTA, 1):
+            lat = lat + delta * F.sin(2 * j * p["chi"])
+        return F.array(p["lon"] * (180.0 / math.pi) + zone * 6.0 - 183.0, lat * (180.0 / math.pi))
+
+    projected = _let(_let(_let(scaled, remove_series), on_sphere), degrees)
     return F.when(epsg == 4326, F.array(x.cast("double"), y.cast("double"))).when(is_utm, projected)
 
 
+def is_known_epsg(epsg: Column) -> Column:
+    return (epsg == 4326) | epsg.between(32601, 32660) | epsg.between(32701, 32760)
+
+
 def corners_to_lonlat(epsg: Column, corners: Column) -> Column:
-    known = (epsg == 4326) | epsg.between(32601, 32660) | epsg.between(32701, 32760)
-    return F.when(known & corners.isNotNull(), F.transform(corners, lambda p: utm_to_lonlat(epsg, p[0], p[1])))
+    return F.when(is_known_epsg(epsg) & corners.isNotNull(), F.transform(corners, lambda p: utm_to_lonlat(epsg, p[0], p[1])))
 
 
 def coverage_ratio(footprint: Column, raster: Column) -> Column:
     """Area of the footprint envelope over that of the raster envelope, at most 1; 0 when unusable."""
 
     def area(box: Column) -> Column:
-        return F.greatest(F.lit(0.0), box[2] - box[0]) * F.greatest(F.lit(0.0), box[3] - box[1])
+        return _let(box, lambda b: F.greatest(F.lit(0.0), b[2] - b[0]) * F.greatest(F.lit(0.0), b[3] - b[1]))
 
-    ratio = F.when(area(raster) > 0, F.least(F.lit(1.0), area(footprint) / area(raster)))
+    areas = F.struct(area(footprint).alias("f"), area(raster).alias("r"))
+    ratio = _let(areas, lambda p: F.when(p["r"] > 0, F.least(F.lit(1.0), p["f"] / p["r"])))
     return F.coalesce(ratio, F.lit(0.0))

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import semantics, text
 from ..profiles import profile_bands, profiles, source_info
 from ..schemas import REGISTRY, REGISTRY_KEY, registry_schema
+from ..session import materialize
+from . import ordering
 
 # Ids per digest bucket up to which the text of a run is joined whole.
 BUCKET_IDS = 32
@@ -34,15 +36,20 @@ def fold_arrivals(
     """One row per key: ``first`` columns from the earliest arrival, ``last`` ones from the newest.
 
     Folding rows in arrival order through an upsert gives the same, but here each
-    task folds its own rows before the shuffle, so a key seen often stays small.
+    task keeps one row per key before the shuffle, so a key seen often stays small.
+    Both picks are partitioned and sorted by the key, so joining them moves nothing.
     """
     last = [c for c in df.columns if c != key and c not in first and c not in order] if last is None else list(last)
-    by = F.struct(*order)
-    parts = [F.max_by(F.struct(*last), by).alias("_last")] if last else []
+    newest = oldest = None
+    if last or not first:
+        newest = ordering.first_per_key(df.select(key, *dict.fromkeys([*last, *order])), [key], [F.col(c).desc() for c in order])
+        newest = newest.select(key, *last)
     if first:
-        parts.append(F.min_by(F.struct(*first), by).alias("_first"))
-    folded = df.groupBy(key).agg(*parts)
-    return folded.select(key, *[f"_last.{c}" for c in last], *[f"_first.{c}" for c in first])
+        oldest = ordering.first_per_key(df.select(key, *dict.fromkeys([*first, *order])), [key], [F.col(c) for c in order])
+        oldest = oldest.select(key, *first)
+    if newest is None or oldest is None:
+        return newest if oldest is None else oldest
+    return newest.join(oldest, key)
 
 
 def upsert(
@@ -78,6 +85,9 @@ def upsert(
     return o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer").select(*columns)
 
 
+GRID_FACTS = (
+    "crs_wkt", "epsg", "x_origin", "y_origin", "pixel_size_x", "pixel_size_y", "transform", "width", "height"
+)
 ASSET_KEEP = ("status", "run_id")
 PRODUCT_FILL = (
     "license", "title", "description", "keywords", "providers", "temporal_start", "temporal_end",
@@ -93,75 +103,71 @@ def register(deliveries: DataFrame) -> dict[str, DataFrame]:
     status, collection_metadata, registered_at and seq (arrival order).
     """
     spark = deliveries.sparkSession
-    collection = F.coalesce(F.col("collection"), F.lit("unknown"))
-    rows = deliveries.withColumns(
-        {"collection": collection, "item_id": F.coalesce(F.col("item_id"), F.lit("unknown"))}
+    given = deliveries.withColumns(
+        {"collection": F.coalesce("collection", F.lit("unknown")), "item_id": F.coalesce("item_id", F.lit("unknown"))}
+    )
+    collection = F.col("collection")
+
+    # A file inspected again may have another grid, and both stay registered: grids come from all deliveries.
+    grids = fold_arrivals(
+        given.select(
+            semantics.grid_id(collection, F.col("raster")).alias("grid_id"), "seq", "collection",
+            F.when(F.col("raster").isNotNull(), F.struct(*[F.col("raster")[f].alias(f) for f in GRID_FACTS])).alias("raster"),
+            F.col("registered_at").alias("created_at"), F.col("registered_at").alias("updated_at"),
+        ),
+        "grid_id", ["seq"], first=["created_at"],
+    )
+    grid = semantics.grid_columns(collection, F.col("raster"))
+    grids = grids.select("grid_id", *[c.alias(n) for n, c in grid.items()], "created_at", "updated_at")
+
+    # Catalog, product and variable are functions of the asset identity, so their first and newest
+    # arrivals are those of some asset: one fold of the deliveries serves all four tables.
+    identity = [F.col(c) for c in ("catalog", "collection", "item_id", "asset_key", "source_url")]
+    rows = given.withColumns({"asset_id": text.asset_id(*identity), "_first_seq": F.col("seq"), "_last_seq": F.col("seq")})
+    rows = rows.withColumn("created_at", F.col("registered_at"))
+    folded = materialize(
+        fold_arrivals(rows, "asset_id", ["seq"], first=["status", "run_id", "created_at", "_first_seq"])
     ).withColumns(
         {
-            "product_id": text.product_id(F.col("collection")),
-            "modality": semantics.modality(F.col("collection")),
-            "grid_id": semantics.grid_id(F.col("collection"), F.col("raster")),
-            "created_at": F.col("registered_at"),
+            "product_id": text.product_id(collection), "modality": semantics.modality(collection),
             "updated_at": F.col("registered_at"),
         }
     )
-    order = ["seq"]
-
-    sources = fold_arrivals(
-        rows.select(F.col("catalog").alias("source_id"), "seq", "created_at", "updated_at"),
-        "source_id", order, first=["created_at"],
-    ).join(F.broadcast(source_info(spark)), F.col("source_id") == F.col("catalog"), "left")
-    sources = sources.select(
-        "source_id", F.col("source_id").alias("catalog"),
-        F.coalesce("provider", "source_id").alias("provider"), F.coalesce("endpoint", F.lit("")).alias("endpoint"),
-        F.coalesce("auth_type", F.lit("unknown")).alias("auth_type"), "created_at", "updated_at",
-    )
 
-    products = fold_arrivals(
-        rows.select(
-            "product_id", "seq", F.col("catalog").alias("source_id"), "collection", "modality", "collection_metadata",
-            "created_at", "updated_at",
-        ),
-        "product_id", order, first=["created_at"],
-    )
-    products = _with_profile(products)
+    def dimension(key: Column, *last: str) -> DataFrame:
+        """One row per key: creation from the first arrival, the rest from the newest."""
+        picked = folded.select(key.alias("_key"), "_first_seq", "_last_seq", "created_at", "updated_at", *last)
+        made = picked.groupBy("_key").agg(
+            F.max_by(F.struct("updated_at", *last), "_last_seq").alias("_l"), F.min_by("created_at", "_first_seq").alias("created_at")
+        )
+        return made.select("_key", "_l.*", "created_at")
+
+    sources = with_source_info(dimension(F.col("catalog")).withColumn("catalog", F.col("_key")))
+    sources = sources.withColumn("source_id", F.col("_key"))
+
+    products = _with_profile(dimension(F.col("product_id"), "catalog", "collection", "modality", "collection_metadata"))
     details = semantics.collection_columns(F.col("collection"), F.col("collection_metadata"), "p_")
     products = products.select(
-        "product_id", "source_id", F.col("collection").alias("collection_id"),
-        F.col("collection").alias("product_name"),
-        semantics.product_version(F.col("collection")).alias("product_version"), "modality",
-        F.lit("source").alias("processing_level"), *[c.alias(n) for n, c in details.items()],
+        F.col("_key").alias("product_id"), F.col("catalog").alias("source_id"), F.col("collection").alias("collection_id"),
+        F.col("collection").alias("product_name"), semantics.product_version(F.col("collection")).alias("product_version"),
+        "modality", F.lit("source").alias("processing_level"), *[c.alias(n) for n, c in details.items()],
         "collection_metadata", "created_at", "updated_at",
     )
 
-    grids = fold_arrivals(
-        rows.select("grid_id", "seq", "collection", "raster", "created_at", "updated_at"),
-        "grid_id", order, first=["created_at"],
-    )
-    grid = semantics.grid_columns(F.col("collection"), F.col("raster"))
-    grids = grids.select("grid_id", *[c.alias(n) for n, c in grid.items()], "created_at", "updated_at")
-
-    variables = fold_arrivals(
-        rows.select(
-            F.concat_ws(":", "product_id", "asset_key").alias("variable_id"), "seq", "product_id", "collection",
-            "asset_key", "modality", "raster", "created_at", "updated_at",
-        ),
-        "variable_id", order, first=["created_at"],
+    variables = with_profile_band(
+        dimension(F.concat_ws(":", "product_id", "asset_key"), "product_id", "collection", "asset_key", "modality", "raster")
     )
-    variables = with_profile_band(variables)
     facts = semantics.variable_columns(F.col("product_id"), F.col("modality"), F.col("raster"), "b_")
-    variables = variables.join(
-        F.broadcast(profiles(spark).select(F.col("collection").alias("p_collection"), "profile_version")),
-        F.col("collection") == F.col("p_collection"), "left",
-    ).select("variable_id", "profile_version", *[c.alias(n) for n, c in facts.items()], "created_at", "updated_at")
-
-    assets = rows.select(
-        text.asset_id(*[F.col(c) for c in ("catalog", "collection", "item_id", "asset_key", "source_url")]).alias("asset_id"),
-        "product_id", "grid_id", F.col("item_id").alias("source_item_id"), "asset_key", "source_url", "local_path",
+    versions = profiles(spark).select(F.col("collection").alias("p_collection"), "profile_version")
+    variables = variables.join(F.broadcast(versions), F.col("collection") == F.col("p_collection"), "left").select(
+        F.col("_key").alias("variable_id"), "profile_version", *[c.alias(n) for n, c in facts.items()], "created_at", "updated_at"
+    )
+
+    assets = folded.select(
+        "asset_id", "product_id", semantics.grid_id(collection, F.col("raster")).alias("grid_id"), F.col("item_id").alias("source_item_id"), "asset_key", "source_url", "local_path",
         text.media_type(F.col("local_path")).alias("media_type"), "byte_size", "checksum_sha256", "datetime", "bbox",
-        "geometry", F.col("raster").alias("raster_metadata"), "status", "run_id", "created_at", "updated_at", "seq",
+        "geometry", F.col("raster").alias("raster_metadata"), "status", "run_id", "created_at", "updated_at",
     )
-    assets = fold_arrivals(assets, "asset_id", order, first=["status", "run_id", "created_at"])
     made = {"sources": sources, "products": products, "grids": grids, "variables": variables, "assets": assets}
     return {table: conform(df, table) for table, df in made.items()}
 

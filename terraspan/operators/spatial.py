@@ -62,24 +62,31 @@ def spatial_features(
         there = files.select(F.col("path").alias("local_path"), F.lit(True).alias("_there"))
         rows = rows.join(there, "local_path", "left").withColumn("previewable", F.col("previewable") & F.coalesce("_there", F.lit(False)))
     corners = geo.grid_corners(raster["transform"], raster["width"], raster["height"])
-    rows = rows.withColumn("preview_coordinates", geo.corners_to_lonlat(raster["epsg"], corners))
     if footprints is not None:
         rows = rows.join(footprints, "asset_id", "left")
         valid = F.when(F.col("previewable"), F.col("footprint"))
     else:
         valid = F.lit(None).cast("struct<type: string, coordinates: array<array<array<double>>>>")
-    grid = geo.rings_geometry(geo.corners_to_rings(F.col("preview_coordinates")))
-    rows = rows.withColumns({"_valid": valid, "_grid": grid, "_box": geo.rings_geometry(geo.bbox_rings(F.col("bbox")))})
+    # which geometry is there shows in cheap tests; only the chosen one is built
+    has_grid = geo.is_known_epsg(raster["epsg"]) & (F.size(raster["transform"]) == 6) & (raster["width"] >= 1) & (raster["height"] >= 1)
+    has_box = (F.size("bbox") == 4) & ~F.exists("bbox", lambda v: v.isNull())
     source = (
-        F.when(F.col("_valid").isNotNull(), "valid_data").when(F.col("_grid").isNotNull(), "raster_grid")
-        .when(F.col("geometry").isNotNull(), "stac").when(F.col("_box").isNotNull(), "bbox")
+        F.when(valid.isNotNull(), "valid_data").when(has_grid, "raster_grid")
+        .when(F.col("geometry").isNotNull(), "stac").when(has_box, "bbox")
+    )
+    rows = rows.withColumns({"geometry_source": source, "_valid": valid}).filter(F.col("geometry_source").isNotNull())
+    rows = rows.withColumn("preview_coordinates", geo.corners_to_lonlat(raster["epsg"], corners))
+    kind = F.col("geometry_source")
+    shape = (
+        F.when(kind == "valid_data", F.col("_valid"))
+        .when(kind == "raster_grid", geo.rings_geometry(geo.corners_to_rings(F.col("preview_coordinates"))))
+        .when(kind == "stac", F.col("geometry")).otherwise(geo.rings_geometry(geo.bbox_rings(F.col("bbox"))))
     )
     key = F.when(F.col("previewable"), text.preview_key(F.col("checksum_sha256"), F.col("byte_size")))
     return rows.select(
         "asset_id", "product_id", F.col("asset_key").alias("variable"), "datetime", "status", "source_item_id", "byte_size",
-        "previewable", "preview_coordinates", key.alias("preview_cache_key"), source.alias("geometry_source"),
-        F.coalesce("_valid", "_grid", "geometry", "_box").alias("geometry"),
-    ).filter(F.col("geometry_source").isNotNull())
+        "previewable", "preview_coordinates", key.alias("preview_cache_key"), "geometry_source", shape.alias("geometry"),
+    )
 
 
 def filter_features(

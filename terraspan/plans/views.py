@@ -47,7 +47,10 @@ class Views:
 
     def sightings(self) -> DataFrame:
         """Every delivery of a file: an asset is seen once or more."""
-        joined = self.table("lineitem").join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        # Both tables grow with the data, so they meet by key rather than by broadcast: order keys are
+        # unique on the build side, and adaptive execution splits a partition that one order dominates.
+        orders = self.table("orders").hint("shuffle_hash")
+        joined = self.table("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         rows = joined.select(
             _case("o_orderstatus", CATALOG_OF_STATUS).alias("catalog"),
             _case("o_orderpriority", COLLECTIONS).alias("collection"),
