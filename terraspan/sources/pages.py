@@ -28,7 +28,7 @@ def write_pages(items: DataFrame, path: str) -> None:
     (
         rows.repartition("run_id", "page_number").sortWithinPartitions("run_id", "page_number", "position")
         .select("run_id", "page_number", F.col("raw").alias("value"))
-        .write.mode("overwrite").partitionBy("run_id", "page_number").option("compression", "gzip").text(path)
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "page_number").option("compression", "gzip").text(path)
     )
 
 
