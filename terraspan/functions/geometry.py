@@ -11,12 +11,9 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_NUMBER = r"(-?[0-9]+\.?[0-9]*(?:[eE][-+]?[0-9]+)?)"
-
+from .binding import let
 
-def _let(value: Column, body) -> Column:
-    """``body`` of ``value``, with ``value`` evaluated once however often the body uses it."""
-    return F.transform(F.array(value), body)[0]
+_NUMBER = r"(-?[0-9]+\.?[0-9]*(?:[eE][-+]?[0-9]+)?)"
 
 
 def bbox_struct(west: Column, south: Column, east: Column, north: Column) -> Column:
@@ -48,7 +45,7 @@ def rings_envelope(rings: Column) -> Column:
             F.size(points) > 0, F.array(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
         )
 
-    return _let(F.flatten(rings), box)
+    return let(F.flatten(rings), box)
 
 
 def _close(ring: Column) -> Column:
@@ -82,7 +79,7 @@ def rings_geometry(rings: Column) -> Column:
         kind = F.when(F.size(r) == 1, F.lit("Polygon")).otherwise(F.lit("MultiPolygon"))
         return F.when(F.size(r) > 0, F.struct(kind.alias("type"), r.alias("coordinates")))
 
-    return _let(rings, build)
+    return let(rings, build)
 
 
 def geometry_json(geometry: Column) -> Column:
@@ -168,7 +165,7 @@ def _contains_point(edges: Column, point: Column) -> Column:
 def rings_intersect(a: Column, b: Column) -> Column:
     """Exact test: borders meet, or a part of one lies inside the other."""
     both = F.struct(a.alias("a"), b.alias("b"), _edges(a).alias("ea"), _edges(b).alias("eb"))
-    return _let(
+    return let(
         both,
         lambda p: F.exists(p["ea"], lambda s: F.exists(p["eb"], lambda t: _segments_meet(s, t)))
         | F.exists(p["b"], lambda ring: _contains_point(p["ea"], ring[0]))
@@ -196,7 +193,7 @@ def corners_to_rings(corners: Column) -> Column:
         whole = (F.size(c) == 4) & ~F.exists(c, lambda p: (F.size(p) != 2) | p[0].isNull() | p[1].isNull())
         return F.when(whole, F.array(F.concat(c, F.slice(c, 1, 1))))
 
-    return _let(corners, close)
+    return let(corners, close)
 
 
 # ---- inverse transverse Mercator, third-order series in the third flattening ----
@@ -234,7 +231,7 @@ def utm_to_lonlat(epsg: Column, x: Column, y: Column) -> Column:
             lat = lat + delta * F.sin(2 * j * p["chi"])
         return F.array(p["lon"] * (180.0 / math.pi) + zone * 6.0 - 183.0, lat * (180.0 / math.pi))
 
-    projected = _let(_let(_let(scaled, remove_series), on_sphere), degrees)
+    projected = let(let(let(scaled, remove_series), on_sphere), degrees)
     return F.when(epsg == 4326, F.array(x.cast("double"), y.cast("double"))).when(is_utm, projected)
 
 
@@ -250,8 +247,8 @@ def coverage_ratio(footprint: Column, raster: Column) -> Column:
     """Area of the footprint envelope over that of the raster envelope, at most 1; 0 when unusable."""
 
     def area(box: Column) -> Column:
-        return _let(box, lambda b: F.greatest(F.lit(0.0), b[2] - b[0]) * F.greatest(F.lit(0.0), b[3] - b[1]))
+        return let(box, lambda b: F.greatest(F.lit(0.0), b[2] - b[0]) * F.greatest(F.lit(0.0), b[3] - b[1]))
 
     areas = F.struct(area(footprint).alias("f"), area(raster).alias("r"))
-    ratio = _let(areas, lambda p: F.when(p["r"] > 0, F.least(F.lit(1.0), p["f"] / p["r"])))
+    ratio = let(areas, lambda p: F.when(p["r"] > 0, F.least(F.lit(1.0), p["f"] / p["r"])))
     return F.coalesce(ratio, F.lit(0.0))

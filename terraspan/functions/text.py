@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..profiles import DATA_EXTENSIONS, DEFAULT_MEDIA_TYPE, MEDIA_TYPES
+from .binding import let
 
 
 def first_truthy(*columns: Column) -> Column:
@@ -21,16 +22,28 @@ def safe_component(value: Column, fallback: Column | str = "unknown") -> Column:
     """Last path segment of ``value``, at most 120 characters; ``fallback`` when nothing usable is left."""
     fallback = _lit(fallback)
     text = F.translate(first_truthy(value, fallback), "\\", "/")
-    name = F.substring_index(F.regexp_replace(text, r"(/\.?)+$", ""), "/", -1)
-    return F.when(name.isin("", ".", ".."), fallback).otherwise(F.substring(name, 1, 120))
+
+    def last_segment(t: Column) -> Column:
+        # the pattern only matters for a trailing slash, which is rare
+        open_end = t.endswith("/") | t.endswith("/.")
+        return F.substring_index(F.when(open_end, F.regexp_replace(t, r"(/\.?)+$", "")).otherwise(t), "/", -1)
+
+    def checked(name: Column) -> Column:
+        return F.when(name.isin("", ".", ".."), fallback).otherwise(F.substring(name, 1, 120))
+
+    return let(let(text, last_segment), checked)
 
 
 def url_path(href: Column) -> Column:
     """Decoded path of a URL. A plus sign is kept; a malformed escape leaves the path as it is."""
-    path = F.regexp_replace(href, r"^([A-Za-z][A-Za-z0-9+.\-]*:)?(//[^/?#]*)?", "")
-    path = F.regexp_replace(path, r"[?#].*$", "")
-    path = F.regexp_replace(path, r";[^/]*$", "")
-    return F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+    # path parameters (";...") belong to the last segment only
+    path = F.regexp_extract(href, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?((?:[^?#;]|;(?=[^?#]*/))*)", 1)
+
+    def decoded(p: Column) -> Column:
+        plain = F.coalesce(F.try_url_decode(F.replace(p, F.lit("+"), F.lit("%2B"))), p)
+        return F.when(p.contains("%"), plain).otherwise(p)
+
+    return let(path, decoded)
 
 
 def asset_filename(asset_key: Column, href: Column) -> Column:

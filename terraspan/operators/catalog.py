@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import row_contains
@@ -101,31 +102,36 @@ def product_variables(products: DataFrame, variables: DataFrame) -> DataFrame:
 
 def lake_summary(assets: DataFrame, runs: DataFrame, missing: DataFrame | None = None, extra: DataFrame | None = None) -> DataFrame:
     """One row of totals. ``missing`` and ``extra`` are the audit's path sets; without them status decides."""
-    totals = assets.agg(
-        F.count(F.lit(1)).alias("asset_count"),
-        F.sum(F.coalesce("byte_size", F.lit(0))).alias("asset_bytes"),
-        F.count_if(F.col("status") == "missing").alias("status_missing"),
-    )
-    last = runs.filter("status = 'completed'").agg(
-        F.max_by("end_time", F.struct(F.coalesce("start_time", F.lit("")), "run_id")).alias("last_successful_run")
-    )
-    # each side of these joins is a one-row aggregate
-    row = totals.join(F.broadcast(last))
+    measures = [
+        assets.agg(
+            F.count(F.lit(1)).alias("asset_count"),
+            F.sum(F.coalesce("byte_size", F.lit(0))).alias("asset_bytes"),
+            F.count_if(F.col("status") == "missing").alias("status_missing"),
+        ),
+        runs.filter("status = 'completed'").agg(
+            F.max_by("end_time", F.struct(F.coalesce("start_time", F.lit("")), "run_id")).alias("last_successful_run")
+        ),
+    ]
     if missing is not None:
-        row = row.join(F.broadcast(missing.agg(F.count(F.lit(1)).alias("missing_assets"))))
-    else:
-        row = row.withColumn("missing_assets", F.col("status_missing"))
+        measures.append(missing.agg(F.count(F.lit(1)).alias("audit_missing")))
     if extra is not None:
-        row = row.join(F.broadcast(extra.agg(F.count(F.lit(1)).alias("unregistered_source_files"))))
-    else:
-        row = row.withColumn("unregistered_source_files", F.lit(0).cast("bigint"))
+        measures.append(extra.agg(F.count(F.lit(1)).alias("unregistered_source_files")))
+    row = one_row(measures)
+    lacking = F.col("status_missing" if missing is None else "audit_missing")
+    zero = F.lit(0).cast("bigint")
     return row.select(
-        "asset_count", F.coalesce("asset_bytes", F.lit(0)).alias("asset_bytes"),
-        (F.col("asset_count") - F.col("missing_assets")).alias("available_assets"), "missing_assets",
-        "unregistered_source_files", "last_successful_run",
+        "asset_count", F.coalesce("asset_bytes", zero).alias("asset_bytes"), (F.col("asset_count") - lacking).alias("available_assets"),
+        lacking.alias("missing_assets"), (zero if extra is None else F.col("unregistered_source_files")).alias("unregistered_source_files"),
+        "last_successful_run",
     )
 
 
+def one_row(parts: Sequence[DataFrame]) -> DataFrame:
+    """One-row aggregates side by side: stacked with nulls, then folded, which needs no join."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+
+
 def ancestor_directories(paths: DataFrame, path: str) -> DataFrame:
     """Distinct ancestor directories of the paths, without the root of the source layer."""
     parents = paths.select(F.regexp_extract(path, r"^(.*)/[^/]*$", 1).alias("_dir")).filter("_dir <> ''").distinct()
@@ -137,42 +143,51 @@ def ancestor_directories(paths: DataFrame, path: str) -> DataFrame:
 def layer_stats(registries: dict[str, DataFrame]) -> DataFrame:
     """Per-layer counts estimated from the registries alone."""
     assets, runs = registries["assets"], registries["processing_runs"]
-    spark = assets.sparkSession
-    located = assets.filter(F.col("local_path") != "")
-    newest = F.nullif(F.max(F.coalesce("updated_at", F.lit(""))), F.lit(""))
-    zero = F.lit(0).cast("bigint")
+    zero, none = F.lit(0).cast("bigint"), F.lit(None).cast("string")
 
-    totals = assets.agg(
-        F.count_if(F.col("local_path") != "").alias("file_count"),
-        F.sum(F.coalesce("byte_size", F.lit(0))).alias("byte_size"), newest.alias("modified_at"),
-    )
-    directories = ancestor_directories(located, "local_path").agg(F.count(F.lit(1)).alias("directory_count"))
-    items = assets.filter(F.col("source_item_id") != "").select("source_item_id").distinct().agg(F.count(F.lit(1)).alias("item_count"))
+    def facts(layer: str, files: Column = zero, directories: Column = zero, size: Column = zero, changed: Column = none) -> Column:
+        return F.struct(
+            F.lit(layer).alias("layer"), files.alias("file_count"), directories.alias("directory_count"), size.alias("byte_size"),
+            changed.alias("modified_at"),
+        )
 
-    source = totals.join(F.broadcast(directories)).select(
-        F.lit("source").alias("layer"), "file_count", "directory_count", F.coalesce("byte_size", zero).alias("byte_size"), "modified_at"
-    )
-    catalog = totals.join(F.broadcast(items)).select(
-        F.lit("catalog").alias("layer"), F.col("item_count").alias("file_count"), zero.alias("directory_count"),
-        zero.alias("byte_size"), "modified_at",
-    )
-    per_table = None
-    for df in registries.values():
-        stamp = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("updated_at", "start_time") if c in df.columns])
-        one = df.agg((F.count(F.lit(1)) > 0).cast("bigint").alias("file_count"), F.max(stamp).alias("modified_at"))
-        per_table = one if per_table is None else per_table.unionByName(one)
-    registry = per_table.agg(F.sum("file_count").alias("file_count"), F.max("modified_at").alias("modified_at")).select(
-        F.lit("registry").alias("layer"), "file_count", zero.alias("directory_count"), zero.alias("byte_size"), "modified_at"
+    rows = F.count(F.lit(1))
+    # one pass over the assets feeds three layers
+    totals = assets.agg(
+        F.count_if(F.col("local_path") != "").alias("located"), F.sum(F.coalesce("byte_size", F.lit(0))).alias("size"),
+        F.max(F.nullif("updated_at", F.lit(""))).alias("changed"), rows.alias("n"),
     )
-    manifests = runs.agg(
-        F.count(F.lit(1)).alias("file_count"),
-        F.max(F.coalesce(F.nullif("end_time", F.lit("")), F.nullif("start_time", F.lit("")))).alias("modified_at"),
-    ).select(F.lit("manifests").alias("layer"), "file_count", zero.alias("directory_count"), zero.alias("byte_size"), "modified_at")
-
-    known = source.unionByName(catalog).unionByName(registry).unionByName(manifests)
-    layers = relation(spark, ["layer"], [(name,) for name in LAYERS])
-    return layers.join(known, "layer", "left").select(
-        "layer", *[F.coalesce(c, zero).alias(c) for c in ("file_count", "directory_count", "byte_size")], "modified_at"
+    size, changed = F.coalesce("size", zero), F.col("changed")
+    parts = [
+        totals.select(F.inline(F.array(
+            facts("source", F.col("located"), size=size, changed=changed), facts("catalog", changed=changed),
+            facts("registry", (F.col("n") > 0).cast("bigint"), changed=changed),
+        ))),
+        ancestor_directories(assets.filter(F.col("local_path") != ""), "local_path").agg(rows.alias("n")).select(
+            F.inline(F.array(facts("source", directories=F.col("n"))))
+        ),
+        assets.filter(F.col("source_item_id") != "").select("source_item_id").distinct().agg(rows.alias("n")).select(
+            F.inline(F.array(facts("catalog", F.col("n"))))
+        ),
+        runs.agg(
+            rows.alias("n"), F.max(F.nullif("start_time", F.lit(""))).alias("started"),
+            F.max(F.coalesce(F.nullif("end_time", F.lit("")), F.nullif("start_time", F.lit("")))).alias("ended"),
+        ).select(F.inline(F.array(
+            facts("manifests", F.col("n"), changed=F.col("ended")),
+            facts("registry", (F.col("n") > 0).cast("bigint"), changed=F.col("started")),
+        ))),
+    ]
+    for table, df in registries.items():
+        if table in ("assets", "processing_runs"):
+            continue
+        stamp = F.max(F.nullif("updated_at", F.lit(""))) if "updated_at" in df.columns else none
+        parts.append(df.agg(rows.alias("n"), stamp.alias("changed")).select(
+            F.inline(F.array(facts("registry", (F.col("n") > 0).cast("bigint"), changed=F.col("changed"))))
+        ))
+    layers = relation(assets.sparkSession, ["layer"], [(name,) for name in LAYERS]).select("layer", *[
+        F.lit(0).cast("bigint").alias(c) for c in ("file_count", "directory_count", "byte_size")], none.alias("modified_at"))
+    return reduce(DataFrame.unionByName, [layers, *parts]).groupBy("layer").agg(
+        *[F.sum(c).alias(c) for c in ("file_count", "directory_count", "byte_size")], F.max("modified_at").alias("modified_at")
     )
 
 
@@ -196,4 +211,4 @@ def attention_count(summary: DataFrame, runs: DataFrame) -> DataFrame:
     """Missing and unregistered files plus runs that failed wholly or in part."""
     troubled = runs.agg(F.count_if(F.col("status").isin("failed", "partial")).alias("_troubled"))
     issues = F.col("missing_assets") + F.col("unregistered_source_files") + F.col("_troubled")
-    return summary.join(F.broadcast(troubled)).select(issues.alias("issues"))
+    return one_row([summary.select("missing_assets", "unregistered_source_files"), troubled]).select(issues.alias("issues"))

@@ -197,7 +197,7 @@ def number_link_keys(links: DataFrame, group: Sequence[str], order: Sequence[str
         "key", F.when(F.col("_n") == 1, F.col("key")).otherwise(suffixed)
     )
     replay = (
-        links.join(clashing, list(group), "left_semi").groupBy(*group)
+        numbered.join(clashing, list(group), "left_semi").groupBy(*group)
         .agg(F.sort_array(F.collect_list(F.struct(*order, "key", "href"))).alias("_links"))
         .select(*group, F.explode(unique_keys(F.transform("_links", lambda l: F.struct(l["key"], l["href"])))).alias("_l"))
         .select(*group, "_l.key", "_l.href")

@@ -25,22 +25,45 @@ def number_rows(
     counts of the partitions before it: one small row per partition and group.
     ``order`` has to be unique inside a group.
     """
+    laid = _lay_out(df, group, order)
+    blocks = _blocks(laid, group, F.count(F.lit(1)))
+    return _with_blocks(laid, blocks, group).select(
+        *df.columns, (F.col("_slot") - F.col("_first") + F.col("_before") + 1).alias(name)
+    )
+
+
+def running_total(
+    df: DataFrame, group: Sequence[str], order: Sequence[str], weight: str, name: str = "upto"
+) -> DataFrame:
+    """Sum of ``weight`` up to and including each row of its group in ``order``, laid out like :func:`number_rows`."""
+    laid = _lay_out(df, group, order)
+    inside = Window.partitionBy("_part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = laid.withColumn("_inside", F.sum(weight).over(inside))
+    blocks = _blocks(laid, group, F.sum(weight))
+    return _with_blocks(summed, blocks, group).select(*df.columns, (F.col("_inside") + F.col("_before")).alias(name))
+
+
+def _lay_out(df: DataFrame, group: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     keys = [*group, *order]
-    laid = materialize(
-        df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_slot", F.monotonically_increasing_id())
-    ).withColumn("_part", F.shiftright("_slot", 33))
-    blocks = laid.groupBy("_part", *group).agg(F.min("_slot").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return materialize(ordered.withColumn("_slot", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_slot", 33))
+
+
+def _blocks(laid: DataFrame, group: Sequence[str], measure: Column) -> DataFrame:
+    """Per partition and group: first position and the measure over the partitions before."""
+    blocks = laid.groupBy("_part", *group).agg(F.min("_slot").alias("_first"), measure.alias("_measure"))
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(
+    return blocks.select(
         F.col("_part").alias("_b_part"), *[F.col(g).alias(f"_b_{g}") for g in group], "_first",
-        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"),
+        F.coalesce(F.sum("_measure").over(before), F.lit(0)).alias("_before"),
     )
+
+
+def _with_blocks(laid: DataFrame, blocks: DataFrame, group: Sequence[str]) -> DataFrame:
     same = F.col("_part") == F.col("_b_part")
     for g in group:
         same = same & F.col(g).eqNullSafe(F.col(f"_b_{g}"))
-    return laid.join(blocks, same).select(
-        *df.columns, (F.col("_slot") - F.col("_first") + F.col("_before") + 1).alias(name)
-    )
+    return laid.join(blocks, same)
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

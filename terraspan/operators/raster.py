@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geometry as geo
 from ..functions import pixels as px
-from ..profiles import MASK_CLASSES
+from ..profiles import MASK_CLASSES, mask_classes
 from ..session import materialize
+from . import ordering
 
+SHARES = (0.02, 0.98)
 COLUMN_BLOCK = 32
 MIN_PART_PIXELS = 64
 MAX_ROUNDS = 64
@@ -28,14 +31,17 @@ def tile_pixels(tiles: DataFrame, tile_height: int, tile_width: int) -> DataFram
 def percentile_bounds(pixels: DataFrame) -> DataFrame:
     """Stretch bounds per asset: 2nd and 98th percentile of the valid pixels, with fallbacks for flat data.
 
-    The exact percentile merges value counts map-side, so its state is bounded by
-    the number of distinct values (65,536 for 16-bit rasters).
+    For 8 and 16-bit values the built-in exact percentile is used: its state holds
+    at most 65,536 counts. Other types may have as many values as pixels and are
+    ranked by range partitions instead, so no task holds the values of an asset.
     """
+    small = isinstance(pixels.schema["value"].dataType, (T.ByteType, T.ShortType))
     usable = F.when(F.col("valid") & ~F.isnan(F.col("value").cast("double")), F.col("value"))
-    stats = pixels.groupBy("asset_id").agg(
-        F.percentile(usable, F.array(F.lit(0.02), F.lit(0.98))).alias("_p"),
-        F.min(usable).cast("double").alias("_min"), F.max(usable).cast("double").alias("_max"),
-    )
+    extremes = [F.min(usable).cast("double").alias("_min"), F.max(usable).cast("double").alias("_max")]
+    if small:
+        stats = pixels.groupBy("asset_id").agg(F.percentile(usable, F.array(*[F.lit(s) for s in SHARES])).alias("_p"), *extremes)
+    else:
+        stats = pixels.groupBy("asset_id").agg(*extremes).join(_ranked_percentiles(pixels.select("asset_id", usable.alias("value"))), "asset_id", "left")
     flat = F.col("_p")[1] <= F.col("_p")[0]
     low = F.when(flat, F.col("_min")).otherwise(F.col("_p")[0])
     high = F.when(flat, F.col("_max")).otherwise(F.col("_p")[1])
@@ -46,6 +52,25 @@ def percentile_bounds(pixels: DataFrame) -> DataFrame:
     )
 
 
+def _ranked_percentiles(values: DataFrame) -> DataFrame:
+    """Linearly interpolated percentiles from running counts of the distinct values."""
+    counts = values.filter(F.col("value").isNotNull()).groupBy("asset_id", "value").agg(F.count(F.lit(1)).alias("n"))
+    ranked = ordering.running_total(counts, ["asset_id"], ["value"], "n")
+    totals = ranked.groupBy("asset_id").agg(F.max("upto").alias("_total"))
+    rows = ranked.join(totals, "asset_id")
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank), F.col("value").cast("double")))
+
+    picks = []
+    for i, share in enumerate(SHARES):
+        rank = (F.col("_total") - 1) * share
+        picks += [at(F.floor(rank)).alias(f"_lo{i}"), at(F.ceil(rank)).alias(f"_hi{i}"), F.max(rank - F.floor(rank)).alias(f"_f{i}")]
+    found = rows.groupBy("asset_id").agg(*picks)
+    between = [F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}") for i in range(len(SHARES))]
+    return found.select("asset_id", F.array(*between).alias("_p"))
+
+
 def valid_stats(pixels: DataFrame, pixel_area: Column | float = 1.0) -> DataFrame:
     area = F.lit(pixel_area) if isinstance(pixel_area, (int, float)) else F.max(pixel_area)
     return pixels.groupBy("asset_id").agg(
@@ -99,6 +124,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(low.select("asset_id", "u", F.col("m").alias("v"))).distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node points to one root and no root points on: then each star is a component."""
+    ends = edges.select("asset_id", F.col("u").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("root")).unionByName(
+        edges.select("asset_id", F.col("v").alias("n"), F.lit(0).alias("out"), F.lit(1).alias("root"))
+    )
+    loose = ends.groupBy("asset_id", "n").agg(F.sum("out").alias("out"), F.max("root").alias("root"))
+    return loose.filter("out > 1 OR (out = 1 AND root = 1)").isEmpty()
+
+
 def connected_components(runs: DataFrame) -> DataFrame:
     """4-connected components of the valid pixels: each run with the smallest node of its component.
 
@@ -108,16 +142,10 @@ def connected_components(runs: DataFrame) -> DataFrame:
     """
     runs = materialize(runs)
     edges = materialize(run_edges(runs))
-    digest = [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("asset_id", "u", "v").cast("decimal(20,0)")).alias("h")]
-    before = edges.agg(*digest).first()
     for _ in range(MAX_ROUNDS):
-        if before["n"] == 0:
+        if _are_stars(edges):
             break
         edges = materialize(_small_star(_large_star(edges)))
-        after = edges.agg(*digest).first()
-        if after == before:
-            break
-        before = after
     else:
         raise RuntimeError("components did not settle")
     nodes = runs.withColumn("u", _node(F.col("row"), F.col("first_col")))
@@ -198,10 +226,7 @@ def footprints(parts: DataFrame) -> DataFrame:
 
 def classify_mask(pixels: DataFrame) -> DataFrame:
     """Pixel class and colour of a quality mask."""
-    dim = pixels.sparkSession
-    from ..profiles import mask_classes
-
-    table = mask_classes(dim).select("pixel_class", "red", "green", "blue", "alpha")
+    table = mask_classes(pixels.sparkSession).select("pixel_class", "red", "green", "blue", "alpha")
     classed = pixels.withColumn("pixel_class", px.mask_class(F.col("value"), F.col("valid")))
     out = classed.join(F.broadcast(table), "pixel_class", "left")
     clear = next(row for row in MASK_CLASSES if row[0] == "clear")

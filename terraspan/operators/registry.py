@@ -12,7 +12,6 @@ from ..functions import semantics, text
 from ..profiles import profile_bands, profiles, source_info
 from ..schemas import REGISTRY, REGISTRY_KEY, registry_schema
 from ..session import materialize
-from . import ordering
 
 # Ids per digest bucket up to which the text of a run is joined whole.
 BUCKET_IDS = 32
@@ -36,20 +35,16 @@ def fold_arrivals(
     """One row per key: ``first`` columns from the earliest arrival, ``last`` ones from the newest.
 
     Folding rows in arrival order through an upsert gives the same, but here each
-    task keeps one row per key before the shuffle, so a key seen often stays small.
-    Both picks are partitioned and sorted by the key, so joining them moves nothing.
+    task folds its own rows before the shuffle, so a key seen often stays small.
     """
     last = [c for c in df.columns if c != key and c not in first and c not in order] if last is None else list(last)
-    newest = oldest = None
-    if last or not first:
-        newest = ordering.first_per_key(df.select(key, *dict.fromkeys([*last, *order])), [key], [F.col(c).desc() for c in order])
-        newest = newest.select(key, *last)
+    by = F.struct(*order)
+    parts = [F.max_by(F.struct(*last), by).alias("_last")] if last else []
     if first:
-        oldest = ordering.first_per_key(df.select(key, *dict.fromkeys([*first, *order])), [key], [F.col(c) for c in order])
-        oldest = oldest.select(key, *first)
-    if newest is None or oldest is None:
-        return newest if oldest is None else oldest
-    return newest.join(oldest, key)
+        parts.append(F.min_by(F.struct(*first), by).alias("_first"))
+    if not parts:
+        return df.select(key).distinct()
+    return df.groupBy(key).agg(*parts).select(key, *[f"_last.{c}" for c in last], *[f"_first.{c}" for c in first])
 
 
 def upsert(

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import semantics, text
 from ..operators import audit, catalog, ordering, planning, registry
 from ..profiles import PROFILE_BANDS, SOURCE_INFO
 from ..schemas import RASTER_DDL
+from ..session import scratch_dir
+from ..sources.registry_store import RegistryStore
 from .base import query
 from .views import ARRIVAL, Views
 
@@ -124,9 +128,9 @@ def e04(v: Views):
     return parts
 
 
-def deliveries(v: Views):
-    """Sightings in the shape that registration takes."""
-    return v.sightings().select(
+def deliveries(v: Views, lines=None):
+    """Sightings in the shape that registration takes; ``lines`` may be a stream."""
+    return v.sightings(lines).select(
         "run_id", "catalog", "collection", F.col("source_item_id").alias("item_id"), "asset_key", "source_url", "local_path",
         "byte_size", F.sha2("local_path", 256).alias("checksum_sha256"), "datetime",
         F.lit(None).cast("array<double>").alias("bbox"),
@@ -544,3 +548,17 @@ def s13(v: Views):
     rows = rows.withColumns({"grid_id": F.lit("g"), "checksum_sha256": F.sha2("local_path", 256), "media_type": F.lit("image/tiff")})
     rows = rows.withColumns({"bbox": F.lit(None).cast("array<double>"), "geometry": F.lit(None).cast("string")})
     return item_documents(rows).select("collection", "source_item_id", "part", F.size("assets").cast("bigint").alias("assets"))
+
+
+@query("s01_registry_roundtrip", """
+    SELECT asset_id, product_id, local_path, byte_size, CAST(NULL AS VARCHAR) AS grid_id FROM v_assets""", "v_assets")
+def s01(v: Views):
+    """Write a registry version, with a column too many and some absent, and read it back (S01, S02, S03)."""
+    store = RegistryStore(v.spark, f"{scratch_dir(v.spark)}/{uuid.uuid4().hex}")
+    store.write("assets", v.assets("product_id", "local_path", "byte_size").withColumn("surplus", F.lit(1)))
+    return store.read("assets").select("asset_id", "product_id", "local_path", "byte_size", "grid_id")
+
+
+@query("p15_junk_filter", "SELECT path FROM v_files WHERE path NOT LIKE '%/._%'", "v_files")
+def p15(v: Views):
+    return v.files().filter(~text.is_junk_file(F.substring_index("path", "/", -1))).select("path")

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import progress as pg
 from ..functions import text
 from ..operators import catalog, ingest, planning, runs
 from ..schemas import GRANULE_RESPONSE_DDL
+from ..session import scratch_dir
+from ..sources import pages
+from ..sources.registry_store import RegistryStore
+from ..streaming import ingest as ingest_stream
 from ..streaming import progress as live
 from .base import query
 from .views import Views
@@ -191,7 +197,7 @@ def f19(v: Views):
     )
     cmr = F.lit('{"time_start":"2015-06-01","organizations":["ORG"]}')
     rows = v.table("customer").select(
-        k, F.lit("HLSL30_V2.0").alias("collection"), F.when(k % 2 == 0, stac).otherwise(cmr).alias("collection_metadata")
+        k, F.when(k % 2 == 0, "HLSS30_V2.0").otherwise("HLSL30_V2.0").alias("collection"), F.when(k % 2 == 0, stac).otherwise(cmr).alias("collection_metadata")
     )
     d = semantics.collection_columns(F.col("collection"), F.col("collection_metadata"), "p_")
     return _with_profile(rows).select(
@@ -456,3 +462,49 @@ def j14(v: Views):
     GROUP BY ALL""", "v_runs")
 def u09_runs(v: Views):
     return runs.recover_runs(v.runs().withColumn("message", F.lit(""))).groupBy("status", "message").agg(F.count(F.lit(1)).alias("runs"))
+
+
+# ---- stores and streams --------------------------------------------------------
+
+
+@query("s04_search_page_roundtrip", """
+    SELECT run_id, page_number, source_item_id AS id, collection, count(*) AS sightings FROM v_page_items GROUP BY ALL""", "v_page_items")
+def s04(v: Views):
+    path = f"{scratch_dir(v.spark)}/{uuid.uuid4().hex}"
+    pages.write_pages(_landed(v), path)
+    back = pages.read_pages(v.spark, path)
+    return back.groupBy(F.col("run_id").cast("bigint").alias("run_id"), "page_number", "id", "collection").agg(F.count(F.lit(1)).alias("sightings"))
+
+
+def _landed(v: Views):
+    """Page items in the shape that pages are written in."""
+    return v.page_items().select(
+        "run_id", "page_number", F.col("source_item_id").alias("id"), "collection", F.col("l_partkey").alias("position"),
+        F.create_map(F.lit("B04"), F.struct(F.lit("u").alias("href"), F.array(F.lit("data")).alias("roles"))).alias("assets"),
+    )
+
+
+@query("t01_page_ingest_stream", """
+    SELECT DISTINCT run_id, collection, source_item_id FROM v_page_items""", "v_page_items")
+def t01(v: Views):
+    """Pages land, a stream reads them a few files at a time and keeps each item of a run once (T01, T02)."""
+    home = f"{scratch_dir(v.spark)}/{uuid.uuid4().hex}"
+    pages.write_pages(_landed(v), f"{home}/pages")
+    stream = pages.stream_pages(v.spark, f"{home}/pages", 40)
+    ingest_stream.ingest_pages(stream, "nasa", f"{home}/items", f"{home}/checkpoint").awaitTermination()
+    found = v.spark.read.parquet(f"{home}/items")
+    return found.select(F.col("run_id").cast("bigint").alias("run_id"), "collection", "source_item_id")
+
+
+@query("t03_stream_register", """
+    SELECT asset_id, status, run_id, created_at, updated_at, byte_size FROM v_assets""", "v_assets")
+def t03(v: Views):
+    """Deliveries stream into the registries: a stream of lines, a static join, an upsert per micro-batch."""
+    from .registry_queries import deliveries
+
+    home = f"{scratch_dir(v.spark)}/{uuid.uuid4().hex}"
+    schema = v.table("lineitem").schema
+    lines = v.spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(v.folder)
+    store = RegistryStore(v.spark, f"{home}/registry")
+    ingest_stream.register_stream(deliveries(v, lines), store, f"{home}/checkpoint").awaitTermination()
+    return store.read("assets").select("asset_id", "status", "run_id", "created_at", "updated_at", "byte_size")

@@ -258,7 +258,18 @@ def s15(v: Views):
 @query("a17_percentile_bounds", """
     SELECT asset_id, round(quantile_cont(value, 0.02), 6) AS low, round(quantile_cont(value, 0.98), 6) AS high FROM v_pixels WHERE valid GROUP BY asset_id""", "v_pixels")
 def a17(v: Views):
-    return raster.percentile_bounds(v.pixels()).select("asset_id", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+    return _rounded_bounds(v.pixels().withColumn("value", F.col("value").cast("smallint")))
+
+
+def _rounded_bounds(pixels):
+    return raster.percentile_bounds(pixels).select("asset_id", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
+@query("a17_percentile_bounds_wide", """
+    SELECT asset_id, round(quantile_cont(value, 0.02), 6) AS low, round(quantile_cont(value, 0.98), 6) AS high
+    FROM (SELECT asset_id, CAST(value AS DOUBLE) / 7 AS value FROM v_pixels WHERE valid) GROUP BY asset_id""", "v_pixels")
+def a17_wide(v: Views):
+    return _rounded_bounds(v.pixels().withColumn("value", F.col("value").cast("double") / 7))
 
 
 @query("a18_valid_pixel_stats", """
@@ -345,7 +356,7 @@ def f26(v: Views):
            CASE WHEN valid THEN 235 ELSE 0 END AS alpha
     FROM v_pixels JOIN b USING (asset_id)""", "v_pixels")
 def f28(v: Views):
-    return raster.stretch_pixels(v.pixels())
+    return raster.stretch_pixels(v.pixels().withColumn("value", F.col("value").cast("smallint")))
 
 
 @query("f29_downsample", """

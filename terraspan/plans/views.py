@@ -45,12 +45,13 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def sightings(self) -> DataFrame:
-        """Every delivery of a file: an asset is seen once or more."""
+    def sightings(self, lines: DataFrame | None = None) -> DataFrame:
+        """Every delivery of a file: an asset is seen once or more. ``lines`` may be a stream of lineitem."""
+        lines = self.table("lineitem") if lines is None else lines
         # Both tables grow with the data, so they meet by key rather than by broadcast: order keys are
         # unique on the build side, and adaptive execution splits a partition that one order dominates.
         orders = self.table("orders").hint("shuffle_hash")
-        joined = self.table("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         rows = joined.select(
             _case("o_orderstatus", CATALOG_OF_STATUS).alias("catalog"),
             _case("o_orderpriority", COLLECTIONS).alias("collection"),
@@ -80,8 +81,6 @@ class Views:
         first = [c for c in ("status", "run_id", "created_at") if c in columns]
         last = [c for c in columns if c not in first and c != "asset_id"]
         rows = self.sightings().select("asset_id", *dict.fromkeys([*first, *last, *ARRIVAL]))
-        if not last and not first:
-            return rows.select("asset_id").distinct()
         return registry.fold_arrivals(rows, "asset_id", ARRIVAL, first=first, last=last)
 
     def variables(self) -> DataFrame:
