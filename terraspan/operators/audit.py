@@ -29,6 +29,15 @@ def unregistered_files(assets: DataFrame, files: DataFrame) -> DataFrame:
     return source_files(files).join(registered_paths(assets), "path", "left_anti")
 
 
+def path_audit(assets: DataFrame, files: DataFrame) -> DataFrame:
+    """One row with the number of missing and of unregistered paths; each side is read once."""
+    known = registered_paths(assets).withColumn("_known", F.lit(True))
+    there = source_files(files).withColumn("_there", F.lit(True))
+    return known.join(there, "path", "full_outer").agg(
+        F.count_if(F.col("_there").isNull()).alias("missing_assets"), F.count_if(F.col("_known").isNull()).alias("unregistered_source_files")
+    )
+
+
 def path_except(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.select("path").subtract(right.select("path"))
 

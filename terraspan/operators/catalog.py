@@ -100,8 +100,8 @@ def product_variables(products: DataFrame, variables: DataFrame) -> DataFrame:
     )
 
 
-def lake_summary(assets: DataFrame, runs: DataFrame, missing: DataFrame | None = None, extra: DataFrame | None = None) -> DataFrame:
-    """One row of totals. ``missing`` and ``extra`` are the audit's path sets; without them status decides."""
+def lake_summary(assets: DataFrame, runs: DataFrame, audit: DataFrame | None = None) -> DataFrame:
+    """One row of totals. ``audit`` is the one-row path audit; without it the status column decides what is missing."""
     measures = [
         assets.agg(
             F.count(F.lit(1)).alias("asset_count"),
@@ -112,17 +112,15 @@ def lake_summary(assets: DataFrame, runs: DataFrame, missing: DataFrame | None =
             F.max_by("end_time", F.struct(F.coalesce("start_time", F.lit("")), "run_id")).alias("last_successful_run")
         ),
     ]
-    if missing is not None:
-        measures.append(missing.agg(F.count(F.lit(1)).alias("audit_missing")))
-    if extra is not None:
-        measures.append(extra.agg(F.count(F.lit(1)).alias("unregistered_source_files")))
-    row = one_row(measures)
-    lacking = F.col("status_missing" if missing is None else "audit_missing")
     zero = F.lit(0).cast("bigint")
-    return row.select(
-        "asset_count", F.coalesce("asset_bytes", zero).alias("asset_bytes"), (F.col("asset_count") - lacking).alias("available_assets"),
-        lacking.alias("missing_assets"), (zero if extra is None else F.col("unregistered_source_files")).alias("unregistered_source_files"),
-        "last_successful_run",
+    if audit is not None:
+        measures.append(audit)
+        missing, extra = F.col("missing_assets"), F.col("unregistered_source_files")
+    else:
+        missing, extra = F.col("status_missing"), zero
+    return one_row(measures).select(
+        "asset_count", F.coalesce("asset_bytes", zero).alias("asset_bytes"), (F.col("asset_count") - missing).alias("available_assets"),
+        missing.alias("missing_assets"), extra.alias("unregistered_source_files"), "last_successful_run",
     )
 
 
@@ -207,8 +205,8 @@ def filter_products(products: DataFrame, modality: str | None = None, query: str
     return search_rows(products, query) if query else products
 
 
-def attention_count(summary: DataFrame, runs: DataFrame) -> DataFrame:
+def attention_count(audit: DataFrame, runs: DataFrame) -> DataFrame:
     """Missing and unregistered files plus runs that failed wholly or in part."""
     troubled = runs.agg(F.count_if(F.col("status").isin("failed", "partial")).alias("_troubled"))
     issues = F.col("missing_assets") + F.col("unregistered_source_files") + F.col("_troubled")
-    return one_row([summary.select("missing_assets", "unregistered_source_files"), troubled]).select(issues.alias("issues"))
+    return one_row([audit, troubled]).select(issues.alias("issues"))

@@ -403,11 +403,20 @@ def a02(v: Views):
            (SELECT arg_max(end_time, (start_time, run_id)) FROM v_run_records WHERE status = 'completed') AS last_successful_run
     FROM v_assets""", "v_assets", "v_registered", "v_source_files", "v_run_records")
 def a03(v: Views):
-    paths, files = v.sightings().select("local_path"), v.files()
-    return catalog.lake_summary(
-        v.assets("byte_size").withColumn("status", F.lit(None).cast("string")), v.run_records(),
-        audit.missing_assets(paths, files), audit.unregistered_files(paths, files),
-    )
+    assets = v.assets("byte_size", "status")
+    return catalog.lake_summary(assets, v.run_records(), audit.path_audit(v.sightings().select("local_path"), v.files()))
+
+
+@query("a03_lake_summary_by_status", """
+    SELECT count(*) AS asset_count, CAST(sum(byte_size) AS BIGINT) AS asset_bytes, count(*) - count(*) FILTER (status = 'missing') AS available_assets,
+           count(*) FILTER (status = 'missing') AS missing_assets, 0 AS unregistered_source_files,
+           (SELECT arg_max(end_time, (start_time, run_id)) FROM v_run_records WHERE status = 'completed') AS last_successful_run
+    FROM (SELECT byte_size, CASE WHEN status = 'skipped' AND l_linenumber = 3 THEN 'missing' ELSE status END AS status FROM v_assets)""",
+       "v_assets", "v_run_records")
+def a03_status(v: Views):
+    lost = (F.col("status") == "skipped") & (F.col("l_linenumber") == 3)
+    assets = v.assets("byte_size", "status", "l_linenumber").withColumn("status", F.when(lost, "missing").otherwise(F.col("status")))
+    return catalog.lake_summary(assets, v.run_records())
 
 
 @query("a04_layer_stats_registry", """

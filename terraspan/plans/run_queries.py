@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import progress as pg
 from ..functions import text
-from ..operators import catalog, ingest, planning, runs
+from ..operators import audit, catalog, ingest, planning, runs
 from ..schemas import GRANULE_RESPONSE_DDL
 from ..session import scratch_dir
 from ..sources import pages
@@ -438,13 +438,7 @@ def p14(v: Views):
          + (SELECT count(*) FROM (SELECT path FROM v_source_files EXCEPT SELECT path FROM v_registered))
          + (SELECT count(*) FROM v_runs WHERE status IN ('failed', 'partial')) AS issues""", "v_registered", "v_source_files", "v_runs")
 def a15(v: Views):
-    from ..operators import audit
-
-    paths, files = v.sightings().select("local_path"), v.files()
-    missing, extra = audit.missing_assets(paths, files), audit.unregistered_files(paths, files)
-    nothing = v.assets("byte_size").withColumn("status", F.lit(None).cast("string"))
-    summary = catalog.lake_summary(nothing, v.run_records(), missing, extra)
-    return catalog.attention_count(summary, v.runs())
+    return catalog.attention_count(audit.path_audit(v.sightings().select("local_path"), v.files()), v.runs())
 
 
 @query("j14_task_view_merge", """
