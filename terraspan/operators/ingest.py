@@ -191,11 +191,14 @@ def number_link_keys(links: DataFrame, group: Sequence[str], order: Sequence[str
     """
     numbered = ordering.number_rows(links, [*group, "key"], order, "_n")
     suffixed = F.concat_ws("_", "key", F.col("_n").cast("string"))
+    named = F.when(F.col("_n") == 1, F.col("key")).otherwise(suffixed)
+    suspects = numbered.filter((F.col("_n") == 1) & F.col("key").rlike("_[0-9]+$")).select(*group, "key")
+    if suspects.isEmpty():
+        # no key looks like a made-up one: nothing can clash
+        return numbered.select(*group, named.alias("key"), "href")
     made = numbered.filter("_n > 1").select(*group, suffixed.alias("key"))
-    clashing = made.join(numbered.filter("_n = 1").select(*group, "key"), [*group, "key"], "left_semi").select(*group).distinct()
-    plain = numbered.join(clashing, list(group), "left_anti").withColumn(
-        "key", F.when(F.col("_n") == 1, F.col("key")).otherwise(suffixed)
-    )
+    clashing = made.join(suspects, [*group, "key"], "left_semi").select(*group).distinct()
+    plain = numbered.join(clashing, list(group), "left_anti").withColumn("key", named)
     replay = (
         numbered.join(clashing, list(group), "left_semi").groupBy(*group)
         .agg(F.sort_array(F.collect_list(F.struct(*order, "key", "href"))).alias("_links"))

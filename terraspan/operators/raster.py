@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +16,7 @@ from . import ordering
 
 SHARES = (0.02, 0.98)
 COLUMN_BLOCK = 32
+BAND_ROWS = 128
 MIN_PART_PIXELS = 64
 MAX_ROUNDS = 64
 
@@ -133,24 +136,76 @@ def _are_stars(edges: DataFrame) -> bool:
     return loose.filter("out > 1 OR (out = 1 AND root = 1)").isEmpty()
 
 
-def connected_components(runs: DataFrame) -> DataFrame:
+def _touching(row: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of runs that touch in consecutive rows; runs are sorted by row and column."""
+    width = int(last.max()) + 2
+    starts, ends = row * width + first, row * width + last
+    low = np.searchsorted(ends, (row + 1) * width + first, "left")
+    high = np.searchsorted(starts, (row + 1) * width + last, "right")
+    count = np.maximum(high - low, 0)
+    upper = np.repeat(np.arange(len(row)), count)
+    within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return upper, np.repeat(low, count) + within
+
+
+def _smallest_reachable(size: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Smallest index of the component of each index: hook roots together, then shorten all paths."""
+    label = np.arange(size)
+    while True:
+        a, b = label[u], label[v]
+        open_ = a != b
+        if not open_.any():
+            return label
+        np.minimum.at(label, np.maximum(a, b)[open_], np.minimum(a, b)[open_])
+        while True:
+            shorter = label[label]
+            if np.array_equal(shorter, label):
+                break
+            label = shorter
+
+
+def _label_band(runs: pd.DataFrame) -> pd.DataFrame:
+    """Components of the runs of one band of rows, each named by its first run."""
+    runs = runs.sort_values(["row", "first_col"], ignore_index=True)
+    row, first, last = (runs[c].to_numpy(np.int64) for c in ("row", "first_col", "last_col"))
+    label = _smallest_reachable(len(runs), *_touching(row, first, last))
+    runs["component"] = ((row << 32) + first)[label]
+    return runs[["asset_id", "row", "first_col", "last_col", "component"]]
+
+
+def connected_components(runs: DataFrame, band: int = BAND_ROWS) -> DataFrame:
     """4-connected components of the valid pixels: each run with the smallest node of its component.
 
-    Alternates star contractions, which need a number of rounds that grows with
-    the logarithm of the component size. Each round is written once, so the plan
-    stays short and a lost executor costs one round.
+    Bands of rows are labelled on their own, in tasks of bounded size. Only runs
+    on the border of two bands tie their labels together; that small graph is
+    solved by alternating star contractions, in a number of rounds that grows with
+    its logarithm. Each round is written once, so the plan stays short and a lost
+    executor costs one round.
     """
-    runs = materialize(runs)
-    edges = materialize(run_edges(runs))
+    kind = runs.schema["asset_id"].dataType.simpleString()
+    schema = f"asset_id {kind}, row INT, first_col INT, last_col INT, component BIGINT"
+    banded = runs.select("asset_id", "row", "first_col", "last_col", F.floor(F.col("row") / band).alias("_band"))
+    local = materialize(banded.groupBy("asset_id", "_band").applyInPandas(_label_band, schema))
+
+    top, bottom = F.col("row") % band == 0, F.col("row") % band == band - 1
+    lower = local.select("asset_id", _node(F.col("row"), F.col("first_col")).alias("u"), F.col("component").alias("_lower"))
+    upper = local.select("asset_id", _node(F.col("row"), F.col("first_col")).alias("v"), F.col("component").alias("_upper"))
+    ties = run_edges(local.filter(top | bottom).select("asset_id", "row", "first_col", "last_col")).filter(
+        F.shiftright("u", 32) % band == 0
+    )
+    ties = ties.join(lower, ["asset_id", "u"]).join(upper, ["asset_id", "v"])
+    edges = materialize(
+        ties.select("asset_id", F.greatest("_lower", "_upper").alias("u"), F.least("_lower", "_upper").alias("v")).filter("u <> v").distinct()
+    )
     for _ in range(MAX_ROUNDS):
         if _are_stars(edges):
             break
         edges = materialize(_small_star(_large_star(edges)))
     else:
         raise RuntimeError("components did not settle")
-    nodes = runs.withColumn("u", _node(F.col("row"), F.col("first_col")))
-    return nodes.join(edges, ["asset_id", "u"], "left").select(
-        "asset_id", "row", "first_col", "last_col", F.coalesce("v", "u").alias("component")
+    roots = edges.select("asset_id", F.col("u").alias("component"), F.col("v").alias("_root"))
+    return local.join(roots, ["asset_id", "component"], "left").select(
+        "asset_id", "row", "first_col", "last_col", F.coalesce("_root", "component").alias("component")
     )
 
 

@@ -80,9 +80,8 @@ def upsert(
     return o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer").select(*columns)
 
 
-GRID_FACTS = (
-    "crs_wkt", "epsg", "x_origin", "y_origin", "pixel_size_x", "pixel_size_y", "transform", "width", "height"
-)
+GRID_ID_FACTS = ("epsg", "transform", "width", "height")
+GRID_FACTS = ("crs_wkt", "x_origin", "y_origin", "pixel_size_x", "pixel_size_y")
 ASSET_KEEP = ("status", "run_id")
 PRODUCT_FILL = (
     "license", "title", "description", "keywords", "providers", "temporal_start", "temporal_end",
@@ -103,16 +102,23 @@ def register(deliveries: DataFrame) -> dict[str, DataFrame]:
     )
     collection = F.col("collection")
 
-    # A file inspected again may have another grid, and both stay registered: grids come from all deliveries.
-    grids = fold_arrivals(
-        given.select(
-            semantics.grid_id(collection, F.col("raster")).alias("grid_id"), "seq", "collection",
-            F.when(F.col("raster").isNotNull(), F.struct(*[F.col("raster")[f].alias(f) for f in GRID_FACTS])).alias("raster"),
-            F.col("registered_at").alias("created_at"), F.col("registered_at").alias("updated_at"),
-        ),
-        "grid_id", ["seq"], first=["created_at"],
+    # A file inspected again may have another grid, and both stay registered: grids come from all
+    # deliveries. They are folded by what the id is made of, so ids are computed once per grid.
+    raster = F.col("raster")
+    parts = {"collection": collection, "_known": raster.isNotNull()}
+    parts.update({f"_{f}": raster[f] for f in GRID_ID_FACTS})
+    grids = given.groupBy(*[c.alias(n) for n, c in parts.items()]).agg(
+        F.max_by(F.struct(F.col("registered_at").alias("updated_at"), *[raster[f].alias(f) for f in GRID_FACTS]), "seq").alias("_l"),
+        F.min_by("registered_at", "seq").alias("created_at"), F.min("seq").alias("_first_seq"), F.max("seq").alias("_last_seq"),
+    ).withColumn(
+        "raster",
+        F.when(F.col("_known"), F.struct(*[F.col(f"_{f}").alias(f) for f in GRID_ID_FACTS], *[F.col("_l")[f].alias(f) for f in GRID_FACTS])),
     )
-    grid = semantics.grid_columns(collection, F.col("raster"))
+    grids = grids.groupBy(semantics.grid_id(collection, raster).alias("grid_id")).agg(
+        F.max_by(F.struct("collection", "raster", F.col("_l")["updated_at"].alias("updated_at")), "_last_seq").alias("_l"),
+        F.min_by("created_at", "_first_seq").alias("created_at"),
+    ).select("grid_id", "_l.*", "created_at")
+    grid = semantics.grid_columns(collection, raster)
     grids = grids.select("grid_id", *[c.alias(n) for n, c in grid.items()], "created_at", "updated_at")
 
     # Catalog, product and variable are functions of the asset identity, so their first and newest

@@ -31,8 +31,8 @@ def flood(grid):
     return set(parts)
 
 
-def labelled(spark, grids):
-    comps = raster.connected_components(raster.pixel_runs(pixels(spark, grids))).collect()
+def labelled(spark, grids, band):
+    comps = raster.connected_components(raster.pixel_runs(pixels(spark, grids)), band).collect()
     out = {a: {} for a in grids}
     for r in comps:
         out[r["asset_id"]].setdefault(r["component"], set()).update((r["row"], c) for c in range(r["first_col"], r["last_col"] + 1))
@@ -54,7 +54,8 @@ def test_components_match_flood_fill(spark):
         spiral[k][size - 1 if (k // 2) % 2 == 0 else 0] = 1
     grids["snake"] = spiral
     grids["empty"] = [[0, 0], [0, 0]]
-    assert labelled(spark, grids) == {a: flood(g) for a, g in grids.items()}
+    for band in (1, 4, 128):
+        assert labelled(spark, grids, band) == {a: flood(g) for a, g in grids.items()}
     assert len(flood(spiral)) == 1
 
 
