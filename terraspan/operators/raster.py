@@ -17,6 +17,7 @@ from . import ordering
 SHARES = (0.02, 0.98)
 COLUMN_BLOCK = 32
 BAND_ROWS = 128
+PACK_RUNS = 50_000
 MIN_PART_PIXELS = 64
 MAX_ROUNDS = 64
 
@@ -164,11 +165,13 @@ def _smallest_reachable(size: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
             label = shorter
 
 
-def _label_band(runs: pd.DataFrame) -> pd.DataFrame:
-    """Components of the runs of one band of rows, each named by its first run."""
-    runs = runs.sort_values(["row", "first_col"], ignore_index=True)
-    row, first, last = (runs[c].to_numpy(np.int64) for c in ("row", "first_col", "last_col"))
-    label = _smallest_reachable(len(runs), *_touching(row, first, last))
+def _label_pack(runs: pd.DataFrame) -> pd.DataFrame:
+    """Components of the runs of a pack of bands, each named by its first run."""
+    asset = pd.factorize(runs["asset_id"])[0]
+    runs = runs.assign(_line=asset * (int(runs["row"].max()) + 2) + runs["row"].to_numpy(np.int64))
+    runs = runs.sort_values(["_line", "first_col"], ignore_index=True)
+    row, line, first, last = (runs[c].to_numpy(np.int64) for c in ("row", "_line", "first_col", "last_col"))
+    label = _smallest_reachable(len(runs), *_touching(line, first, last))
     runs["component"] = ((row << 32) + first)[label]
     return runs[["asset_id", "row", "first_col", "last_col", "component"]]
 
@@ -176,7 +179,7 @@ def _label_band(runs: pd.DataFrame) -> pd.DataFrame:
 def connected_components(runs: DataFrame, band: int = BAND_ROWS) -> DataFrame:
     """4-connected components of the valid pixels: each run with the smallest node of its component.
 
-    Bands of rows are labelled on their own, in tasks of bounded size. Only runs
+    Bands of rows are labelled on their own, in packs of bounded size. Only runs
     on the border of two bands tie their labels together; that small graph is
     solved by alternating star contractions, in a number of rounds that grows with
     its logarithm. Each round is written once, so the plan stays short and a lost
@@ -184,8 +187,11 @@ def connected_components(runs: DataFrame, band: int = BAND_ROWS) -> DataFrame:
     """
     kind = runs.schema["asset_id"].dataType.simpleString()
     schema = f"asset_id {kind}, row INT, first_col INT, last_col INT, component BIGINT"
-    banded = runs.select("asset_id", "row", "first_col", "last_col", F.floor(F.col("row") / band).alias("_band"))
-    local = materialize(banded.groupBy("asset_id", "_band").applyInPandas(_label_band, schema))
+    runs = materialize(runs.select("asset_id", "row", "first_col", "last_col"))
+    # small rasters share a task: bands are packed by hash to about PACK_RUNS runs, whole bands only
+    packs = max(1, -(-runs.count() // PACK_RUNS))
+    pack = F.pmod(F.xxhash64("asset_id", F.floor(F.col("row") / band)), F.lit(packs))
+    local = materialize(runs.withColumn("_pack", pack).groupBy("_pack").applyInPandas(_label_pack, schema))
 
     top, bottom = F.col("row") % band == 0, F.col("row") % band == band - 1
     lower = local.select("asset_id", _node(F.col("row"), F.col("first_col")).alias("u"), F.col("component").alias("_lower"))

@@ -39,7 +39,7 @@ def labelled(spark, grids, band):
     return {a: {frozenset(p) for p in parts.values()} for a, parts in out.items()}
 
 
-def test_components_match_flood_fill(spark):
+def test_components_match_flood_fill(spark, monkeypatch):
     random.seed(3)
     grids = {f"r{i}": [[random.random() < 0.58 for _ in range(70)] for _ in range(30)] for i in range(4)}
     # a spiral is one long component, the worst case for plain label passing
@@ -54,7 +54,8 @@ def test_components_match_flood_fill(spark):
         spiral[k][size - 1 if (k // 2) % 2 == 0 else 0] = 1
     grids["snake"] = spiral
     grids["empty"] = [[0, 0], [0, 0]]
-    for band in (1, 4, 128):
+    for band, pack in ((1, 500), (4, 50_000), (128, 300)):
+        monkeypatch.setattr(raster, "PACK_RUNS", pack)
         assert labelled(spark, grids, band) == {a: flood(g) for a, g in grids.items()}
     assert len(flood(spiral)) == 1
 
