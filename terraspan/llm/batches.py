@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -48,7 +49,7 @@ def annotate(df: DataFrame, text: str, fields: T.StructType, make: Callable[[],
 
 def _parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about BLOCK bytes of text."""
-    sizes = np.array(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), dtype=np.int64)
+    sizes = np.array(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
     for first, last in spans_of(sizes):
         yield batch.slice(first, last - first)
 
