@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, secret_scan
+from . import decontaminate, pii, secret_scan, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,3 +57,14 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_secret_scan")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, folder, "documents", "doc_id", "text")).drop("text")
+
+
+@query("op1_token_counts")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    return token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json")).drop("text")
+
+
+@query("op10_pii")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, folder, "documents", "doc_id", "text")).drop("text")
