@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,7 +29,25 @@ def build_session(app: str = "terraspan", master: str | None = None, conf: dict
         builder = builder.master(master)
     for key, value in {**DEFAULTS, **(conf or {})}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package wherever they run. Done once for a Spark context."""
+    context = spark.sparkContext
+    if getattr(context, "_terraspan_shipped", False):
+        return spark
+    home = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="terraspan-package-"), "terraspan.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, files in os.walk(home):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    archive.write(full, os.path.join("terraspan", os.path.relpath(full, home)))
+    context.addPyFile(path)  # the driver serves it to every executor
+    context._terraspan_shipped = True
+    return spark
 
 
 def scratch_dir(spark: SparkSession) -> str:
