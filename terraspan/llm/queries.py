@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, pii, secret_scan, token_counts
+from . import cross_polytope, decontaminate, pii, quality, secret_scan, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,3 +68,14 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_pii")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find_personal_data(table(spark, folder, "documents", "doc_id", "text")).drop("text")
+
+
+@query("op3_nearest")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return cross_polytope.nearest(table(spark, folder, "embeddings", "vec_id", "embedding"))
+
+
+@query("op7_quality")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "labels", "doc_id", "quality")
+    return quality.score_quality(docs, labels).drop("text")
