@@ -13,13 +13,13 @@ from ..functions import pixels as px
 from ..profiles import MASK_CLASSES, mask_classes
 from ..session import materialize
 from . import ordering
+from .stars import contract
 
 SHARES = (0.02, 0.98)
 COLUMN_BLOCK = 32
 BAND_ROWS = 128
 PACK_RUNS = 50_000
 MIN_PART_PIXELS = 64
-MAX_ROUNDS = 64
 
 
 def tile_pixels(tiles: DataFrame, tile_height: int, tile_width: int) -> DataFrame:
@@ -114,29 +114,6 @@ def run_edges(runs: DataFrame) -> DataFrame:
     )
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every node hands its smallest neighbour to its larger neighbours."""
-    both = edges.unionByName(edges.select("asset_id", F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("asset_id", "u").agg(F.min("v").alias("_v")).select("asset_id", "u", F.least("u", "_v").alias("m"))
-    return both.join(low, ["asset_id", "u"]).filter("v > u").select("asset_id", F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Every node and its smaller neighbours point to the smallest of them."""
-    low = edges.groupBy("asset_id", "u").agg(F.min("v").alias("m"))
-    moved = edges.join(low, ["asset_id", "u"]).filter("v <> m").select("asset_id", F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(low.select("asset_id", "u", F.col("m").alias("v"))).distinct()
-
-
-def _are_stars(edges: DataFrame) -> bool:
-    """Whether every node points to one root and no root points on: then each star is a component."""
-    ends = edges.select("asset_id", F.col("u").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("root")).unionByName(
-        edges.select("asset_id", F.col("v").alias("n"), F.lit(0).alias("out"), F.lit(1).alias("root"))
-    )
-    loose = ends.groupBy("asset_id", "n").agg(F.sum("out").alias("out"), F.max("root").alias("root"))
-    return loose.filter("out > 1 OR (out = 1 AND root = 1)").isEmpty()
-
-
 def _touching(row: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of runs that touch in consecutive rows; runs are sorted by row and column."""
     width = int(last.max()) + 2
@@ -200,15 +177,9 @@ def connected_components(runs: DataFrame, band: int = BAND_ROWS) -> DataFrame:
         F.shiftright("u", 32) % band == 0
     )
     ties = ties.join(lower, ["asset_id", "u"]).join(upper, ["asset_id", "v"])
-    edges = materialize(
-        ties.select("asset_id", F.greatest("_lower", "_upper").alias("u"), F.least("_lower", "_upper").alias("v")).filter("u <> v").distinct()
+    edges = contract(
+        ties.select("asset_id", F.greatest("_lower", "_upper").alias("u"), F.least("_lower", "_upper").alias("v")).filter("u <> v"), ["asset_id"]
     )
-    for _ in range(MAX_ROUNDS):
-        if _are_stars(edges):
-            break
-        edges = materialize(_small_star(_large_star(edges)))
-    else:
-        raise RuntimeError("components did not settle")
     roots = edges.select("asset_id", F.col("u").alias("component"), F.col("v").alias("_root"))
     return local.join(roots, ["asset_id", "component"], "left").select(
         "asset_id", "row", "first_col", "last_col", F.coalesce("_root", "component").alias("component")
