@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cross_polytope, decontaminate, pii, quality, secret_scan, token_counts
+from . import cross_polytope, decontaminate, pii, probminhash, quality, secret_scan, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -79,3 +79,8 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "labels", "doc_id", "quality")
     return quality.score_quality(docs, labels).drop("text")
+
+
+@query("op9_near_duplicates")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return probminhash.near_duplicate_classes(table(spark, folder, "documents", "doc_id", "text"))
