@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cross_polytope, decontaminate, pii, probminhash, quality, secret_scan, token_counts
+from . import cross_polytope, decontaminate, pii, probminhash, quality, secret_scan, suffix_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,3 +84,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_near_duplicates")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return probminhash.near_duplicate_classes(table(spark, folder, "documents", "doc_id", "text"))
+
+
+@query("op2_suffix_dedup")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, folder, "documents", "doc_id", "text"))
