@@ -23,6 +23,9 @@ DEFAULTS = {
 }
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def build_session(app: str = "terraspan", master: str | None = None, conf: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -68,6 +71,12 @@ def materialize(df: DataFrame) -> DataFrame:
     The result has no lineage, survives executor loss and can be read several
     times with column pruning; values such as row positions are fixed by the write.
     """
-    path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")  # nothing reads the shuffle files of this write again
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
