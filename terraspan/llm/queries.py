@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cross_polytope, decontaminate, html_text, pii, probminhash, quality, secret_scan, suffix_dedup, token_counts
+from . import cross_polytope, decontaminate, html_text, mixing, pii, probminhash, quality, secret_scan, suffix_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -94,3 +94,8 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_html_text")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract_text(table(spark, folder, "pages", "page_id", "url", "html")).drop("html")
+
+
+@query("op4_mixing", mixing.mix_sql())
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.select_mix(table(spark, folder, "documents", "doc_id", "text", "lang", "source"))
