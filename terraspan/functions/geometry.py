@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .binding import let
 
-_NUMBER = r"(-?[0-9]+\.?[0-9]*(?:[eE][-+]?[0-9]+)?)"
+_NUMBER = r"[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?"
 
 
 def bbox_struct(west: Column, south: Column, east: Column, north: Column) -> Column:
@@ -52,24 +52,35 @@ def _close(ring: Column) -> Column:
     return F.when(ring[0] != F.element_at(ring, -1), F.concat(ring, F.slice(ring, 1, 1))).otherwise(ring)
 
 
+def _numbers(text: Column) -> Column:
+    """Numbers of a blank-separated text; one that cannot be read is null."""
+    return F.transform(F.split(F.trim(text), r"\s+"), lambda t: F.when(t.rlike(f"^{_NUMBER}$"), t.try_cast("double")))
+
+
+def _all_known(values: Column) -> Column:
+    return ~F.exists(values, lambda v: v.isNull())
+
+
 def cmr_rings(polygons: Column, boxes: Column) -> Column:
-    """Rings from ``"lat lon lat lon"`` texts, closed, of four points or more; else from the first ``S W N E`` box."""
+    """Rings from ``"lat lon lat lon"`` texts, closed, of four points or more; else from the first ``S W N E`` box.
+
+    A text with a number that cannot be read, or half a point, is no ring.
+    """
 
-    def parse(text: Column) -> Column:
-        v = F.split(F.trim(text), r"\s+").cast("array<double>")
+    def parse(v: Column) -> Column:
         return F.transform(
             F.sequence(F.lit(0), F.floor(F.size(v) / 2).cast("int") - 1),
             lambda i: F.array(F.get(v, i * 2 + 1), F.get(v, i * 2)),
         )
 
-    texts = F.filter(F.flatten(polygons), lambda t: F.size(F.split(F.trim(t), r"\s+")) >= 2)
-    rings = F.filter(F.transform(F.transform(texts, parse), _close), lambda ring: F.size(ring) >= 4)
-    box = F.split(F.trim(F.get(boxes, F.lit(0))), r"\s+").cast("array<double>")
-    south, west, north, east = (F.get(box, F.lit(i)) for i in range(4))
-    return (
-        F.when(F.size(rings) > 0, rings)
-        .when(F.size(boxes) > 0, F.array(box_ring(west, south, east, north)))
-    )
+    numbers = F.filter(F.transform(F.flatten(polygons), _numbers), lambda v: (F.size(v) >= 2) & (F.size(v) % 2 == 0) & _all_known(v))
+    rings = F.filter(F.transform(F.transform(numbers, parse), _close), lambda ring: F.size(ring) >= 4)
+
+    def from_box(v: Column) -> Column:
+        south, west, north, east = (F.get(v, F.lit(i)) for i in range(4))
+        return F.when((F.size(v) >= 4) & _all_known(v), F.array(box_ring(west, south, east, north)))
+
+    return F.when(F.size(rings) > 0, rings).when(F.size(boxes) > 0, let(_numbers(F.get(boxes, F.lit(0))), from_box))
 
 
 def rings_geometry(rings: Column) -> Column:
@@ -96,7 +107,7 @@ def geometry_json(geometry: Column) -> Column:
 
 def wkt_bounds(wkt: Column) -> Column:
     """``[minx, miny, maxx, maxy]`` of two-dimensional WKT; null without coordinates."""
-    values = F.regexp_extract_all(wkt, F.lit(_NUMBER), 1).cast("array<double>")
+    values = F.regexp_extract_all(wkt, F.lit(f"({_NUMBER})"), 1).cast("array<double>")
     xs, ys = F.filter(values, lambda _, i: i % 2 == 0), F.filter(values, lambda _, i: i % 2 == 1)
     return F.when(
         F.size(values) >= 2, F.array(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
@@ -104,22 +115,54 @@ def wkt_bounds(wkt: Column) -> Column:
 
 
 def wkt_rings(wkt: Column) -> Column:
-    """Rings of POINT, LINESTRING, POLYGON and MULTIPOLYGON text."""
+    """Rings of two-dimensional text of any kind: one per innermost pair of parentheses."""
     texts = F.regexp_extract_all(wkt, F.lit(r"\(([^()]+)\)"), 1)
-    return F.transform(
-        texts,
-        lambda t: F.transform(F.split(t, ","), lambda p: F.split(F.trim(p), r"\s+").cast("array<double>")),
-    )
+    return F.transform(texts, lambda t: F.transform(F.split(t, ","), _numbers))
 
 
 def wkt_is_valid(wkt: Column) -> Column:
-    """Well-formed, non-empty two-dimensional WKT of the supported kinds."""
-    point = r"\s*-?[0-9.]+(?:[eE][-+]?[0-9]+)?\s+-?[0-9.]+(?:[eE][-+]?[0-9]+)?\s*"
-    ring = rf"\s*\({point}(?:,{point})+\)\s*"
-    poly = rf"\s*\({ring}(?:,{ring})*\)\s*"
-    return F.coalesce(wkt, F.lit("")).rlike(
-        rf"(?i)^\s*(?:POINT\s*\({point}\)|LINESTRING{ring}|POLYGON{poly}|MULTIPOLYGON\s*\({poly}(?:,{poly})*\))\s*$"
-    )
+    """Well-formed, non-empty two-dimensional WKT of a point, line or area, single or multiple.
+
+    The text is taken apart into its innermost lists of points and a skeleton in which each
+    of them is the letter r. Lists are checked as arrays, so their length does not matter.
+    """
+
+    def listed(text: Column, letter: str) -> Column:
+        """Letters with commas between them."""
+        return ~F.exists(F.split(text, ","), lambda part: part != letter)
+
+    def wrapped(text: Column, letter: str) -> Column:
+        return text.startswith("(") & text.endswith(")") & listed(F.substring(text, F.lit(2), F.length(text) - 2), letter)
+
+    def judge(g: Column) -> Column:
+        kind, skeleton, rings = g["kind"], g["skeleton"], g["rings"]
+        sound = ~F.exists(rings, lambda r: F.exists(r, lambda p: (F.size(p) != 2) | ~_all_known(p)))
+
+        def least(n: int) -> Column:
+            return ~F.exists(rings, lambda r: F.size(r) < n)
+
+        def single() -> Column:
+            return ~F.exists(rings, lambda r: F.size(r) != 1)
+
+        closed = least(4) & ~F.exists(rings, lambda r: r[0] != F.element_at(r, -1))
+        groups = F.regexp_replace(skeleton, r"\([r,]*\)", "g")
+        parts = F.regexp_extract_all(skeleton, F.lit(r"\(([r,]*)\)"), 1)
+        areas = wrapped(groups, "g") & ~F.exists(parts, lambda t: ~listed(t, "r"))
+        return sound & (
+            F.when(kind == "POINT", (skeleton == "r") & single())
+            .when(kind == "LINESTRING", (skeleton == "r") & least(2))
+            .when(kind == "POLYGON", wrapped(skeleton, "r") & closed)
+            .when(kind == "MULTIPOINT", (skeleton == "r") | (wrapped(skeleton, "r") & single()))
+            .when(kind == "MULTILINESTRING", wrapped(skeleton, "r") & least(2))
+            .when(kind == "MULTIPOLYGON", areas & closed)
+            .otherwise(False)
+        )
+
+    text = F.upper(F.trim(F.regexp_replace(F.coalesce(wkt, F.lit("")), r"\s+", " ")))
+    body = F.regexp_extract(text, r"^[A-Z]+ ?(\(.*\))$", 1)
+    skeleton = F.regexp_replace(F.regexp_replace(body, r"\([^()]+\)", "r"), " ", "")
+    parsed = F.struct(F.regexp_extract(text, r"^([A-Z]+)", 1).alias("kind"), skeleton.alias("skeleton"), wkt_rings(body).alias("rings"))
+    return let(parsed, judge)
 
 
 def _edges(rings: Column) -> Column:

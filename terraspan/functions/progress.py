@@ -6,9 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def outcome(failed: Column, completed: Column) -> Column:
-    """partial when both kinds occur, failed when only failures do, else completed."""
-    return F.when((failed > 0) & (completed > 0), "partial").when(failed > 0, "failed").otherwise("completed")
+def outcome(failed: Column, completed: Column, running: Column, total: Column) -> Column:
+    """Status folded from attempts: final only once all have ended.
+
+    Until then it is downloading while any attempt runs, else queued. Of ended ones it is
+    partial when both kinds occur, failed when only failures do, else completed.
+    """
+    return (
+        F.when(running > 0, "downloading").when(failed + completed < total, "queued")
+        .when((failed > 0) & (completed > 0), "partial").when(failed > 0, "failed").otherwise("completed")
+    )
 
 
 def file_progress(done: Column, total: Column, status: Column) -> Column:

@@ -32,6 +32,12 @@ def tile_pixels(tiles: DataFrame, tile_height: int, tile_width: int) -> DataFram
     )
 
 
+def _usable() -> Column:
+    """Valid pixels with a finite value."""
+    value = F.col("value").cast("double")
+    return F.coalesce(F.col("valid") & ~F.isnan(value) & (F.abs(value) < float("inf")), F.lit(False))
+
+
 def percentile_bounds(pixels: DataFrame) -> DataFrame:
     """Stretch bounds per asset: 2nd and 98th percentile of the valid pixels, with fallbacks for flat data.
 
@@ -40,7 +46,7 @@ def percentile_bounds(pixels: DataFrame) -> DataFrame:
     ranked by range partitions instead, so no task holds the values of an asset.
     """
     small = isinstance(pixels.schema["value"].dataType, (T.ByteType, T.ShortType))
-    usable = F.when(F.col("valid") & ~F.isnan(F.col("value").cast("double")), F.col("value"))
+    usable = F.when(_usable(), F.col("value"))
     extremes = [F.min(usable).cast("double").alias("_min"), F.max(usable).cast("double").alias("_max")]
     if small:
         stats = pixels.groupBy("asset_id").agg(F.percentile(usable, F.array(*[F.lit(s) for s in SHARES])).alias("_p"), *extremes)
@@ -259,7 +265,7 @@ def footprints(parts: DataFrame) -> DataFrame:
 def classify_mask(pixels: DataFrame) -> DataFrame:
     """Pixel class and colour of a quality mask."""
     table = mask_classes(pixels.sparkSession).select("pixel_class", "red", "green", "blue", "alpha")
-    classed = pixels.withColumn("pixel_class", px.mask_class(F.col("value"), F.col("valid")))
+    classed = pixels.withColumn("pixel_class", px.mask_class(F.when(_usable(), F.col("value")).cast("int"), _usable()))
     out = classed.join(F.broadcast(table), "pixel_class", "left")
     clear = next(row for row in MASK_CLASSES if row[0] == "clear")
     for name, value in zip(("red", "green", "blue"), clear[2:5]):
@@ -270,10 +276,10 @@ def classify_mask(pixels: DataFrame) -> DataFrame:
 def stretch_pixels(pixels: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
     """Gray level and opacity of each pixel between the stretch bounds of its asset."""
     bounds = percentile_bounds(pixels) if bounds is None else bounds
-    value = F.when(F.col("valid"), F.col("value").cast("double"))
+    value = F.when(_usable(), F.col("value").cast("double"))
     return pixels.join(bounds, "asset_id").select(
         "asset_id", "row", "col", px.stretch(value, F.col("low"), F.col("high")).alias("intensity"),
-        F.when(F.col("valid"), 235).otherwise(0).alias("alpha"),
+        F.when(_usable(), 235).otherwise(0).alias("alpha"),
     )
 
 
@@ -292,11 +298,13 @@ def downsample_nearest(pixels: DataFrame, width: int, height: int, max_size: int
     scale = min(1.0, max_size / max(width, height))
     out_w, out_h = max(1, round(width * scale)), max(1, round(height * scale))
 
+    # counted from the reduced side: pixel t takes the source pixel floor((t + 1/2) full / out), so each is met once
     def target(at: Column, out: int, full: int) -> Column:
-        return F.floor(at * F.lit(out) / F.lit(full)).cast("int")
+        return F.ceil((at * (2 * out) - full) / F.lit(2 * full)).cast("int")
 
     def centre(at: Column, out: int, full: int) -> Column:
-        return F.floor((target(at, out, full) + 0.5) * F.lit(full) / F.lit(out)) == at
+        t = target(at, out, full)
+        return t.between(0, out - 1) & (F.floor((t * 2 + 1) * F.lit(full) / F.lit(2 * out)) == at)
 
     row, col = F.col("row"), F.col("col")
     return pixels.filter(centre(row, out_h, height) & centre(col, out_w, width)).select(

@@ -23,22 +23,29 @@ def latest_attempts(events: DataFrame, order: Sequence[str] = ("updated_at", "se
     return ordering.first_per_key(events, ["attempt_id"], [F.col(c).desc() for c in order])
 
 
-def _counts(latest: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return latest.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("total_files"),
-        F.count_if(F.col("status").isin(*DONE)).alias("completed_files"),
+def _counted() -> list[Column]:
+    return [
+        F.count(F.lit(1)).alias("total_files"), F.count_if(F.col("status").isin(*DONE)).alias("completed_files"),
         F.count_if(F.col("status") == "failed").alias("failed_files"),
-    )
+    ]
+
+
+def _counts(latest: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return latest.groupBy(*keys).agg(*_counted())
+
+
+def _folded_status(latest: DataFrame, keys: Sequence[str]) -> DataFrame:
+    running = latest.groupBy(*keys).agg(F.count_if(F.col("status") == "downloading").alias("_running"), *_counted())
+    status = pg.outcome(F.col("failed_files"), F.col("completed_files"), F.col("_running"), F.col("total_files"))
+    return running.withColumn("status", status).drop("_running")
 
 
 def batch_status(latest: DataFrame) -> DataFrame:
-    counts = _counts(latest, ["run_id", "batch_number"])
-    return counts.withColumn("status", pg.outcome(F.col("failed_files"), F.col("completed_files")))
+    return _folded_status(latest, ["run_id", "batch_number"])
 
 
 def run_status(latest: DataFrame) -> DataFrame:
-    counts = _counts(latest, ["run_id"])
-    return counts.withColumn("status", pg.outcome(F.col("failed_files"), F.col("completed_files")))
+    return _folded_status(latest, ["run_id"])
 
 
 def run_progress(latest: DataFrame, runs: DataFrame) -> DataFrame:
@@ -91,9 +98,21 @@ def allowed_actions(runs: DataFrame, actions: DataFrame | None = None) -> DataFr
     return actions.join(runs.select("run_id", "status"), "run_id").join(table, ["status", "action"], "left")
 
 
+PAGE_LIMIT = 200
+
+
+def _page_size(limit: int) -> int:
+    if not 1 <= limit <= PAGE_LIMIT:
+        raise ValueError(f"a page of runs holds 1 to {PAGE_LIMIT} of them, not {limit}")
+    return limit
+
+
 def list_runs(runs: DataFrame, cursor: str | None = None, limit: int = 50) -> DataFrame:
-    """One row more than the page, newest first; the last row tells whether there is a next page."""
-    limit = max(1, min(limit, 200))
+    """One row more than the page, newest first; the last row tells whether there is a next page.
+
+    A page holds at most PAGE_LIMIT runs; other limits raise.
+    """
+    limit = _page_size(limit)
     if cursor:
         created, run = cursor.split("|", 1)
         older = F.col("created_at") < created
@@ -102,8 +121,8 @@ def list_runs(runs: DataFrame, cursor: str | None = None, limit: int = 50) -> Da
 
 
 def page_of_runs(runs: DataFrame, cursor: str | None = None, limit: int = 50) -> tuple[list, str | None]:
-    """A page of at most 200 runs and the cursor of the next one."""
-    limit = max(1, min(limit, 200))
+    """A page of at most PAGE_LIMIT runs and the cursor of the next one."""
+    limit = _page_size(limit)
     rows = list_runs(runs, cursor, limit).collect()
     more, rows = len(rows) > limit, rows[:limit]
     return rows, f"{rows[-1]['created_at']}|{rows[-1]['run_id']}" if more else None
@@ -122,6 +141,27 @@ def requeue_failed(latest: DataFrame, now: str) -> DataFrame:
     )
 
 
+def requeue_batches(batches: DataFrame, asked: DataFrame) -> DataFrame:
+    """Batches after their runs (``asked``: run_id) were told to retry: those with failures queue again without them."""
+    mark = asked.select("run_id", F.lit(True).alias("_asked")).distinct()
+    again = F.coalesce("_asked", F.lit(False)) & F.col("status").isin("failed", "partial")
+    return batches.join(mark, "run_id", "left").withColumns({
+        "failed_files": F.when(again, F.lit(0).cast("bigint")).otherwise(F.col("failed_files")),
+        "status": F.when(again, "queued").otherwise(F.col("status")),
+    }).drop("_asked")
+
+
+def requeue_runs(runs: DataFrame, asked: DataFrame, now: str) -> DataFrame:
+    """Runs (status, failed_files, error, message, finished_at, updated_at) after those of ``asked`` were told to retry."""
+    mark = asked.select("run_id", F.lit(True).alias("_asked")).distinct()
+    again = F.coalesce("_asked", F.lit(False))
+    after = {
+        "failed_files": F.lit(0).cast("bigint"), "error": F.lit(None).cast("string"), "message": F.lit("Failed transfers queued for retry."),
+        "finished_at": F.lit(None).cast("string"), "updated_at": F.lit(now), "status": F.lit("queued"),
+    }
+    return runs.join(mark, "run_id", "left").withColumns({c: F.when(again, v).otherwise(F.col(c)) for c, v in after.items()}).drop("_asked")
+
+
 def requeue_counts(latest: DataFrame) -> DataFrame:
     return latest.groupBy("run_id").agg(F.count_if(F.col("status") == "failed").alias("requeued"))
 

@@ -50,6 +50,9 @@ CTE: dict[str, tuple[tuple[str, ...], str]] = {
     "v_page_items": (("v_raw",), """
         SELECT l_suppkey % 10 AS run_id, catalog, collection, source_item_id, l_linenumber AS page_number, l_partkey, l_suppkey, arrived_at
         FROM v_raw"""),
+    "v_search_pages": (("v_page_items",), """
+        SELECT *, (row_number() OVER (PARTITION BY run_id ORDER BY page_number, l_partkey, l_suppkey, arrived_at, source_item_id) - 1) // 100 + 1 AS page
+        FROM v_page_items"""),
     "v_item_assets": (("v_raw",), """
         SELECT *, count(*) OVER (PARTITION BY catalog, collection, source_item_id) AS n,
                row_number() OVER (PARTITION BY catalog, collection, source_item_id ORDER BY asset_key) - 1 AS position

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import geometry as geo
 from ..functions import progress as pg
 from ..functions import text
 from ..operators import audit, catalog, ingest, planning, runs
@@ -162,6 +163,27 @@ def p07(v: Views):
     return checked.select("c_custkey", F.array_join(F.transform("errors", lambda e: F.concat(e, F.lit(";"))), "").alias("errors"))
 
 
+@query("p07_long_wkt", """
+    SELECT c_custkey, c_custkey % 3 <> 0 AS valid FROM customer""")
+def p07_long(v: Views):
+    """Areas of many kinds, some of 10,000 points; every third is not closed, has a bad number or too few points."""
+    k = F.col("c_custkey")
+    points = F.transform(F.sequence(F.lit(1), F.when(k % 50 == 1, 10_000).otherwise(4 + k % 9)), lambda i: F.concat_ws(" ", i, i % 7))
+    open_ = F.array_join(points, ", ")
+    ring = F.concat(F.lit("("), open_, F.lit(", 1 1)"))
+    good = (
+        F.when(k % 5 == 0, F.concat(F.lit("POLYGON ("), ring, F.lit(" , "), ring, F.lit(")")))
+        .when(k % 5 == 1, F.concat(F.lit("MultiPolygon((("), open_, F.lit(",1 1)),("), ring, F.lit("))")))
+        .when(k % 5 == 2, F.concat(F.lit("MULTIPOINT ((+1 .5), ("), k, F.lit(" -2e1))")))
+        .when(k % 5 == 3, F.concat(F.lit("LINESTRING("), open_, F.lit(")"))).otherwise(F.concat(F.lit(" multipoint (1 2, "), k, F.lit(" 3.) ")))
+    )
+    bad = (
+        F.when(k % 5 == 0, F.concat(F.lit("POLYGON (("), open_, F.lit(", 1 2))"))).when(k % 5 == 1, F.lit("POLYGON ((0 0, 1 1))"))
+        .when(k % 5 == 2, F.concat(F.lit("POINT (1.2.3 "), k, F.lit(")"))).when(k % 5 == 3, F.lit("POINT EMPTY")).otherwise(F.concat(F.lit("POLYGON (("), open_))
+    )
+    return v.table("customer").select("c_custkey", geo.wkt_is_valid(F.when(k % 3 == 0, bad).otherwise(good)).alias("valid"))
+
+
 @query("e06_collection_discovery", """
     SELECT asset_id AS id, 'T' || c_custkey AS title, NULL::VARCHAR AS description, '2020-01-01' AS start_date, NULL::VARCHAR AS end_date
     FROM v_geo WHERE west <= 20 AND east >= -20 AND south <= 40 AND north >= -10 AND c_custkey % 9 <> 0""", "v_geo")
@@ -245,10 +267,9 @@ def a11(v: Views):
 @query("w05_search_checkpoint", """
     SELECT r.conv_id AS run_id, coalesce(max(page_number), 0) + 1 AS next_page, arg_max_null(outgoing_cursor, page_number) AS cursor,
            coalesce(arg_max_null(outgoing_cursor, page_number) IS NULL AND max(page_number) IS NOT NULL, false) AS complete
-    FROM (SELECT DISTINCT conv_id FROM conversations) r LEFT JOIN v_pages p ON p.run_id = r.conv_id AND p.page_number <= 3 GROUP BY 1""", "v_pages")
+    FROM (SELECT DISTINCT conv_id FROM conversations) r LEFT JOIN v_pages p ON p.run_id = r.conv_id GROUP BY 1""", "v_pages")
 def w05(v: Views):
-    pages = v.pages()
-    return ingest.search_checkpoints(pages.select("run_id").distinct(), pages.filter("page_number <= 3"))
+    return ingest.search_checkpoints(v.table("conversations").select(F.col("conv_id").alias("run_id")).distinct(), v.pages())
 
 
 # ---- attempts ----------------------------------------------------------------
@@ -261,23 +282,31 @@ def w09(v: Views):
 
 _COUNTS = """count(*) AS total_files, count(*) FILTER (status IN ('completed', 'skipped')) AS completed_files,
            count(*) FILTER (status = 'failed') AS failed_files"""
-_OUTCOME = """CASE WHEN failed_files > 0 AND completed_files > 0 THEN 'partial' WHEN failed_files > 0 THEN 'failed' ELSE 'completed' END"""
+_STATUS = """CASE WHEN bool_or(status = 'downloading') THEN 'downloading' WHEN bool_or(status = 'queued') THEN 'queued'
+           WHEN bool_or(status = 'failed') AND bool_or(status IN ('completed', 'skipped')) THEN 'partial' WHEN bool_or(status = 'failed') THEN 'failed' ELSE 'completed' END"""
 
 
 @query("a07_batch_status", f"""
-    SELECT run_id, batch_number, total_files, completed_files, failed_files, {_OUTCOME} AS status
-    FROM (SELECT run_id, batch_number, {_COUNTS} FROM v_latest GROUP BY run_id, batch_number)""", "v_latest")
+    SELECT run_id, batch_number, {_COUNTS}, {_STATUS} AS status FROM v_latest GROUP BY run_id, batch_number""", "v_latest")
 def a07(v: Views):
     return runs.batch_status(runs.latest_attempts(v.attempts()))
 
 
 @query("a08_run_status", f"""
-    SELECT run_id, total_files, completed_files, failed_files, {_OUTCOME} AS status
-    FROM (SELECT run_id, {_COUNTS} FROM v_latest GROUP BY run_id)""", "v_latest")
+    SELECT run_id, {_COUNTS}, {_STATUS} AS status FROM v_latest GROUP BY run_id""", "v_latest")
 def a08(v: Views):
     return runs.run_status(runs.latest_attempts(v.attempts()))
 
 
+@query("a07_in_flight", f"""
+    SELECT run_id, {_COUNTS}, {_STATUS} AS status FROM (SELECT run_id, CASE WHEN status = 'failed' THEN 'queued' ELSE status END AS status FROM v_latest) GROUP BY run_id""", "v_latest")
+def a07_in_flight(v: Views):
+    """Status of runs right after their failed attempts were queued again: no run with such an attempt is done."""
+    latest = runs.latest_attempts(v.attempts()).withColumn("error", F.lit("x"))
+    events = latest.unionByName(runs.requeue_failed(latest, "2100-01-01T00:00:00Z"))
+    return runs.run_status(runs.latest_attempts(events))
+
+
 @query("a09_run_progress", f"""
     SELECT r.c_custkey AS run_id, CASE WHEN c_custkey % 2 = 0 THEN 'completed' ELSE 'queued' END AS status, coalesce(total_files, 0) AS total_files,
            coalesce(completed_files, 0) AS completed_files, coalesce(failed_files, 0) AS failed_files,
@@ -361,6 +390,28 @@ def u08(v: Views):
     return runs.requeue_failed(latest, "2024-01-02T00:00:00Z").select("attempt_id", "status", "seq")
 
 
+@query("u08_requeue_batches", f"""
+    SELECT run_id, batch_number, CASE WHEN run_id % 2 = 0 AND status IN ('failed', 'partial') THEN 0 ELSE failed_files END AS failed_files,
+           CASE WHEN run_id % 2 = 0 AND status IN ('failed', 'partial') THEN 'queued' ELSE status END AS status
+    FROM (SELECT run_id, batch_number, {_COUNTS}, {_STATUS} AS status FROM v_latest GROUP BY run_id, batch_number)""", "v_latest")
+def u08_batches(v: Views):
+    batches = runs.batch_status(runs.latest_attempts(v.attempts()))
+    asked = v.attempts().filter("run_id % 2 = 0").select("run_id")
+    return runs.requeue_batches(batches, asked).select("run_id", "batch_number", "failed_files", "status")
+
+
+@query("u08_requeue_runs", f"""
+    SELECT run_id, CASE WHEN f > 0 THEN 0 ELSE f END AS failed_files, CASE WHEN f > 0 THEN 'queued' ELSE status END AS status,
+           CASE WHEN f > 0 THEN NULL ELSE 'e' END AS error, CASE WHEN f > 0 THEN 'Failed transfers queued for retry.' ELSE 'm' END AS message,
+           CASE WHEN f > 0 THEN NULL ELSE 't0' END AS finished_at, CASE WHEN f > 0 THEN 't1' ELSE 't0' END AS updated_at
+    FROM (SELECT run_id, count(*) FILTER (status = 'failed') AS f, {_STATUS} AS status FROM v_latest GROUP BY run_id)""", "v_latest")
+def u08_runs(v: Views):
+    latest = runs.latest_attempts(v.attempts())
+    rows = runs.run_status(latest).withColumns({"error": F.lit("e"), "message": F.lit("m"), "finished_at": F.lit("t0"), "updated_at": F.lit("t0")})
+    again = runs.requeue_runs(rows, runs.requeue_counts(latest).filter("requeued > 0"), "t1")
+    return again.select("run_id", "failed_files", "status", "error", "message", "finished_at", "updated_at")
+
+
 @query("u08_requeue_counts", """
     SELECT run_id, count(*) FILTER (status = 'failed') AS requeued FROM v_latest GROUP BY run_id""", "v_latest")
 def u08_counts(v: Views):
@@ -462,7 +513,7 @@ def u09_runs(v: Views):
 
 
 @query("s04_search_page_roundtrip", """
-    SELECT run_id, page_number, source_item_id AS id, collection, count(*) AS sightings FROM v_page_items GROUP BY ALL""", "v_page_items")
+    SELECT run_id, page AS page_number, source_item_id AS id, collection, count(*) AS sightings FROM v_search_pages GROUP BY ALL""", "v_search_pages")
 def s04(v: Views):
     path = f"{scratch_dir(v.spark)}/{uuid.uuid4().hex}"
     pages.write_pages(_landed(v), path)
@@ -471,9 +522,12 @@ def s04(v: Views):
 
 
 def _landed(v: Views):
-    """Page items in the shape that pages are written in."""
-    return v.page_items().select(
-        "run_id", "page_number", F.col("source_item_id").alias("id"), "collection", F.col("l_partkey").alias("position"),
+    """Page items in the shape that pages are written in, in pages of 100."""
+    order = [*SIGHTING_ORDER, "source_item_id"]
+    items = v.page_items().withColumnRenamed("page_number", "line").drop("catalog")
+    cut = ingest.slice_pages(items, ["run_id"], ["line" if c == "page_number" else c for c in order], 100)
+    return cut.select(
+        "run_id", "page_number", F.col("source_item_id").alias("id"), "collection", (F.col("line") * 1000000 + F.col("l_partkey")).cast("bigint").alias("position"),
         F.create_map(F.lit("B04"), F.struct(F.lit("u").alias("href"), F.array(F.lit("data")).alias("roles"))).alias("assets"),
     )
 
@@ -481,13 +535,23 @@ def _landed(v: Views):
 @query("t01_page_ingest_stream", """
     SELECT DISTINCT run_id, collection, source_item_id FROM v_page_items""", "v_page_items")
 def t01(v: Views):
-    """Pages land, a stream reads them a few files at a time and keeps each item of a run once (T01, T02)."""
+    """Pages land, a stream reads them a few files at a time and keeps each item of a run once."""
+    return _streamed(v).select("run_id", "collection", "source_item_id")
+
+
+@query("t02_first_page_wins", """
+    SELECT run_id, collection, source_item_id, min(page) AS page_number FROM v_search_pages GROUP BY ALL""", "v_search_pages")
+def t02(v: Views):
+    """The same stream, with the page that each item was first seen on."""
+    return _streamed(v).select("run_id", "collection", "source_item_id", "page_number")
+
+
+def _streamed(v: Views):
     home = f"{scratch_dir(v.spark)}/{uuid.uuid4().hex}"
     pages.write_pages(_landed(v), f"{home}/pages")
-    stream = pages.stream_pages(v.spark, f"{home}/pages", 40)
+    stream = pages.stream_pages(v.spark, f"{home}/pages", 200)
     ingest_stream.ingest_pages(stream, "nasa", f"{home}/items", f"{home}/checkpoint").awaitTermination()
-    found = v.spark.read.parquet(f"{home}/items")
-    return found.select(F.col("run_id").cast("bigint").alias("run_id"), "collection", "source_item_id")
+    return ingest_stream.read_items(v.spark, f"{home}/items").withColumn("run_id", F.col("run_id").cast("bigint"))
 
 
 @query("t03_stream_register", """

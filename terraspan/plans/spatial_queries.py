@@ -85,6 +85,37 @@ def f05(v: Views):
     )
 
 
+@query("f05_malformed", """
+    SELECT c_custkey, CASE WHEN c_custkey % 4 = 3 THEN NULL ELSE 'Polygon' END AS geometry_type,
+           CASE c_custkey % 4 WHEN 0 THEN west WHEN 1 THEN west - 1 WHEN 2 THEN west - 1 END AS min_x FROM v_geo""", "v_geo")
+def f05_malformed(v: Views):
+    """One good ring beside a bad one; a bad ring, half a point, and a bad box."""
+    w, s, e, n = (F.col(c).cast("string") for c in ("west", "south", "east", "north"))
+    kind = F.col("c_custkey") % 4
+    one = F.concat_ws(" ", s, w, s, e, n, e, n, w)
+    broken, half = F.concat_ws(" ", s, w, s, F.lit("1.2.3"), n, e, n, w), F.concat_ws(" ", s, w, s, e, n, e, n, w, s)
+    polygons = F.when(kind == 0, F.array(F.array(broken), F.array(one))).when(kind == 2, F.array(F.array(half))).otherwise(F.array(F.array(broken)))
+    box = F.when(kind == 3, "1 x 3 4").otherwise(F.concat_ws(" ", s, (F.col("west") - 1).cast("string"), n, e))
+    rings = geo.cmr_rings(polygons, F.array(box))
+    return v.geo().select("c_custkey", rings.alias("rings")).select(
+        "c_custkey", geo.rings_geometry(F.col("rings"))["type"].alias("geometry_type"), geo.rings_envelope(F.col("rings"))[0].alias("min_x"),
+    )
+
+
+@query("f06_wkt_forms", """
+    SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 0.5 WHEN 1 THEN c_custkey ELSE -0.25 END::DOUBLE AS minx,
+           CASE c_custkey % 3 WHEN 0 THEN c_custkey WHEN 1 THEN -20 ELSE 1 END::DOUBLE AS miny FROM customer""")
+def f06_forms(v: Views):
+    """Numbers without a digit before the point, with a plus sign, with an exponent."""
+    k = F.col("c_custkey")
+    wkt = (
+        F.when(k % 3 == 0, F.concat(F.lit("POINT (.5 "), k, F.lit(")"))).when(k % 3 == 1, F.concat(F.lit("POINT(+"), k, F.lit(" -2.E1)")))
+        .otherwise(F.concat(F.lit("MULTIPOINT ((-.25 1), ("), k, F.lit(". +7e0))")))
+    )
+    b = geo.wkt_bounds(wkt)
+    return v.table("customer").select("c_custkey", b[0].alias("minx"), b[1].alias("miny"))
+
+
 @query("f06_wkt_bounds", "SELECT asset_id, west AS minx, south AS miny, east AS maxx, north AS maxy FROM v_geo", "v_geo")
 def f06(v: Views):
     b = geo.wkt_bounds(_wkt())
@@ -272,6 +303,16 @@ def a17_wide(v: Views):
     return _rounded_bounds(v.pixels().withColumn("value", F.col("value").cast("double") / 7))
 
 
+@query("a17_nonfinite", """
+    SELECT asset_id, round(quantile_cont(value, 0.02), 6) AS low, round(quantile_cont(value, 0.98), 6) AS high
+    FROM (SELECT asset_id, CAST(value AS DOUBLE) AS value FROM v_pixels WHERE valid AND ("row" * 8 + col) % 9 > 2) GROUP BY asset_id""", "v_pixels")
+def a17_nonfinite(v: Views):
+    """A third of the pixels is infinite, minus infinite or not a number."""
+    kind = (F.col("row") * 8 + F.col("col")) % 9
+    odd = F.when(kind == 0, float("inf")).when(kind == 1, float("-inf")).when(kind == 2, float("nan"))
+    return _rounded_bounds(v.pixels().withColumn("value", F.coalesce(odd, F.col("value").cast("double")))).filter("low <> 0 OR high <> 1")
+
+
 @query("a18_valid_pixel_stats", """
     SELECT asset_id, count(*) FILTER (valid) AS valid_pixels, bool_or(valid) AS any_valid, count(*) FILTER (valid) * 900.0::DOUBLE AS coverage_area
     FROM v_pixels GROUP BY asset_id""", "v_pixels")
@@ -369,3 +410,17 @@ def f29(v: Views):
     SELECT asset_id, "row" // 2 AS "row", col // 2 AS col, value, valid FROM v_pixels WHERE "row" % 2 = 1 AND col % 2 = 1""", "v_pixels")
 def f29_nearest(v: Views):
     return raster.downsample_nearest(v.pixels(), 8, 8, 4)
+
+
+@query("f29_nearest_5_of_8", """
+    SELECT asset_id, t AS "row", u AS col, value, valid FROM v_pixels JOIN (SELECT unnest(range(5)) AS t) r ON "row" = floor((t + 0.5) * 8 / 5)
+    JOIN (SELECT unnest(range(5)) AS u) c ON col = floor((u + 0.5) * 8 / 5)""", "v_pixels")
+def f29_nearest_5(v: Views):
+    return raster.downsample_nearest(v.pixels(), 8, 8, 5)
+
+
+@query("f29_nearest_7_of_8", """
+    SELECT asset_id, t AS "row", u AS col, value, valid FROM v_pixels JOIN (SELECT unnest(range(7)) AS t) r ON "row" = floor((t + 0.5) * 8 / 7)
+    JOIN (SELECT unnest(range(7)) AS u) c ON col = floor((u + 0.5) * 8 / 7)""", "v_pixels")
+def f29_nearest_7(v: Views):
+    return raster.downsample_nearest(v.pixels(), 8, 8, 7)

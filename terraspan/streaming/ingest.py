@@ -2,22 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import registry
+from ..operators import ingest, registry
 from ..sources.registry_store import RegistryStore
 
-ITEM_KEY = ["run_id", "catalog", "collection", "source_item_id"]
-
-
-def unique_items(items: DataFrame) -> DataFrame:
-    """Items of a stream once per run. The state holds one key per item of the runs in the stream;
-    a run is finite, so keep finished runs out of the input folder or use one query per run."""
-    return items.dropDuplicates(ITEM_KEY)
-
-
 def page_items(pages: DataFrame, catalog: str) -> DataFrame:
     """Stream of page items in the shape of discovered items."""
     return pages.select(
@@ -28,13 +19,25 @@ def page_items(pages: DataFrame, catalog: str) -> DataFrame:
 
 
 def ingest_pages(pages: DataFrame, catalog: str, path: str, checkpoint: str) -> StreamingQuery:
-    """Append the items of landed pages, once each. After a stop the query goes on with the pages not yet read."""
+    """Append the items of landed pages to a log. After a stop the query goes on with the pages not yet read.
+
+    Each micro-batch keeps the earliest sighting of an item and writes one folder, which a
+    replay writes again. The stream itself has no state that grows with the runs.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        ingest.discover_items(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
     return (
-        unique_items(page_items(pages, catalog)).writeStream.format("parquet").option("checkpointLocation", checkpoint)
-        .option("path", path).outputMode("append").trigger(availableNow=True).start()
+        page_items(pages, catalog).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
+def read_items(spark: SparkSession, path: str) -> DataFrame:
+    """Items of the log, each in its earliest sighting, whatever micro-batch it came with."""
+    return ingest.discover_items(spark.read.parquet(path)).drop("batch")
+
+
 def register_stream(deliveries: DataFrame, store: RegistryStore, checkpoint: str) -> StreamingQuery:
     """Upsert the registries with each micro-batch of delivered files.
 
@@ -43,8 +46,12 @@ def register_stream(deliveries: DataFrame, store: RegistryStore, checkpoint: str
     """
 
     def write(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            store.merge(registry.register(batch))
+        batch = batch.persist()  # read by several writes
+        try:
+            if not batch.isEmpty():
+                store.merge(registry.register(batch))
+        finally:
+            batch.unpersist()
 
     return (
         deliveries.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

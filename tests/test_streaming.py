@@ -15,10 +15,10 @@ def test_page_stream_resumes_and_deduplicates(spark, tmp_path):
     pages.write_pages(page_rows(spark).filter("page_number = 1"), landed)
     stream = lambda: ingest.ingest_pages(pages.stream_pages(spark, landed, 1), "nasa", out, check)
     stream().awaitTermination()
-    assert [r["source_item_id"] for r in spark.read.parquet(out).collect()] == ["i1"]
+    assert [r["source_item_id"] for r in ingest.read_items(spark, out).collect()] == ["i1"]
     pages.write_pages(page_rows(spark).filter("page_number = 2"), landed)
     stream().awaitTermination()
-    assert sorted((r["source_item_id"], r["page_number"]) for r in spark.read.parquet(out).collect()) == [("i1", 1), ("i2", 2)]
+    assert sorted((r["source_item_id"], r["page_number"]) for r in ingest.read_items(spark, out).collect()) == [("i1", 1), ("i2", 2)]
 
 
 def test_register_stream_equals_batch(spark, tmp_path):
