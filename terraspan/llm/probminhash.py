@@ -7,11 +7,12 @@ next arrival comes after the last register was first hit. Two texts agree in a r
 with the probability Jaccard similarity of their weighted shingles.
 
 Registers are banded; texts that agree in a band share a bucket. Exact copies are folded
-first. In every bucket one text is the centre, all others are verified against it on
-their shingles themselves, and the verified pairs are joined to components. Buckets whose
-texts then still belong to several components get further centres, until each is settled:
-no link between different texts of a bucket is lost, and texts already known to belong
-together are not compared again.
+first. In every bucket the text with the smallest id, and in some a drawn one, meets all
+others; pairs are verified on the shingles themselves and joined to components. In most
+buckets all texts then belong together. In each of the others the texts outside the largest
+component are compared exactly with all texts of other components, in blocks of bounded
+size inside the tasks, so that no link between different texts of a bucket is lost; a block
+returns only the links that join components, never its pairs.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from .words import LOWER, window_hashes, word_bounds, word_hashes
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 36, 6  # a pair at 0.8 shares no band with a chance of 2e-5
-CENTRES = 16  # centres of a bucket in the second round; four times as many in each later one
+BLOCK_TEXTS = 1000  # texts on one side of a block of an unsettled bucket
 # A pair goes on to its texts when this share of its registers agrees; one at 0.8 falls short with a chance of 2e-7.
 PROMISING = 0.66
 
@@ -168,13 +169,12 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per distinct id: doc_id, class_id (the smallest id of its class) and n_links.
+    """One row per distinct id: doc_id and class_id, the smallest id of its class.
 
     Classes are the components of all pairs of a similarity of at least SIMILARITY that
-    share a band; exact copies (equal word sequences) always belong together. n_links
-    counts the verified links that joined the text's own copies to other texts, not all
-    similar pairs. Texts without words are alone, as are texts unlike all others. Rows
-    without id are left out; of rows that repeat an id the smallest text counts.
+    share a band; exact copies (equal word sequences) always belong together. Texts without
+    words are alone, as are texts unlike all others. Rows without id are left out; of rows
+    that repeat an id the smallest text counts.
     """
     named = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("_id"), F.col(text).alias("_text"))
     sketched = materialize(annotate(named, "_text", _FIELDS, lambda: _sketch_kernel).drop("_text"))
@@ -189,44 +189,132 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     registers = sketched.select("_id", "_copy", "_registers").join(firsts, "_copy").filter("_id = _first").select("_id", "_registers")
     texts = named.join(involved, "_id", "left_semi").groupBy("_id").agg(F.min("_text").alias("_text"))
     texts = materialize(texts.join(registers.dropDuplicates(["_id"]), "_id"))
-    compared = materialize(buckets.filter("_id > _centre").select(F.col("_id").alias("u"), F.col("_centre").alias("v")).distinct())
-    edges = materialize(_verified(compared, texts))
+    edges = materialize(_verified(_first_pairs(buckets), texts))
     roots = contract(edges)
-    open_ = materialize(_unsettled(buckets.filter("_id > _centre").select("_key", "_id"), roots))
-    centres = CENTRES
-    while not open_.isEmpty():
-        pairs = materialize(_across(open_, compared, centres))
-        linked = materialize(_verified(pairs, texts))
-        open_ = open_.filter(F.col("_rank") > centres).select("_key", "_id")
-        if not linked.isEmpty():
-            edges = edges.unionByName(linked)
-            roots = contract(edges)
-        compared = compared.unionByName(pairs)
-        open_ = materialize(_unsettled(open_, roots))
-        centres *= 4
-    links = edges.select(F.explode(F.array("u", "v")).alias("_first")).groupBy("_first").agg(F.count(F.lit(1)).alias("n_links"))
-    classes = firsts.join(roots.select(F.col("u").alias("_first"), F.col("v").alias("_root")), "_first", "left").join(links, "_first", "left")
-    classes = materialize(classes.select("_copy", F.coalesce("_root", "_first").alias("_class"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    return members.join(classes, "_copy", "left").select(
-        F.col("_id").alias("doc_id"), F.coalesce("_class", "_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")
-    )
+    open_ = materialize(_unsettled(buckets.select("_key", "_id"), roots))
+    more = materialize(_compared(open_, texts))
+    roots = contract(edges.unionByName(more))
+    named_roots = roots.select(F.col("u").alias("_first"), F.col("v").alias("_root"))
+    classes = firsts.join(named_roots, "_first", "left").select("_copy", F.coalesce("_root", "_first").alias("_class"))
+    return members.join(classes, "_copy", "left").select(F.col("_id").alias("doc_id"), F.coalesce("_class", "_id").alias("class_id"))
+
+
+def _first_pairs(buckets: DataFrame) -> DataFrame:
+    """Each text with the smallest id of each of its buckets and, in one bucket of five, with one drawn by a hash."""
+    fixed = buckets.select("_id", "_centre")
+    some = buckets.filter(F.pmod("_key", F.lit(5)) == 0)
+    drawn = some.groupBy("_key").agg(F.min_by("_id", F.struct(F.xxhash64("_key", "_id"), "_id")).alias("_centre"))
+    drawn = some.select("_key", "_id").join(drawn, "_key").select("_id", "_centre")
+    pairs = fixed.unionByName(drawn).filter("_id <> _centre")
+    return pairs.select(F.greatest("_id", "_centre").alias("u"), F.least("_id", "_centre").alias("v")).distinct()
 
 
 def _unsettled(open_: DataFrame, roots: DataFrame) -> DataFrame:
-    """Bucket rows with their component, of buckets that still hold more than one; ranked by a hash per bucket."""
-    named = open_.select("_key", "_id").join(roots.select(F.col("u").alias("_id"), F.col("v").alias("_root")), "_id", "left")
+    """Bucket rows with their component, whether it is the largest of the bucket, and the numbers of blocks.
+
+    Only buckets that hold more than one component are left.
+    """
+    named = open_.join(roots.select(F.col("u").alias("_id"), F.col("v").alias("_root")), "_id", "left")
     named = named.withColumn("_root", F.coalesce("_root", "_id"))
-    mixed = named.groupBy("_key").agg(F.min("_root").alias("_low"), F.max("_root").alias("_high")).filter("_low < _high")
-    rank = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64("_key", "_id"), "_id"))
-    return named.join(mixed.select("_key"), "_key").withColumn("_rank", rank)
+    sizes = named.groupBy("_key", "_root").agg(F.count(F.lit(1)).alias("_n"))
+    facts = sizes.groupBy("_key").agg(
+        F.count(F.lit(1)).alias("_parts"), F.sum("_n").alias("_all"), F.max(F.struct("_n", "_root")).alias("_most"),
+    ).filter("_parts > 1")
+    blocks = facts.select(
+        "_key", F.col("_most")["_root"].alias("_major"), F.ceil((F.col("_all") - F.col("_most")["_n"]) / BLOCK_TEXTS).cast("int").alias("_outside"),
+        F.ceil(F.col("_all") / BLOCK_TEXTS).cast("int").alias("_inside"),
+    )
+    return named.join(blocks, "_key").select("_key", "_id", "_root", (F.col("_root") != F.col("_major")).alias("_outer"), "_outside", "_inside")
 
 
-def _across(open_: DataFrame, compared: DataFrame, count: int) -> DataFrame:
-    """Pairs of the next centres of each bucket with its texts of other components, not compared before."""
-    centres = open_.filter(F.col("_rank") <= count).select("_key", F.col("_id").alias("_c"), F.col("_root").alias("_c_root"), F.col("_rank").alias("_c_rank"))
-    met = open_.join(centres, "_key").filter((F.col("_c_rank") < F.col("_rank")) & (F.col("_root") != F.col("_c_root")))
-    pairs = met.select(F.greatest("_id", "_c").alias("u"), F.least("_id", "_c").alias("v")).distinct()
-    return pairs.join(compared, ["u", "v"], "left_anti")
+def _compared(open_: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (u, v) between components of unsettled buckets."""
+    spread = F.xxhash64("_id")
+    outer = open_.filter("_outer").select(
+        "_key", "_id", "_root", F.lit(True).alias("_left"), F.pmod(spread, F.col("_outside")).cast("int").alias("_i"),
+        F.explode(F.sequence(F.lit(0), F.col("_inside") - 1)).alias("_j"),
+    )
+    whole = open_.select(
+        "_key", "_id", "_root", F.lit(False).alias("_left"), F.explode(F.sequence(F.lit(0), F.col("_outside") - 1)).alias("_i"),
+        F.pmod(spread, F.col("_inside")).cast("int").alias("_j"),
+    ).select(*outer.columns)
+    rows = outer.unionByName(whole)
+    blocks = ["_key", "_i", "_j"]
+    sketches = rows.join(texts.select("_id", "_registers"), "_id").select(*rows.columns, "_registers")
+    # only texts with a promising partner in their block fetch their words
+    hopeful = materialize(sketches.groupBy(*blocks).applyInArrow(_hopeful, sketches.schema))
+    worded = hopeful.join(texts.select("_id", "_text"), "_id").select(*sketches.columns, "_text")
+    return worded.groupBy(*blocks).applyInArrow(_compare_block, "u bigint, v bigint").distinct()
+
+
+def _promising_pairs(block: pa.Table) -> np.ndarray:
+    """Row pairs (left, right) of a block with different components whose registers agree often enough."""
+    roots = block.column("_root").to_numpy()
+    left = block.column("_left").to_numpy(zero_copy_only=False)
+    a, b = np.flatnonzero(left), np.flatnonzero(~left)
+    registers = np.frombuffer(b"".join(block.column("_registers").to_pylist()), np.uint16).reshape(-1, BANDS * ROWS)
+    pairs = [np.zeros((0, 2), np.int64)]
+    step = max(1, 16_000_000 // (BANDS * ROWS * max(1, len(b))))
+    for at in range(0, len(a), step):
+        rows = a[at : at + step]
+        share = (registers[rows, None] == registers[None, b]).mean(axis=2)
+        i, j = np.nonzero((share >= PROMISING) & (roots[rows, None] != roots[None, b]))
+        pairs.append(np.column_stack([rows[i], b[j]]))
+    return np.concatenate(pairs)
+
+
+def _hopeful(block: pa.Table) -> pa.Table:
+    return block.take(pa.array(np.unique(_promising_pairs(block))))
+
+
+def _compare_block(block: pa.Table) -> pa.Table:
+    """Links between the components of the left and the right texts of a block, one for each join."""
+    ids, roots = block.column("_id").to_numpy(), block.column("_root").to_numpy()
+    pairs = _promising_pairs(block)
+    raws = [(t or "").encode() for t in block.column("_text").to_pylist()]
+    _, shingle, weight, bounds, _ = _shingles(raws)
+    links, parent = [], {int(r): int(r) for r in roots}
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in pairs[_similar(shingle, weight, bounds, pairs[:, 0], pairs[:, 1])].tolist():
+        one, other = find(int(roots[i])), find(int(roots[j]))
+        if one != other:
+            parent[max(one, other)] = min(one, other)
+            links.append(sorted((int(ids[i]), int(ids[j])), reverse=True))
+    u, v = zip(*links) if links else ((), ())
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
+def _similar(shingle: np.ndarray, weight: np.ndarray, bounds: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the texts x[k] and y[k] are similar enough, exactly.
+
+    Where no shingle of either repeats, the similarity is the plain ratio of common shingles,
+    counted for all texts at once by products of incidence matrices, some columns at a time.
+    """
+    n = len(bounds) - 1
+    sizes = np.diff(bounds)
+    single = np.array([(weight[bounds[i] : bounds[i + 1]] == 1).all() for i in range(n)])
+    _, column, counts = np.unique(shingle, return_inverse=True, return_counts=True)
+    shared = counts[column] > 1
+    rank = (np.cumsum(counts > 1) - 1)[column[shared]]
+    owner = np.repeat(np.arange(n), sizes)[shared]
+    common = np.zeros((n, n), np.float32)
+    width = max(256, 8_000_000 // max(n, 1))
+    for at in range(0, int(rank.max(initial=-1)) + 1, width):
+        inside = (rank >= at) & (rank < at + width)
+        part = np.zeros((n, min(width, int(rank.max()) + 1 - at)), np.float32)
+        part[owner[inside], rank[inside] - at] = 1
+        common += part @ part.T
+    both = common[x, y].astype(np.float64)
+    out = both >= SIMILARITY * (sizes[x] + sizes[y] - both) - 1e-9
+    for k in np.flatnonzero(~(single[x] & single[y])).tolist():
+        i, j = slice(bounds[x[k]], bounds[x[k] + 1]), slice(bounds[y[k]], bounds[y[k] + 1])
+        out[k] = probability_jaccard(shingle[i], weight[i], shingle[j], weight[j]) >= SIMILARITY
+    return out
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
