@@ -16,6 +16,8 @@ def registered_paths(assets: DataFrame) -> DataFrame:
 def source_files(files: DataFrame) -> DataFrame:
     """Payload paths of the source layer: no sidecars, no partial transfers, no junk."""
     name = F.substring_index("path", "/", -1)
+    if "kind" in files.columns:
+        files = files.filter("kind = 'file'")
     return files.filter(
         F.col("path").startswith("source/") & text.is_payload_file(F.col("path")) & ~text.is_junk_file(name)
     ).select("path").distinct()

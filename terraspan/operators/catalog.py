@@ -60,7 +60,13 @@ def registry_page(df: DataFrame, table: str, offset: int = 0, limit: int = 100,
     if query:
         df = search_rows(df, query)
     newest = F.coalesce(F.col(REGISTRY_ORDER[table]), F.lit("")).desc()
-    return ordering.page(df, [newest, F.col(REGISTRY_KEY[table])], offset, limit)
+    return ordering.page(df, [newest], REGISTRY_KEY[table], offset, limit)
+
+
+def page_summary(df: DataFrame, query: str | None = None) -> DataFrame:
+    """What goes with a page of a registry: the number of rows that it pages through, and their columns."""
+    rows = search_rows(df, query) if query else df
+    return rows.agg(F.count(F.lit(1)).alias("total")).withColumn("columns", F.array(*[F.lit(c) for c in df.columns]))
 
 
 def product_rollup(products: DataFrame, assets: DataFrame, variables: DataFrame) -> DataFrame:

@@ -115,7 +115,7 @@ def discovered_counts(sightings: DataFrame) -> DataFrame:
 
 def limit_items(items: DataFrame, max_items: int, order: Sequence[str] = ("page_number", "position")) -> DataFrame:
     """At most ``max_items`` of the deduplicated items of each run, in discovery order."""
-    return ordering.first_n_per_key(items, ["run_id"], order, max_items)
+    return ordering.first_n_per_key(items, ["run_id"], order, ITEM_KEY, max_items)
 
 
 def search_checkpoints(runs: DataFrame, pages: DataFrame) -> DataFrame:
@@ -186,16 +186,13 @@ def number_link_keys(links: DataFrame, group: Sequence[str], order: Sequence[str
     """:func:`unique_keys` over rows (key, href) instead of arrays, for groups of any size.
 
     The n-th link of a key gets the suffix ``_n``. Only groups in which such a name
-    equals a key that is there anyway need the sequential rule; they are rare and
-    are replayed link by link.
+    equals a key that is there anyway need the sequential rule; they are replayed link by
+    link. A replayed group is the link list of one scene, which came in one document.
     """
     numbered = ordering.number_rows(links, [*group, "key"], order, "_n")
     suffixed = F.concat_ws("_", "key", F.col("_n").cast("string"))
     named = F.when(F.col("_n") == 1, F.col("key")).otherwise(suffixed)
     suspects = numbered.filter((F.col("_n") == 1) & F.col("key").rlike("_[0-9]+$")).select(*group, "key")
-    if suspects.isEmpty():
-        # no key looks like a made-up one: nothing can clash
-        return numbered.select(*group, named.alias("key"), "href")
     made = numbered.filter("_n > 1").select(*group, suffixed.alias("key"))
     clashing = made.join(suspects, [*group, "key"], "left_semi").select(*group).distinct()
     plain = numbered.join(clashing, list(group), "left_anti").withColumn("key", named)

@@ -72,16 +72,22 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
-def first_n_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
-    """First ``n`` rows per key in ascending ``order``, exact for every ``n``."""
+def first_n_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], unique: Sequence[str], n: int) -> DataFrame:
+    """First ``n`` rows per key in ascending ``order``, exact for every ``n``.
+
+    ``unique`` names the columns that tell rows of a key apart; they end the order, so that
+    both ways to find the rows give the same ones.
+    """
+    order = [*order, *[c for c in unique if c not in order]]
     if n > GROUP_LIMIT:
         return number_rows(df, keys, order, "_rank").filter(F.col("_rank") <= n).drop("_rank")
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
 
 
-def page(df: DataFrame, order: Sequence[Column], offset: int, limit: int) -> DataFrame:
-    """Rows ``offset`` to ``offset + limit`` of the ordered table."""
+def page(df: DataFrame, order: Sequence[Column], unique: str, offset: int, limit: int) -> DataFrame:
+    """Rows ``offset`` to ``offset + limit`` of the ordered table; the column ``unique`` ends the order."""
+    order = [*order, F.col(unique)]
     if offset <= DEEP_OFFSET:
         return df.orderBy(*order).offset(offset).limit(limit)
     window = (F.col("_rank") > offset) & (F.col("_rank") <= offset + limit)

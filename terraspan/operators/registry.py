@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,10 +15,6 @@ from ..profiles import profile_bands, profiles, source_info
 from ..schemas import REGISTRY, REGISTRY_KEY, registry_schema
 from ..session import materialize
 
-# Ids per digest bucket up to which the text of a run is joined whole.
-BUCKET_IDS = 32
-BUCKET_HEX = 4
-
 
 def conform(df: DataFrame, table: str) -> DataFrame:
     """Declared columns in the declared order and type; absent ones become null, others are dropped."""
@@ -222,12 +220,14 @@ def drop_stale_grids(grids: DataFrame, assets: DataFrame) -> DataFrame:
 
 
 def reindex(
-    assets: DataFrame, files: DataFrame, sidecars: DataFrame, collections: DataFrame, now: str
+    assets: DataFrame, products: DataFrame, files: DataFrame, sidecars: DataFrame, collections: DataFrame, now: str
 ) -> DataFrame:
     """Deliveries rebuilt from registered assets whose file exists, their sidecar item and collection record.
 
-    ``files``: path, byte_size, checksum_sha256, raster. ``sidecars``: parent, item.
-    ``collections``: collection, collection_metadata.
+    ``files``: path, byte_size, checksum_sha256, raster. ``sidecars``: parent, item; a null
+    item (a broken document) counts as none. ``collections``: collection,
+    collection_metadata. An asset without a sidecar keeps the collection its product was
+    registered with, and thereby its id.
     """
     base = assets.select(
         "asset_id", "product_id", "source_item_id", "asset_key", "source_url", "local_path", "status", "run_id",
@@ -237,11 +237,13 @@ def reindex(
     joined = base.join(facts, "local_path").withColumn(
         "parent", F.regexp_replace("local_path", r"/[^/]*$", "")
     ).join(sidecars, "parent", "left")
+    named = products.select("product_id", F.col("collection_id").alias("_collection"))
+    joined = joined.join(named, "product_id", "left")
     item = F.col("item")
     rows = joined.select(
         text.first_truthy(F.col("run_id"), F.lit("reindex")).alias("run_id"),
         text.source_catalog(F.col("local_path")).alias("catalog"),
-        text.first_truthy(item["collection"], F.col("product_id")).alias("collection"),
+        text.first_truthy(item["collection"], F.coalesce("_collection", "product_id")).alias("collection"),
         F.when(item.isNull(), F.col("source_item_id")).otherwise(text.first_truthy(item["id"], F.lit("unknown"))).alias("item_id"),
         "asset_key", "source_url", "local_path", "byte_size", "checksum_sha256",
         F.when(item.isNull(), F.col("_datetime")).otherwise(item["properties"]["datetime"]).alias("datetime"),
@@ -251,6 +253,15 @@ def reindex(
     return rows.join(collections, "collection", "left")
 
 
+def rebuild(
+    registries: dict[str, DataFrame], files: DataFrame, sidecars: DataFrame, collections: DataFrame, now: str
+) -> dict[str, DataFrame]:
+    """The registries after a full reindex: deliveries rebuilt, registered and merged, stale grids dropped."""
+    rows = reindex(registries["assets"], registries["products"], files, sidecars, collections, now)
+    merged = {**registries, **merge_registries(registries, register(rows))}
+    return {**merged, "grids": drop_stale_grids(merged["grids"], merged["assets"])}
+
+
 # ---- processing runs -------------------------------------------------------
 
 
@@ -266,69 +277,54 @@ def run_outputs(assets: DataFrame) -> DataFrame:
 
 
 def run_digests(assets: DataFrame) -> DataFrame:
-    """Per run: number of distinct outputs and the digest of their sorted ids.
+    """Per run: number of distinct outputs and SHA-256 of their sorted, newline-joined ids.
 
-    Ids are hex digests, so their first digits spread the ids of one run evenly
-    over buckets that are already in sort order; no task sees a whole large run.
-    Up to about 1.5 million ids the digest is SHA-256 of the newline-joined ids
-    (``checksum_kind`` ``sha256``). Beyond that one text would not fit a row, and
-    the digest is SHA-256 of the newline-joined bucket digests (``sha256-tree``).
+    A digest is one chain over all ids of its run, so a run is one stream: its ids are
+    sorted (with spilling, if need be) and fed to the hash one batch after another in
+    constant memory, 65 bytes for an id. The definition is the same for runs of any size.
     """
-    buckets = (
-        assets.groupBy("run_id", F.substring("asset_id", 1, BUCKET_HEX).alias("_bucket"))
-        .agg(F.sort_array(F.collect_set("asset_id")).alias("_ids"))
-        .select(
-            "run_id", "_bucket", F.size("_ids").cast("bigint").alias("_n"),
-            F.array_join("_ids", "\n").alias("_text"),
-        )
-        .withColumn("_digest", F.when(F.col("_n") > BUCKET_IDS, F.sha2("_text", 256)))
-        .withColumn("_small", F.when(F.col("_n") <= BUCKET_IDS, F.col("_text")))
-    )
-    folded = buckets.groupBy("run_id").agg(
-        F.sum("_n").alias("output_count"),
-        F.max("_n").alias("_widest"),
-        F.sort_array(F.collect_list(F.struct("_bucket", "_small", "_digest"))).alias("_parts"),
-    )
-    whole = F.sha2(F.array_join(F.transform("_parts", lambda p: p["_small"]), "\n"), 256)
-    tree = F.sha2(
-        F.array_join(F.transform("_parts", lambda p: F.coalesce(p["_digest"], F.sha2(p["_small"], 256))), "\n"), 256
-    )
-    fits = F.col("_widest") <= BUCKET_IDS
-    return folded.select(
-        "run_id", "output_count", F.when(fits, whole).otherwise(tree).alias("checksum"),
-        F.when(fits, "sha256").otherwise("sha256-tree").alias("checksum_kind"),
-    )
+    kind = assets.schema["run_id"].dataType.simpleString()
+    ids = run_outputs(assets).repartition("run_id").sortWithinPartitions("run_id", "asset_id")
+    return ids.mapInArrow(_digest_runs, f"run_id {kind}, output_count bigint, checksum string")
+
+
+def _digest_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per run from rows sorted by (run, id)."""
+    run, digest, count, schema = None, None, 0, None
+
+    def row() -> pa.RecordBatch:
+        columns = [pa.array([run], schema), pa.array([count], pa.int64()), pa.array([digest.hexdigest()], pa.string())]
+        return pa.RecordBatch.from_arrays(columns, names=["run_id", "output_count", "checksum"])
+
+    for batch in batches:
+        schema = batch.schema.field("run_id").type
+        for name, asset in zip(batch.column("run_id").to_pylist(), batch.column("asset_id").to_pylist()):
+            if digest is None or name != run:
+                if digest is not None:
+                    yield row()
+                run, digest, count = name, hashlib.sha256(), 0
+            digest.update(asset.encode() if not count else b"\n" + asset.encode())
+            count += 1
+    if digest is not None:
+        yield row()
 
 
 def finish_runs(runs: DataFrame, finished: DataFrame, assets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Close runs (``finished``: run_id, status, end_time); returns the runs and the unknown run ids.
 
-    The output ids of a run are the rows of :func:`run_outputs`; the run row holds
-    them as a list only while the digest text fits a row.
+    The output ids of a run are the rows of :func:`run_outputs`, for runs of any size; the
+    list column of the run row stays as it is, since one row cannot hold a large run.
     """
     unknown = finished.join(runs.select("run_id"), "run_id", "left_anti").select("run_id")
-    mine = assets.join(finished.select("run_id"), "run_id", "left_semi")
-    digests = run_digests(mine)
-    listed = (
-        run_outputs(mine).join(digests.filter("checksum_kind = 'sha256'").select("run_id"), "run_id", "left_semi")
-        .groupBy("run_id").agg(F.sort_array(F.collect_list("asset_id")).alias("_ids"))
-    )
-    empty = F.array().cast("array<string>")
-    closed = (
-        finished.select("run_id", F.col("status").alias("_status"), F.col("end_time").alias("_end"))
-        .join(digests, "run_id", "left").join(listed, "run_id", "left")
-        .select(
-            "run_id", "_status", "_end", F.coalesce("checksum", F.sha2(F.lit(""), 256)).alias("_checksum"),
-            F.when(F.col("checksum_kind").isNull(), empty).otherwise(F.col("_ids")).alias("_ids"),
-        )
-    )
+    digests = run_digests(assets.join(finished.select("run_id"), "run_id", "left_semi"))
+    closed = finished.select("run_id", F.col("status").alias("_status"), F.col("end_time").alias("_end")).join(digests, "run_id", "left")
+    closed = closed.select("run_id", "_status", "_end", F.coalesce("checksum", F.sha2(F.lit(""), 256)).alias("_checksum"))
     there = F.col("_status").isNotNull()
     updated = runs.join(closed, "run_id", "left").withColumns(
         {
             "status": F.when(there, F.col("_status")).otherwise(F.col("status")),
             "end_time": F.when(there, F.col("_end")).otherwise(F.col("end_time")),
             "checksum": F.when(there, F.col("_checksum")).otherwise(F.col("checksum")),
-            "output_asset_ids": F.when(there, F.col("_ids")).otherwise(F.col("output_asset_ids")),
         }
     )
     return conform(updated, "processing_runs"), unknown

@@ -43,6 +43,15 @@ CTE: dict[str, tuple[tuple[str, ...], str]] = {
           UNION ALL SELECT 'source/nasa/extra/' || o_orderkey || '/metadata.json' FROM orders WHERE o_orderkey % 101 = 0
           UNION ALL SELECT 'source/nasa/extra/' || o_orderkey || '.tif.part' FROM orders WHERE o_orderkey % 101 = 0
           UNION ALL SELECT 'source/nasa/extra/._' || o_orderkey || '.tif' FROM orders WHERE o_orderkey % 101 = 0)"""),
+    "v_inventory": (("v_raw",), """
+        SELECT path, kind, CASE kind WHEN 'file' THEN length(path) * 10 ELSE 0 END AS byte_size, '2024-01-01T00:00:00Z' AS modified_at FROM (
+          SELECT DISTINCT local_path AS path, 'file' AS kind FROM v_raw
+          UNION ALL SELECT 'source/nasa/extra/' || o_orderkey || '.tif', 'file' FROM orders
+          UNION ALL SELECT 'source/nasa/extra/' || o_orderkey || '/metadata.json', 'file' FROM orders
+          UNION ALL SELECT 'source/nasa/extra/' || o_orderkey || '.tif.part', 'file' FROM orders
+          UNION ALL SELECT 'source/nasa/extra/._' || o_orderkey || '.tif', 'file' FROM orders
+          UNION ALL SELECT * FROM (SELECT 'source/' || catalog, 'directory' FROM v_raw UNION SELECT 'source/' || catalog || '/' || collection, 'directory' FROM v_raw
+            UNION SELECT 'source/' || catalog || '/' || collection || '/' || source_item_id, 'directory' FROM v_raw))"""),
     "v_registered": (("v_raw",), "SELECT DISTINCT local_path AS path FROM v_raw"),
     "v_source_files": (("v_files",), """
         SELECT DISTINCT path FROM v_files

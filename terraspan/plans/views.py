@@ -48,10 +48,9 @@ class Views:
     def sightings(self, lines: DataFrame | None = None) -> DataFrame:
         """Every delivery of a file: an asset is seen once or more. ``lines`` may be a stream of lineitem."""
         lines = self.table("lineitem") if lines is None else lines
-        # Both tables grow with the data, so they meet by key rather than by broadcast: order keys are
-        # unique on the build side, and adaptive execution splits a partition that one order dominates.
-        orders = self.table("orders").hint("shuffle_hash")
-        joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        # Both tables grow with the data; sizes measured at run time decide how they meet, and a partition
+        # that one order dominates is split.
+        joined = lines.join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         rows = joined.select(
             _case("o_orderstatus", CATALOG_OF_STATUS).alias("catalog"),
             _case("o_orderpriority", COLLECTIONS).alias("collection"),
@@ -111,6 +110,25 @@ class Views:
             F.lit("2024-01-01T00:00:00Z").alias("modified_at"),
         )
 
+    def inventory(self) -> DataFrame:
+        """Everything below the source layer: all registered files, their folders, and strays beside every order."""
+        s = self.sightings().select("local_path", "catalog", "collection", "source_item_id")
+        folder = F.explode(F.array(
+            F.concat_ws("/", F.lit("source"), "catalog"), F.concat_ws("/", F.lit("source"), "catalog", "collection"),
+            F.concat_ws("/", F.lit("source"), "catalog", "collection", "source_item_id"),
+        ))
+        folders = s.select("catalog", "collection", "source_item_id").distinct().select(folder.alias("path")).distinct()
+        strays = self.table("orders").select(F.explode(F.array(
+            F.concat(F.lit("source/nasa/extra/"), "o_orderkey", F.lit(".tif")),
+            F.concat(F.lit("source/nasa/extra/"), "o_orderkey", F.lit("/metadata.json")),
+            F.concat(F.lit("source/nasa/extra/"), "o_orderkey", F.lit(".tif.part")),
+            F.concat(F.lit("source/nasa/extra/._"), "o_orderkey", F.lit(".tif")),
+        )).alias("path"))
+        files = s.select(F.col("local_path").alias("path")).distinct().unionByName(strays)
+        rows = files.withColumn("kind", F.lit("file")).unionByName(folders.withColumn("kind", F.lit("directory")))
+        size = F.when(F.col("kind") == "file", F.length("path") * 10).otherwise(0).cast("bigint")
+        return rows.select("path", "kind", size.alias("byte_size"), F.lit("2024-01-01T00:00:00Z").alias("modified_at"))
+
     def page_items(self) -> DataFrame:
         return self.sightings().select(
             (F.col("l_suppkey") % 10).alias("run_id"), "catalog", "collection", "source_item_id",

@@ -7,33 +7,28 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 
-# Assets per item document; larger items continue in further parts.
-PART_ASSETS = 1000
+ITEM = ("catalog", "collection", "source_item_id")
 
 
-def item_documents(assets: DataFrame, part_assets: int = PART_ASSETS) -> DataFrame:
-    """One document per item with the map of its files; items above ``part_assets`` files come in parts.
+def item_files(assets: DataFrame) -> DataFrame:
+    """One row per file of an item document: its key, shortened to a safe name, and the asset entry.
 
-    Files of an oversized item are spread over parts by their key, so no task ever
-    collects more than about ``part_assets`` of them.
+    Files whose keys shorten to the same name are one entry, the last by key and id. Rows
+    rather than a map per item hold the files, so an item may have any number of them.
     """
-    item = ["catalog", "collection", "source_item_id"]
-    sizes = assets.groupBy(*item).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > part_assets)
-    sizes = sizes.select(*item, F.ceil(F.col("_n") / part_assets).alias("_parts"))
-    parts = F.coalesce("_parts", F.lit(1))
-    rows = assets.join(sizes, item, "left").withColumn("part", F.pmod(F.xxhash64("asset_key"), parts).cast("int"))
     entry = F.struct(
-        text.safe_component(F.col("asset_key"), "data").alias("key"),
-        F.struct(
-            F.col("local_path").alias("href"), F.col("media_type").alias("type"), F.array(F.lit("data")).alias("roles"),
-            F.col("asset_id").alias("lake:asset_id"), F.col("checksum_sha256").alias("lake:checksum_sha256"),
-            F.col("run_id").alias("lake:lineage_id"),
-        ).alias("asset"),
+        F.col("local_path").alias("href"), F.col("media_type").alias("type"), F.array(F.lit("data")).alias("roles"),
+        F.col("asset_id").alias("lake:asset_id"), F.col("checksum_sha256").alias("lake:checksum_sha256"),
+        F.col("run_id").alias("lake:lineage_id"),
     )
-    head = [
-        F.min_by(c, "asset_key").alias(c) for c in ("product_id", "datetime", "grid_id", "bbox", "geometry")
-    ]
-    return rows.groupBy(*item, "part").agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("assets"), *head)
+    rows = assets.select(*ITEM, text.safe_component(F.col("asset_key"), "data").alias("key"), entry.alias("asset"), "asset_key", "asset_id")
+    return rows.groupBy(*ITEM, "key").agg(F.max_by("asset", F.struct("asset_key", "asset_id")).alias("asset"))
+
+
+def item_documents(assets: DataFrame) -> DataFrame:
+    """One row per item with the head of its document."""
+    head = [F.min_by(c, F.struct("asset_key", "asset_id")).alias(c) for c in ("product_id", "datetime", "grid_id", "bbox", "geometry")]
+    return assets.groupBy(*ITEM).agg(*head)
 
 
 def collection_documents(products: DataFrame) -> DataFrame:
@@ -55,15 +50,16 @@ def collection_documents(products: DataFrame) -> DataFrame:
 
 
 def write_catalog_tree(assets: DataFrame, products: DataFrame, path: str) -> None:
-    """Write ``collections`` and, partitioned by collection, ``items`` below ``path``."""
+    """Write ``collections`` and, partitioned by collection, ``items`` and their ``files`` below ``path``."""
     collection_documents(products).select("collection", "value").write.mode("overwrite").partitionBy("collection").text(f"{path}/collections")
-    docs = item_documents(assets)
-    value = F.to_json(
+    name = text.product_id(F.col("collection")).alias("collection")
+    item = text.safe_component(F.col("source_item_id"))
+    head = F.to_json(
         F.struct(
-            F.lit("Feature").alias("type"), text.safe_component(F.col("source_item_id")).alias("id"), "part", "bbox", "geometry",
-            F.struct("datetime", F.col("collection").alias("product"), "grid_id").alias("properties"), "assets",
+            F.lit("Feature").alias("type"), item.alias("id"), "bbox", "geometry",
+            F.struct("datetime", F.col("collection").alias("product"), "grid_id").alias("properties"),
         )
     )
-    docs.select(text.product_id(F.col("collection")).alias("collection"), value.alias("value")).write.mode("overwrite").partitionBy(
-        "collection"
-    ).text(f"{path}/items")
+    item_documents(assets).select(name, head.alias("value")).write.mode("overwrite").partitionBy("collection").text(f"{path}/items")
+    line = F.to_json(F.struct(item.alias("item"), "catalog", "key", "asset"))
+    item_files(assets).select(name, line.alias("value")).write.mode("overwrite").partitionBy("collection").text(f"{path}/files")

@@ -1,26 +1,39 @@
-"""Registry tables as versioned Parquet folders with an atomic pointer to the current one."""
+"""Registry tables as Parquet folders under a manifest that is swapped atomically."""
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.registry import conform, merge_registries
 from ..schemas import REGISTRY, REGISTRY_KEY, registry_schema
 
-POINTER = "_current"
+MANIFEST = "_current"
+BUCKETS = 32
+WHOLE = "all"
+
+
+def part_of(table: str) -> Column:
+    """Part a row is stored in: assets by product and a bucket of their item, both fixed by the asset's identity."""
+    if table != "assets":
+        return F.lit(WHOLE)
+    product = F.regexp_replace(F.coalesce("product_id", F.lit("")), r"[^A-Za-z0-9_.-]", "_")
+    bucket = F.pmod(F.xxhash64("product_id", "source_item_id"), F.lit(BUCKETS))
+    return F.concat_ws("-", product, F.lpad(bucket.cast("string"), 2, "0"))
 
 
 class RegistryStore:
     """The six registry tables below ``root``.
 
-    A write makes a new folder and then swaps a pointer file, so readers keep a
-    whole version and a failed write leaves the old one in place. One writer per
-    table at a time is assumed; other formats with MERGE can replace this class.
+    A table is a set of parts; the manifest names the folder of each. A merge reads and
+    rewrites only the parts its rows fall into, then swaps the manifest, so readers keep a
+    whole version and a failed write leaves the old one in place. Folders that the last but
+    one manifest still used are deleted. One writer per table at a time is assumed; other
+    formats with MERGE can replace this class.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -31,44 +44,53 @@ class RegistryStore:
         target = jvm.org.apache.hadoop.fs.Path(path)
         return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target
 
-    def current(self, table: str) -> str | None:
-        fs, pointer = self._fs(f"{self.root}/{table}/{POINTER}")
+    def manifest(self, table: str) -> dict:
+        """``parts``: folder of each part; ``expired``: folders that no reader of the present manifest needs."""
+        fs, pointer = self._fs(f"{self.root}/{table}/{MANIFEST}")
         if not fs.exists(pointer):
-            return None
+            return {"parts": {}, "expired": []}
         stream = fs.open(pointer)
         try:
-            return bytes(stream.readAllBytes()).decode().strip()
+            return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
-    def read(self, table: str) -> DataFrame:
-        """Rows in the declared schema; an absent or unreadable table is empty."""
-        schema = registry_schema(table)
-        version = self.current(table)
-        if version is None:
-            return self.spark.createDataFrame([], schema)
-        try:
-            return evolve(self.spark.read.parquet(f"{self.root}/{table}/{version}"), table)
-        except AnalysisException:
-            return self.spark.createDataFrame([], schema)
+    def read(self, table: str, parts: list[str] | None = None) -> DataFrame:
+        """Rows in the declared schema, of all parts or of those named; an absent table is empty."""
+        known = self.manifest(table)["parts"]
+        folders = [f"{self.root}/{table}/{f}" for p, f in sorted(known.items()) if parts is None or p in parts]
+        if not folders:
+            return self.spark.createDataFrame([], registry_schema(table))
+        return evolve(self.spark.read.schema(registry_schema(table)).parquet(*folders), table)
 
     def read_all(self) -> dict[str, DataFrame]:
         return {table: self.read(table) for table in REGISTRY}
 
-    def write(self, table: str, df: DataFrame) -> str:
-        """Replace a table. Rows are laid out by key so that lookups skip most files."""
+    def write(self, table: str, df: DataFrame) -> None:
+        """Replace a table."""
+        self._store(table, df, None)
+
+    def _store(self, table: str, df: DataFrame, touched: list[str] | None) -> None:
+        """Write the rows of the touched parts (all if None) to a new folder and point the manifest there."""
         version = f"v{time.time_ns()}-{uuid.uuid4().hex[:8]}"
-        key = "product_id" if table == "assets" else REGISTRY_KEY[table]
-        laid = conform(df, table).repartitionByRange(F.col(key), F.col(REGISTRY_KEY[table])).sortWithinPartitions(key)
-        laid.write.parquet(f"{self.root}/{table}/{version}")
-        self._point(table, version)
-        return version
-
-    def _point(self, table: str, version: str) -> None:
-        fs, pointer = self._fs(f"{self.root}/{table}/{POINTER}")
-        _, temporary = self._fs(f"{self.root}/{table}/{POINTER}.{uuid.uuid4().hex}")
+        rows = conform(df, table).withColumn("_part", part_of(table))
+        laid = rows.repartition("_part").sortWithinPartitions("_part", REGISTRY_KEY[table])
+        laid.write.partitionBy("_part").parquet(f"{self.root}/{table}/{version}")
+        fs, home = self._fs(f"{self.root}/{table}/{version}")
+        written = [s.getPath().getName() for s in fs.listStatus(home) if s.isDirectory()]
+        fresh = {name.removeprefix("_part="): f"{version}/{name}" for name in written}
+        before = self.manifest(table)
+        kept = {} if touched is None else {p: f for p, f in before["parts"].items() if p not in touched}
+        self._point(table, {"parts": kept | fresh, "expired": sorted(set(before["parts"].values()) - set(kept.values()))})
+        for folder in before["expired"]:
+            old_fs, old = self._fs(f"{self.root}/{table}/{folder}")
+            old_fs.delete(old, True)
+
+    def _point(self, table: str, manifest: dict) -> None:
+        fs, pointer = self._fs(f"{self.root}/{table}/{MANIFEST}")
+        _, temporary = self._fs(f"{self.root}/{table}/{MANIFEST}.{uuid.uuid4().hex}")
         out = fs.create(temporary, True)
-        out.write(bytearray(version.encode()))
+        out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
         options = self.spark._jvm.org.apache.hadoop.fs.Options.Rename
         context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(
@@ -79,9 +101,19 @@ class RegistryStore:
         context.rename(temporary, pointer, flags)
 
     def merge(self, delta: dict[str, DataFrame], mode: str = "fill") -> None:
-        """Upsert registration rows: one rewrite per table and call, however many files were registered."""
-        for table, df in merge_registries(self.read_all(), delta, mode).items():
-            self.write(table, df)
+        """Upsert registration rows. Of each table only the parts that the rows fall into are read and rewritten.
+
+        The names of touched parts are collected: at most BUCKETS for each product.
+        """
+        for table, df in delta.items():
+            df = df.persist()
+            try:
+                touched = [r[0] for r in conform(df, table).select(part_of(table).alias("p")).distinct().collect()]
+                if touched:
+                    merged = merge_registries({table: self.read(table, touched)}, {table: df}, mode)
+                    self._store(table, merged[table], touched)
+            finally:
+                df.unpersist()
 
 
 def evolve(df: DataFrame, table: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,21 +111,36 @@ def test_runs(spark):
     assert [r["run_id"] for r in unknown.collect()] == ["nope"]
     r1 = closed.filter("run_id = 'r1'").first()
     ids = sorted({"a" * 64, "b" * 64})
-    assert (r1["status"], r1["end_time"], r1["output_asset_ids"]) == ("completed", "t9", ids)
+    assert (r1["status"], r1["end_time"]) == ("completed", "t9")
+    assert sorted(tuple(r) for r in registry.run_outputs(assets).collect()) == [("r1", i) for i in ids]
     assert r1["checksum"] == hashlib.sha256("\n".join(ids).encode()).hexdigest()
     assert closed.filter("run_id = 'r2'").first()["status"] == "running"
 
 
-def test_large_run_gets_a_tree_digest(spark, monkeypatch):
-    monkeypatch.setattr(registry, "BUCKET_IDS", 2)
-    monkeypatch.setattr(registry, "BUCKET_HEX", 1)
-    ids = sorted({hashlib.sha256(str(i).encode()).hexdigest() for i in range(200)})
-    assets = spark.createDataFrame([(i, "r") for i in ids] + [(ids[0], "small")], "asset_id STRING, run_id STRING")
-    rows = {r["run_id"]: r for r in registry.run_digests(assets).collect()}
-    parts = [[i for i in ids if i[0] == h] for h in "0123456789abcdef"]
-    tree = hashlib.sha256("\n".join(hashlib.sha256("\n".join(p).encode()).hexdigest() for p in parts if p).encode()).hexdigest()
-    assert (rows["r"]["checksum_kind"], rows["r"]["checksum"], rows["r"]["output_count"]) == ("sha256-tree", tree, len(ids))
-    assert rows["small"]["checksum"] == hashlib.sha256(ids[0].encode()).hexdigest()
+def test_digest_is_the_same_for_runs_of_any_size(spark):
+    ids = sorted({hashlib.sha256(str(i).encode()).hexdigest() for i in range(30_000)})
+    pairs = [(i, "large") for i in ids] + [(ids[0], "small"), (ids[0], "small")]
+    rows = {r["run_id"]: r for r in registry.run_digests(spark.createDataFrame(pairs, "asset_id STRING, run_id STRING").repartition(7)).collect()}
+    assert (rows["large"]["checksum"], rows["large"]["output_count"]) == (hashlib.sha256("\n".join(ids).encode()).hexdigest(), len(ids))
+    assert (rows["small"]["checksum"], rows["small"]["output_count"]) == (hashlib.sha256(ids[0].encode()).hexdigest(), 1)
+
+
+def test_merge_touches_only_the_parts_of_its_rows(spark, tmp_path):
+    store = RegistryStore(spark, str(tmp_path))
+    rows = spark.range(0, 400).selectExpr("concat('a', id) AS asset_id", "concat('p', id % 3) AS product_id", "concat('i', id) AS source_item_id", "id AS byte_size", "'x' AS status")
+    store.write("assets", rows)
+    before = store.manifest("assets")["parts"]
+    delta = registry.conform(rows.filter("asset_id = 'a7'").withColumn("byte_size", F.lit(1_000_000)), "assets")
+    store.merge({"assets": delta})
+    after = store.manifest("assets")["parts"]
+    changed = [p for p in after if after[p] != before.get(p)]
+    assert len(changed) == 1 and after.keys() == before.keys() and len(before) > 50
+    sizes = {r["asset_id"]: r["byte_size"] for r in store.read("assets").collect()}
+    assert len(sizes) == 400 and sizes["a7"] == 1_000_000 and sizes["a8"] == 8
+    replaced = store.manifest("assets")["expired"]
+    assert replaced == [before[changed[0]]] and os.path.isdir(f"{tmp_path}/assets/{replaced[0]}")
+    store.merge({"assets": delta})
+    assert not os.path.exists(f"{tmp_path}/assets/{replaced[0]}") and store.read("assets").count() == 400
 
 
 def test_number_rows_with_a_hot_group(spark):

@@ -15,8 +15,8 @@ def events(spark):
 
 def test_status_folds(spark):
     latest = runs.latest_attempts(events(spark))
-    assert {r["run_id"]: r["status"] for r in runs.run_status(latest).collect()} == {"r1": "partial", "r2": "failed", "r3": "completed", "r4": "completed"}
-    assert {(r["run_id"], r["status"]) for r in runs.batch_status(latest).collect()} == {("r1", "partial"), ("r2", "failed"), ("r3", "completed"), ("r4", "completed")}
+    assert {r["run_id"]: r["status"] for r in runs.run_status(latest).collect()} == {"r1": "partial", "r2": "failed", "r3": "completed", "r4": "downloading"}
+    assert {(r["run_id"], r["status"]) for r in runs.batch_status(latest).collect()} == {("r1", "partial"), ("r2", "failed"), ("r3", "completed"), ("r4", "downloading")}
 
 
 def test_retry_and_recover(spark):

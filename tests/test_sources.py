@@ -148,15 +148,11 @@ def test_sidecars(spark, tmp_path):
     assert rows["source/n/c/i1"]["properties"]["datetime"] == "d" and rows["source/n/c/i2"] is None and rows["source/n/c/i3"] is None
 
 
-def test_item_documents_split_large_items(spark):
-    head = "'c' AS catalog, 'col' AS collection, 'p' AS product_id, 'd' AS datetime, 'g' AS grid_id, 'r' AS run_id, 'm' AS media_type"
-    df = spark.range(0, 250).selectExpr("CASE WHEN id < 240 THEN 'big' ELSE concat('i', id) END AS source_item_id", "concat('k', id) AS asset_key",
-                                        "concat('p', id) AS local_path", "concat('a', id) AS asset_id", "'s' AS checksum_sha256",
-                                        "CAST(NULL AS ARRAY<DOUBLE>) AS bbox", "CAST(NULL AS STRING) AS geometry", *head.split(", "))
-    docs = catalog_tree.item_documents(df, 50).select("source_item_id", "part", F.size("assets").alias("n")).collect()
-    assert sum(r["n"] for r in docs) == 250
-    assert len([r for r in docs if r["source_item_id"] == "big"]) == 5
-    assert all(r["part"] == 0 for r in docs if r["source_item_id"] != "big")
+def test_item_files_fold_equal_short_keys(spark):
+    head = "'c' AS catalog, 'col' AS collection, 'r' AS run_id, 'm' AS media_type, 'big' AS source_item_id, 's' AS checksum_sha256"
+    df = spark.range(0, 3000).selectExpr("concat('x', id % 2, '/k', id div 2) AS asset_key", "concat('p', id) AS local_path", "concat('a', id) AS asset_id", *head.split(", "))
+    files = {r["key"]: r["asset"]["href"] for r in catalog_tree.item_files(df).collect()}
+    assert len(files) == 1500 and files["k7"] == "p15"
 
 
 def test_catalog_tree_and_features(spark, tmp_path):
@@ -169,7 +165,8 @@ def test_catalog_tree_and_features(spark, tmp_path):
     assets = made["assets"].withColumns({"catalog": F.lit("nasa"), "collection": F.lit("HLSL30_V2.0"), "geometry": geometry_json(F.col("geometry"))})
     catalog_tree.write_catalog_tree(assets, made["products"], str(tmp_path / "stac"))
     item = json.loads(spark.read.text(str(tmp_path / "stac/items")).first()["value"])
-    assert item["id"] == "granule-1" and item["assets"]["B04"]["lake:asset_id"] == made["assets"].first()["asset_id"]
+    file = json.loads(spark.read.text(str(tmp_path / "stac/files")).first()["value"])
+    assert item["id"] == file["item"] == "granule-1" and file["key"] == "B04" and file["asset"]["lake:asset_id"] == made["assets"].first()["asset_id"]
     assert json.loads(spark.read.text(str(tmp_path / "stac/collections")).first()["value"])["id"] == "hlsl30_v2.0"
     rows = spatial.spatial_features(made["assets"])
     features.write_features(rows, str(tmp_path / "features"))
