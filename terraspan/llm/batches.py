@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-# Bytes of text worked on at once; a longer single text is one block of its own.
-BLOCK = 4_000_000
+# Bytes of text worked on at once, which bounds the arrays of a task (some 50 bytes for each); a longer
+# single text is one block of its own.
+BLOCK = 1_000_000
 EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
 
 Kernel = Callable[[pa.Array], dict[str, Sequence]]

@@ -34,11 +34,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
-from .batches import BLOCK, Powers, joined, mix, raw_texts, spans_of
+from .batches import Powers, joined, mix, raw_texts, spans_of
 
 LENGTH = 100
 GRAM = 32
 CHOICES = LENGTH - GRAM + 1
+BLOCK = 4_000_000  # bytes whose own repeats are folded before the shuffle
 PIECE = 2_000_000  # longer texts are worked on in pieces; their strings overlap the border
 SAMPLE = 64  # one document in so many tells which buckets are crowded
 CROWDED, LEAST_SHARE = 32, 2e-5  # different classes in the sample, and their least share of it: at most 50,000 buckets
