@@ -1,4 +1,4 @@
-"""Per-pixel rules: mask classes, colour stretch, decimation."""
+"""Per-pixel rules: mask classes and colour stretch."""
 
 from __future__ import annotations
 
@@ -25,13 +25,5 @@ def stretch(value: Column, low: Column, high: Column) -> Column:
     return F.coalesce((scaled * 255).cast("int"), F.lit(0))
 
 
-def decimation(width: Column, height: Column, max_size: int) -> Column:
-    return F.least(F.lit(1.0), F.lit(float(max_size)) / F.greatest(width, height))
-
-
-def reduced_size(length: Column, scale: Column) -> Column:
-    return F.greatest(F.lit(1), F.bround(length * scale).cast("int"))
-
-
 def has_bit(value: Column, bit: Column | int) -> Column:
     return F.shiftright(value, bit).bitwiseAND(1) == 1 if isinstance(bit, int) else F.getbit(value, bit) == 1

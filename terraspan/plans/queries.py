@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import registry_queries, run_queries, spatial_queries  # noqa: F401  (they register themselves)
+from . import file_queries, registry_queries, run_queries, spatial_queries  # noqa: F401  (they register themselves)
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -21,14 +21,14 @@ PROFILES = [
     (
         "HLSL30_V2.0", PROFILE_VERSION, "Harmonized Landsat Sentinel-2 L30 Version 2.0",
         "Harmonized Landsat and Sentinel-2 surface reflectance observations derived from Landsat 8/9 at 30 metre spatial resolution.",
-        "HLS|Landsat|surface reflectance|30 m|NASA", "NASA|LP DAAC",
-        "https://lpdaac.usgs.gov/products/hlsl30v002/", 30.0,
+        ("HLS", "Landsat", "surface reflectance", "30 m", "NASA"), ("NASA", "LP DAAC"),
+        ("https://lpdaac.usgs.gov/products/hlsl30v002/",), 30.0,
     ),
     (
         "HLSS30_V2.0", PROFILE_VERSION, "Harmonized Landsat Sentinel-2 S30 Version 2.0",
         "Harmonized Landsat and Sentinel-2 surface reflectance observations derived from Sentinel-2 at 30 metre spatial resolution.",
-        "HLS|Sentinel-2|surface reflectance|30 m|NASA", "NASA|LP DAAC",
-        "https://lpdaac.usgs.gov/products/hlss30v002/", 30.0,
+        ("HLS", "Sentinel-2", "surface reflectance", "30 m", "NASA"), ("NASA", "LP DAAC"),
+        ("https://lpdaac.usgs.gov/products/hlss30v002/",), 30.0,
     ),
 ]
 PROFILE_COLLECTIONS = tuple(row[0] for row in PROFILES)
@@ -94,8 +94,6 @@ DEFAULT_MEDIA_TYPE = "application/octet-stream"
 
 # ---- fixed values: lake layout and vocabularies -----------------------------
 LAYERS = ("protocol", "catalog", "registry", "source", "entities", "arrays", "virtual", "manifests", "cache")
-MODALITIES = ("observation", "forcing", "static", "hydrology")
-TEMPORAL_TYPES = ("instantaneous", "mean", "minimum", "maximum", "accumulation", "composite", "static")
 QUALITY_BITS = [
     (0, "missing"), (1, "cloud"), (2, "cloud_shadow"), (3, "snow"),
     (4, "saturation"), (5, "low_quality"), (6, "interpolated"), (7, "temporally_filled"),
@@ -125,6 +123,8 @@ def _literal(value: object) -> str:
         return "NULL"
     if isinstance(value, str):
         return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(value, tuple):
+        return "array(" + ", ".join(_literal(v) for v in value) + ")"
     return f"{value!r}D" if isinstance(value, float) else str(value)
 
 
@@ -143,17 +143,12 @@ def collection_aliases(spark: SparkSession) -> DataFrame:
 
 
 def profiles(spark: SparkSession) -> DataFrame:
-    df = relation(
+    return relation(
         spark,
         ["collection", "profile_version", "title", "description", "keywords", "providers", "documentation_urls",
          "spatial_resolution_m"],
         PROFILES,
     )
-    return df.selectExpr(
-        "collection", "profile_version", "title", "description", "split(keywords, '[|]') AS keywords",
-        "split(providers, '[|]') AS providers", "split(documentation_urls, '[|]') AS documentation_urls",
-        "spatial_resolution_m",
-    )
 
 
 def profile_bands(spark: SparkSession) -> DataFrame:

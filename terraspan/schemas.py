@@ -87,30 +87,6 @@ GRANULE_RESPONSE_DDL = (
     "links: ARRAY<STRUCT<rel: STRING, href: STRING>>>>>"
 )
 
-RUN_STATE: dict[str, str] = {
-    "acquisition_runs": (
-        "run_id STRING, idempotency_key STRING, request STRING, status STRING, message STRING, "
-        "created_at STRING, updated_at STRING, started_at STRING, finished_at STRING, "
-        "current_file STRING, error STRING"
-    ),
-    "search_pages": (
-        "run_id STRING, page_number INT, incoming_cursor STRING, outgoing_cursor STRING, "
-        "item_count BIGINT, manifest_path STRING, checksum_sha256 STRING, created_at STRING"
-    ),
-    "discovered_items": (
-        "run_id STRING, catalog STRING, collection STRING, source_item_id STRING, page_number INT, item STRING"
-    ),
-    "download_batches": (
-        "run_id STRING, batch_number BIGINT, status STRING, asset_count BIGINT, completed_count BIGINT, "
-        "failed_count BIGINT, created_at STRING, updated_at STRING"
-    ),
-    "download_attempts": (
-        "attempt_id STRING, run_id STRING, batch_number BIGINT, collection STRING, source_item_id STRING, "
-        "asset_key STRING, source_url STRING, destination STRING, status STRING, attempts INT, "
-        "downloaded_bytes BIGINT, http_status INT, error STRING, updated_at STRING, seq BIGINT"
-    ),
-}
-
 FILE_ENTRY_DDL = (
     "path STRING, name STRING, parent STRING, kind STRING, suffix STRING, byte_size BIGINT, modified_at STRING"
 )

@@ -70,6 +70,7 @@ def materialize(df: DataFrame) -> DataFrame:
 
     The result has no lineage, survives executor loss and can be read several
     times with column pruning; values such as row positions are fixed by the write.
+    The files are deleted when the application ends.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
@@ -79,4 +80,6 @@ def materialize(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)

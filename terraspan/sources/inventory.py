@@ -21,22 +21,35 @@ CHUNK_BYTES = 1 << 20
 _COLUMNS = ["path", "name", "parent", "kind", "suffix", "byte_size", "modified_at"]
 
 
-def _entries(directory: str) -> Iterator[tuple[str, bool, int, float]]:
-    """Name, is-directory, size and change time of the entries of one directory."""
+def _entries(directory: str) -> Iterator[tuple[str, str, int, float]]:
+    """Name, kind, size and change time of the entries of one directory.
+
+    A directory that cannot be read, or is gone by now, has none. A link to a directory is a
+    ``link`` and is not entered; a link to a file stands for the file.
+    """
     if "://" not in directory:
-        with os.scandir(directory) as found:
-            for entry in found:
-                try:
-                    stat = entry.stat()
-                except OSError:
-                    continue
-                yield entry.name, entry.is_dir(), stat.st_size, stat.st_mtime
+        try:
+            with os.scandir(directory) as found:
+                for entry in found:
+                    try:
+                        stat = entry.stat()
+                        kind = "file" if not entry.is_dir() else "link" if entry.is_symlink() else "directory"
+                    except OSError:
+                        continue
+                    yield entry.name, kind, stat.st_size, stat.st_mtime
+        except OSError:
+            return
         return
     from pyarrow import fs
 
     store, path = fs.FileSystem.from_uri(directory)
-    for info in store.get_file_info(fs.FileSelector(path, recursive=False)):
-        yield info.base_name, info.type == fs.FileType.Directory, info.size or 0, info.mtime.timestamp() if info.mtime else 0.0
+    try:
+        infos = store.get_file_info(fs.FileSelector(path, recursive=False))
+    except OSError:
+        return
+    for info in infos:
+        kind = "directory" if info.type == fs.FileType.Directory else "file"
+        yield info.base_name, kind, info.size or 0, info.mtime.timestamp() if info.mtime else 0.0
 
 
 def _list(root: str):
@@ -46,14 +59,14 @@ def _list(root: str):
         for batch in batches:
             rows: list[tuple] = []
             for parent in batch["path"]:
-                for name, is_dir, size, changed in _entries(f"{base}/{parent}" if parent else base):
+                for name, kind, size, changed in _entries(f"{base}/{parent}" if parent else base):
                     if name.startswith("._") or name == ".DS_Store":
                         continue
                     suffix = os.path.splitext(name)[1].lower()
                     stamp = datetime.datetime.fromtimestamp(changed, datetime.timezone.utc).isoformat()
                     rows.append((
-                        f"{parent}/{name}" if parent else name, name, parent, "directory" if is_dir else "file",
-                        None if is_dir else suffix, None if is_dir else size, stamp,
+                        f"{parent}/{name}" if parent else name, name, parent, kind,
+                        suffix if kind == "file" else None, size if kind == "file" else None, stamp,
                     ))
                     if len(rows) >= CHUNK_ROWS:
                         yield pd.DataFrame(rows, columns=_COLUMNS)

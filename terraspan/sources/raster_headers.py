@@ -95,7 +95,7 @@ def describe(tags: dict[int, object]) -> dict:
     corners = [(a * x + b * y + c, d * x + e * y + f) for x, y in ((0, 0), (width, 0), (width, height), (0, height))]
     xs, ys = [p[0] for p in corners], [p[1] for p in corners]
     return {
-        "driver": "GTiff", "crs_wkt": f"EPSG:{epsg}" if epsg else None, "epsg": epsg, "transform": [a, b, c, d, e, f],
+        "driver": "GTiff", "crs_wkt": None, "epsg": epsg, "transform": [a, b, c, d, e, f],
         "x_origin": c, "y_origin": f, "pixel_size_x": a, "pixel_size_y": e, "width": width, "height": height,
         "band_count": _first(tags, _SAMPLES, 1), "dtype": "uint8" if bits < 8 else f"{kind}{bits}", "nodata": nodata,
         "description": description, "tags": items, "bounds": [min(xs), min(ys), max(xs), max(ys)],

@@ -32,27 +32,36 @@ def live_progress(events: DataFrame, window: str = "1 minute", delay: str = "10
 
 
 def latest_state(events: DataFrame) -> DataFrame:
-    """Newest state per attempt as one running aggregate; works on batches and, in update mode, on streams."""
+    """Newest state per attempt of a batch of events; each task folds its own events first."""
     return events.groupBy("attempt_id", "run_id").agg(
         F.max_by(F.struct("status", "downloaded_bytes", "updated_at", "seq"), F.struct("updated_at", "seq")).alias("_s")
     ).select("attempt_id", "run_id", "_s.*")
 
 
 def attempt_state_stream(events: DataFrame, path: str, checkpoint: str):
-    """Start a stream that appends each changed attempt state to a Parquet log under ``path``.
+    """Start a stream that appends the newest state of each attempt in a micro-batch to a Parquet log.
 
-    A replayed batch writes the same folder again, so the log holds each batch once.
+    The stream keeps no state of its own, so it may run for ever; the log is folded when it
+    is read and made short by :func:`compact_state`. A replayed batch writes the same
+    folder again, so the log holds each batch once.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        latest_state(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return (
-        latest_state(events).writeStream.outputMode("update").foreachBatch(write)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
+def compact_state(spark: SparkSession, path: str, target: str) -> None:
+    """Write the current state of the log at ``path`` as the first batch of a new log at ``target``.
+
+    Run it while no stream writes, then go on with ``target``; the old log can be deleted.
+    """
+    read_state(spark, path).drop("batch").write.mode("overwrite").parquet(f"{target}/batch=-1")
+
+
 def read_state(spark: SparkSession, path: str) -> DataFrame:
     """Current state from the log: the newest entry of each attempt."""
     return runs.latest_attempts(spark.read.parquet(path))

@@ -75,6 +75,12 @@ def test_inventory_and_checksums(spark, tmp_path):
     sums = {r["path"]: r["checksum_sha256"] for r in inventory.checksums(files.filter("kind = 'file'"), root).collect()}
     assert sums["source/nasa/c/i/a.tif"] == hashlib.sha256(b"abc").hexdigest() and len(sums) == 3
     assert inventory.inventory(spark, f"{root}/absent").count() == 0
+    os.symlink(root, f"{root}/entities/loop")
+    os.symlink(f"{root}/source/nasa/c/i/a.tif", f"{root}/entities/file.tif")
+    os.symlink(f"{root}/nowhere", f"{root}/entities/dangling")
+    kinds = {r["path"]: r["kind"] for r in inventory.inventory(spark, root, "entities").collect()}
+    assert kinds == {"entities/empty": "directory", "entities/loop": "link", "entities/file.tif": "file"}
+    assert list(inventory._entries(f"{root}/gone")) == []
 
 
 def test_raster_headers(spark, tmp_path):
