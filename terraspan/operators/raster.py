@@ -208,38 +208,93 @@ def component_areas(components: DataFrame, px_x: float = 1.0, px_y: float = 1.0)
     )
 
 
-def component_outlines(components: DataFrame, kept: DataFrame) -> DataFrame:
-    """Outer ring of each kept component in pixel corners, holes dropped: left edges down, right edges up.
+def component_outlines(components: DataFrame, kept: DataFrame, tolerance: float = 0.0) -> DataFrame:
+    """Outer ring of each kept component in pixel corners, holes dropped, clockwise from its first pixel.
 
-    Exact for parts that are convex along rows; elsewhere the gap inside a row is covered too.
-    A ring has at most four points per raster row.
+    The ring follows the sides that the component shares with no pixel of its own, so
+    parts that are concave in any direction come out exactly. Above a ``tolerance`` in
+    pixels, corners closer than that to the line between their neighbours are left out.
+    A component is traced in one task; it is bounded by the raster's own size.
     """
-    spans = components.join(kept.select("asset_id", "component"), ["asset_id", "component"], "left_semi").groupBy(
-        "asset_id", "component", "row"
-    ).agg(F.min("first_col").alias("left"), (F.max("last_col") + 1).alias("right"))
-    lines = spans.groupBy("asset_id", "component").agg(
-        F.sort_array(F.collect_list(F.struct("row", "left", "right"))).alias("_rows")
-    )
-
-    def side(edge: str) -> Column:
-        point = lambda x, y: F.array(x.cast("double"), y.cast("double"))
-        return F.flatten(F.transform("_rows", lambda r: F.array(point(r[edge], r["row"]), point(r[edge], r["row"] + 1))))
-
-    path = F.concat(side("left"), F.reverse(side("right")))
-    # straight points and repeats carry nothing: keep a point only where the direction turns
-    lines = lines.withColumn("_path", path)
-    steps = F.filter("_path", lambda p, i: (i == 0) | (p != F.get(F.col("_path"), i - 1)))
-    lines = lines.withColumn("_path", steps).withColumn("_n", F.size("_path"))
-
-    def turns(p: Column, i: Column) -> Column:
-        prev, nxt = F.get(F.col("_path"), (i + F.col("_n") - 1) % F.col("_n")), F.get(F.col("_path"), (i + 1) % F.col("_n"))
-        straight = ((prev[0] == p[0]) & (p[0] == nxt[0])) | ((prev[1] == p[1]) & (p[1] == nxt[1]))
-        return ~straight
-
-    ring = F.filter("_path", turns)
-    return lines.withColumn("_ring", ring).select(
-        "asset_id", "component", F.concat("_ring", F.slice("_ring", 1, 1)).alias("ring")
-    )
+    kind = components.schema["asset_id"].dataType.simpleString()
+    runs = components.join(kept.select("asset_id", "component"), ["asset_id", "component"], "left_semi")
+    runs = runs.select("asset_id", "component", "row", "first_col", "last_col")
+
+    def trace(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["row", "first_col"])
+        ring = _shell(*(group[c].to_numpy(np.int64) for c in ("row", "first_col", "last_col")))
+        ring = _simplified(ring, tolerance) if tolerance > 0 else ring
+        return pd.DataFrame({"asset_id": group["asset_id"].iloc[:1].to_numpy(), "component": group["component"].iloc[:1].to_numpy(), "ring": [ring.astype(float).tolist()]})
+
+    return runs.groupBy("asset_id", "component").applyInPandas(trace, f"asset_id {kind}, component BIGINT, ring ARRAY<ARRAY<DOUBLE>>")
+
+
+def _sides(row: np.ndarray, first: np.ndarray, last: np.ndarray) -> dict[tuple[int, int], list[tuple[int, int]]]:
+    """Sides between the component and the rest as start to ends, the component on the right."""
+    out: dict[tuple[int, int], list[tuple[int, int]]] = {}
+
+    def add(x0: int, y0: int, x1: int, y1: int) -> None:
+        out.setdefault((x0, y0), []).append((x1, y1))
+
+    spans: dict[int, list[tuple[int, int]]] = {}
+    for y, a, b in zip(row.tolist(), first.tolist(), (last + 1).tolist()):
+        spans.setdefault(y, []).append((a, b))
+        add(b, y, b, y + 1)
+        add(a, y + 1, a, y)
+    for y in sorted({*spans, *(y + 1 for y in spans)}):
+        above, below = spans.get(y - 1, []), spans.get(y, [])
+        turns = sorted([(x, 0, d) for a, b in above for x, d in ((a, 1), (b, -1))] + [(x, 1, d) for a, b in below for x, d in ((a, 1), (b, -1))])
+        inside, x = [0, 0], 0
+        for at, which, change in turns:
+            if at > x and inside[0] != inside[1]:
+                if inside[1]:
+                    add(x, y, at, y)
+                else:
+                    add(at, y, x, y)
+            inside[which] += change
+            x = at
+    return out
+
+
+def _shell(row: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Closed outer ring of a component given by its sorted runs.
+
+    Where two pixels meet in a corner only, the ring goes on along the outside, so that it
+    never runs into a hole.
+    """
+    sides = _sides(row, first, last)
+    start = here = (int(first[0]), int(row[0]))
+    dx, dy, ring = 1, 0, [start]
+    while True:
+        ends = {(int(np.sign(x - here[0])), int(np.sign(y - here[1]))): (x, y) for x, y in sides[here]}
+        turn = next(d for d in ((dy, -dx), (dx, dy), (-dy, dx)) if d in ends)
+        if turn == (dx, dy) and len(ring) > 1:
+            ring.pop()
+        dx, dy = turn
+        here = ends[turn]
+        ring.append(here)
+        if here == start:
+            return np.array(ring)
+
+
+def _simplified(ring: np.ndarray, tolerance: float) -> np.ndarray:
+    """The ring without corners that lie within ``tolerance`` of the line between kept ones; at least four corners."""
+    far = int(np.argmax(((ring - ring[0]) ** 2).sum(axis=1)))
+    keep = {0, far, len(ring) - 1}
+    stack = [(0, far), (far, len(ring) - 1)]
+    while stack:
+        a, b = stack.pop()
+        if b - a < 2:
+            continue
+        p, q = ring[a].astype(float), ring[b].astype(float)
+        inner, along = ring[a + 1 : b] - p, q - p
+        length = float(np.hypot(*along))
+        away = np.abs(inner[:, 0] * along[1] - inner[:, 1] * along[0]) / length if length else np.hypot(inner[:, 0], inner[:, 1])
+        k = int(np.argmax(away))
+        if away[k] > tolerance:
+            keep.add(a + 1 + k)
+            stack += [(a, a + 1 + k), (a + 1 + k, b)]
+    return ring[sorted(keep)] if len(keep) >= 4 else ring
 
 
 def footprint_parts(outlines: DataFrame, grids: DataFrame) -> DataFrame:

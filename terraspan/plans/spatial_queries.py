@@ -349,23 +349,55 @@ def a19(v: Views):
     return raster.component_areas(raster.connected_components(raster.pixel_runs(v.pixels())), 30.0, -30.0)
 
 
+SHELL_SQL = COMPONENTS_SQL + """,
+    own AS (SELECT c.asset_id, c.component, c."row", unnest(range(first_col, last_col + 1)) AS col FROM comp c JOIN kept USING (asset_id, component)),
+    cell AS (SELECT asset_id, component, y, x FROM kept, (SELECT unnest(range(-1, 9)) AS y) ys, (SELECT unnest(range(-1, 9)) AS x) xs),
+    free AS (SELECT c.* FROM cell c ANTI JOIN own o ON c.asset_id = o.asset_id AND c.component = o.component AND c.y = o."row" AND c.x = o.col),
+    outside AS (SELECT asset_id, component, y, x FROM free WHERE y = -1 AND x = -1 UNION
+                SELECT f.asset_id, f.component, f.y, f.x FROM outside o JOIN free f
+                ON f.asset_id = o.asset_id AND f.component = o.component AND abs(f.y - o.y) + abs(f.x - o.x) = 1),
+    filled AS (SELECT c.* FROM cell c ANTI JOIN outside o USING (asset_id, component, y, x)),
+    sides AS (SELECT f.asset_id, f.component, count(*) AS n FROM filled f JOIN outside o
+              ON o.asset_id = f.asset_id AND o.component = f.component AND abs(o.y - f.y) + abs(o.x - f.x) = 1 GROUP BY ALL)"""
+
+
 @query("c02_footprint_polygon", """
-    SELECT asset_id, component, 5 + 2 * CAST(sum(CASE WHEN l <> pl THEN 1 ELSE 0 END) + sum(CASE WHEN r <> pr THEN 1 ELSE 0 END) AS BIGINT) AS points,
-           CAST(min(l) AS DOUBLE) AS minx, CAST(max(r) AS DOUBLE) AS maxx, CAST(min("row") AS DOUBLE) AS miny, CAST(max("row") + 1 AS DOUBLE) AS maxy
-    FROM (SELECT *, lag(l) OVER w AS pl, lag(r) OVER w AS pr FROM
-            (SELECT c.asset_id, c.component, c."row", min(first_col) AS l, max(last_col) + 1 AS r FROM comp c JOIN kept USING (asset_id, component) GROUP BY ALL)
-          WINDOW w AS (PARTITION BY asset_id, component ORDER BY "row"))
-    GROUP BY asset_id, component""", "v_pixel_runs", recursive=COMPONENTS_SQL)
+    SELECT f.asset_id, f.component, count(*)::DOUBLE AS area, any_value(s.n)::DOUBLE AS perimeter,
+           min(x)::DOUBLE AS minx, max(x + 1)::DOUBLE AS maxx, min(y)::DOUBLE AS miny, max(y + 1)::DOUBLE AS maxy
+    FROM filled f JOIN sides s USING (asset_id, component) GROUP BY ALL""", "v_pixel_runs", recursive=SHELL_SQL)
 def c02(v: Views):
+    """Shells of concave parts: their area and perimeter are those of the part with its holes filled."""
     components = raster.connected_components(raster.pixel_runs(v.pixels()))
     outlines = raster.component_outlines(components, raster.component_areas(components))
     box = geo.rings_envelope(F.array("ring"))
+    ring = F.col("ring")
+    pairs = F.sequence(F.lit(0), F.size(ring) - 2)
+    shoelace = F.aggregate(pairs, F.lit(0.0), lambda s, i: s + ring[i][0] * ring[i + 1][1] - ring[i + 1][0] * ring[i][1])
+    length = F.aggregate(pairs, F.lit(0.0), lambda s, i: s + F.abs(ring[i + 1][0] - ring[i][0]) + F.abs(ring[i + 1][1] - ring[i][1]))
     return outlines.select(
-        "asset_id", "component", F.size("ring").cast("bigint").alias("points"),
+        "asset_id", "component", (shoelace / 2).alias("area"), length.alias("perimeter"),
         box[0].alias("minx"), box[2].alias("maxx"), box[1].alias("miny"), box[3].alias("maxy"),
     )
 
 
+@query("c02_footprint_lonlat", f"""
+    , corner AS (SELECT CAST(c.asset_id AS VARCHAR) || ':' || component AS asset_id, 500000.0::DOUBLE + 30 * first_col AS easting, 4000000.0::DOUBLE - 30 * "row" AS northing,
+                        32601 + c.asset_id % 60 AS epsg FROM comp c JOIN kept USING (asset_id, component)
+                 QUALIFY row_number() OVER (PARTITION BY c.asset_id, component ORDER BY "row", first_col) = 1),
+    {KRUEGER.strip().replace("FROM v_geo", "FROM corner")}
+    SELECT asset_id AS part, round(lon, 6) AS lon, round(lat, 6) AS lat FROM v_lonlat""", "v_pixel_runs", recursive=COMPONENTS_SQL)
+def c02_lonlat(v: Views):
+    """First corner of each simplified outline in longitude and latitude."""
+    components = raster.connected_components(raster.pixel_runs(v.pixels()))
+    outlines = raster.component_outlines(components, raster.component_areas(components), tolerance=2.0)
+    transform = F.array(*[F.lit(x) for x in (30.0, 0.0, 500000.0, 0.0, -30.0, 4000000.0)])
+    grids = v.table("embeddings").select(F.col("vec_id").alias("asset_id"), transform.alias("transform"), (F.col("vec_id") % 60 + 32601).alias("epsg"))
+    corner = F.col("ring")[0]
+    return raster.footprint_parts(outlines, grids).select(
+        F.concat_ws(":", "asset_id", "component").alias("part"), F.round(corner[0], 6).alias("lon"), F.round(corner[1], 6).alias("lat")
+    )
+
+
 _MASK = "(VALUES " + ", ".join(f"('{c}', {r}, {g}, {b}, {a})" for c, _, r, g, b, a in MASK_CLASSES) + ") m(pixel_class, red, green, blue, alpha)"
 
 

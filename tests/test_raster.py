@@ -1,7 +1,9 @@
 """Components, footprints and pixel statistics on small rasters."""
 
 import random
+import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from terraspan.operators import raster
@@ -115,3 +117,25 @@ def test_tiles_and_reduction(spark):
     assert near.count() == 9 and near.select("row", "col").distinct().count() == 9
     assert raster.downsample_mean(big, 7, 7, 3).count() == 9
     assert raster.downsample_nearest(big, 7, 7, 100).count() == 49
+
+
+def test_shell_of_a_concave_part():
+    mask = ["##....##", "##....##", "##.##.##", "##....##", "########", "###.####"]
+    runs = [(y, m.start(), m.end() - 1) for y, line in enumerate(mask) for m in re.finditer("#+", line)]
+    own = [r for r in runs if r != (2, 3, 4)]
+    ring = raster._shell(*(np.array(c) for c in zip(*own)))
+    x, y = ring[:, 0], ring[:, 1]
+    assert (ring[0] == ring[-1]).all() and abs((x[:-1] * y[1:] - x[1:] * y[:-1]).sum()) / 2 == sum(b - a + 1 for _, a, b in own)
+    straight = ((x[:-2] == x[1:-1]) & (x[1:-1] == x[2:])) | ((y[:-2] == y[1:-1]) & (y[1:-1] == y[2:]))
+    assert not straight.any()
+    rough = raster._simplified(ring, 2.0)
+    assert 4 <= len(rough) < len(ring) and (rough[0] == ring[0]).all()
+
+
+def test_shell_leaves_out_a_hole_that_touches_it():
+    # a hole that meets the outside in one corner only stays a hole
+    mask = ["####", "#.##", "##.#"]
+    runs = [(y, m.start(), m.end() - 1) for y, line in enumerate(mask) for m in re.finditer("#+", line)]
+    ring = raster._shell(*(np.array(c) for c in zip(*runs)))
+    x, y = ring[:, 0], ring[:, 1]
+    assert abs((x[:-1] * y[1:] - x[1:] * y[:-1]).sum()) / 2 == 11
