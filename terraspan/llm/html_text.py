@@ -387,8 +387,10 @@ def train(pages: DataFrame, page_id: str = "page_id", source: str = "html", samp
     marked = pages.filter(F.col(source).rlike(r"(?i)<(article|main)\b")).select(F.col(page_id).cast("string").alias("_id"), F.col(source).alias("_source"))
     # ids are drawn first, so that tasks send ids and not pages
     keyed = marked.withColumn("_key", F.xxhash64("_source"))
-    drawn = keyed.select("_id", "_key").distinct().orderBy(F.xxhash64("_id"), "_id", "_key").limit(sample)
-    rows = keyed.join(F.broadcast(drawn), keyed["_id"].eqNullSafe(drawn["_id"]) & (keyed["_key"] == drawn["_key"])).select(keyed["_id"], "_source").distinct().collect()
+    drawn = keyed.select(F.col("_id").alias("_drawn"), F.col("_key").alias("_drawn_key")).distinct()
+    drawn = drawn.orderBy(F.xxhash64("_drawn"), "_drawn", "_drawn_key").limit(sample)
+    same = F.col("_id").eqNullSafe(F.col("_drawn")) & (F.col("_key") == F.col("_drawn_key"))
+    rows = keyed.join(F.broadcast(drawn), same).select("_id", "_source").distinct().collect()
     cases = [case for r in sorted(map(tuple, rows), key=str) for case in labelled(r[1], zlib.crc32(str(r[0]).encode()))]
     return fit([p for p, _ in cases], [y for _, y in cases])
 
