@@ -198,6 +198,31 @@ def e06(v: Views):
     return ingest.discover_collections(g.select(record.alias("record")), "stac", (-20, -10, 20, 40))
 
 
+@query("e06_cmr_collections", """
+    SELECT c_name AS id, 'T' || c_custkey AS title, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS description, '2015-06-01' AS start_date,
+           CASE WHEN c_custkey % 3 = 0 THEN '2020-01-01' END AS end_date
+    FROM customer WHERE c_custkey % 7 <> 0""")
+def e06_cmr(v: Views):
+    """Collection records of the service that filters by area itself; a record without a name is skipped."""
+    k = F.col("c_custkey")
+    record = F.to_json(F.struct(
+        F.when(k % 7 != 0, F.col("c_name")).otherwise("").alias("short_name"), F.concat(F.lit("T"), k).alias("title"),
+        F.when(k % 2 == 0, F.col("c_mktsegment")).alias("summary"), F.lit("2015-06-01").alias("time_start"), F.when(k % 3 == 0, "2020-01-01").alias("time_end"),
+    ))
+    return ingest.discover_collections(v.table("customer").select(record.alias("record")), "cmr")
+
+
+@query("l05_granule_cursor", """
+    SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '{"collection_index":' || c_custkey % 3 || ',"page_num":' || c_custkey % 5 + 2 || '}'
+                           WHEN c_custkey % 3 < 2 THEN '{"collection_index":' || c_custkey % 3 + 1 || ',"page_num":1}' END AS cursor
+    FROM customer""")
+def l05_cursor(v: Views):
+    """Where a granule search goes on: the next page while pages are full, then the next collection, then nowhere."""
+    k = F.col("c_custkey")
+    entries = F.when(k % 2 == 0, 100).otherwise(k % 100)
+    return v.table("customer").select("c_custkey", ingest.granule_cursor(k % 3, k % 5 + 1, entries, F.lit(100), F.lit(3)).alias("cursor"))
+
+
 @query("f19_collection_details", """
     SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'Title ' || c_custkey ELSE 'Harmonized Landsat Sentinel-2 L30 Version 2.0' END AS title,
            CASE WHEN c_custkey % 2 = 0 THEN 'CC-BY' ELSE 'unknown' END AS license,
@@ -446,11 +471,16 @@ def t04(v: Views):
 
 
 @query("j13_attempt_item_join", """
-    SELECT a.attempt_id, i.item FROM v_latest a JOIN (SELECT c_custkey AS run_id, c_name AS item FROM customer) i USING (run_id)""", "v_latest")
+    SELECT a.attempt_id, i.item FROM v_latest a JOIN (SELECT c_custkey AS run_id, c_custkey % 2 AS c, unnest(range(10)) AS i, c_name || '-' || unnest(range(10)) AS item FROM customer) i
+    ON a.run_id = i.run_id AND a.k % 2 = i.c AND a.batch_number = i.i""", "v_latest")
 def j13(v: Views):
-    same = {"collection": F.lit("c"), "source_item_id": F.lit("i")}
-    items = v.table("customer").select(F.col("c_custkey").alias("run_id"), F.col("c_name").alias("item")).withColumns(same)
-    return runs.attempts_with_items(runs.latest_attempts(v.attempts()).withColumns(same), items).select("attempt_id", "item")
+    latest = runs.latest_attempts(v.attempts()).withColumns({
+        "collection": F.concat(F.lit("c"), F.col("k") % 2), "source_item_id": F.concat(F.lit("i"), "batch_number"),
+    })
+    k = F.col("c_custkey")
+    items = v.table("customer").select(k.alias("run_id"), F.concat(F.lit("c"), k % 2).alias("collection"), "c_name", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i"))
+    items = items.select("run_id", "collection", F.concat(F.lit("i"), "i").alias("source_item_id"), F.concat_ws("-", "c_name", "i").alias("item"))
+    return runs.attempts_with_items(latest, items).select("attempt_id", "item")
 
 
 # ---- runs --------------------------------------------------------------------
