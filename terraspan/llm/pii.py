@@ -4,7 +4,7 @@ A transducer rewrites disguises and carries, for every character it emits, the r
 of source characters it stands for:
 
 * look-alike letters, full-width and styled forms become ASCII; invisible characters vanish,
-* runs of spelled digits (with "plus", "dot", "dash") become figures,
+* runs of digits that are spelled in part (with "plus", "dot", "dash") or have bracketed dots become figures and signs,
 * "at" and "dot" disguises, bracketed or spelled between the parts of an address, become signs.
 
 The same detectors run over its output; their spans are mapped back to the source
@@ -112,12 +112,14 @@ def _character_table() -> dict[str, str]:
 CHARACTERS = _character_table()
 # Every rewritten character lies in these ranges; most texts hold none of them.
 _SUSPECT = re.compile("[\u00a0\u00ad\u0131\u0250-\U0010ffff]")
-_DIGIT = "(?:[0-9]|" + "|".join(sorted(SPELLED, key=len, reverse=True)) + ")"
+_GROUP = "(?:[0-9]++|" + "|".join(sorted(SPELLED, key=len, reverse=True)) + ")"
 _SIGN = "(?:" + "|".join(SIGNS) + ")"
-# Six digits or more, two neighbours at least of them spelled; signs may stand between.
-_RUN = re.compile(rf"\b(?:plus[\x20-]++)?{_DIGIT}(?:(?:[\x20,-]++(?:{_SIGN}[\x20-]++)?|\.)?{_DIGIT}){{5,}}(?![^\W_])", re.I)
-_PIECE = re.compile(rf"{_SIGN}|{_DIGIT}|[\x20,-]+|\.", re.I)
-_SPOKEN = {form for w in (*SPELLED, *SIGNS) for form in (w, w.title(), w.upper())}
+_GAP = r"[\x20\t,-]"
+_BOXED_DOT = r"[\x20\t]*[\[({<][\x20\t]*(?:dot|point|punkt|punto|\.)[\x20\t]*[\])}>][\x20\t]*"
+# Groups of figures and spelled digits with gaps and signs between, in small letters; which of them count, _digits tells.
+_RUN = re.compile(rf"\b(?:plus[\x20\t-]++)?{_GROUP}(?:(?:{_BOXED_DOT}|{_GAP}*+(?:{_SIGN}{_GAP}*+)?|\.){_GROUP})+(?![^\W_])")
+_PIECE = re.compile(rf"(?P<boxed>{_BOXED_DOT})|(?P<sign>{_SIGN})|(?P<figures>[0-9]++)|(?P<word>{_GROUP})|(?P<gap>{_GAP}++)|\.")
+LEAST_DIGITS = 4  # an address of the shortest kind, 8.8.8.8; the detectors ask for more where it is needed
 # An address whose signs are bracketed or spelled out.
 _AT = r"(?:[\x20\t]*[\[({<][\x20\t]*(?:at|@)[\x20\t]*[\])}>][\x20\t]*|[\x20\t]+(?:at|@)[\x20\t]+|@)"
 _DOT = r"(?:[\x20\t]*[\[({<][\x20\t]*(?:dot|\.)[\x20\t]*[\])}>][\x20\t]*|[\x20\t]+dot[\x20\t]+|\.)"
@@ -150,31 +152,63 @@ class Tape:
         self.starts, self.ends, self.changed = starts + self.starts[at:], ends + self.ends[at:], changed + self.changed[at:]
 
 
+def _lowered(text: str) -> str:
+    """Small letters, each at the place of its source."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
+
+
 def _characters(text: str) -> list[tuple[int, int, str]]:
+    if text.isascii() or not _SUSPECT.search(text):
+        return []
     return [(i, i + 1, CHARACTERS[c]) for i, c in enumerate(text) if c in CHARACTERS]
 
 
 def _digits(text: str) -> list[tuple[int, int, str]]:
-    edits = []
-    for run in _RUN.finditer(text):
-        if not _neighbours(run[0]):
+    edits, low = [], _lowered(text)
+    for run in _RUN.finditer(low):
+        pieces = list(_PIECE.finditer(low, run.start(), run.end()))
+        if not _disguised(pieces):
             continue
-        for m in _PIECE.finditer(text, run.start(), run.end()):
-            word = m[0].lower()
-            new = SPELLED.get(word) or SIGNS.get(word) or ("" if word[0] in " ,-" else None)
-            if new is not None:
+        dots = sum(m.lastgroup in (None, "boxed") or SIGNS.get(m[0]) == "." for m in pieces)
+        for i, m in enumerate(pieces):
+            if m.lastgroup == "gap":
+                new = _gap(m[0], pieces[i - 1], pieces[i + 1], dots)
+            else:
+                new = "." if m.lastgroup == "boxed" else SPELLED.get(m[0]) or SIGNS.get(m[0]) or m[0]
+            if new != m[0]:
                 edits.append((m.start(), m.end(), new))
     return edits
 
 
-def _neighbours(text: str) -> bool:
-    """Whether two spelled digits or signs follow each other."""
-    return b"\1\1" in bytes(map(_SPOKEN.__contains__, text.replace("-", " ").replace(",", " ").replace(".", " ").split()))
+def _disguised(pieces: list[re.Match]) -> bool:
+    """Whether a run has digits enough and a bracketed dot, two spelled pieces, or one between others.
+
+    One spelled digit before or behind figures is prose: "+1 555 010 9999 two times".
+    """
+    if sum(len(m[0]) if m.lastgroup == "figures" else m.lastgroup == "word" for m in pieces) < LEAST_DIGITS:
+        return False
+    spelled = [m.lastgroup in ("word", "sign") for m in pieces]
+    return any(m.lastgroup == "boxed" for m in pieces) or sum(spelled) > 1 or any(spelled[1:-1])
+
+
+def _gap(gap: str, before: re.Match, after: re.Match, dots: int) -> str:
+    """Nothing within a number, but a sign that no address holds between two numbers.
+
+    Those are figures of several places side by side, or set apart by a comma from others. In
+    a list with more dots than one address has, so are all figures side by side and all commas.
+    """
+    kinds = (before.lastgroup, after.lastgroup)
+    if not {"sign", "boxed"}.isdisjoint(kinds):
+        return ""
+    places = any(m.lastgroup == "figures" and len(m[0]) > 1 for m in (before, after))
+    apart = (places or dots > 3) and ("," in gap or kinds == ("figures", "figures"))
+    return "" if not apart else gap if gap in (" ", "-") else " "
 
 
 def _addresses(text: str) -> list[tuple[int, int, str]]:
     edits = []
-    for address in _ADDRESS.finditer(text):
+    for address in _ADDRESS.finditer(text) if _hides_address(text) else ():
         spelled = address["at"].strip(" \t").lower() == "at"
         if spelled and "." in _BRACKETED.sub("", address["domain"]):
             continue  # a plain "at" counts only when the dots behind it are disguised, too
@@ -193,17 +227,13 @@ def _hides_address(text: str) -> bool:
 
 def deobfuscate(text: str) -> Tape | None:
     """The rewritten text, or None if nothing in it is disguised."""
-    marked = not text.isascii() and _SUSPECT.search(text)
-    if not marked and not _neighbours(text) and not _hides_address(text):
-        return None
-    tape = Tape(text)
-    if marked:
-        tape.rewrite(_characters(text))
-    if _neighbours(tape.text):
-        tape.rewrite(_digits(tape.text))
-    if _hides_address(tape.text):
-        tape.rewrite(_addresses(tape.text))
-    return tape if any(tape.changed) or len(tape.text) != len(text) else None
+    tape = None
+    for rule in (_characters, _digits, _addresses):
+        edits = rule(tape.text if tape else text)
+        if edits:
+            tape = tape or Tape(text)
+            tape.rewrite(edits)
+    return tape
 
 
 def find(text: str) -> tuple[list[Span], list[Span]]:

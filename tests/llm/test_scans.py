@@ -182,6 +182,20 @@ def test_disguised_identifiers_map_back_to_the_source(text, hidden):
     assert hidden in [text[a:b] for _, a, b in spans] and set(base) <= set(spans)
 
 
+@pytest.mark.parametrize("text, spans", [
+    ("host 192[.]168[.]1[.]10 up", "ip:5:23"), ("192(dot)168(dot)1(dot)1", "ip:0:23"), ("192 dot 168 dot 1 dot 1", "ip:0:23"), ("192 { Dot } 168.1[.]1", "ip:0:21"),
+    ("eight dot eight dot eight dot eight", "ip:0:35"), ("Eight DOT eight dOt eight dot eight", "ip:0:35"), ("one zero dot zero dot zero dot one", "ip:0:34"),
+    ("eight (dot) eight [.] eight dot 8", "ip:0:33"), ("onezerodotzerodotzerodotone", "ip:0:27"), ("In 2024, 10 dot 0 dot 0 dot 1", "ip:9:29"),
+    ("10 dot 0 dot 0 dot 1, 10 dot 0 dot 0 dot 2", "ip:0:20,ip:22:42"), ("8[.]8[.]8[.]8 1[.]1[.]1[.]1", "ip:0:13,ip:14:27"),
+    ("one dot one dot one dot one, two dot two dot two dot two", "ip:0:27,ip:29:56"), ("300[.]1[.]1[.]1", ""), ("1 dot 2 dot 3", ""), ("two, three, four, five", ""),
+    ("+1 five 5 five 0 one 0 nine 9 nine 9", "phone:0:36"), ("+49 30 five5512345", "phone:0:18"), ("+1 555 010 9999 two times", "phone:0:15"),
+    ("4 one 1 one 1 one 1 one 1 one 1 one 1 one 1 one", "card:0:47"),
+])
+def test_disguised_figures(text, spans):
+    assert pii._text(pii.find(text)[1]) == spans
+    assert spans in pii._text(pii.find(text + "\n(at) one two dot x")[1])
+
+
 @pytest.mark.parametrize("text", ["look at the dot. com is not here", "one two three go", "at example.com", "the house at noon dot", "", "привет мир"])
 def test_plain_prose_has_no_disguise(text):
     assert pii.find(text) == ([], [])
