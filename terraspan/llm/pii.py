@@ -207,8 +207,12 @@ def _gap(gap: str, before: re.Match, after: re.Match, dots: int) -> str:
 
 
 def _addresses(text: str) -> list[tuple[int, int, str]]:
+    return _address_edits(text) if _hides_address(text) else []
+
+
+def _address_edits(text: str) -> list[tuple[int, int, str]]:
     edits = []
-    for address in _ADDRESS.finditer(text) if _hides_address(text) else ():
+    for address in _ADDRESS.finditer(text):
         spelled = address["at"].strip(" \t").lower() == "at"
         if spelled and "." in _BRACKETED.sub("", address["domain"]):
             continue  # a plain "at" counts only when the dots behind it are disguised, too
@@ -220,7 +224,12 @@ def _addresses(text: str) -> list[tuple[int, int, str]]:
 
 
 def _hides_address(text: str) -> bool:
-    if " dot " in text or " DOT " in text or " @ " in text:
+    """Whether a text holds a sign that an address may hide behind: true wherever _address_edits finds one.
+
+    A spelled "at" needs no test, as it counts only before a disguised dot.
+    """
+    low = text.lower().replace("\t", " ")
+    if " dot " in low or " @ " in low:
         return True
     return any(c in text for c in "[({<") and _BRACKETED.search(text) is not None
 

@@ -196,6 +196,19 @@ def test_disguised_figures(text, spans):
     assert spans in pii._text(pii.find(text + "\n(at) one two dot x")[1])
 
 
+@pytest.mark.parametrize("text", [
+    "Jo.Doe At Example Dot Com", "jo\tat\texample\tdot\tcom", "jo aT example dOt com", "jo\t@ example.com", "jo [At] example.com", "jo@example\tDot com",
+])
+def test_addresses_are_found_whatever_else_the_text_holds(text):
+    assert pii.find(text)[1] == pii.find(text + "\n(at) x dot y")[1] == [(0, 0, len(text))]
+
+
+@settings(max_examples=2000, deadline=None)
+@given(st.lists(st.sampled_from(["jo", "x", "at", "At", "AT", "dot", "Dot", "dOT", "com", "@", ".", " ", "\t", "\n", "(", "]", "{", ">", "\u0130"]), max_size=20).map("".join))
+def test_the_gate_of_addresses_changes_nothing(text):
+    assert pii._addresses(text) == pii._address_edits(text)
+
+
 @pytest.mark.parametrize("text", ["look at the dot. com is not here", "one two three go", "at example.com", "the house at noon dot", "", "привет мир"])
 def test_plain_prose_has_no_disguise(text):
     assert pii.find(text) == ([], [])
