@@ -1,9 +1,9 @@
 """Quality score by voting of nearest labelled neighbours in a latent-semantic space.
 
-A text is a bag of shape terms: trigrams of byte classes, and words by length, the
-sign behind them and whether they repeat the word before. Counts are damped and
-weighted by rarity; the leading singular directions of a labelled sample span the
-latent space. The sample's vectors are broadcast. For every document the cosine with
+A text is a bag of terms: trigrams of byte classes, words by length, the sign behind
+them and whether they repeat the word before, and the words themselves, hashed. Counts
+are damped and weighted by their rarity in a labelled sample, whose leading singular
+directions span the latent space. The sample's vectors are broadcast. For every document the cosine with
 all of them is computed exactly, block by block; the nearest ``NEIGHBOURS`` vote with
 their labels, weighted by similarity.
 
@@ -29,7 +29,8 @@ SAMPLE = 2000
 DIMENSIONS = 32
 NEIGHBOURS = 15
 THRESHOLD = 0.7
-TERMS = 1024
+WORD_TERMS = 1024  # a power of two
+TERMS = 1024 + WORD_TERMS
 UNKNOWN = 0.5  # score without any neighbour to ask, as for an empty text
 
 FIELDS = T.StructType([T.StructField("score", T.DoubleType())])
@@ -47,7 +48,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def term_counts(texts: list[bytes]) -> np.ndarray:
-    """Terms of each text: 512 class trigrams, then 512 word shapes."""
+    """Terms of each text: 512 class trigrams, 512 word shapes, then WORD_TERMS classes of hashed words."""
     n = len(texts)
     buffer, starts, ends = joined(texts, b"\n")
     owner = np.repeat(np.arange(n), ends - starts + 1)
@@ -62,7 +63,9 @@ def term_counts(texts: list[bytes]) -> np.ndarray:
     sign = buffer[np.minimum(last, len(buffer) - 1)].astype(np.int64) % 16
     code = owner[first] * 512 + np.minimum(last - first, 16) * 32 - 32 + same * 16 + sign
     words = np.bincount(code, minlength=n * 512).reshape(n, 512)
-    return np.hstack([shapes, words]).astype(np.float32)
+    term = (hashes % np.uint64(WORD_TERMS)).astype(np.int64)
+    vocabulary = np.bincount(owner[first] * WORD_TERMS + term, minlength=n * WORD_TERMS).reshape(n, WORD_TERMS)
+    return np.hstack([shapes, words, vocabulary]).astype(np.float32)
 
 
 @dataclass

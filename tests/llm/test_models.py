@@ -176,6 +176,15 @@ def test_quality_without_labels_or_text(spark):
     assert one["score"] == pytest.approx(1.0)
 
 
+def test_quality_that_shows_in_words_alone():
+    rng = np.random.default_rng(4)
+    good, bad, both = (["".join(rng.choice(list("abcdefghijkl"), 4)) for _ in range(40)] for _ in range(3))
+    texts = [" ".join(rng.choice((good if i % 2 else bad) + both, 60)).encode() for i in range(400)]
+    counts, labels = quality.term_counts(texts), np.arange(400) % 2
+    scores = quality.score(quality.fit(counts[:300], labels[:300]), counts[300:])
+    assert ((scores >= 0.5) == labels[300:]).mean() >= 0.95
+
+
 def test_pipeline(spark):
     documents = spark.read.parquet(f"{FOLDER}/documents.parquet")
     docs, ids = documents, {r[0] for r in documents.select("doc_id").collect()}
