@@ -174,21 +174,20 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     Classes are the components of all pairs of a similarity of at least SIMILARITY that
     share a band; exact copies (equal word sequences) always belong together. Texts without
     words are alone, as are texts unlike all others. Rows without id are left out; of rows
-    that repeat an id the smallest text counts.
+    that repeat an id the smallest text counts, a null before all others.
     """
-    named = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("_id"), F.col(text).alias("_text"))
+    named = _one_text(docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("_id"), F.col(text).alias("_text")))
     sketched = materialize(annotate(named, "_text", _FIELDS, lambda: _sketch_kernel).drop("_text"))
-    members = sketched.groupBy("_id").agg(F.min("_copy").alias("_copy"))
+    members = sketched.select("_id", "_copy")
     firsts = materialize(members.filter("_copy IS NOT NULL").groupBy("_copy").agg(F.min("_id").alias("_first")))
-    bands = sketched.filter("_bands IS NOT NULL").join(firsts, "_copy").filter("_id = _first").select("_id", "_bands").dropDuplicates(["_id"])
+    bands = sketched.filter("_bands IS NOT NULL").join(firsts, "_copy").filter("_id = _first").select("_id", "_bands")
     rows = bands.select("_id", F.explode("_bands").alias("_key"))
     # buckets of one text are done
     full = rows.groupBy("_key").agg(F.min("_id").alias("_centre"), F.max("_id").alias("_other")).filter("_centre < _other")
     buckets = materialize(rows.join(full.select("_key", "_centre"), "_key"))
     involved = buckets.select("_id").distinct()
     registers = sketched.select("_id", "_copy", "_registers").join(firsts, "_copy").filter("_id = _first").select("_id", "_registers")
-    texts = named.join(involved, "_id", "left_semi").groupBy("_id").agg(F.min("_text").alias("_text"))
-    texts = materialize(texts.join(registers.dropDuplicates(["_id"]), "_id"))
+    texts = materialize(named.join(involved, "_id", "left_semi").join(registers, "_id"))
     edges = materialize(_verified(_first_pairs(buckets), texts))
     roots = contract(edges)
     open_ = materialize(_unsettled(buckets.select("_key", "_id"), roots))
@@ -199,6 +198,13 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     return members.join(classes, "_copy", "left").select(F.col("_id").alias("doc_id"), F.coalesce("_class", "_id").alias("class_id"))
 
 
+def _one_text(named: DataFrame) -> DataFrame:
+    """The row of the smallest text of each id; only rows that repeat an id are grouped."""
+    repeated = materialize(named.groupBy("_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_id"))
+    smallest = named.join(repeated, "_id", "left_semi").groupBy("_id").agg(F.min(F.struct("_text"))["_text"].alias("_text"))
+    return named.join(repeated, "_id", "left_anti").unionByName(smallest)
+
+
 def _first_pairs(buckets: DataFrame) -> DataFrame:
     """Each text with the smallest id of each of its buckets and, in one bucket of five, with one drawn by a hash."""
     fixed = buckets.select("_id", "_centre")

@@ -138,3 +138,17 @@ def test_near_duplicate_classes(spark):
     assert sorted(r["doc_id"] for r in kept.filter("doc_id is not null").collect()) == sorted(set(got.values()))
     assert kept.filter("doc_id is null").count() == 1
     assert probminhash.near_duplicate_classes(nameless.limit(0)).collect() == []
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    base = [" ".join(random.Random(seed).choices("abcdefghijklmnopqrstuvwxyz", k=200)) for seed in range(12)]
+    rows = []
+    for i, text in enumerate(base):
+        # id 10 i + 2 has a near copy of the text as its smallest one, and another text
+        rows += [(10 * i + 1, "aa " + text), (10 * i + 2, "aa " + text + " end"), (10 * i + 2, "zz " + " ".join(random.Random(99 + i).choices("abcdefghij", k=200)))]
+    rows += [(500, base[0]), (500, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["class_id"] for r in probminhash.near_duplicate_classes(docs).collect()}
+    assert got == {10 * i + j: 10 * i + 1 for i in range(12) for j in (1, 2)} | {500: 500}
+    kept = sorted((r["doc_id"], r["text"]) for r in probminhash.deduplicate(docs).collect())
+    assert kept == [(10 * i + 1, "aa " + text) for i, text in enumerate(base)] + [(500, None)]
