@@ -31,6 +31,8 @@ NEIGHBOURS = 15
 THRESHOLD = 0.7
 WORD_TERMS = 1024  # a power of two
 TERMS = 1024 + WORD_TERMS
+SPARE, ROUNDS = 16, 60  # directions and rounds of the subspace iteration beyond what is kept
+BLOCK_ROWS = 256  # rows whose terms are dense at the same time
 UNKNOWN = 0.5  # score without any neighbour to ask, as for an empty text
 
 FIELDS = T.StructType([T.StructField("score", T.DoubleType())])
@@ -76,6 +78,24 @@ class Model:
     labels: np.ndarray
 
 
+class SparseCounts:
+    """Term counts of many texts; a slice of rows is made dense when it is asked for."""
+
+    def __init__(self, rows: list[tuple[bytes, bytes]]):
+        self.terms = [np.frombuffer(t, np.uint16) for t, _ in rows]
+        self.counts = [np.frombuffer(c, np.float32) for _, c in rows]
+
+    def __len__(self) -> int:
+        return len(self.terms)
+
+    def __getitem__(self, rows: slice) -> np.ndarray:
+        terms, counts = self.terms[rows], self.counts[rows]
+        out = np.zeros((len(terms), TERMS), np.float32)
+        for i, (t, c) in enumerate(zip(terms, counts)):
+            out[i, t] = c
+        return out
+
+
 def _unit(rows: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(rows, axis=1, keepdims=True)
     return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 1e-12)
@@ -85,16 +105,33 @@ def _weighted(counts: np.ndarray, rarity: np.ndarray) -> np.ndarray:
     return _unit(np.log1p(counts) * rarity)
 
 
-def fit(counts: np.ndarray, labels: np.ndarray) -> Model:
-    """Latent space and labelled vectors of a sample."""
-    rarity = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + np.float32(1)
-    rows = _weighted(counts, rarity)
-    if len(rows):
-        _, directions = np.linalg.eigh(rows.T.astype(np.float64) @ rows)
-        basis = directions[:, ::-1][:, :DIMENSIONS].astype(np.float32)
-    else:
-        basis = np.zeros((TERMS, DIMENSIONS), np.float32)
-    return Model(rarity, basis, _unit(rows @ basis), labels.astype(np.float32))
+def leading_directions(gram: np.ndarray, count: int, rounds: int = ROUNDS) -> np.ndarray:
+    """The ``count`` leading eigenvectors of a positive semi-definite matrix, by subspace iteration with some spare directions."""
+    size = min(len(gram), count + SPARE)
+    held = np.linalg.qr(np.random.default_rng(size).standard_normal((len(gram), size)))[0].astype(np.float32)
+    for _ in range(rounds):
+        held = np.linalg.qr((gram @ held).astype(np.float64))[0].astype(np.float32)
+    _, turn = np.linalg.eigh((held.T @ (gram @ held)).astype(np.float64))
+    return held @ turn[:, ::-1][:, :count].astype(np.float32)
+
+
+def fit(counts: np.ndarray | SparseCounts, labels: np.ndarray) -> Model:
+    """Latent space and labelled vectors of a sample, read in blocks of rows; the only large matrix is one of terms by terms."""
+    blocks = [slice(at, at + BLOCK_ROWS) for at in range(0, len(counts), BLOCK_ROWS)]
+    present = np.zeros(TERMS, np.int64)
+    for rows in blocks:
+        present += (counts[rows] > 0).sum(axis=0)
+    rarity = np.log((1 + len(counts)) / (1 + present)).astype(np.float32) + np.float32(1)
+    basis, vectors = np.zeros((TERMS, DIMENSIONS), np.float32), np.zeros((len(counts), DIMENSIONS), np.float32)
+    if blocks:
+        gram, part = np.zeros((TERMS, TERMS), np.float32), np.empty((TERMS, TERMS), np.float32)
+        for rows in blocks:
+            weighted = _weighted(counts[rows], rarity)
+            gram += np.matmul(weighted.T, weighted, out=part)
+        basis = leading_directions(gram, DIMENSIONS)
+        for rows in blocks:
+            vectors[rows] = _unit(_weighted(counts[rows], rarity) @ basis)
+    return Model(rarity, basis, vectors, labels.astype(np.float32))
 
 
 def score(model: Model, counts: np.ndarray, block: int = 256) -> np.ndarray:
@@ -114,10 +151,11 @@ def score(model: Model, counts: np.ndarray, block: int = 256) -> np.ndarray:
     return np.clip(out, 0.0, 1.0)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[SparseCounts, np.ndarray]:
     """Term counts and labels of at most ``sample`` documents of each label, none held out.
 
     Ids that are null, labelled neither 0 nor 1 or labelled in two ways are left out.
+    Only the terms that a text has reach the driver.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("_id"), "quality")
     known = known.filter(~held_out(F.col("_id"))).groupBy("_id").agg(F.min("quality").alias("_label"), F.max("quality").alias("_other"))
@@ -130,12 +168,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = term_counts(raw_texts(batch.column(2))) if batch.num_rows else np.zeros((0, TERMS), np.float32)
-            packed = pa.array([c.tobytes() for c in counts], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1).cast(pa.int32()), packed], names=["doc", "label", "counts"])
+            terms = [np.flatnonzero(c) for c in counts]
+            packed = [[t.astype(np.uint16).tobytes() for t in terms], [c[t].tobytes() for c, t in zip(counts, terms)]]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).cast(pa.string()), batch.column(1).cast(pa.int32()), *[pa.array(p, pa.binary()) for p in packed]],
+                names=["doc", "label", "terms", "counts"],
+            )
 
-    got = sorted(tuple(r) for r in rows.mapInArrow(run, "doc string, label int, counts binary").collect())
-    counts = np.array([np.frombuffer(c, np.float32) for _, _, c in got]).reshape(len(got), TERMS)
-    return counts, np.array([label for _, label, _ in got], np.float32)
+    got = sorted(tuple(r) for r in rows.mapInArrow(run, "doc string, label int, terms binary, counts binary").collect())
+    return SparseCounts([(bytes(t), bytes(c)) for _, _, t, c in got]), np.array([label for _, label, _, _ in got], np.float32)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
@@ -150,7 +191,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | No
 
     def kernel(column: pa.Array) -> dict:
         texts = raw_texts(column)
-        return {"score": score(shared.value, term_counts(texts)) if texts else []}
+        blocks = [texts[at : at + BLOCK_ROWS] for at in range(0, len(texts), BLOCK_ROWS)]
+        return {"score": np.concatenate([score(shared.value, term_counts(b)) for b in blocks]) if blocks else []}
 
     scored = annotate(docs, "text", FIELDS, lambda: kernel)
     return scored.withColumns({"held_out": held_out(F.col("doc_id")), "predicted": (F.col("score") >= THRESHOLD).cast("int")})

@@ -203,3 +203,32 @@ def test_all_operators_are_registered():
     names = entry.queries()
     assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
     assert set(ORACLES) <= set(entry.oracle_sql())
+
+
+def test_quality_is_a_plain_cosine_vote(spark):
+    docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
+    counts, marks = quality.labelled_sample(docs, labels)
+    rows = sorted((r["doc_id"], r["text"], r["score"]) for r in quality.score_quality(docs, labels).select("doc_id", "text", "score").collect())
+    own = np.array([quality.term_counts([(t or "").encode()])[0] for _, t, _ in rows], float)
+    known = counts[0 : len(counts)].astype(float)
+    rarity = np.log((1 + len(known)) / (1 + (known > 0).sum(axis=0))) + 1
+
+    def unit(x):
+        length = np.sqrt((x * x).sum(axis=1, keepdims=True))
+        return np.where(length > 1e-12, x / np.maximum(length, 1e-12), 0)
+
+    known, own = unit(np.log1p(known) * rarity), unit(np.log1p(own) * rarity)
+    basis = np.linalg.svd(known, full_matrices=False)[2][: quality.DIMENSIONS].T  # the exact leading directions
+    near = unit(own @ basis) @ unit(known @ basis).T
+    for (_, _, got), cosines in zip(rows, near):
+        best = np.argsort(-cosines)[: quality.NEIGHBOURS]
+        weight = np.maximum(cosines[best], 0)
+        want = float((weight * marks[best]).sum() / weight.sum()) if weight.sum() > 0 else quality.UNKNOWN
+        assert abs(got - want) < 1e-3
+
+
+def test_leading_directions_of_few_rows():
+    rows = np.eye(5, quality.TERMS, dtype=np.float32) * np.arange(1, 6, dtype=np.float32)[:, None]
+    basis = quality.leading_directions(rows.T @ rows, quality.DIMENSIONS)
+    assert np.allclose(basis.T @ basis, np.eye(quality.DIMENSIONS), atol=1e-5)
+    assert np.allclose(np.abs(basis[:5, :5]), np.eye(5)[::-1], atol=1e-5)
