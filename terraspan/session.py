@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,21 +68,72 @@ def scratch_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_scopes = threading.local()  # folders to delete, per thread and open scope
+_writes_lock = threading.Lock()
+_writes: dict[int, list] = {}  # per session: writes under way and the setting before them
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """Name of a new folder in the scratch area, deleted with the innermost open scope or when the application ends."""
+    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    open_ = getattr(_scopes, "stack", [])
+    if open_:
+        open_[-1].append(path)
+    else:
+        system, target = _located(spark, path)
+        system.deleteOnExit(target)
+    return path
+
+
+def _located(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end of the block what :func:`materialize` and :func:`scratch_folder` made in it, in this thread.
+
+    Frames made inside must not be read afterwards. A stream opens one for each micro-batch,
+    so that its scratch does not grow with the time it runs.
+    """
+    if not hasattr(_scopes, "stack"):
+        _scopes.stack = []
+    _scopes.stack.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.stack.pop():
+            system, target = _located(spark, path)
+            system.delete(target, True)
+
+
+@contextmanager
+def _shuffle_files_freed(spark: SparkSession) -> Iterator[None]:
+    """Free the shuffle files of the writes inside as soon as they are done; safe for several threads of a session."""
+    key = id(spark._jsparkSession)
+    with _writes_lock:
+        state = _writes.setdefault(key, [0, spark.conf.get(CLEANUP)])
+        state[0] += 1
+        spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _writes_lock:
+            state[0] -= 1
+            if not state[0]:
+                spark.conf.set(CLEANUP, _writes.pop(key)[1])
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet in the scratch area and read it back.
 
     The result has no lineage, survives executor loss and can be read several
     times with column pruning; values such as row positions are fixed by the write.
-    The files are deleted when the application ends.
+    The files are deleted with the innermost open scope or when the application ends.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")  # nothing reads the shuffle files of this write again
-    try:
+    path = scratch_folder(spark)
+    with _shuffle_files_freed(spark):  # nothing reads them again
         df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
