@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cross_polytope, decontaminate, html_text, mixing, pii, probminhash, quality, secret_scan, suffix_dedup, token_counts
+from . import cross_polytope, decontaminate, filter_audit, html_text, kneser_ney, mixing, pii, probminhash, quality, secret_scan, suffix_dedup, token_counts, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -99,3 +99,19 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_mixing", mixing.mix_sql())
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.select_mix(table(spark, folder, "documents", "doc_id", "text", "lang", "source"))
+
+
+@query("op11_whitening")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened_components(table(spark, folder, "embeddings", "vec_id", "embedding"))
+
+
+@query("op12_perplexity")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return kneser_ney.score_documents(table(spark, folder, "documents", "doc_id", "text")).drop("text")
+
+
+@query("op13_filter_audit", filter_audit.audit_sql())
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents", "doc_id", "text", "source"), table(spark, folder, "labels", "doc_id", "quality", "toxic")
+    return filter_audit.audit_filters(docs, labels)
