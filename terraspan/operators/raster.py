@@ -20,6 +20,8 @@ COLUMN_BLOCK = 32
 BAND_ROWS = 128
 PACK_RUNS = 50_000
 MIN_PART_PIXELS = 64
+# Rings of more corners are simplified in rounds over rows, shorter ones inside a task.
+RING_GROUP = 100_000
 
 
 def tile_pixels(tiles: DataFrame, tile_height: int, tile_width: int) -> DataFrame:
@@ -208,79 +210,233 @@ def component_areas(components: DataFrame, px_x: float = 1.0, px_y: float = 1.0)
     )
 
 
-def component_outlines(components: DataFrame, kept: DataFrame, tolerance: float = 0.0) -> DataFrame:
+def _corner(y: Column, x: Column, turn: Column | int = 0) -> Column:
+    """Number of a corner: by row, then column, then which of the two that meet where pixels touch in a point only."""
+    return F.shiftleft(y.cast("bigint"), 33) + F.shiftleft(x.cast("bigint"), 1) + turn
+
+
+def boundary_corners(components: DataFrame) -> DataFrame:
+    """Corners of the boundaries of all components as (asset_id, component, node, succ), the component on the right.
+
+    Each run adds its two ends to the grid line above it and the one below it; where the ends
+    of both sides meet, the boundary goes straight on. What is left are corners. Their
+    walls end at the next corner in the same column, their edges at the next one in the same
+    line, so a task holds one raster line or column of a component at a time. Where two pixels
+    meet in a corner only, the boundary goes on along the outside.
+    """
+    line = ["asset_id", "component", "y"]
+    row, left, right = F.col("row").cast("bigint"), F.col("first_col").cast("bigint"), F.col("last_col").cast("bigint") + 1
+    ends = components.select("asset_id", "component", F.explode(F.array(*[
+        F.struct(y.alias("y"), x.alias("x"), F.lit(above).alias("above"), F.lit(below).alias("below"))
+        for y, x, above, below in ((row, left, 0, 1), (row, right, 0, -1), (row + 1, left, 1, 0), (row + 1, right, -1, 0))
+    ])).alias("_e")).select("asset_id", "component", "_e.*")
+    # +1 where the component starts to the right of the point, -1 where it ends, above and below the line
+    points = ends.repartition(*line).groupBy(*line, "x").agg(F.sum("above").alias("above"), F.sum("below").alias("below")).filter("above <> below")
+    points = points.withColumn("_pinch", (F.col("above") * F.col("below") == -1).cast("int"))
+    along = Window.partitionBy(*line).orderBy("x")
+    upto = along.rowsBetween(Window.unboundedPreceding, 0)
+    lined = points.select(
+        "*", F.lead("x").over(along).alias("_right"), F.lag("x").over(along).alias("_left"), F.lag("_pinch").over(along).alias("_left_pinch"),
+        F.sum(F.col("below") - F.col("above")).over(upto).alias("_side"),  # to the right of the point: 1 inside below only, -1 above only
+    )
+    down = Window.partitionBy("asset_id", "component", "x").orderBy("y")
+    walled = lined.select("*", F.lead("y").over(down).alias("_down"), F.lag("y").over(down).alias("_up"), F.lag("_pinch").over(down).alias("_up_pinch"))
+    # the corner reached in each direction; only on the way left and up can it be the second one of a pair
+    east, west = _corner(F.col("y"), F.col("_right")), _corner(F.col("y"), F.col("_left"), F.col("_left_pinch"))
+    south, north = _corner(F.col("_down"), F.col("x")), _corner(F.col("_up"), F.col("x"), F.col("_up_pinch"))
+    before = F.col("_side") - F.col("below") + F.col("above")
+    only = F.when(F.col("_side") == 1, east).when(before == -1, west).when(F.col("above") == 1, north).otherwise(south)
+    ways = F.when((F.col("above") == -1) & (F.col("below") == 1), F.array(east, west)).when(
+        (F.col("above") == 1) & (F.col("below") == -1), F.array(north, south)
+    ).otherwise(F.array(only))
+    return walled.select("asset_id", "component", "y", "x", F.posexplode(ways).alias("_turn", "succ")).select(
+        "asset_id", "component", _corner(F.col("y"), F.col("x"), F.col("_turn")).alias("node"), "succ"
+    )
+
+
+def _halved(step: np.ndarray, *folded: tuple[np.ndarray, np.ufunc]) -> list[np.ndarray]:
+    """Pointer doubling: ``step`` after so many jumps that every chain has ended, each array folded along the way."""
+    values = [v.copy() for v, _ in folded]
+    for _ in range(max(1, len(step)).bit_length()):
+        values = [fold(v, v[step]) for v, (_, fold) in zip(values, folded)]
+        step = step[step]
+    return [step, *values]
+
+
+def _chain_pack(corners: pd.DataFrame, band: int) -> pd.DataFrame:
+    """Chains of the corners of whole bands: for each corner its chain's first corner, its place in it and, at its end, where it goes on."""
+    corners = corners.assign(_part=corners.groupby(["asset_id", "component"], sort=False, dropna=False).ngroup())
+    corners = corners.sort_values(["_part", "node"], ignore_index=True)
+    node, succ = corners["node"].to_numpy(np.int64), corners["succ"].to_numpy(np.int64)
+    part = corners["_part"].to_numpy(np.int64)
+    inside = pd.MultiIndex.from_arrays([part, node]).get_indexer(pd.MultiIndex.from_arrays([part, succ]))
+    inside = np.where((node >> 33) // band == (succ >> 33) // band, inside, -1)
+    at = np.arange(len(node))
+    # a ring that never leaves the band starts at its smallest corner
+    end, low = _halved(np.where(inside < 0, at, inside), (at, np.minimum))
+    closed = inside[end] >= 0
+    back = at.copy()
+    follows = np.flatnonzero(inside >= 0)
+    back[inside[follows]] = follows
+    back = np.where(closed & (low == at), at, back)
+    head, place = _halved(back, ((back != at).astype(np.int64), np.add))
+    corners["chain"], corners["place"] = node[head], place
+    corners["onward"] = pd.array(np.where(inside < 0, succ, 0), dtype="Int64")
+    corners.loc[inside >= 0, "onward"] = pd.NA
+    return corners[["asset_id", "component", "node", "chain", "place", "onward"]]
+
+
+def outline_corners(corners: DataFrame, band: int = BAND_ROWS) -> DataFrame:
+    """Corners of the outer ring of each component (asset_id, component, ordinal, x, y), clockwise from its first pixel.
+
+    List ranking: the chains inside bands of rows are found in the tasks, in packs of bounded
+    size. Chains that go on in another band are ranked by pointer doubling: each round joins
+    every chain with the one it points to, so rings of any length take a number of rounds
+    that grows with the logarithm of their chains. No task holds a ring, and rings around
+    holes are left out before their corners are numbered.
+    """
+    kind = corners.schema["asset_id"].dataType.simpleString()
+    keys = ["asset_id", "component"]
+    corners = materialize(corners)
+    packs = max(1, -(-corners.count() // PACK_RUNS))
+    pack = F.pmod(F.xxhash64(*keys, F.floor(F.shiftright("node", 33) / band)), F.lit(packs))
+    schema = f"asset_id {kind}, component BIGINT, node BIGINT, chain BIGINT, place BIGINT, onward BIGINT"
+    chained = materialize(corners.withColumn("_pack", pack).groupBy("_pack").applyInPandas(lambda g: _chain_pack(g.drop(columns="_pack"), band), schema))
+    chains = chained.groupBy(*keys, "chain").agg(F.count(F.lit(1)).alias("length"), F.min("node").alias("low"), F.max("onward").alias("onward"))
+    # the component's first pixel is at the smallest corner of its outer ring
+    start = F.shiftleft(F.shiftright("component", 32), 33) + F.shiftleft(F.col("component").bitwiseAND(F.lit((1 << 32) - 1)), 1)
+    ranked = _ranked_chains(materialize(chains), start)
+    first = chained.filter(F.col("node") == start).select(*keys, F.col("place").alias("_offset"))
+    placed = chained.join(ranked, [*keys, "chain"]).join(first, keys)
+    node = F.col("node")
+    return placed.select(
+        *keys, F.pmod(F.col("before") + F.col("place") - F.col("_offset"), F.col("total")).alias("ordinal"),
+        F.shiftright(node.bitwiseAND(F.lit((1 << 33) - 1)), 1).alias("x"), F.shiftright(node, 33).alias("y"),
+    )
+
+
+def _ranked_chains(chains: DataFrame, start: Column) -> DataFrame:
+    """(asset_id, component, chain, before, total): corners of the outer ring before a chain and in all."""
+    keys = ["asset_id", "component"]
+    whole = chains.filter("onward IS NULL").filter(F.col("low") == start).select(*keys, "chain", F.lit(0).cast("long").alias("before"), F.col("length").alias("total"))
+    open_ = chains.filter("onward IS NOT NULL")
+    if open_.isEmpty():
+        return whole
+    # smallest corner of each ring
+    state = open_.select(*keys, "chain", "low", F.col("onward").alias("jump"))
+    while True:
+        ahead = state.select(*keys, F.col("chain").alias("jump"), F.col("low").alias("_low"), F.col("jump").alias("_jump"))
+        state = materialize(state.join(ahead, [*keys, "jump"]).select(
+            *keys, "chain", F.least("low", "_low").alias("low"), F.col("_jump").alias("jump"), (F.col("_low") < F.col("low")).alias("_lower")
+        ))
+        if state.filter("_lower").isEmpty():
+            break
+        state = state.drop("_lower")
+    outer = open_.join(state.filter(F.col("low") == start).select(*keys, "chain"), [*keys, "chain"], "left_semi")
+    # corners from each chain to the end of the ring, which is cut before the chain with that corner
+    ends = F.col("low") == start
+    firsts = outer.filter(ends).select(*keys, F.col("chain").alias("_head"))
+    state = outer.join(firsts, keys).select(
+        *keys, "chain", "_head", F.col("length").alias("rest"), F.when(F.col("onward") != F.col("_head"), F.col("onward")).alias("jump")
+    )
+    while True:
+        ahead = state.select(*keys, F.col("chain").alias("jump"), F.col("rest").alias("_rest"), F.col("jump").alias("_jump"))
+        state = materialize(state.join(ahead, [*keys, "jump"], "left").select(
+            *keys, "chain", "_head", (F.col("rest") + F.coalesce("_rest", F.lit(0))).alias("rest"), F.col("_jump").alias("jump")
+        ))
+        if state.filter("jump IS NOT NULL").isEmpty():
+            break
+    totals = state.filter("chain = _head").select(*keys, F.col("rest").alias("total"))
+    return whole.unionByName(state.join(totals, keys).select(*keys, "chain", (F.col("total") - F.col("rest")).alias("before"), "total"))
+
+
+def simplified_corners(corners: DataFrame, tolerance: float, group: int = RING_GROUP) -> DataFrame:
+    """Corners of :func:`outline_corners` without those within ``tolerance`` of the line between kept ones.
+
+    The first corner and the one farthest from it stay; of the corners between two kept ones
+    the farthest from their line stays if it is beyond the tolerance, and so on. Rings that
+    would keep fewer than three corners stay whole. Rings of up to ``group`` corners are worked
+    on in packs; in longer ones a round decides one corner of every piece, all pieces at once.
+    """
+    kind = corners.schema["asset_id"].dataType.simpleString()
+    keys = ["asset_id", "component"]
+    corners = materialize(corners)
+    sizes = corners.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    sized = corners.join(sizes, keys)
+    packs = max(1, -(-corners.count() // PACK_RUNS))
+    schema = f"asset_id {kind}, component BIGINT, ordinal BIGINT, x BIGINT, y BIGINT"
+
+    def simplify(pack: pd.DataFrame) -> pd.DataFrame:
+        pack = pack.sort_values([*keys, "ordinal"], ignore_index=True)
+        kept = []
+        for rows in pack.groupby(keys, sort=False, dropna=False).indices.values():
+            ring = pack.loc[rows, ["x", "y"]].to_numpy(np.int64)
+            kept.append(rows[_kept_corners(np.vstack([ring, ring[:1]]), tolerance)])
+        return pack.loc[np.concatenate(kept), [*keys, "ordinal", "x", "y"]]
+
+    pack = F.pmod(F.xxhash64(*keys), F.lit(packs))
+    short = sized.filter(F.col("_n") <= group).drop("_n").withColumn("_pack", pack).groupBy("_pack").applyInPandas(simplify, schema)
+    long_rings = sized.filter(F.col("_n") > group)
+    return short if long_rings.isEmpty() else short.unionByName(_simplified_rounds(materialize(long_rings), tolerance))
+
+
+def _simplified_rounds(corners: DataFrame, tolerance: float) -> DataFrame:
+    """Simplification of long rings (asset_id, component, ordinal, x, y, _n), one corner of every piece a round."""
+    keys = ["asset_id", "component"]
+    piece = [*keys, "_a", "_b"]
+    order, far = F.col("ordinal"), F.hypot(F.col("x") - F.col("_x0"), F.col("y") - F.col("_y0"))
+    first = corners.filter("ordinal = 0").select(*keys, F.col("x").alias("_x0"), F.col("y").alias("_y0"))
+    at = F.struct("ordinal", "x", "y")
+    farthest = corners.join(first, keys).groupBy(*keys, "_n", "_x0", "_y0").agg(F.max_by(at, F.struct(far, -order)).alias("_k"))
+    ends = farthest.select(*keys, F.struct(F.lit(0).cast("long").alias("ordinal"), F.col("_x0").alias("x"), F.col("_y0").alias("y")).alias("_p"), "_k",
+                           F.struct(F.col("_n").alias("ordinal"), F.col("_x0").alias("x"), F.col("_y0").alias("y")).alias("_q"))
+    kept = [ends.select(*keys, "_p.*"), ends.select(*keys, "_k.*")]
+    columns = [*keys, "ordinal", "x", "y"]
+    early = order < F.col("_k.ordinal")
+
+    def cut(rows: DataFrame, ends: DataFrame, on: list[str]) -> DataFrame:
+        """Corners between new ends, with the piece they are in."""
+        return rows.join(ends, on).filter(order != F.col("_k.ordinal")).select(
+            *columns, F.when(early, F.col("_p")).otherwise(F.col("_k")).alias("_a"), F.when(early, F.col("_k")).otherwise(F.col("_q")).alias("_b")
+        )
+
+    rows = materialize(cut(corners.filter("ordinal > 0").select(*columns), ends, keys))
+    dx, dy = F.col("_b.x") - F.col("_a.x"), F.col("_b.y") - F.col("_a.y")
+    px, py = F.col("x") - F.col("_a.x"), F.col("y") - F.col("_a.y")
+    length = F.hypot(dx, dy)
+    away = F.when(length > 0, F.abs(px * dy - py * dx) / length).otherwise(F.hypot(px, py))
+    while not rows.isEmpty():
+        best = rows.groupBy(*piece).agg(F.max_by(F.struct(at.alias("at"), away.alias("away")), F.struct(away, -order)).alias("_best"))
+        splits = materialize(best.filter(F.col("_best.away") > tolerance).select(*piece, F.col("_best.at").alias("_k")))
+        kept.append(splits.select(*keys, "_k.*"))
+        rows = materialize(cut(rows, splits.select(*piece, F.col("_a").alias("_p"), "_k", F.col("_b").alias("_q")), piece))
+    out = kept[0]
+    for more in kept[1:]:
+        out = out.unionByName(more)
+    thin = out.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n < 3").select(*keys)
+    return out.join(thin, keys, "left_anti").unionByName(corners.select(*columns).join(thin, keys, "left_semi"))
+
+
+def component_outlines(components: DataFrame, kept: DataFrame, tolerance: float = 0.0, band: int = BAND_ROWS) -> DataFrame:
     """Outer ring of each kept component in pixel corners, holes dropped, clockwise from its first pixel.
 
     The ring follows the sides that the component shares with no pixel of its own, so
     parts that are concave in any direction come out exactly. Above a ``tolerance`` in
     pixels, corners closer than that to the line between their neighbours are left out.
-    A component is traced in one task; it is bounded by the raster's own size.
+    The corners of a ring meet in one row only here, where they become its value.
     """
-    kind = components.schema["asset_id"].dataType.simpleString()
     runs = components.join(kept.select("asset_id", "component"), ["asset_id", "component"], "left_semi")
-    runs = runs.select("asset_id", "component", "row", "first_col", "last_col")
-
-    def trace(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["row", "first_col"])
-        ring = _shell(*(group[c].to_numpy(np.int64) for c in ("row", "first_col", "last_col")))
-        ring = _simplified(ring, tolerance) if tolerance > 0 else ring
-        return pd.DataFrame({"asset_id": group["asset_id"].iloc[:1].to_numpy(), "component": group["component"].iloc[:1].to_numpy(), "ring": [ring.astype(float).tolist()]})
-
-    return runs.groupBy("asset_id", "component").applyInPandas(trace, f"asset_id {kind}, component BIGINT, ring ARRAY<ARRAY<DOUBLE>>")
-
-
-def _sides(row: np.ndarray, first: np.ndarray, last: np.ndarray) -> dict[tuple[int, int], list[tuple[int, int]]]:
-    """Sides between the component and the rest as start to ends, the component on the right."""
-    out: dict[tuple[int, int], list[tuple[int, int]]] = {}
-
-    def add(x0: int, y0: int, x1: int, y1: int) -> None:
-        out.setdefault((x0, y0), []).append((x1, y1))
-
-    spans: dict[int, list[tuple[int, int]]] = {}
-    for y, a, b in zip(row.tolist(), first.tolist(), (last + 1).tolist()):
-        spans.setdefault(y, []).append((a, b))
-        add(b, y, b, y + 1)
-        add(a, y + 1, a, y)
-    for y in sorted({*spans, *(y + 1 for y in spans)}):
-        above, below = spans.get(y - 1, []), spans.get(y, [])
-        turns = sorted([(x, 0, d) for a, b in above for x, d in ((a, 1), (b, -1))] + [(x, 1, d) for a, b in below for x, d in ((a, 1), (b, -1))])
-        inside, x = [0, 0], 0
-        for at, which, change in turns:
-            if at > x and inside[0] != inside[1]:
-                if inside[1]:
-                    add(x, y, at, y)
-                else:
-                    add(at, y, x, y)
-            inside[which] += change
-            x = at
-    return out
-
-
-def _shell(row: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Closed outer ring of a component given by its sorted runs.
-
-    Where two pixels meet in a corner only, the ring goes on along the outside, so that it
-    never runs into a hole.
-    """
-    sides = _sides(row, first, last)
-    start = here = (int(first[0]), int(row[0]))
-    dx, dy, ring = 1, 0, [start]
-    while True:
-        ends = {(int(np.sign(x - here[0])), int(np.sign(y - here[1]))): (x, y) for x, y in sides[here]}
-        turn = next(d for d in ((dy, -dx), (dx, dy), (-dy, dx)) if d in ends)
-        if turn == (dx, dy) and len(ring) > 1:
-            ring.pop()
-        dx, dy = turn
-        here = ends[turn]
-        ring.append(here)
-        if here == start:
-            return np.array(ring)
-
-
-def _simplified(ring: np.ndarray, tolerance: float) -> np.ndarray:
-    """The ring without corners that lie within ``tolerance`` of the line between kept ones; at least four corners."""
+    corners = outline_corners(boundary_corners(runs), band)
+    corners = simplified_corners(corners, tolerance) if tolerance > 0 else corners
+    rings = corners.groupBy("asset_id", "component").agg(F.sort_array(F.collect_list(F.struct("ordinal", "x", "y"))).alias("_ring"))
+    ring = F.transform("_ring", lambda p: F.array(p["x"].cast("double"), p["y"].cast("double")))
+    return rings.select("asset_id", "component", F.concat(ring, F.slice(ring, 1, 1)).alias("ring"))
+
+
+def _kept_corners(ring: np.ndarray, tolerance: float) -> np.ndarray:
+    """Places of the corners of a closed ring that are beyond ``tolerance`` of the line between kept ones; at least three."""
     far = int(np.argmax(((ring - ring[0]) ** 2).sum(axis=1)))
-    keep = {0, far, len(ring) - 1}
+    keep = {0, far}
     stack = [(0, far), (far, len(ring) - 1)]
     while stack:
         a, b = stack.pop()
@@ -294,7 +450,7 @@ def _simplified(ring: np.ndarray, tolerance: float) -> np.ndarray:
         if away[k] > tolerance:
             keep.add(a + 1 + k)
             stack += [(a, a + 1 + k), (a + 1 + k, b)]
-    return ring[sorted(keep)] if len(keep) >= 4 else ring
+    return np.array(sorted(keep)) if len(keep) >= 3 else np.arange(len(ring) - 1)
 
 
 def footprint_parts(outlines: DataFrame, grids: DataFrame) -> DataFrame:

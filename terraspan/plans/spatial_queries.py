@@ -398,6 +398,48 @@ def c02_lonlat(v: Views):
     )
 
 
+# Sides of the filled parts with the part on the right, each with the side it goes on with (outside first), walked from the first pixel.
+SIMPLIFIED_SQL = SHELL_SQL + """,
+    side AS (SELECT f.asset_id, f.component, f.x + d.x0 AS x0, f.y + d.y0 AS y0, f.x + d.x1 AS x1, f.y + d.y1 AS y1, d.heading
+             FROM filled f, (VALUES (0, -1, 0, 0, 1, 0, 0), (1, 0, 1, 0, 1, 1, 1), (0, 1, 1, 1, 0, 1, 2), (-1, 0, 0, 1, 0, 0, 3)) d(ox, oy, x0, y0, x1, y1, heading)
+             JOIN outside o ON o.asset_id = f.asset_id AND o.component = f.component AND o.x = f.x + d.ox AND o.y = f.y + d.oy),
+    follows AS (SELECT a.asset_id, a.component, a.x0, a.y0, a.heading, b.x0 AS nx, b.y0 AS ny, b.heading AS nh FROM side a
+                JOIN side b ON a.asset_id = b.asset_id AND a.component = b.component AND b.x0 = a.x1 AND b.y0 = a.y1 AND (b.heading - a.heading + 4) % 4 <> 2
+                QUALIFY row_number() OVER (PARTITION BY a.asset_id, a.component, a.x0, a.y0, a.heading ORDER BY (b.heading - a.heading + 5) % 4) = 1),
+    walk AS (SELECT asset_id, component, CAST(component % 4294967296 AS INTEGER) AS x, CAST(component // 4294967296 AS INTEGER) AS y, 0 AS heading, 0 AS step FROM kept UNION ALL
+             SELECT w.asset_id, w.component, f.nx, f.ny, f.nh, w.step + 1 FROM walk w JOIN follows f
+             ON f.asset_id = w.asset_id AND f.component = w.component AND f.x0 = w.x AND f.y0 = w.y AND f.heading = w.heading
+             WHERE NOT (f.nh = 0 AND f.nx = w.component % 4294967296 AND f.ny = w.component // 4294967296)),
+    bend AS (SELECT *, lag(heading) OVER (PARTITION BY asset_id, component ORDER BY step) AS came FROM walk),
+    ring AS (SELECT asset_id, component, x, y, row_number() OVER (PARTITION BY asset_id, component ORDER BY step) - 1 AS i FROM bend WHERE came IS NULL OR came <> heading),
+    size AS (SELECT asset_id, component, count(*) AS n FROM ring GROUP BY ALL),
+    closed AS (SELECT * FROM ring UNION ALL SELECT r.asset_id, r.component, r.x, r.y, s.n FROM ring r JOIN size s USING (asset_id, component) WHERE r.i = 0),
+    far AS (SELECT r.asset_id, r.component, r.i, s.n FROM ring r JOIN size s USING (asset_id, component) JOIN ring z USING (asset_id, component) WHERE z.i = 0
+            QUALIFY row_number() OVER (PARTITION BY r.asset_id, r.component ORDER BY (r.x - z.x) ** 2 + (r.y - z.y) ** 2 DESC, r.i) = 1),
+    piece AS (SELECT asset_id, component, 0 AS a, i AS b FROM far UNION ALL SELECT asset_id, component, i, n FROM far UNION ALL
+              SELECT asset_id, component, unnest([a, k]), unnest([k, b]) FROM (
+                SELECT asset_id, component, a, b, arg_max(i, (away, -i)) AS k, max(away) AS most FROM (
+                  SELECT p.asset_id, p.component, p.a, p.b, v.i, CASE WHEN e.x = s.x AND e.y = s.y THEN sqrt((v.x - s.x) ** 2 + (v.y - s.y) ** 2)
+                    ELSE abs((v.x - s.x) * (e.y - s.y) - (v.y - s.y) * (e.x - s.x)) / sqrt((e.x - s.x) ** 2 + (e.y - s.y) ** 2) END AS away
+                  FROM piece p JOIN closed s ON s.asset_id = p.asset_id AND s.component = p.component AND s.i = p.a
+                  JOIN closed e ON e.asset_id = p.asset_id AND e.component = p.component AND e.i = p.b
+                  JOIN ring v ON v.asset_id = p.asset_id AND v.component = p.component AND v.i > p.a AND v.i < p.b) GROUP BY ALL) WHERE most > 1.5),
+    stays AS (SELECT DISTINCT asset_id, component, a AS i FROM piece),
+    enough AS (SELECT asset_id, component FROM stays GROUP BY ALL HAVING count(*) >= 3)"""
+
+
+@query("c02_simplified_vertices", """
+    SELECT r.asset_id, r.component, r.x::DOUBLE AS x, r.y::DOUBLE AS y, row_number() OVER (PARTITION BY r.asset_id, r.component ORDER BY r.i) - 1 AS place
+    FROM ring r LEFT JOIN stays s USING (asset_id, component, i) LEFT JOIN enough e USING (asset_id, component)
+    WHERE s.i IS NOT NULL OR e.component IS NULL""", "v_pixel_runs", recursive=SIMPLIFIED_SQL)
+def c02_simplified(v: Views):
+    """Every corner that a tolerance of one and a half pixels leaves."""
+    components = raster.connected_components(raster.pixel_runs(v.pixels()))
+    outlines = raster.component_outlines(components, raster.component_areas(components), tolerance=1.5)
+    corners = outlines.select("asset_id", "component", F.posexplode(F.slice("ring", 1, F.size("ring") - 1)).alias("_at", "_p"))
+    return corners.select("asset_id", "component", F.col("_p")[0].alias("x"), F.col("_p")[1].alias("y"), F.col("_at").cast("long").alias("place"))
+
+
 _MASK = "(VALUES " + ", ".join(f"('{c}', {r}, {g}, {b}, {a})" for c, _, r, g, b, a in MASK_CLASSES) + ") m(pixel_class, red, green, blue, alpha)"
 
 

@@ -77,6 +77,77 @@ def test_hole_is_dropped_from_the_outline(spark):
     assert {tuple(p) for p in shape["coordinates"][0]} == {(-101.0, 41.0), (-100.95, 41.0), (-100.95, 40.95), (-101.0, 40.95)}
 
 
+def traced(part):
+    """Corners of the outer ring of a set of pixels, walked side by side with the part on the right."""
+    row, col = min(part)
+    at, (dx, dy), ring = (col, row), (1, 0), []
+    own = lambda x, y: (y, x) in part
+
+    def side(x, y, dx, dy):
+        """Whether the side from (x, y) in this direction has the part on its right only."""
+        right = {(1, 0): (0, 0), (-1, 0): (-1, -1), (0, 1): (-1, 0), (0, -1): (0, -1)}[dx, dy]
+        left = {(1, 0): (0, -1), (-1, 0): (-1, 0), (0, 1): (0, 0), (0, -1): (-1, -1)}[dx, dy]
+        return own(x + right[0], y + right[1]) and not own(x + left[0], y + left[1])
+
+    while True:
+        turn = next(d for d in ((dy, -dx), (dx, dy), (-dy, dx)) if side(*at, *d))
+        if turn != (dx, dy) or not ring:
+            if ring and at == ring[0] and turn == (1, 0):
+                return ring
+            ring.append(at)
+        dx, dy = turn
+        at = (at[0] + dx, at[1] + dy)
+
+
+def outlines(spark, grids, tolerance=0.0, band=128, every=True):
+    comps = raster.connected_components(raster.pixel_runs(pixels(spark, grids)))
+    kept = comps.select("asset_id", "component").distinct() if every else raster.component_areas(comps)
+    out = {}
+    for r in raster.component_outlines(comps, kept, tolerance, band).collect():
+        assert r["ring"][0] == r["ring"][-1]
+        out.setdefault(r["asset_id"], []).append([(int(x), int(y)) for x, y in r["ring"][:-1]])
+    return {a: sorted(rings) for a, rings in out.items()}
+
+
+def test_outlines_match_a_walk_along_the_sides(spark, monkeypatch):
+    random.seed(5)
+    grids = {f"r{i}": [[random.random() < share for _ in range(23)] for _ in range(17)] for i, share in enumerate((0.3, 0.5, 0.6, 0.7, 0.85))}
+    grids["touch"] = [[1, 0, 1, 0], [1, 1, 0, 1], [0, 1, 1, 1], [1, 0, 1, 0]]
+    grids["ring"] = [[1] * 9 if r in (0, 8) else [1, *[0] * 7, 1] for r in range(9)]
+    grids["dot"] = [[0, 0], [0, 1]]
+    want = {a: sorted(traced(p) for p in flood(g)) for a, g in grids.items()}
+    for band, pack in ((1, 50), (3, 50_000), (128, 40)):
+        monkeypatch.setattr(raster, "PACK_RUNS", pack)
+        assert outlines(spark, grids, band=band) == want
+
+
+def comb(teeth, height):
+    """One part whose outline goes up and down at every tooth."""
+    return [[1 if r == height - 1 or c % 2 == 0 else 0 for c in range(2 * teeth - 1)] for r in range(height)]
+
+
+def test_a_long_ring_is_ranked_in_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(raster, "PACK_RUNS", 100)
+    grid = comb(150, 6)
+    corners = raster.boundary_corners(raster.connected_components(raster.pixel_runs(pixels(spark, {"c": grid}))))
+    seen = []
+    monkeypatch.setattr(raster, "_ranked_chains", lambda chains, start, real=raster._ranked_chains: (seen.append(chains.filter("onward is not null").count()), real(chains, start))[1])
+    rows = raster.outline_corners(corners, 1).orderBy("ordinal").collect()
+    assert [(r["x"], r["y"]) for r in rows] == traced(next(iter(flood(grid)))) and [r["ordinal"] for r in rows] == list(range(len(rows)))
+    assert seen[0] > 100  # hundreds of chains, none of them in a task with all others
+
+
+def test_simplified_outlines_are_the_same_by_packs_and_by_rounds(spark, monkeypatch):
+    random.seed(6)
+    grids = {f"s{i}": [[random.random() < 0.75 for _ in range(19)] for _ in range(15)] for i in range(3)} | {"comb": comb(12, 5), "dot": [[1]]}
+    exact = outlines(spark, grids)
+    local = outlines(spark, grids, tolerance=1.5)
+    monkeypatch.setattr(raster.simplified_corners, "__defaults__", (3,))
+    assert outlines(spark, grids, tolerance=1.5) == local
+    want = {a: sorted([ring[k] for k in raster._kept_corners(np.array([*ring, ring[0]]), 1.5)] for ring in rings) for a, rings in exact.items()}
+    assert local == want and any(len(w) < len(e) for a in want for w, e in zip(want[a], exact[a]))
+
+
 def test_small_parts_are_dropped_but_the_largest_stays(spark):
     grid = [[0] * 24 for _ in range(10)]
     for r in range(8):
@@ -119,23 +190,29 @@ def test_tiles_and_reduction(spark):
     assert raster.downsample_nearest(big, 7, 7, 100).count() == 49
 
 
-def test_shell_of_a_concave_part():
+def shell(spark, runs, tolerance=0.0):
+    """Outer ring of the one component that ``runs`` make up."""
+    frame = spark.createDataFrame([("a", (runs[0][0] << 32) + runs[0][1], *r) for r in runs], "asset_id STRING, component BIGINT, row INT, first_col INT, last_col INT")
+    return np.array(raster.component_outlines(frame, frame, tolerance).first()["ring"]).astype(int)
+
+
+def test_shell_of_a_concave_part(spark):
     mask = ["##....##", "##....##", "##.##.##", "##....##", "########", "###.####"]
     runs = [(y, m.start(), m.end() - 1) for y, line in enumerate(mask) for m in re.finditer("#+", line)]
     own = [r for r in runs if r != (2, 3, 4)]
-    ring = raster._shell(*(np.array(c) for c in zip(*own)))
+    ring = shell(spark, own)
     x, y = ring[:, 0], ring[:, 1]
     assert (ring[0] == ring[-1]).all() and abs((x[:-1] * y[1:] - x[1:] * y[:-1]).sum()) / 2 == sum(b - a + 1 for _, a, b in own)
     straight = ((x[:-2] == x[1:-1]) & (x[1:-1] == x[2:])) | ((y[:-2] == y[1:-1]) & (y[1:-1] == y[2:]))
     assert not straight.any()
-    rough = raster._simplified(ring, 2.0)
+    rough = shell(spark, own, 2.0)
     assert 4 <= len(rough) < len(ring) and (rough[0] == ring[0]).all()
 
 
-def test_shell_leaves_out_a_hole_that_touches_it():
+def test_shell_leaves_out_a_hole_that_touches_it(spark):
     # a hole that meets the outside in one corner only stays a hole
     mask = ["####", "#.##", "##.#"]
     runs = [(y, m.start(), m.end() - 1) for y, line in enumerate(mask) for m in re.finditer("#+", line)]
-    ring = raster._shell(*(np.array(c) for c in zip(*runs)))
+    ring = shell(spark, runs)
     x, y = ring[:, 0], ring[:, 1]
     assert abs((x[:-1] * y[1:] - x[1:] * y[:-1]).sum()) / 2 == 11
