@@ -1,14 +1,17 @@
 """Language-model scores by an interpolated modified Kneser-Ney model of word n-grams.
 
-Counting runs on Spark. Each task counts the trigrams of its texts and sends them in packed
-runs to the shard that their hash falls in, so equal trigrams meet and no shard is larger
-than its share, however common a word may be. A shard adds up its trigrams, stores them
-and passes on what they mean for bigrams: a trigram is one more left neighbour of its last
-two words and one more continuation of its first two. Bigrams do the same for words.
-
-Each shard is stored once, in the folder that the cluster shares: sorted 64-bit hashes, then
-their counts. Workers map these files into memory and look up the n-grams of whole texts in
-sorted batches; discounts are made from the counts of counts that the files begin with.
+Counting runs on Spark. Each task counts the longest n-grams of its texts and sends them in
+packed runs to the shard that their hash falls in, so equal n-grams meet and no shard is
+larger than its share, however common a word may be. A shard adds up its n-grams, stores
+them and passes on what they mean for those of one word less: an n-gram is one more left
+neighbour of its last words and one more continuation of its first ones.
+
+Each shard is stored once, in the folder that the cluster shares: sorted hashes behind an
+index of their leading bits, then the counts, one byte each with the few larger ones listed
+aside. Of hashes of pairs the index and 32 further bits are kept, some 54 bits together, so
+that one unseen pair in a thousand million is taken for a seen one; those of words are kept
+whole. Workers map the files into memory and look up the n-grams of whole texts in sorted
+batches; discounts are made from the counts of counts that the files begin with.
 
 Texts are lower-cased (A-Z) and cut at blanks; a text ends with an end token and is preceded
 by begin marks, which are context but never predicted. A word never seen has the share of
@@ -33,10 +36,10 @@ from ..session import materialize, scratch_folder
 from .batches import annotate, joined, mix, raw_texts, spans_of
 from .words import LOWER, word_hashes
 
-ORDER = 3
+ORDER = 2  # words of the longest n-grams
 HELD_OUT, FOLDS = 2, 7
-SHARD_BYTES = 8_000_000  # bytes of text whose trigrams make up a shard on average
-HELD_ROWS = 1 << 21  # n-grams that a task counts before it sends them on
+SHARD_BYTES = 8_000_000  # bytes of text whose n-grams make up a shard on average
+HELD_ROWS = 3 << 20  # n-grams that a task counts before it sends them on
 SENT_BYTES = 8_000_000  # bytes handed to Spark at once
 FALLBACK = (0.5, 1.0, 1.5)  # discounts where the counts of counts give none
 
@@ -45,12 +48,11 @@ _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 IS_BLANK = np.zeros(256, bool)
 IS_BLANK[[32, 9, 10, 11, 12, 13]] = True
 
-# What is counted of an n-gram, by its length. Words and pairs are known by how many different
-# words come before them (left); as contexts they have followers in all, once, twice and more often.
-VALUES = {3: ("count",), 2: ("left", "count", "total", "once", "twice", "more"), 1: ("left", "count", "total", "once", "twice", "more")}
-STORED = {3: ("count",), 2: ("left", "total", "once", "twice", "more"), 1: ("left", "count", "total", "once", "twice", "more")}
-_KINDS = {3: np.float32, 2: np.float32, 1: np.float64}
-_HEADER = 8  # int64: entries, counts of counts one to four, sum of left, sum of count, entries with a count
+# What is counted of an n-gram. Shorter ones are known by how many different words come before
+# them (left); as contexts they have followers in all, once, twice and more often.
+LONGEST = ("count",)
+SHORTER = ("left", "count", "total", "once", "twice", "more")
+_HEADER = 9  # int64: entries, counts of counts one to four, sum of left, sum of count, entries with a count, bits of the index
 _PACKED = "shard long, packed binary"
 
 FIELDS = T.StructType([
@@ -59,6 +61,10 @@ FIELDS = T.StructType([
 ])
 
 
+def _values(length: int) -> tuple[str, ...]:
+    return LONGEST if length == ORDER else SHORTER
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows never learned from; a row without id is learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
@@ -109,12 +115,12 @@ def _summed(words: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _runs(keys: np.ndarray, words: np.ndarray, values: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
-    """Sorted n-grams cut by shard, each run packed column by column."""
+    """Sorted n-grams cut by shard, each run packed and compressed."""
     shards = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
     edges = np.concatenate([np.flatnonzero(np.diff(shards, prepend=-1)), [len(keys)]])
     held, size = [], 0
     for a, b in zip(edges[:-1], edges[1:]):
-        packed = np.asfortranarray(words[a:b]).tobytes("F") + np.asfortranarray(values[a:b]).tobytes("F")
+        packed = _packed(words[a:b], values[a:b])
         held.append((int(shards[a]), packed))
         size += len(packed)
         if size > SENT_BYTES:
@@ -128,9 +134,19 @@ def _sent(held: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([s for s, _ in held], pa.int64()), pa.array([p for _, p in held], pa.binary())], names=["shard", "packed"])
 
 
+def _packed(words: np.ndarray, values: np.ndarray) -> bytes:
+    """Rows sorted by their words, column after column and in each the bytes of one place together: equal bytes meet."""
+    order = np.lexsort(words.T[::-1])
+    columns = np.concatenate([words[order], values[order].view(np.uint64)], axis=1)
+    planes = np.ascontiguousarray(columns.T).view(np.uint8).reshape(columns.shape[1], len(order), 8).transpose(0, 2, 1)
+    return len(order).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(planes).tobytes(), "zstd", asbytes=True)
+
+
 def _unpacked(packed: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
-    columns = np.frombuffer(packed, np.uint64).reshape(length + len(VALUES[length]), -1)
-    return columns[:length].T, columns[length:].view(np.int64).T
+    columns, n = length + len(_values(length)), int.from_bytes(packed[:8], "little")
+    planes = np.frombuffer(pa.decompress(packed[8:], columns * n * 8, "zstd"), np.uint8).reshape(columns, 8, n)
+    rows = np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.uint64).reshape(columns, n)
+    return rows[:length].T, rows[length:].view(np.int64).T
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
@@ -147,8 +163,8 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes
         yield current, held
 
 
-def count_trigrams(texts: DataFrame, bits: int) -> DataFrame:
-    """Packed runs of the trigrams of a column of texts."""
+def count_ngrams(texts: DataFrame, bits: int) -> DataFrame:
+    """Packed runs of the longest n-grams of a column of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
@@ -156,7 +172,7 @@ def count_trigrams(texts: DataFrame, bits: int) -> DataFrame:
             column = batch.column(0)
             sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64)
             for first, last in spans_of(sizes):
-                held.append(_grams(*tokens(raw_texts(column.slice(first, last - first))), 3))
+                held.append(_grams(*tokens(raw_texts(column.slice(first, last - first))), ORDER))
                 rows += len(held[-1])
                 if rows > HELD_ROWS:
                     yield from _runs(*_summed(words := np.concatenate(held), np.ones((len(words), 1), np.int64)), bits)
@@ -168,11 +184,11 @@ def count_trigrams(texts: DataFrame, bits: int) -> DataFrame:
 
 
 def _passed_on(length: int, words: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What different n-grams mean for those of one word less, as ``VALUES`` of these."""
-    names = VALUES[length]
+    """What different n-grams mean for those of one word less, as ``SHORTER`` of these."""
+    names = _values(length)
     count = values[:, names.index("count")]
-    often = count if length == 3 else values[:, names.index("left")]
-    seen = often > 0  # a pair may be here as a context only, begun by begin marks
+    often = count if length == ORDER else values[:, names.index("left")]
+    seen = often > 0  # begin marks alone are contexts only
     words, count, often = words[seen], count[seen], often[seen]
     zero, one = np.zeros(len(words), np.int64), np.ones(len(words), np.int64)
     as_context = np.stack([zero, zero, often, often == 1, often == 2, often > 2], axis=1)
@@ -192,7 +208,7 @@ def store_shards(runs: DataFrame, length: int, folder: str, bits: int) -> DataFr
             parts = [_unpacked(p, length) for p in packed]
             keys, words, values = _summed(*[np.concatenate([p[i] for p in parts]) for i in range(2)])
             del parts, packed
-            _store(folder, length, shard, keys, values)
+            _store(folder, length, shard, keys, values, _bits(length, bits))
             if length == 1:
                 yield _sent([(shard, b"")])
             else:
@@ -212,65 +228,120 @@ def _file_system(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1)) if "://" in folder else (fs.LocalFileSystem(), folder)
 
 
-def _store(folder: str, length: int, shard: int, keys: np.ndarray, values: np.ndarray) -> None:
-    names = VALUES[length]
-    often = values[:, names.index("left" if length < 3 else "count")]
+def _kept_bits(length: int, bits: int, index: int) -> tuple[int, type]:
+    """How far a hash is shifted before it is stored, and as what."""
+    return (max(0, 32 - bits - index), np.uint32) if length > 1 else (0, np.uint64)
+
+
+def _store(folder: str, length: int, shard: int, keys: np.ndarray, values: np.ndarray, bits: int) -> None:
+    names = _values(length)
+    often = values[:, names.index("left" if length < ORDER else "count")]
+    index = max(0, len(keys).bit_length() - 3)
     header = [len(keys), *[int((often == k).sum()) for k in (1, 2, 3, 4)], int(often.sum())]
-    header += [int(values[:, names.index("count")].sum()), int((often > 0).sum())]
+    header += [int(values[:, names.index("count")].sum()), int((often > 0).sum()), index]
+    shift, kind = _kept_bits(length, bits, index)
+    bucket = _bucket(keys, bits, index)
+    starts = np.searchsorted(bucket, np.arange((1 << index) + 1)).astype(np.uint32)
     system, root = _file_system(folder)
     system.create_dir(f"{root}/{length}", recursive=True)
     target = f"{root}/{length}/{shard}.ngrams"
     made = f"{target}.{uuid.uuid4().hex}"
+    large = [np.flatnonzero(column > 254) for column in values.T]
     with system.open_output_stream(made) as out:
-        out.write(np.array(header, np.int64).tobytes())
-        out.write(keys.tobytes())
-        for name in STORED[length]:
-            out.write(values[:, names.index(name)].astype(_KINDS[length]).tobytes())
+        out.write(np.array([*header, *[len(at) for at in large]], np.int64).tobytes())
+        for at, column in zip(large, values.T):
+            out.write(at.astype(np.int64).tobytes() + column[at].tobytes())
+        out.write((keys >> np.uint64(shift)).astype(kind).tobytes())
+        out.write(starts.tobytes())
+        out.write(np.minimum(values, 255).astype(np.uint8).tobytes("F"))
     system.move(made, target)
 
 
+def _bucket(keys: np.ndarray, bits: int, index: int) -> np.ndarray:
+    """The leading bits of a hash behind those of its shard."""
+    if not index:
+        return np.zeros(len(keys), np.int64)
+    return ((keys << np.uint64(bits)) >> np.uint64(64 - index)).astype(np.int64)
+
+
+class Shard:
+    """One stored file: counts by hash."""
+
+    def __init__(self, buffer: pa.Buffer | None, length: int, bits: int):
+        self.bits, self.columns, self.n = bits, len(_values(length)), 0
+        if buffer is None:
+            return
+        at = 0
+
+        def take(kind: type, count: int) -> np.ndarray:
+            nonlocal at
+            out = np.frombuffer(buffer, kind, count, at)
+            at += out.nbytes
+            return out
+
+        header = take(np.int64, _HEADER)
+        self.n, self.index = int(header[0]), int(header[-1])
+        sizes = take(np.int64, self.columns)
+        self.large = [(take(np.int64, int(m)), take(np.int64, int(m))) for m in sizes]
+        self.shift, kind = _kept_bits(length, bits, self.index)
+        self.keys, self.starts = take(kind, self.n), take(np.uint32, (1 << self.index) + 1)
+        self.values = take(np.uint8, self.columns * self.n).reshape(self.columns, self.n)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Counts of each hash, one row per name; zeros where it is not stored."""
+        if not self.n:
+            return np.zeros((self.columns, len(keys)))
+        wanted = (keys >> np.uint64(self.shift)).astype(self.keys.dtype)
+        bucket = _bucket(keys, self.bits, self.index)
+        low, high = self.starts[bucket].astype(np.int64), self.starts[bucket + 1].astype(np.int64)
+        end = high
+        while (low < high).any():  # all searches halve together; a bucket holds a few hashes
+            middle = (low + high) >> 1
+            open_, less = low < high, self.keys[np.minimum(middle, self.n - 1)] < wanted
+            low, high = np.where(open_ & less, middle + 1, low), np.where(open_ & ~less, middle, high)
+        place = np.minimum(low, self.n - 1)
+        there = (low < end) & (self.keys[place] == wanted)
+        out = np.where(there, self.values[:, place], 0).astype(np.float64)
+        for row, (at, value) in zip(out, self.large):
+            some = np.flatnonzero(row == 255)
+            if len(some):
+                row[some] = value[np.searchsorted(at, place[some])]
+        return out
+
+
 class Table:
     """Stored n-grams of one length, mapped into memory where the file system can."""
 
     def __init__(self, folder: str, length: int, bits: int):
         self.length, self.bits = length, _bits(length, bits)
         self.system, self.root = _file_system(folder)
-        self.shards: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.shards: dict[int, Shard] = {}
 
-    def shard(self, number: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted hashes and values (one row per name in STORED) of a shard; nothing where no n-gram fell into it."""
+    def shard(self, number: int) -> Shard:
+        """A shard, empty where no n-gram fell into it."""
         if number not in self.shards:
-            self.shards[number] = self._mapped(f"{self.root}/{self.length}/{number}.ngrams")
+            self.shards[number] = Shard(self._mapped(f"{self.root}/{self.length}/{number}.ngrams"), self.length, self.bits)
         return self.shards[number]
 
-    def _mapped(self, path: str) -> tuple[np.ndarray, np.ndarray]:
-        kind, names = _KINDS[self.length], STORED[self.length]
+    def _mapped(self, path: str) -> pa.Buffer | None:
         if self.system.get_file_info(path).type == fs.FileType.NotFound:
-            return np.zeros(0, np.uint64), np.zeros((len(names), 0), kind)
+            return None
         if isinstance(self.system, fs.LocalFileSystem):
-            buffer = pa.memory_map(path).read_buffer()
-        else:
-            with self.system.open_input_file(path) as file:
-                buffer = file.read_buffer()
-        n = int(np.frombuffer(buffer, np.int64, 1)[0])
-        keys = np.frombuffer(buffer, np.uint64, n, 8 * _HEADER)
-        return keys, np.frombuffer(buffer, kind, n * len(names), 8 * (_HEADER + n)).reshape(len(names), n)
+            return pa.memory_map(path).read_buffer()
+        with self.system.open_input_file(path) as file:
+            return file.read_buffer()
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Values of each hash, one row per name; zeros where it is not stored."""
+    def find(self, keys: np.ndarray) -> dict[str, np.ndarray]:
+        """Counts of each hash by name; zeros where it is not stored."""
         order = np.argsort(keys)
         sorted_ = keys[order]
-        out = np.zeros((len(STORED[self.length]), len(keys)))
-        found = np.zeros_like(out)
+        names = _values(self.length)
+        out = np.zeros((len(names), len(keys)))
         numbers = (sorted_ >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
         edges = np.concatenate([np.flatnonzero(np.diff(numbers, prepend=-1)), [len(keys)]])
         for a, b in zip(edges[:-1], edges[1:]):
-            known, values = self.shard(int(numbers[a]))
-            if len(known):
-                at = np.minimum(np.searchsorted(known, sorted_[a:b]), len(known) - 1)
-                found[:, a:b] = np.where(known[at] == sorted_[a:b], values[:, at], 0)
-        out[:, order] = found
-        return out
+            out[:, order[a:b]] = self.shard(int(numbers[a])).find(sorted_[a:b])
+        return dict(zip(names, out))
 
 
 def discounts(counts: list[int]) -> np.ndarray:
@@ -297,7 +368,7 @@ class Model:
     vocabulary: int
 
     def scorer(self) -> Scorer:
-        return Scorer(self, {length: Table(self.folder, length, self.bits) for length in (3, 2, 1)})
+        return Scorer(self, {length: Table(self.folder, length, self.bits) for length in range(ORDER, 0, -1)})
 
 
 @dataclass
@@ -307,27 +378,29 @@ class Scorer:
     model: Model
     tables: dict[int, Table]
 
-    def _part(self, length: int, count: np.ndarray, total: np.ndarray, once: np.ndarray, twice: np.ndarray, more: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        """Discounted share of an n-gram plus the weight of its context times the shorter one's probability."""
-        taken = self.model.taken[length]
-        share = count - taken[np.minimum(count, 3).astype(np.int64)] + (taken[1] * once + taken[2] * twice + taken[3] * more) * lower
-        return np.divide(share, total, out=lower.copy(), where=total > 0)
-
     def probabilities(self, sequence: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Probability of each predicted token and how often it was seen in training."""
+        """Probability of each predicted token and how often it was seen in training.
+
+        From words up to the longest n-grams, each discounted share is taken of its context, and what
+        the discounts leave goes to the probability of one word less.
+        """
         model, at = self.model, _predicted(bounds)
-        names = {length: STORED[length].index for length in (2, 1)}
         word, place = np.unique(sequence, return_inverse=True)
-        words = self.tables[1].find(_key(word[:, None]))
-        left, count = words[names[1]("left")], words[names[1]("count")]
-        uniform = 1.0 / (model.vocabulary + 1)
-        taken = left - model.taken[1][np.minimum(left, 3).astype(np.int64)]
-        single = (taken / model.words + model.spread * uniform) if model.words else np.full(len(word), uniform)
-        pairs = self.tables[2].find(_key(np.stack([sequence[:-1], sequence[1:]], axis=1)))  # entry i: tokens i and i + 1
-        contexts = [words[names[1](n)][place[at - 1]] for n in ("total", "once", "twice", "more")]
-        double = self._part(2, pairs[names[2]("left")][at - 1], *contexts, single[place[at]])
-        contexts = [pairs[names[2](n)][at - 2] for n in ("total", "once", "twice", "more")]
-        return self._part(3, self.tables[3].find(_key(_grams(sequence, bounds, 3)))[0], *contexts, double), count[place[at]]
+        found = {name: column[place] for name, column in self.tables[1].find(_key(word[:, None])).items()}
+        count, uniform = found["count"][at], 1.0 / (model.vocabulary + 1)
+        left = found["left"][at]
+        p = (left - model.taken[1][np.minimum(left, 3).astype(np.int64)]) / model.words + model.spread * uniform if model.words else np.full(len(at), uniform)
+        context = {name: found[name][at - 1] for name in found}
+        for length in range(2, ORDER + 1):
+            # entry i: the n-gram that ends in token i + length - 1
+            ending = self.tables[length].find(_key(np.stack([sequence[i : len(sequence) - length + 1 + i] for i in range(length)], axis=1)))
+            often = ending["count" if length == ORDER else "left"][at - length + 1]
+            taken = model.taken[length]
+            share = often - taken[np.minimum(often, 3).astype(np.int64)]
+            share += (taken[1] * context["once"] + taken[2] * context["twice"] + taken[3] * context["more"]) * p
+            p = np.divide(share, context["total"], out=p.copy(), where=context["total"] > 0)
+            context = {name: column[at - length] for name, column in ending.items()}
+        return p, count
 
     def score(self, texts: list[bytes]) -> dict[str, np.ndarray]:
         sequence, bounds = tokens(texts)
@@ -347,7 +420,7 @@ def _headers(spark: SparkSession, folder: str, bits: int) -> dict[int, list[int]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = _file_system(folder)
         for batch in batches:
-            for length in VALUES:
+            for length in range(1, ORDER + 1):
                 for shard in batch.column(0).to_pylist():
                     path = f"{root}/{length}/{shard}.ngrams"
                     if system.get_file_info(path).type != fs.FileType.NotFound:
@@ -356,7 +429,7 @@ def _headers(spark: SparkSession, folder: str, bits: int) -> dict[int, list[int]
                         yield pa.RecordBatch.from_arrays([pa.array([length] * _HEADER), pa.array(range(_HEADER)), pa.array(header)], names=["length", "at", "value"])
 
     rows = spark.range(1 << bits).mapInArrow(run, "length long, at long, value long").groupBy("length", "at").agg(F.sum("value").alias("value"))
-    out = {length: [0] * _HEADER for length in VALUES}
+    out = {length: [0] * _HEADER for length in range(1, ORDER + 1)}
     for r in rows.collect():
         out[r["length"]][r["at"]] = r["value"]
     return out
@@ -369,13 +442,13 @@ def fit(docs: DataFrame, text: str = "text", shard_bytes: int = SHARD_BYTES) ->
     size = texts.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     bits = max(0, int(size // shard_bytes).bit_length())
     folder = scratch_folder(spark)
-    runs = count_trigrams(texts, bits)
-    for length in (3, 2, 1):
+    runs = count_ngrams(texts, bits)
+    for length in range(ORDER, 0, -1):
         runs = store_shards(runs, length, folder, bits)
     materialize(runs.select("shard"))
     headers = _headers(spark, folder, bits)
-    taken = {length: discounts(headers[length][1:5]) for length in VALUES}
-    _, once, twice, _, _, left, count, vocabulary = headers[1]
+    taken = {length: discounts(header[1:5]) for length, header in headers.items()}
+    _, once, twice, _, _, left, count, vocabulary, _ = headers[1]
     spread = float(taken[1][1] * once + taken[1][2] * twice + taken[1][3] * (vocabulary - once - twice)) / left if left else 0.0
     return Model(folder, bits, taken, left, spread, count, vocabulary)
 

@@ -31,26 +31,30 @@ def discounts(counts):
 
 
 class Plain:
-    def __init__(self, texts):
-        tri = Counter()
+    def __init__(self, texts, order=kn.ORDER):
+        self.order = order
+        longest = Counter()
         for text in texts:
-            seq = [BEGIN, BEGIN, *words_of(text)]
-            tri.update(zip(seq, seq[1:], seq[2:]))
-        self.counts = {3: tri, 2: Counter((y, z) for _, y, z in tri)}
-        self.counts[1] = Counter((z,) for _, z in self.counts[2])
+            longest.update(self.grams(text))
+        self.counts = {order: longest}
+        for k in range(order - 1, 0, -1):
+            self.counts[k] = Counter(g[1:] for g in self.counts[k + 1])
         self.taken = {k: discounts(c.values()) for k, c in self.counts.items()}
-        self.contexts = {}
+        contexts = {k: defaultdict(list) for k in self.counts}
         for k, c in self.counts.items():
-            self.contexts[k] = defaultdict(list)
             for gram, n in c.items():
-                self.contexts[k][gram[:-1]].append(n)
-        self.weights = {k: {c: sum(self.taken[k][min(f, 3)] for f in fs) / sum(fs) for c, fs in self.contexts[k].items()} for k in self.contexts}
-        self.totals = {k: {c: sum(fs) for c, fs in self.contexts[k].items()} for k in self.contexts}
+                contexts[k][gram[:-1]].append(n)
+        self.weights = {k: {c: sum(self.taken[k][min(f, 3)] for f in fs) / sum(fs) for c, fs in contexts[k].items()} for k in contexts}
+        self.totals = {k: {c: sum(fs) for c, fs in contexts[k].items()} for k in contexts}
         self.words = Counter()
-        for (_, _, z), n in tri.items():
-            self.words[z] += n
+        for gram, n in longest.items():
+            self.words[gram[-1]] += n
         self.total = sum(self.words.values())
 
+    def grams(self, text):
+        seq = [BEGIN] * (self.order - 1) + words_of(text)
+        return list(zip(*[seq[i:] for i in range(self.order)]))
+
     def p(self, gram):
         if not gram:
             return 1 / (len(self.words) + 1)
@@ -61,9 +65,9 @@ class Plain:
         return (n - self.taken[k][min(n, 3)]) / self.totals[k][gram[:-1]] + self.weights[k][gram[:-1]] * lower
 
     def score(self, text):
-        seq = [BEGIN, BEGIN, *words_of(text)]
-        base = sum(log10((self.words[w] + 1) / (self.total + len(self.words) + 1)) for w in seq[2:])
-        return [len(seq) - 2, sum(self.words[w] > 0 for w in seq[2:]), self.total, base, sum(log10(self.p(g)) for g in zip(seq, seq[1:], seq[2:]))]
+        words, grams = words_of(text), self.grams(text)
+        base = sum(log10((self.words[w] + 1) / (self.total + len(self.words) + 1)) for w in words)
+        return [len(words), sum(self.words[w] > 0 for w in words), self.total, base, sum(log10(self.p(g)) for g in grams)]
 
 
 def scores(spark, rows, shard_bytes=None):
@@ -97,6 +101,42 @@ def test_odd_texts(spark, monkeypatch, shard_bytes):
     same(scores(spark, rows), rows)
 
 
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_longer_ngrams(order):
+    """The steps of a fit of any order in one process, against the plain model."""
+    import tempfile
+
+    texts = ["a b c a b c a b d", "a b c", "", "a b x a b", "x y z a b c", "a b c a b c a b d"] * 3
+    folder, before = tempfile.mkdtemp(), kn.ORDER
+    try:
+        kn.ORDER = order
+        sequence, bounds = kn.tokens([t.encode() for t in texts])
+        grams = kn._grams(sequence, bounds, order)
+        runs = [b for b in kn._runs(*kn._summed(grams, np.ones((len(grams), 1), np.int64)), 2)]
+        headers = {}
+        for length in range(order, 0, -1):
+            rows = [(s, p) for b in runs for s, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            runs, headers[length] = [], np.zeros(kn._HEADER, np.int64)
+            for shard in sorted({s for s, _ in rows}):
+                parts = [kn._unpacked(p, length) for s, p in rows if s == shard]
+                keys, words, values = kn._summed(*[np.concatenate([p[i] for p in parts]) for i in range(2)])
+                kn._store(folder, length, shard, keys, values, kn._bits(length, 2))
+                headers[length] += np.fromfile(f"{folder}/{length}/{shard}.ngrams", np.int64, kn._HEADER)
+                if length > 1:
+                    runs += list(kn._runs(*kn._summed(*kn._passed_on(length, words, values)), kn._bits(length - 1, 2)))
+        taken = {k: kn.discounts(h[1:5].tolist()) for k, h in headers.items()}
+        _, once, twice, _, _, left, count, vocabulary, _ = headers[1].tolist()
+        spread = float(taken[1][1] * once + taken[1][2] * twice + taken[1][3] * (vocabulary - once - twice)) / left
+        model = kn.Model(folder, 2, taken, left, spread, count, vocabulary)
+        plain = Plain(texts, order)
+        for text in [*texts, "a q b c", "q", "b c a b x"]:
+            got, want = model.scorer().score([text.encode()]), plain.score(text)
+            assert [int(got["n_tokens"][0]), int(got["n_known"][0])] == want[:2]
+            assert np.allclose([got["base_score"][0], got["score"][0]], want[3:], rtol=1e-9)
+    finally:
+        kn.ORDER = before
+
+
 def test_nothing_to_learn_from(spark):
     one = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id bigint, text string")
     got = kn.score_texts(one, one.limit(0)).orderBy("doc_id").collect()
@@ -119,9 +159,21 @@ def test_probabilities_of_a_context_add_up(spark):
         assert abs(total + p[-1] - 1) < 1e-6
 
 
-def test_files_are_written_whole_and_only_once(spark, tmp_path):
-    keys, values = np.arange(5, dtype=np.uint64), np.ones((5, 1), np.int64)
+def test_files_are_written_whole_and_only_once(tmp_path):
+    keys, values = np.array([3, 9, 1 << 63], np.uint64), np.array([[1], [254], [70_000]], np.int64)
     for _ in range(2):
-        kn._store(f"file:{tmp_path}", 3, 0, keys, values)
-    assert [p.name for p in (tmp_path / "3").iterdir()] == ["0.ngrams"]
-    assert kn.Table(str(tmp_path), 3, 0).find(np.array([3, 9, 0], np.uint64)).tolist() == [[1, 0, 1]]
+        kn._store(f"file:{tmp_path}", kn.ORDER, 0, keys << np.uint64(0), values, 0)
+    assert [p.name for p in (tmp_path / str(kn.ORDER)).iterdir()] == ["0.ngrams"]
+    found = kn.Table(str(tmp_path), kn.ORDER, 0).find(np.array([1 << 63, 5 << 60, 0], np.uint64))
+    assert found["count"][0] == 70_000 and found["count"][1] == 0
+
+
+@pytest.mark.parametrize("bits, length", [(0, 2), (3, 2), (0, 1), (4, 1)])
+def test_every_stored_hash_is_found(tmp_path, bits, length):
+    draw = np.random.default_rng(bits)
+    keys = np.sort(draw.integers(0, 1 << 63, 5000).astype(np.uint64) >> np.uint64(bits))
+    values = draw.integers(0, 600, (5000, len(kn._values(length))))
+    kn._store(str(tmp_path), length, 0, keys, values, bits)
+    shard = kn.Shard(kn.Table(str(tmp_path), length, 0)._mapped(f"{tmp_path}/{length}/0.ngrams"), length, bits)
+    assert (shard.find(keys).T == values).all()
+    assert not shard.find(draw.integers(0, 1 << 63, 5000).astype(np.uint64) >> np.uint64(bits)).any()
