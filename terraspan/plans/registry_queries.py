@@ -10,7 +10,7 @@ from ..functions import semantics, text
 from ..operators import audit, catalog, ordering, planning, registry
 from ..profiles import PROFILE_BANDS, SOURCE_INFO
 from ..schemas import RASTER_DDL
-from ..session import scratch_dir
+from ..session import materialize, scratch_dir
 from ..sources.registry_store import RegistryStore
 from .base import query
 from .views import ARRIVAL, Views
@@ -181,30 +181,37 @@ def j09(v: Views):
     return rows.select(F.col("seq")["asset_id"].alias("asset_id"), "item_id", "collection", "datetime", "collection_metadata", "byte_size", "catalog")
 
 
+_E05_COLUMNS = ("product_id", "source_item_id", "asset_key", "source_url", "local_path", "grid_id", "media_type", "checksum_sha256", "status", "run_id", "datetime")
+
+
 @query("e05_reindex", f"""
-    WITH kept AS (SELECT a.*, f.path IS NOT NULL AND l_orderkey % 4 <> 1 AS again, f.byte_size AS size FROM v_assets a
-                  LEFT JOIN (SELECT DISTINCT path, byte_size FROM v_files) f ON f.path = a.local_path)
-    SELECT 'assets' AS table_name, asset_id AS key, product_id, source_item_id AS item, asset_key, status, run_id,
-           CASE WHEN again AND l_orderkey % 4 = 0 THEN '2030-01-01T00:00:00Z' ELSE datetime END AS datetime,
+    WITH found AS (SELECT a.*, f.path IS NOT NULL AS again, f.byte_size AS size, l_orderkey % 4 = 1 AS nameless,
+                          CASE WHEN a.collection LIKE 'HLS%' THEN 'hls_mgrs_30m' ELSE product_id || '_native' END AS own_grid
+                   FROM v_assets a LEFT JOIN (SELECT DISTINCT path, byte_size FROM v_files) f ON f.path = a.local_path)
+    SELECT 'assets' AS table_name, asset_id AS key, product_id, source_item_id, asset_key, source_url, local_path,
+           CASE WHEN again THEN own_grid END AS grid_id, CASE WHEN again THEN 'image/tiff' END AS media_type, CASE WHEN again THEN sha256(local_path) END AS checksum_sha256,
+           status, run_id, CASE WHEN again AND l_orderkey % 4 = 0 THEN '2030-01-01T00:00:00Z' ELSE datetime END AS datetime,
            CASE WHEN again THEN size END AS byte_size, created_at, CASE WHEN again THEN '{_NOW}' ELSE updated_at END AS updated_at
-    FROM kept
+    FROM (SELECT * REPLACE (again AND NOT nameless AS again) FROM found)
+    UNION ALL
+    SELECT 'assets', sha256(split_part(local_path, '/', 2) || '|' || collection || '|unknown|' || asset_key || '|' || source_url), product_id, 'unknown', asset_key, source_url,
+           local_path, own_grid, 'image/tiff', sha256(local_path), status, run_id, NULL, size, '{_NOW}', '{_NOW}'
+    FROM found WHERE again AND nameless
     UNION ALL
-    SELECT 'grids', CASE WHEN collection LIKE 'HLS%' THEN 'hls_mgrs_30m' ELSE product_id || '_native' END, NULL, NULL, NULL, NULL, NULL, NULL, NULL, '{_NOW}', '{_NOW}'
-    FROM kept WHERE again GROUP BY 2""", "v_assets", "v_files")
+    SELECT 'grids', own_grid, {", ".join("NULL" for _ in _E05_COLUMNS)}, NULL, '{_NOW}', '{_NOW}' FROM found WHERE again GROUP BY own_grid""", "v_assets", "v_files")
 def e05(v: Views):
-    """The whole reindex: files and sidecars to deliveries, registration, merge, stale grids. Asset ids stay."""
+    """The whole reindex: files and sidecars to deliveries, registration, merge, stale grids.
+
+    Assets keep their ids, but those beside a sidecar without an id: they are registered anew as those of an unknown item.
+    """
     stale = v.spark.createDataFrame([("hls_mgrs_30m_old", None)], "grid_id string, epsg int")
-    assets = _stored(v)
+    assets = materialize(_stored(v))  # read by the reindex, the merge and the search for stale grids
     before = {**registry.empty_registries(v.spark), "assets": registry.conform(assets, "assets"), "grids": registry.conform(stale, "grids"),
               "products": registry.conform(_product_records(v), "products")}
-    sidecars = _sidecars(v).filter(F.col("item").isNull() | F.col("item")["id"].isNotNull())
-    files = _file_facts(v).withColumn("_order", F.regexp_extract("path", "/([0-9]+)[.]B", 1).try_cast("bigint")).filter("coalesce(_order % 4, 0) <> 1")
-    after = registry.rebuild(before, files.drop("_order"), sidecars, v.spark.createDataFrame([], "collection string, collection_metadata string"), _NOW)
-    none = F.lit(None).cast("string")
-    grids = after["grids"].select(F.lit("grids").alias("table_name"), F.col("grid_id").alias("key"), *[none.alias(c) for c in ("product_id", "item", "asset_key", "status", "run_id", "datetime")],
+    after = registry.rebuild(before, _file_facts(v), _sidecars(v), v.spark.createDataFrame([], "collection string, collection_metadata string"), _NOW)
+    grids = after["grids"].select(F.lit("grids").alias("table_name"), F.col("grid_id").alias("key"), *[F.lit(None).cast("string").alias(c) for c in _E05_COLUMNS],
                                   F.lit(None).cast("bigint").alias("byte_size"), "created_at", "updated_at")
-    rows = after["assets"].select(F.lit("assets").alias("table_name"), F.col("asset_id").alias("key"), "product_id", F.col("source_item_id").alias("item"), "asset_key",
-                                  "status", "run_id", "datetime", "byte_size", "created_at", "updated_at")
+    rows = after["assets"].select(F.lit("assets").alias("table_name"), F.col("asset_id").alias("key"), *_E05_COLUMNS, "byte_size", "created_at", "updated_at")
     return rows.unionByName(grids)
 
 
