@@ -33,13 +33,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize, scratch_folder
+from ..sources.shared_files import file_system
 from .batches import annotate, joined, mix, raw_texts, spans_of
 from .words import LOWER, word_hashes
 
 ORDER = 2  # words of the longest n-grams
 HELD_OUT, FOLDS = 2, 7
 SHARD_BYTES = 8_000_000  # bytes of text whose n-grams make up a shard on average
-HELD_ROWS = 3 << 20  # n-grams that a task counts before it sends them on
+HELD_ROWS = 1 << 21  # n-grams that a task counts before it sends them on
 SENT_BYTES = 8_000_000  # bytes handed to Spark at once
 FALLBACK = (0.5, 1.0, 1.5)  # discounts where the counts of counts give none
 
@@ -108,12 +109,23 @@ def _predicted(bounds: np.ndarray) -> np.ndarray:
 def _summed(words: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Different n-grams by rising hash, with their values added up."""
     keys = _key(words)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]) != 0)
     return keys[first], words[order[first]], np.add.reduceat(values[order], first, axis=0) if len(first) else values[:0]
 
 
+def _counted(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different n-grams of ``held``, which is emptied, by rising hash, with their numbers."""
+    words = np.concatenate(held)
+    held.clear()
+    keys = _key(words)
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]) != 0)
+    return keys[first], words[order[first]], np.diff(np.append(first, len(keys)))[:, None]
+
+
 def _runs(keys: np.ndarray, words: np.ndarray, values: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
     """Sorted n-grams cut by shard, each run packed and compressed."""
     shards = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
@@ -175,10 +187,10 @@ def count_ngrams(texts: DataFrame, bits: int) -> DataFrame:
                 held.append(_grams(*tokens(raw_texts(column.slice(first, last - first))), ORDER))
                 rows += len(held[-1])
                 if rows > HELD_ROWS:
-                    yield from _runs(*_summed(words := np.concatenate(held), np.ones((len(words), 1), np.int64)), bits)
-                    held, rows = [], 0
+                    yield from _runs(*_counted(held), bits)
+                    rows = 0
         if held:
-            yield from _runs(*_summed(words := np.concatenate(held), np.ones((len(words), 1), np.int64)), bits)
+            yield from _runs(*_counted(held), bits)
 
     return texts.mapInArrow(run, _PACKED)
 
@@ -222,12 +234,6 @@ def _bits(length: int, bits: int) -> int:
     return bits if length > 1 else max(0, bits - 4)
 
 
-def _file_system(folder: str) -> tuple[fs.FileSystem, str]:
-    if folder.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")
-    return fs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1)) if "://" in folder else (fs.LocalFileSystem(), folder)
-
-
 def _kept_bits(length: int, bits: int, index: int) -> tuple[int, type]:
     """How far a hash is shifted before it is stored, and as what."""
     return (max(0, 32 - bits - index), np.uint32) if length > 1 else (0, np.uint64)
@@ -242,7 +248,7 @@ def _store(folder: str, length: int, shard: int, keys: np.ndarray, values: np.nd
     shift, kind = _kept_bits(length, bits, index)
     bucket = _bucket(keys, bits, index)
     starts = np.searchsorted(bucket, np.arange((1 << index) + 1)).astype(np.uint32)
-    system, root = _file_system(folder)
+    system, root = file_system(folder)
     system.create_dir(f"{root}/{length}", recursive=True)
     target = f"{root}/{length}/{shard}.ngrams"
     made = f"{target}.{uuid.uuid4().hex}"
@@ -314,7 +320,7 @@ class Table:
 
     def __init__(self, folder: str, length: int, bits: int):
         self.length, self.bits = length, _bits(length, bits)
-        self.system, self.root = _file_system(folder)
+        self.system, self.root = file_system(folder)
         self.shards: dict[int, Shard] = {}
 
     def shard(self, number: int) -> Shard:
@@ -418,7 +424,7 @@ def _headers(spark: SparkSession, folder: str, bits: int) -> dict[int, list[int]
     """Headers added up over all shards, by length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, root = _file_system(folder)
+        system, root = file_system(folder)
         for batch in batches:
             for length in range(1, ORDER + 1):
                 for shard in batch.column(0).to_pylist():

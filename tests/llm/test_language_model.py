@@ -112,7 +112,7 @@ def test_longer_ngrams(order):
         kn.ORDER = order
         sequence, bounds = kn.tokens([t.encode() for t in texts])
         grams = kn._grams(sequence, bounds, order)
-        runs = [b for b in kn._runs(*kn._summed(grams, np.ones((len(grams), 1), np.int64)), 2)]
+        runs = [b for b in kn._runs(*kn._counted([grams]), 2)]
         headers = {}
         for length in range(order, 0, -1):
             rows = [(s, p) for b in runs for s, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
