@@ -39,7 +39,7 @@ from .words import LOWER, word_hashes
 
 ORDER = 2  # words of the longest n-grams
 HELD_OUT, FOLDS = 2, 7
-SHARD_BYTES = 8_000_000  # bytes of text whose n-grams make up a shard on average
+SHARD_BYTES = 4_000_000  # bytes of text whose n-grams make up a shard on average
 HELD_ROWS = 1 << 21  # n-grams that a task counts before it sends them on
 SENT_BYTES = 8_000_000  # bytes handed to Spark at once
 FALLBACK = (0.5, 1.0, 1.5)  # discounts where the counts of counts give none
@@ -165,7 +165,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes
     """Runs by shard; the rows come sorted by shard."""
     current, held = None, []
     for batch in batches:
-        for shard, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for shard, packed in zip(batch.column(0).to_pylist(), (p.as_py() for p in batch.column(1))):
             if shard != current and held:
                 yield current, held
                 held = []
@@ -195,17 +195,16 @@ def count_ngrams(texts: DataFrame, bits: int) -> DataFrame:
     return texts.mapInArrow(run, _PACKED)
 
 
-def _passed_on(length: int, words: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What different n-grams mean for those of one word less, as ``SHORTER`` of these."""
+def _passed_on(length: int, words: np.ndarray, values: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What different n-grams mean for those of one word less, as ``SHORTER`` of these: once as contexts, once as endings."""
     names = _values(length)
     count = values[:, names.index("count")]
     often = count if length == ORDER else values[:, names.index("left")]
     seen = often > 0  # begin marks alone are contexts only
     words, count, often = words[seen], count[seen], often[seen]
-    zero, one = np.zeros(len(words), np.int64), np.ones(len(words), np.int64)
-    as_context = np.stack([zero, zero, often, often == 1, often == 2, often > 2], axis=1)
-    as_ending = np.stack([one, count, zero, zero, zero, zero], axis=1)
-    return np.concatenate([words[:, :-1], words[:, 1:]]), np.concatenate([as_context, as_ending])
+    nothing = np.zeros(len(words), np.int64)
+    yield words[:, :-1], np.stack([nothing, nothing, often, often == 1, often == 2, often > 2], axis=1)
+    yield words[:, 1:], np.stack([nothing + 1, count, nothing, nothing, nothing, nothing], axis=1)
 
 
 def store_shards(runs: DataFrame, length: int, folder: str, bits: int) -> DataFrame:
@@ -224,7 +223,8 @@ def store_shards(runs: DataFrame, length: int, folder: str, bits: int) -> DataFr
             if length == 1:
                 yield _sent([(shard, b"")])
             else:
-                yield from _runs(*_summed(*_passed_on(length, words, values)), _bits(length - 1, bits))
+                for shorter in _passed_on(length, words, values):
+                    yield from _runs(*_summed(*shorter), _bits(length - 1, bits))
 
     return runs.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, _PACKED)
 

@@ -123,7 +123,8 @@ def test_longer_ngrams(order):
                 kn._store(folder, length, shard, keys, values, kn._bits(length, 2))
                 headers[length] += np.fromfile(f"{folder}/{length}/{shard}.ngrams", np.int64, kn._HEADER)
                 if length > 1:
-                    runs += list(kn._runs(*kn._summed(*kn._passed_on(length, words, values)), kn._bits(length - 1, 2)))
+                    for shorter in kn._passed_on(length, words, values):
+                        runs += list(kn._runs(*kn._summed(*shorter), kn._bits(length - 1, 2)))
         taken = {k: kn.discounts(h[1:5].tolist()) for k, h in headers.items()}
         _, once, twice, _, _, left, count, vocabulary, _ = headers[1].tolist()
         spread = float(taken[1][1] * once + taken[1][2] * twice + taken[1][3] * (vocabulary - once - twice)) / left
