@@ -68,6 +68,19 @@ def scratch_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings that hold for the jobs started inside."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 _scopes = threading.local()  # folders to delete, per thread and open scope
 _writes_lock = threading.Lock()
 _writes: dict[int, list] = {}  # per session: writes under way and the setting before them
