@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialize, scratch_folder
+from ..session import materialize, scratch_folder, settings
 from ..sources.shared_files import file_system
 from .batches import annotate, joined, mix, raw_texts, spans_of
 from .words import LOWER, word_hashes
@@ -41,7 +41,7 @@ ORDER = 2  # words of the longest n-grams
 HELD_OUT, FOLDS = 2, 7
 SHARD_BYTES = 4_000_000  # bytes of text whose n-grams make up a shard on average
 HELD_ROWS = 1 << 21  # n-grams that a task counts before it sends them on
-SENT_BYTES = 8_000_000  # bytes handed to Spark at once
+SENT_BYTES = BATCH_BYTES = 4_000_000  # bytes of runs handed to Spark at once, and of rows handed to a worker
 FALLBACK = (0.5, 1.0, 1.5)  # discounts where the counts of counts give none
 
 BEGIN, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
@@ -226,7 +226,7 @@ def store_shards(runs: DataFrame, length: int, folder: str, bits: int) -> DataFr
                 for shorter in _passed_on(length, words, values):
                     yield from _runs(*_summed(*shorter), _bits(length - 1, bits))
 
-    return runs.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, _PACKED)
+    return runs.repartition(1 << _bits(length, bits), "shard").sortWithinPartitions("shard").mapInArrow(run, _PACKED)
 
 
 def _bits(length: int, bits: int) -> int:
@@ -451,7 +451,8 @@ def fit(docs: DataFrame, text: str = "text", shard_bytes: int = SHARD_BYTES) ->
     runs = count_ngrams(texts, bits)
     for length in range(ORDER, 0, -1):
         runs = store_shards(runs, length, folder, bits)
-    materialize(runs.select("shard"))
+    with settings(spark, {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}):
+        materialize(runs.select("shard"))
     headers = _headers(spark, folder, bits)
     taken = {length: discounts(header[1:5]) for length, header in headers.items()}
     _, once, twice, _, _, left, count, vocabulary, _ = headers[1]
