@@ -579,7 +579,7 @@ def t02(v: Views):
 def _streamed(v: Views):
     home = f"{scratch_dir(v.spark)}/{uuid.uuid4().hex}"
     pages.write_pages(_landed(v), f"{home}/pages")
-    stream = pages.stream_pages(v.spark, f"{home}/pages", 200)
+    stream = pages.stream_pages(v.spark, f"{home}/pages")
     ingest_stream.ingest_pages(stream, "nasa", f"{home}/items", f"{home}/checkpoint").awaitTermination()
     return ingest_stream.read_items(v.spark, f"{home}/items").withColumn("run_id", F.col("run_id").cast("bigint"))
 

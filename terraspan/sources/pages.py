@@ -1,54 +1,62 @@
-"""Search pages as gzip JSON lines, and item sidecars."""
+"""Search pages in packed files, and item sidecars."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import ITEM_DDL, parse
+from . import page_files
 
-RUN_IN_PATH = r"run_id=([^/]+)/page_number="
-PAGE_IN_PATH = r"page_number=(\d+)/"
 
+def write_pages(items: DataFrame, path: str, file_bytes: int = page_files.FILE_BYTES) -> None:
+    """Add items (run_id, page_number, position, item columns) as pages; one write becomes visible as a whole.
 
-def _place(df: DataFrame) -> DataFrame:
-    """Run, page and position of an item from the file it is in and its place there."""
-    path: Column = F.col("_metadata.file_path")
-    return df.withColumns(
-        {"run_id": F.regexp_extract(path, RUN_IN_PATH, 1), "page_number": F.regexp_extract(path, PAGE_IN_PATH, 1).cast("int")}
-    )
+    A page written again replaces the earlier one. A page is bounded by the page size of the search.
+    """
+    rows = items.withColumn("value", F.to_json(F.struct(*[c for c in sorted(items.columns) if c not in ("run_id", "page_number")])))
+    placed = rows.repartition("run_id", "page_number").sortWithinPartitions("run_id", "page_number", "position")
+    page_files.registered(items.sparkSession)
+    placed.select(F.col("run_id").cast("string").alias("run_id"), F.col("page_number").cast("int").alias("page_number"), "value").write.format(
+        page_files.FORMAT
+    ).mode("append").option("fileBytes", file_bytes).save(path)
 
 
-def write_pages(items: DataFrame, path: str) -> None:
-    """Write items (run_id, page_number, position, item columns) as one gzip JSON-lines file per page.
+def page_index(spark: SparkSession, path: str) -> DataFrame:
+    """The pages themselves: run_id, page_number, commit, file, offset, size, number of items and SHA-256."""
+    return page_files.registered(spark).read.format(page_files.FORMAT).option("index", True).load(path)
 
-    A page is bounded by the page size of the search, so it fits one task.
-    """
-    rows = items.withColumn("raw", F.to_json(F.struct(*[c for c in sorted(items.columns) if c not in ("run_id", "page_number")])))
-    (
-        rows.repartition("run_id", "page_number").sortWithinPartitions("run_id", "page_number", "position")
-        .select("run_id", "page_number", F.col("raw").alias("value"))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "page_number").option("compression", "gzip").text(path)
-    )
+
+def replaced_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Pages that were written more than once, with their newest commit."""
+    versions = page_index(spark, path).groupBy("run_id", "page_number").agg(F.count(F.lit(1)).alias("_n"), F.max("commit").alias("_newest"))
+    return versions.filter("_n > 1").select("run_id", "page_number", "_newest")
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Items of all pages with run_id, page_number and position; the schema is declared, nothing is inferred."""
-    schema = parse(ITEM_DDL + ", position BIGINT")
-    return _place(spark.read.schema(schema).option("recursiveFileLookup", True).json(path).select("*", "_metadata"))
+    rows = page_files.registered(spark).read.format(page_files.FORMAT).load(path)
+    replaced = replaced_pages(spark, path)
+    if not replaced.isEmpty():  # else no page has to be compared with any other
+        rows = rows.join(replaced, ["run_id", "page_number"], "left").filter("_newest IS NULL OR commit = _newest").drop("_newest")
+    return parsed_items(rows.drop("commit"))
 
 
-def stream_pages(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
-    """Items of pages as they land; ``max_files`` bounds a micro-batch."""
+def parsed_items(rows: DataFrame) -> DataFrame:
+    """Item columns from the JSON text of each row in ``value``; the other columns stay."""
     schema = parse(ITEM_DDL + ", position BIGINT")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", True)
-    return _place(stream.json(path).select("*", "_metadata")).drop("_metadata")
+    item = rows.withColumn("_i", F.from_json("value", schema))
+    return item.select(*[c for c in rows.columns if c != "value"], "_i.*")
+
+
+def stream_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (run_id, page_number, value) of pages as writes become visible; ``value`` is the JSON text of an item."""
+    return page_files.registered(spark).readStream.format(page_files.FORMAT).load(path).drop("commit")
 
 
 def page_checksums(spark: SparkSession, path: str) -> DataFrame:
-    """Path, size and SHA-256 of each page file; pages are small, so content is read whole."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.gz").load(path)
-    return files.select("path", F.col("length").alias("byte_size"), F.sha2("content", 256).alias("checksum_sha256"))
+    """File, place, size and SHA-256 of each page as it is stored, from the index."""
+    return page_index(spark, path).select("path", "offset", "byte_size", "checksum_sha256")
 
 
 def read_sidecars(spark: SparkSession, root: str) -> DataFrame:

@@ -2,54 +2,75 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import ingest, registry
+from ..operators import registry
+from ..operators.ingest import ITEM_KEY
+from ..schemas import ITEM_DDL, parse
+from ..session import scratch_scope
 from ..sources.registry_store import RegistryStore
+from . import changes
 
-def page_items(pages: DataFrame, catalog: str) -> DataFrame:
-    """Stream of page items in the shape of discovered items."""
-    return pages.select(
-        "run_id", F.lit(catalog).alias("catalog"), F.coalesce(F.nullif("collection", F.lit("")), F.lit("unknown")).alias("collection"),
-        F.coalesce(F.nullif("id", F.lit("")), F.lit("unknown")).alias("source_item_id"), "page_number", "position",
-        "assets", "bbox", "geometry", F.col("properties")["datetime"].alias("datetime"),
+ORDER = ("page_number", "position")
+LAST = (1 << 62) - 1  # place of a row without one
+
+
+def _named(column: str) -> Column:
+    return F.coalesce(F.nullif(column, F.lit("")), F.lit("unknown"))
+
+
+def page_items(rows: DataFrame, catalog: str) -> DataFrame:
+    """Rows of pages (run_id, page_number, value) with the identity and place of their item; ``value`` stays text."""
+    item = F.from_json("value", "id STRING, collection STRING, position BIGINT")
+    return rows.withColumn("_i", item).select(
+        F.coalesce("run_id", F.lit("")).alias("run_id"), F.lit(catalog).alias("catalog"), _named("_i.collection").alias("collection"), _named("_i.id").alias("source_item_id"),
+        F.coalesce(F.col("page_number").cast("bigint"), F.lit(LAST)).alias("page_number"), F.coalesce("_i.position", F.lit(LAST)).alias("position"), "value",
     )
 
 
-def ingest_pages(pages: DataFrame, catalog: str, path: str, checkpoint: str) -> StreamingQuery:
-    """Append the items of landed pages to a log. After a stop the query goes on with the pages not yet read.
+def ingest_pages(
+    pages: DataFrame, catalog: str, path: str, checkpoint: str, idle_ms: int = changes.IDLE_MS, shards: int = changes.SHARDS
+) -> StreamingQuery:
+    """Keep the items of landed pages, each in its earliest sighting. After a stop the query goes on with the pages not yet read.
 
-    Each micro-batch keeps the earliest sighting of an item and writes one folder, which a
-    replay writes again. The stream itself has no state that grows with the runs.
+    A sighting that arrives late but comes earlier in the order of the pages replaces the one
+    that was kept. The state of a run is dropped once no page of it has come for ``idle_ms``.
     """
+    items = changes.winning_rows(page_items(pages, catalog), "run_id", ITEM_KEY, ORDER, idle_ms=idle_ms, shards=shards)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        ingest.discover_items(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        changes.append_changes(batch, batch_id, path, ITEM_KEY, ORDER)
 
-    return (
-        page_items(pages, catalog).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+    with changes.keyed_state(pages.sparkSession):
+        return items.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def read_items(spark: SparkSession, path: str) -> DataFrame:
-    """Items of the log, each in its earliest sighting, whatever micro-batch it came with."""
-    return ingest.discover_items(spark.read.parquet(path)).drop("batch")
+    """Items of :func:`ingest_pages`, each in its earliest sighting."""
+    rows = changes.current_rows(spark, path, ITEM_KEY, ORDER)
+    item = F.from_json("value", parse(ITEM_DDL))
+    return rows.withColumn("_i", item).select(
+        *ITEM_KEY, *[F.when(F.col(c) < LAST, F.col(c)).alias(c) for c in ORDER],
+        "_i.assets", "_i.bbox", "_i.geometry", F.col("_i.properties.datetime").alias("datetime"),
+    )
 
 
 def register_stream(deliveries: DataFrame, store: RegistryStore, checkpoint: str) -> StreamingQuery:
     """Upsert the registries with each micro-batch of delivered files.
 
     The upsert is keyed by asset and keeps the first status, run and creation time,
-    so a batch that is replayed after a failure changes nothing.
+    so a batch that is replayed after a failure changes nothing. The scratch of a micro-batch is
+    deleted when its merge is done.
     """
 
     def write(batch: DataFrame, _: int) -> None:
         batch = batch.persist()  # read by several writes
         try:
             if not batch.isEmpty():
-                store.merge(registry.register(batch))
+                with scratch_scope(batch.sparkSession):
+                    store.merge(registry.register(batch))
         finally:
             batch.unpersist()
 

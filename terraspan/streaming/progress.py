@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import progress as pg
 from ..operators import runs
+from . import changes
 
 DONE = runs.DONE
 
@@ -31,40 +32,39 @@ def live_progress(events: DataFrame, window: str = "1 minute", delay: str = "10
     )
 
 
-def latest_state(events: DataFrame) -> DataFrame:
-    """Newest state per attempt of a batch of events; each task folds its own events first."""
-    return events.groupBy("attempt_id", "run_id").agg(
-        F.max_by(F.struct("status", "downloaded_bytes", "updated_at", "seq"), F.struct("updated_at", "seq")).alias("_s")
-    ).select("attempt_id", "run_id", "_s.*")
+KEY, ORDER = ("attempt_id", "run_id"), ("updated_at", "seq")
 
 
-def attempt_state_stream(events: DataFrame, path: str, checkpoint: str):
-    """Start a stream that appends the newest state of each attempt in a micro-batch to a Parquet log.
+def attempt_state_stream(events: DataFrame, path: str, checkpoint: str, idle_ms: int = changes.IDLE_MS, shards: int = changes.SHARDS):
+    """Start a stream that keeps the newest state of each attempt.
 
-    The stream keeps no state of its own, so it may run for ever; the log is folded when it
-    is read and made short by :func:`compact_state`. A replayed batch writes the same
-    folder again, so the log holds each batch once.
+    A micro-batch adds the states that are newer than what is known. What is known of a run is dropped once it has been silent for ``idle_ms``.
     """
+    rows = events.select(
+        "attempt_id", F.coalesce(F.col("run_id").cast("string"), F.lit("")).alias("run_key"), "run_id", "status",
+        F.col("downloaded_bytes").cast("string").alias("downloaded_bytes"),
+        F.coalesce("updated_at", F.lit("")).alias("updated_at"), F.coalesce("seq", F.lit(-1)).alias("seq"),
+    )
+    states = changes.winning_rows(rows, "run_key", KEY, ORDER, newest=True, idle_ms=idle_ms, shards=shards).drop("run_key")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        latest_state(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        changes.append_changes(batch, batch_id, path, KEY, ORDER)
 
-    return (
-        events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+    with changes.keyed_state(events.sparkSession):
+        return states.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def compact_state(spark: SparkSession, path: str, target: str) -> None:
-    """Write the current state of the log at ``path`` as the first batch of a new log at ``target``.
+    """Write the current states at ``path`` as the first batch of a new table at ``target``.
 
-    Run it while no stream writes, then go on with ``target``; the old log can be deleted.
+    Run it while no stream writes, then go on with ``target``; the old table can be deleted.
     """
-    read_state(spark, path).drop("batch").write.mode("overwrite").parquet(f"{target}/batch=-1")
+    changes.compact(spark, path, target, KEY, ORDER)
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:
-    """Current state from the log: the newest entry of each attempt."""
-    return runs.latest_attempts(spark.read.parquet(path))
+    """Current state of each attempt: all states but those replaced since."""
+    return changes.current_rows(spark, path, KEY, ORDER).withColumn("downloaded_bytes", F.col("downloaded_bytes").cast("bigint"))
 
 
 def attempt_state_snapshot(spark: SparkSession, folder: str, views) -> DataFrame:

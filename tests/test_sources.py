@@ -5,10 +5,11 @@ import json
 import os
 import struct
 
+import pytest
 from pyspark.sql import functions as F
 
 from terraspan.operators import audit, ingest, planning
-from terraspan.sources import catalog_tree, features, inventory, pages
+from terraspan.sources import catalog_tree, features, inventory, page_files, pages
 from terraspan.sources.raster_headers import raster_headers
 
 
@@ -145,6 +146,40 @@ def test_pages_round_trip_and_plan(spark, tmp_path):
     assert sizes == [2, 1] and plan.select("attempt_id").distinct().count() == 3
 
 
+def test_pages_written_again_replace_the_earlier_ones(spark, tmp_path):
+    path = str(tmp_path / "pages")
+    pages.write_pages(page_rows(spark), path, file_bytes=1)  # a file for each page
+    pages.write_pages(page_rows(spark).filter("page_number = 2 AND position = 0"), path)
+    got = [(r["page_number"], r["position"], r["id"]) for r in pages.read_pages(spark, path).orderBy("page_number", "position").collect()]
+    assert got == [(1, 0, "i1"), (2, 0, "i2")]
+    assert pages.page_checksums(spark, path).select("path").distinct().count() == 3
+
+
+def test_a_failed_write_leaves_nothing_to_see(spark, tmp_path):
+    path = str(tmp_path / "pages")
+    pages.write_pages(page_rows(spark).filter("page_number = 1"), path)
+    before = sorted(os.listdir(f"{path}/data"))
+    bad = page_rows(spark).withColumn("id", F.when(F.col("page_number") == 2, F.raise_error("broken")).otherwise(F.col("id")))
+    with pytest.raises(Exception, match="broken"):
+        pages.write_pages(bad, path)
+    assert sorted(os.listdir(f"{path}/data")) == before and os.listdir(f"{path}/_commits") == ["000000000001.json"]
+    assert [r["page_number"] for r in pages.read_pages(spark, path).collect()] == [1]
+
+
+def test_page_ranges_inside_a_file(tmp_path):
+    packer = page_files._Packer(str(tmp_path), page_files.file_system(str(tmp_path))[0], 1 << 20)
+    for page in range(20):
+        packer.add("r", page, [f'{{"id":"{page}.{i}"}}' for i in range(3)])
+    packer.close()
+    writer = page_files.PageWriter(str(tmp_path), 1 << 20)
+    writer.commit([page_files.Written(packer.files), None])
+    size = packer.files[0][2]
+    parts = page_files.PageReader(str(tmp_path), size // 4, False).partitions()
+    read = [[v for b in page_files._read_pages(str(tmp_path), p) for v in b.column("value").to_pylist()] for p in parts]
+    assert len(parts) > 2 and sum(read, []) == [f'{{"id":"{page}.{i}"}}' for page in range(20) for i in range(3)]
+    assert page_files.PageReader(str(tmp_path / "none"), 100, False).partitions()[0].value == []
+
+
 def test_sidecars(spark, tmp_path):
     root = str(tmp_path)
     put(f"{root}/source/n/c/i1/metadata.json", json.dumps({"id": "i1", "collection": "c", "properties": {"datetime": "d"}}).encode())

@@ -13,7 +13,7 @@ from terraspan.streaming import ingest, progress
 def test_page_stream_resumes_and_deduplicates(spark, tmp_path):
     landed, out, check = str(tmp_path / "pages"), str(tmp_path / "items"), str(tmp_path / "check")
     pages.write_pages(page_rows(spark).filter("page_number = 1"), landed)
-    stream = lambda: ingest.ingest_pages(pages.stream_pages(spark, landed, 1), "nasa", out, check)
+    stream = lambda: ingest.ingest_pages(pages.stream_pages(spark, landed), "nasa", out, check)
     stream().awaitTermination()
     assert [r["source_item_id"] for r in ingest.read_items(spark, out).collect()] == ["i1"]
     pages.write_pages(page_rows(spark).filter("page_number = 2"), landed)
@@ -21,6 +21,41 @@ def test_page_stream_resumes_and_deduplicates(spark, tmp_path):
     assert sorted((r["source_item_id"], r["page_number"]) for r in ingest.read_items(spark, out).collect()) == [("i1", 1), ("i2", 2)]
 
 
+def sighting(spark, run, page, position, item):
+    asset = {"B04": (f"https://example/{item}.tif", ["data"])}
+    columns = "run_id STRING, page_number INT, position BIGINT, id STRING, collection STRING, assets MAP<STRING, STRUCT<href: STRING, roles: ARRAY<STRING>>>"
+    return spark.createDataFrame([(run, page, position, item, "c", asset)], columns)
+
+
+def test_closed_runs_leave_no_state(spark, tmp_path):
+    landed, out, check = str(tmp_path / "pages"), str(tmp_path / "items"), str(tmp_path / "check")
+    states = []
+
+    def land(*rows):
+        for row in rows:
+            pages.write_pages(row, landed)
+        query = ingest.ingest_pages(pages.stream_pages(spark, landed), "nasa", out, check, idle_ms=1, shards=2)
+        query.awaitTermination()
+        states.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+        return sorted((r["run_id"], r["source_item_id"], r["page_number"], r["position"]) for r in ingest.read_items(spark, out).collect())
+
+    first = sighting(spark, "r", 5, 0, "i")
+    for position in range(1, 12):
+        first = first.unionByName(sighting(spark, "r", 5, position, f"i{position}"))
+    assert len(land(first)) == 12 and states[-1] == 2  # one packed value for each shard
+    # the timers of the first micro-batch fire with the second one, which holds another run only
+    assert len(land(sighting(spark, "s", 1, 0, "k"))) == 13 and states[-1] == 1
+
+
+def test_a_late_page_replaces_a_later_sighting(spark, tmp_path):
+    landed, out, check = str(tmp_path / "pages"), str(tmp_path / "items"), str(tmp_path / "check")
+    for page in (5, 7, 2):  # each is taken by a micro-batch of its own
+        pages.write_pages(sighting(spark, "r", page, 0, "i"), landed)
+        ingest.ingest_pages(pages.stream_pages(spark, landed), "nasa", out, check).awaitTermination()
+    assert [(r["source_item_id"], r["page_number"]) for r in ingest.read_items(spark, out).collect()] == [("i", 2)]
+    assert [(r["page_number"]) for r in spark.read.parquet(f"{out}/replaced").collect()] == [5]
+
+
 def test_register_stream_equals_batch(spark, tmp_path):
     landed = str(tmp_path / "deliveries")
     first, second = delivery(spark), delivery(spark, run_id="run-2", status="skipped", seq=2, registered_at="2024-01-05T00:00:00Z")
@@ -45,6 +80,9 @@ def test_attempt_state_stream(spark, tmp_path):
     progress.attempt_state_stream(source(), state, check).awaitTermination()
     df.filter("seq > 3").write.mode("append").parquet(log)
     progress.attempt_state_stream(source(), state, check).awaitTermination()
+    short = str(tmp_path / "short")
+    progress.compact_state(spark, state, short)
+    assert sorted(map(str, progress.read_state(spark, short).collect())) == sorted(map(str, progress.read_state(spark, state).collect()))
     got = {(r["attempt_id"], r["status"]) for r in progress.read_state(spark, state).collect()}
     assert got == {(r["attempt_id"], r["status"]) for r in runs.latest_attempts(df).collect()}
 
