@@ -226,12 +226,12 @@ def store_shards(runs: DataFrame, length: int, folder: str, bits: int) -> DataFr
                 for shorter in _passed_on(length, words, values):
                     yield from _runs(*_summed(*shorter), _bits(length - 1, bits))
 
-    return runs.repartition(1 << _bits(length, bits), "shard").sortWithinPartitions("shard").mapInArrow(run, _PACKED)
+    return runs.repartitionById(1 << _bits(length, bits), F.col("shard").cast("int")).sortWithinPartitions("shard").mapInArrow(run, _PACKED)
 
 
 def _bits(length: int, bits: int) -> int:
     """Bits of the hash that tell the shard; there are far fewer words than pairs of them."""
-    return bits if length > 1 else max(0, bits - 4)
+    return bits if length > 1 else max(0, bits - 2)
 
 
 def _kept_bits(length: int, bits: int, index: int) -> tuple[int, type]:
