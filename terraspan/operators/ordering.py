@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import materialize
 
@@ -20,16 +26,61 @@ def number_rows(
 ) -> DataFrame:
     """Number the rows of each group from 1 in ``order``, without putting a group into one task.
 
-    The rows are range-partitioned on (group, order), sorted inside the partitions
-    and written once. A partition then needs only its own positions and the row
-    counts of the partitions before it: one small row per partition and group.
-    ``order`` has to be unique inside a group.
+    A segmented prefix sum: the rows are range-partitioned on (group, order) and sorted, each
+    task numbers the groups of its partition as they pass, and the result is written once.
+    Only the first group of a partition can have begun before it, so one row per partition
+    says what to add. That table is as long as there are partitions, and nothing else is
+    joined or shuffled. ``order`` has to be unique inside a group.
     """
-    laid = _lay_out(df, group, order)
-    blocks = _blocks(laid, group, F.count(F.lit(1)))
-    return _with_blocks(laid, blocks, group).select(
-        *df.columns, (F.col("_slot") - F.col("_first") + F.col("_before") + 1).alias(name)
-    )
+    keys = [*group, *order]
+    ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    out = T.StructType([*df.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_inside", T.LongType())])
+    laid = materialize(ordered.mapInArrow(_numbered(list(group), to_arrow_schema(out)), out))
+    names = [F.col(f"`{g}`").alias(f"_g{i}") for i, g in enumerate(group)]
+    key = F.struct(*names) if names else F.struct(F.lit(0).alias("_g"))
+    # rows are unique by (group, order), and a partition's first and last group are the smallest and largest
+    bounds = laid.groupBy("_part").agg(F.min(key).alias("_first"), F.max(F.struct(key.alias("_key"), F.col("_inside").alias("_n"))).alias("_last"))
+    bounds = bounds.select("_part", "_first", F.col("_last._key").alias("_key"), F.col("_last._n").alias("_n"))
+    parts = Window.orderBy("_part")  # one row per partition
+    upto = F.sum("_n").over(Window.partitionBy("_key").orderBy("_part"))
+    before = bounds.withColumn("_upto", upto).select(
+        "_part", "_first", F.when(F.lag("_key").over(parts).eqNullSafe(F.col("_first")), F.lag("_upto").over(parts)).alias("_carry")
+    ).filter("_carry IS NOT NULL")
+    if before.isEmpty():
+        return laid.select(*[F.col(f"`{c}`") for c in df.columns], F.col("_inside").alias(name))
+    carried = laid.join(F.broadcast(before.withColumnRenamed("_part", "_b_part")), (F.col("_part") == F.col("_b_part")) & key.eqNullSafe(F.col("_first")), "left")
+    return carried.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_inside") + F.coalesce("_carry", F.lit(0))).alias(name))
+
+
+def _numbered(group: list[str], schema: pa.Schema):
+    """Number the rows of each group of a sorted partition from 1, batch after batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, count = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            columns = [batch.column(batch.schema.names.index(g)) for g in group]
+            starts = np.zeros(n, bool)
+            for column in columns:
+                starts[1:] |= _differ(column.slice(0, n - 1), column.slice(1))
+            first = [c.slice(0, 1) for c in columns]
+            starts[0] = last is None or any(_differ(a, b)[0] for a, b in zip(last, first))
+            at = np.arange(n)
+            begun = np.maximum.accumulate(np.where(starts, at, -count))  # rows of an open group count from before the batch
+            inside = at - begun + 1
+            last, count = [c.slice(n - 1, 1) for c in columns], int(inside[-1])
+            arrays = [*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(inside.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([c if c.type == f.type else c.cast(f.type) for c, f in zip(arrays, schema)], schema=schema)
+
+    return run
+
+
+def _differ(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Whether values of two arrays are not the same; nulls are the same as nulls, as is not-a-number."""
+    same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a, nan_is_null=True), pc.is_null(b, nan_is_null=True)))
+    return ~np.asarray(same, dtype=bool)
 
 
 def running_total(

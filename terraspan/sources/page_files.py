@@ -25,7 +25,7 @@ from .shared_files import file_system
 
 FORMAT = "search_pages"
 FILE_BYTES = 128 << 20  # a file is closed once it holds so much
-SPLIT_BYTES = 16 << 20  # compressed bytes that one task reads
+SPLIT_BYTES = 2 << 20  # compressed bytes that one task reads and parses
 ROWS = "run_id STRING, page_number INT, commit BIGINT, value STRING"
 INDEX = "run_id STRING, page_number INT, commit BIGINT, path STRING, offset BIGINT, byte_size BIGINT, items BIGINT, checksum_sha256 STRING"
 _INDEX_FILE = pa.schema([

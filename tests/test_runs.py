@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from terraspan.operators import ingest, runs
+from terraspan.operators import ingest, ordering, runs
 
 EVENT = "attempt_id STRING, run_id STRING, batch_number INT, status STRING, downloaded_bytes BIGINT, updated_at STRING, seq BIGINT, error STRING"
 
@@ -76,3 +76,22 @@ def test_task_view(spark):
     legacy = spark.createDataFrame([("r1", "old"), ("x", "old")], "task_id STRING, status STRING")
     persisted = spark.createDataFrame([("r1", "new")], "task_id STRING, status STRING")
     assert {(r["task_id"], r["status"]) for r in runs.merge_tasks(persisted, legacy).collect()} == {("r1", "new"), ("x", "old")}
+
+
+def test_numbers_of_groups_that_cross_partitions(spark):
+    """One group over most partitions, some over a border, many inside one, null among the keys."""
+    rows = [("hot", i) for i in range(3000)] + [(f"g{i % 40}", i) for i in range(900)] + [(None, i) for i in range(30)]
+    df = spark.createDataFrame(rows, "g string, at bigint").withColumn("_first", F.lit(1)).repartition(5)
+    for batch in ("10000", "7"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            got = {(r["g"], r["at"]): r["n"] for r in ordering.number_rows(df, ["g"], ["at"], "n").collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        want = {}
+        for g in {g for g, _ in rows}:
+            want.update({(g, at): n for n, at in enumerate(sorted(a for h, a in rows if h == g), 1)})
+        assert got == want
+    whole = ordering.number_rows(df.filter("g = 'hot'"), [], ["at"], "n").collect()
+    assert sorted((r["at"], r["n"]) for r in whole) == [(i, i + 1) for i in range(3000)]
+    assert ordering.number_rows(df.limit(0), ["g"], ["at"], "n").columns == ["g", "at", "_first", "n"]
