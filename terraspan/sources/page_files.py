@@ -11,6 +11,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import json
+import sys
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -18,9 +19,11 @@ from dataclasses import dataclass
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 
+from . import shared_files
 from .shared_files import file_system
 
 FORMAT = "search_pages"
@@ -32,6 +35,10 @@ _INDEX_FILE = pa.schema([
     ("run_id", pa.string()), ("page_number", pa.int32()), ("offset", pa.int64()), ("byte_size", pa.int64()), ("items", pa.int64()), ("checksum_sha256", pa.string()),
 ])
 
+# The driver's processes that plan reads and streams do not see shipped packages.
+cloudpickle.register_pickle_by_value(shared_files)
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 @dataclass
 class Written(WriterCommitMessage):

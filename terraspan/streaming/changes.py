@@ -2,9 +2,9 @@
 
 Each key has one winning row, the first or the newest in some order. The state knows what
 order the winner of each key has; a micro-batch emits the rows that win now, and what they
-replace. Keys are dealt to shards of their group, and the state of a shard is one packed
-value, read and written once a micro-batch. When a group has been silent for a while it
-counts as closed: a timer drops its state.
+replace. Keys are dealt to shards by their hash, and the state of a shard is one packed
+value, read and written once a micro-batch, however many groups or keys it holds. When a
+group has been silent in a shard for a while it counts as closed: a timer drops its keys.
 """
 
 from __future__ import annotations
@@ -23,12 +23,12 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..session import settings
 
-SHARDS = 32
+SHARDS = 64  # states; a group of any size is spread over all of them
 IDLE_MS = 24 * 3600 * 1000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 # names that do not start with an underscore, which rows lose on their way to the processor
-_DIGEST, _PLACE = ("key_digest_a", "key_digest_b"), "place_in_batch"
+_DIGEST, _PLACE, _GROUP, _SEEN = ("key_digest_a", "key_digest_b"), "place_in_batch", "group_digest", "seen_at"
 
 
 # The process that asks a processor for its states, on the driver, does not see shipped packages.
@@ -46,36 +46,45 @@ class Winner(StatefulProcessor):
         self.known = handle.getValueState("known", "packed BINARY")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        now = int(time.time() * 1000)
         fresh = pd.concat(list(rows), ignore_index=True)
-        known = self._load(fresh)
-        known[_PLACE], fresh[_PLACE] = -1, range(len(fresh))
-        columns = [*_DIGEST, *self.order, _PLACE]
+        known = self._open(now, fresh)
+        fresh[_PLACE], fresh[_SEEN], known[_PLACE] = range(len(fresh)), now, -1
+        columns = [*_DIGEST, *self.order, _GROUP, _SEEN, _PLACE]
         # what is known comes first, so that an equal row changes nothing
         both = pd.concat([known[columns], fresh[columns]], ignore_index=True) if len(known) else fresh[columns]
-        both = both.sort_values(self.order, ascending=not self.newest, kind="stable", na_position="last" if self.newest else "first")
-        winners = both.drop_duplicates(list(_DIGEST))
-        self.known.update((self._packed(winners),))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(int(time.time() * 1000) + self.idle_ms)
-        out = fresh.iloc[winners[_PLACE][winners[_PLACE] >= 0].sort_values()].drop(columns=_PLACE)
-        before = known.drop(columns=_PLACE).rename(columns={c: f"replaced_{c}" for c in self.order})
+        both = both.sort_values(self.order, ascending=not self.newest, kind="stable")
+        winners = both.drop_duplicates(list(_DIGEST)).copy()
+        winners.loc[winners[_GROUP].isin(fresh[_GROUP]), _SEEN] = now
+        self._keep(winners)
+        out = fresh.iloc[winners[_PLACE][winners[_PLACE] >= 0].sort_values()].drop(columns=[_PLACE, _SEEN, _GROUP])
+        before = known[[*_DIGEST, *self.order]].rename(columns={c: f"replaced_{c}" for c in self.order})
         yield out.merge(before, on=list(_DIGEST), how="left").drop(columns=list(_DIGEST))
 
-    def _load(self, like: pd.DataFrame) -> pd.DataFrame:
+    def _open(self, now: int, like: pd.DataFrame | None = None) -> pd.DataFrame:
+        """What is known of groups that are not closed."""
         if not self.known.exists():
-            return like.iloc[:0][[*_DIGEST, *self.order]].copy()
-        return pa.ipc.open_stream(self.known.get()[0]).read_pandas()
+            return like.iloc[:0].assign(**{_SEEN: pd.Series(dtype="int64")})
+        known = pa.ipc.open_stream(self.known.get()[0]).read_pandas()
+        return known[known[_SEEN] + self.idle_ms > now].reset_index(drop=True)
 
-    def _packed(self, winners: pd.DataFrame) -> bytes:
-        table = pa.Table.from_pandas(winners[[*_DIGEST, *self.order]], preserve_index=False)
+    def _keep(self, rows: pd.DataFrame) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        table = pa.Table.from_pandas(rows[[*_DIGEST, *self.order, _GROUP, _SEEN]], preserve_index=False)
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, table.schema) as writer:
             writer.write_table(table)
-        return sink.getvalue().to_pybytes()
+        self.known.update((sink.getvalue().to_pybytes(),))
+        self.handle.registerTimer(int(rows[_SEEN].min()) + self.idle_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.known.clear()
+        if self.known.exists():
+            left = self._open(int(time.time() * 1000))
+            if len(left):
+                self._keep(left)
+            else:
+                self.known.clear()
         return iter(())
 
     def close(self) -> None:
@@ -96,17 +105,17 @@ def winning_rows(
 ) -> DataFrame:
     """Stream of rows that win among those of their ``key``, with the order columns of what they replace (``replaced_*``).
 
-    ``group`` is one of the key columns; its keys are spread over ``shards`` states, so that
-    a group of any size is worked on by many tasks. Keys are told apart by 128 bits of hash.
+    ``group`` is a column that keys of one run share. All keys are spread over ``shards`` states,
+    whose number stays the same for the life of a stream. Keys are told apart by 128 bits of hash.
     A row that arrives after its group's state is gone counts as new. The caller fills order
     and group columns, so that none is null; other columns are texts or hold no nulls, and
     no name starts with an underscore.
     """
     digest = [F.xxhash64(*key), F.xxhash64(F.lit(1), *key)]
-    dealt = rows.withColumns(dict(zip(_DIGEST, digest))).withColumn("key_shard", F.pmod(_DIGEST[0], F.lit(shards)).cast("int"))
+    dealt = rows.withColumns(dict(zip(_DIGEST, digest))).withColumn(_GROUP, F.xxhash64(group)).withColumn("key_shard", F.pmod(_DIGEST[0], F.lit(shards)).cast("int"))
     replaced = [T.StructField(f"replaced_{c}", rows.schema[c].dataType) for c in order]
     out = T.StructType([*rows.schema.fields, T.StructField("key_shard", T.IntegerType()), *replaced])
-    made = dealt.groupBy(group, "key_shard").transformWithStateInPandas(Winner(order, newest, idle_ms), out, "Update", "ProcessingTime")
+    made = dealt.groupBy("key_shard").transformWithStateInPandas(Winner(order, newest, idle_ms), out, "Update", "ProcessingTime")
     return made.drop("key_shard")
 
 
