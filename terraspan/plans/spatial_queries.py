@@ -38,7 +38,7 @@ def p09(v: Views):
 @query("j11_aoi_bbox_join", """
     SELECT asset_id, area_id FROM v_geo g JOIN v_areas a ON g.west <= a.east AND g.east >= a.west AND g.south <= a.north AND g.north >= a.south""", "v_geo", "v_areas")
 def j11(v: Views):
-    pairs = spatial.bbox_join(v.geo().select("asset_id", "bbox"), v.areas().select("area_id", "bbox"), cell=10.0, split=4)
+    pairs = spatial.bbox_join(v.geo().select("asset_id", "bbox"), v.areas().select("area_id", "bbox"))
     return pairs.select("asset_id", "area_id")
 
 
@@ -65,7 +65,7 @@ def j12(v: Views):
     mx, my = ((F.col(c) + 10).cast("string") for c in ("west", "south"))
     diamond = F.concat(F.lit("POLYGON (("), F.concat_ws(", ", pair(mx, s), pair(e, my), pair(mx, n), pair(w, my), pair(mx, s)), F.lit("))"))
     areas = v.areas().select("area_id", "bbox", geo.wkt_rings(diamond).alias("area_rings"))
-    return spatial.intersection_join(items, areas, split=4).select("asset_id", "area_id")
+    return spatial.intersection_join(items, areas).select("asset_id", "area_id")
 
 
 @query("f05_cmr_polygon_parse", """
