@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,7 +14,6 @@ from ..functions import geometry as geo
 from ..functions import pixels as px
 from ..profiles import MASK_CLASSES, mask_classes
 from ..session import materialize
-from . import ordering
 from .stars import contract
 
 SHARES = (0.02, 0.98)
@@ -20,6 +21,9 @@ COLUMN_BLOCK = 32
 BAND_ROWS = 128
 PACK_RUNS = 50_000
 MIN_PART_PIXELS = 64
+FINE_BINS = 65_536
+# Bins under refinement (some 100 bytes each) that are sent to all tasks; more are left to Spark's choice of join.
+BROADCAST_BINS = 500_000
 # Rings of more corners are simplified in rounds over rows, shorter ones inside a task.
 RING_GROUP = 100_000
 
@@ -44,8 +48,8 @@ def percentile_bounds(pixels: DataFrame) -> DataFrame:
     """Stretch bounds per asset: 2nd and 98th percentile of the valid pixels, with fallbacks for flat data.
 
     For 8 and 16-bit values the built-in exact percentile is used: its state holds
-    at most 65,536 counts. Other types may have as many values as pixels and are
-    ranked by range partitions instead, so no task holds the values of an asset.
+    at most 65,536 counts. Other types may have as many values as pixels; their ranks
+    are narrowed down by histograms, so no task holds the values of an asset.
     """
     small = isinstance(pixels.schema["value"].dataType, (T.ByteType, T.ShortType))
     usable = F.when(_usable(), F.col("value"))
@@ -64,22 +68,63 @@ def percentile_bounds(pixels: DataFrame) -> DataFrame:
     )
 
 
+def _coarse_bin(value: Column) -> Column:
+    """Some fifteen bins for each power of two, in the order of the values: at most 63,000 for all doubles."""
+    size = F.floor((F.log2(F.abs(value)) + 1075) * 15) + 1
+    return F.when(value == 0, 0).otherwise(F.signum(value) * size).cast("int")
+
+
+def _fine_bin(value: Column, low: Column, high: Column) -> Column:
+    """Equal bins between two values, the lower in the first and the upper in the last."""
+    return F.least(F.lit(FINE_BINS - 1), F.floor((value - low) / (high - low) * FINE_BINS)).cast("int")
+
+
+def _picked(histogram: DataFrame, group: list[str]) -> DataFrame:
+    """Bins that hold a wanted rank (``_wanted``: slot and rank inside the group), with ranks inside the bin."""
+    bins = Window.partitionBy(*group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    rows = histogram.withColumn("_before", F.coalesce(F.sum("_n").over(bins), F.lit(0)))
+    here = F.filter("_wanted", lambda t: (t["at"] >= F.col("_before")) & (t["at"] < F.col("_before") + F.col("_n")))
+    inside = F.transform(here, lambda t: F.struct(t["slot"].alias("slot"), (t["at"] - F.col("_before")).alias("at")))
+    return rows.withColumn("_wanted", inside).filter(F.size("_wanted") > 0).select("asset_id", "_n", "_low", "_high", "_wanted")
+
+
 def _ranked_percentiles(values: DataFrame) -> DataFrame:
-    """Linearly interpolated percentiles from running counts of the distinct values."""
-    counts = values.filter(F.col("value").isNotNull()).groupBy("asset_id", "value").agg(F.count(F.lit(1)).alias("n"))
-    ranked = ordering.running_total(counts, ["asset_id"], ["value"], "n")
-    totals = ranked.groupBy("asset_id").agg(F.max("upto").alias("_total"))
-    rows = ranked.join(totals, "asset_id")
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank), F.col("value").cast("double")))
-
-    picks = []
-    for i, share in enumerate(SHARES):
-        rank = (F.col("_total") - 1) * share
-        picks += [at(F.floor(rank)).alias(f"_lo{i}"), at(F.ceil(rank)).alias(f"_hi{i}"), F.max(rank - F.floor(rank)).alias(f"_f{i}")]
-    found = rows.groupBy("asset_id").agg(*picks)
-    between = [F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}") for i in range(len(SHARES))]
+    """Linearly interpolated percentiles by radix selection over histograms.
+
+    The first histogram counts coarse bins of each asset; only values in a bin that holds a wanted rank are counted
+    again, in fine bins between that bin's least and greatest value. A rank is settled once it is the first or the last
+    of its bin or the bin has one value, which takes one fine round for most data and four for any doubles. Histograms add up inside the tasks,
+    so what is shuffled is bins, and the values are neither sorted nor copied; they are read once a round.
+    """
+    values = values.select("asset_id", F.col("value").cast("double").alias("value")).filter(F.col("value").isNotNull())
+    counted = [F.count(F.lit(1)).alias("_n"), F.min("value").alias("_low"), F.max("value").alias("_high")]
+    coarse = values.groupBy("asset_id", _coarse_bin(F.col("value")).alias("_bin")).agg(*counted)
+    total = F.sum("_n").over(Window.partitionBy("asset_id"))
+    ranks = [(F.col("_total") - 1) * share for share in SHARES]
+    wanted = [F.struct(F.lit(2 * i + up).alias("slot"), end(rank).cast("bigint").alias("at")) for i, rank in enumerate(ranks) for up, end in enumerate((F.floor, F.ceil))]
+    coarse = coarse.withColumn("_total", total).withColumn("_wanted", F.array(*wanted))
+    totals = materialize(coarse.select("asset_id", "_total", "_bin", "_n", "_low", "_high", "_wanted"))
+    bins, settled = materialize(_picked(totals, ["asset_id"])), []
+    is_end = lambda t: (t["at"] == 0) | (t["at"] == F.col("_n") - 1) | (F.col("_low") == F.col("_high"))
+    while True:
+        ends = bins.select("asset_id", "_low", "_high", F.explode(F.filter("_wanted", is_end)).alias("_t"))
+        settled.append(ends.select("asset_id", F.col("_t.slot").alias("_slot"), F.when(F.col("_t.at") == 0, F.col("_low")).otherwise(F.col("_high")).alias("_value")))
+        unsettled = bins.withColumn("_wanted", F.filter("_wanted", lambda t: ~is_end(t))).filter(F.size("_wanted") > 0)
+        open_bins = unsettled.count()
+        if not open_bins:
+            break
+        ranges = unsettled.select(F.col("asset_id").alias("_asset"), F.col("_low").alias("_from"), F.col("_high").alias("_to"), "_wanted")
+        if open_bins <= BROADCAST_BINS:
+            ranges = F.broadcast(ranges)
+        again = values.join(ranges, (F.col("asset_id") == F.col("_asset")) & F.col("value").between(F.col("_from"), F.col("_to")))
+        fine = again.groupBy("asset_id", "_from", _fine_bin(F.col("value"), F.col("_from"), F.col("_to")).alias("_bin"))
+        bins = materialize(_picked(fine.agg(*counted, F.first("_wanted").alias("_wanted")), ["asset_id", "_from"]))
+    found = functools.reduce(DataFrame.unionByName, settled).groupBy("asset_id").agg(
+        *[F.max(F.when(F.col("_slot") == slot, F.col("_value"))).alias(f"_v{slot}") for slot in range(2 * len(SHARES))]
+    ).join(totals.select("asset_id", "_total").distinct(), "asset_id")
+    between = [
+        F.col(f"_v{2 * i}") + (F.col(f"_v{2 * i + 1}") - F.col(f"_v{2 * i}")) * (rank - F.floor(rank)) for i, rank in enumerate(ranks)
+    ]
     return found.select("asset_id", F.array(*between).alias("_p"))
 
 

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from terraspan.operators import raster
@@ -171,6 +172,28 @@ def test_percentile_fallbacks(spark):
     assert gray[("none", 0)] == (0, 0) and gray[("ramp", 11)] == (255, 235) and gray[("flat", 0)] == (0, 235)
 
 
+def test_percentiles_of_many_values(spark):
+    """Selection over histograms against numpy: outliers, tiny numbers, dense ranges, ties, one value."""
+    rng = np.random.default_rng(4)
+    assets = {
+        "outliers": np.concatenate([rng.normal(0, 1, 3000), [1e300, -1e300, 5e-324, -5e-324, 0.0, -0.0]]),
+        "dense": 1.0 + np.arange(40_000) * 2.0**-52,
+        "nested": np.concatenate([100 + rng.random(5000) * 1e-12, 100 + rng.random(5000) * 1e-5, [100.0, 108.0]]),
+        "ties": np.repeat([3.0, 4.0, 4.5], [10, 5000, 10]), "one": np.array([-7.5]), "negative": -np.exp(rng.normal(0, 9, 2000)),
+    }
+    frame = pd.DataFrame([(k, float(v)) for k, vs in assets.items() for v in rng.permutation(vs)], columns=["asset_id", "value"])
+    df = spark.createDataFrame(frame).withColumn("valid", F.lit(True)).repartition(5)
+    got = {r["asset_id"]: (r["low"], r["high"]) for r in raster.percentile_bounds(df).collect()}
+    for name, values in assets.items():
+        low, high = np.percentile(values, [2, 98])
+        if high <= low:
+            low, high = values.min(), max(values.max(), values.min() + 1) if values.max() <= values.min() else values.max()
+        np.testing.assert_allclose(got[name], (low, high), rtol=1e-14, err_msg=name)
+    wide = spark.createDataFrame([("w", 2**62 + i * 2**20, True) for i in range(101)], "asset_id STRING, value BIGINT, valid BOOLEAN")
+    assert raster.percentile_bounds(wide).first()[1:] == (float(2**62 + 2 * 2**20), float(2**62 + 98 * 2**20))
+    assert raster.percentile_bounds(df.limit(0)).count() == 0
+
+
 def test_mask_classes(spark):
     df = spark.createDataFrame([("m", 0, i, v, ok) for i, (v, ok) in enumerate([(0, True), (1, True), (34, True), (32, True), (24, True), (63, False)])],
                                "asset_id STRING, row INT, col INT, value INT, valid BOOLEAN")
