@@ -10,8 +10,9 @@ from ..functions import semantics, text
 from ..operators import audit, catalog, ordering, planning, registry
 from ..profiles import PROFILE_BANDS, SOURCE_INFO
 from ..schemas import RASTER_DDL
-from ..session import materialize, scratch_dir
+from ..session import materialize, scratch_dir, scratch_folder
 from ..sources.registry_store import RegistryStore
+from ..sources.search_layout import write_search_layout
 from .base import query
 from .views import ARRIVAL, Views
 
@@ -304,6 +305,34 @@ def p03(v: Views):
     return catalog.search_rows(v.assets("local_path", "status"), "7.B04").select("asset_id", "local_path", "status")
 
 
+def _laid_out(v: Views, *columns: str):
+    newest = F.coalesce("updated_at", F.lit("")).desc()
+    return write_search_layout(v.assets(*columns), scratch_folder(v.spark), [newest, F.col("asset_id")], keys=["asset_id"], rows_per_part=5_000)
+
+
+@query("p03_indexed_text_search", """
+    SELECT asset_id, local_path, status FROM v_assets
+    WHERE lower(asset_id) LIKE '%99.b04%' OR lower(local_path) LIKE '%99.b04%' OR lower(status) LIKE '%99.b04%'""", "v_assets")
+def p03_indexed(v: Views):
+    """Only parts that hold every trigram of the text are read."""
+    return _laid_out(v, "local_path", "status", "updated_at").search("99.B04").select("asset_id", "local_path", "status")
+
+
+@query("l01_indexed_page", """
+    SELECT asset_id, updated_at, byte_size FROM v_assets ORDER BY updated_at DESC, asset_id LIMIT 100 OFFSET 4950""", "v_assets")
+def l01_indexed(v: Views):
+    """A page over two parts."""
+    return _laid_out(v, "updated_at", "byte_size").page(offset=4950, limit=100).select("asset_id", "updated_at", "byte_size")
+
+
+@query("p04_indexed_lookup", """
+    SELECT asset_id, updated_at, byte_size FROM v_assets WHERE asset_id = (SELECT max(asset_id) FROM v_assets)""", "v_assets")
+def p04_indexed(v: Views):
+    laid = _laid_out(v, "updated_at", "byte_size")
+    last = laid.read().agg(F.max("asset_id")).first()[0]
+    return laid.lookup(asset_id=last).select("asset_id", "updated_at", "byte_size")
+
+
 @query("p03_text_search_with_keys", """
     SELECT run_id, request FROM v_runs
     WHERE lower('{"run_id":' || run_id || ',"request":"' || request || '"}') LIKE '%request":"1-urg%'""", "v_runs")
