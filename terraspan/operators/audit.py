@@ -9,39 +9,94 @@ from ..functions import text
 from ..profiles import LAYERS, relation
 
 
-def registered_paths(assets: DataFrame) -> DataFrame:
-    return assets.select(F.col("local_path").alias("path")).filter("path <> ''").distinct()
+# Ranges of folders that are compared by digest: 65,536 rows of 40 bytes on each side.
+RANGES = 65_536
 
 
-def source_files(files: DataFrame) -> DataFrame:
-    """Payload paths of the source layer: no sidecars, no partial transfers, no junk."""
+def _registered(assets: DataFrame) -> DataFrame:
+    return assets.select(F.col("local_path").alias("path")).filter("path <> ''")
+
+
+def _sources(files: DataFrame) -> DataFrame:
     name = F.substring_index("path", "/", -1)
     if "kind" in files.columns:
         files = files.filter("kind = 'file'")
     return files.filter(
         F.col("path").startswith("source/") & text.is_payload_file(F.col("path")) & ~text.is_junk_file(name)
-    ).select("path").distinct()
+    ).select("path")
+
+
+def registered_paths(assets: DataFrame) -> DataFrame:
+    return _registered(assets).distinct()
+
+
+def source_files(files: DataFrame) -> DataFrame:
+    """Payload paths of the source layer: no sidecars, no partial transfers, no junk."""
+    return _sources(files).distinct()
+
+
+def range_digests(paths: DataFrame, ranges: int = RANGES) -> DataFrame:
+    """Per range of folders a digest of its paths that does not depend on their order.
+
+    A range is the folders with the same hash modulo ``ranges``, so a lost or new folder lies in one. The digest is the
+    number of paths, the sums of the halves of one hash and the exclusive or of another: repeated paths count, and
+    unlike ranges agree with a chance of about 2^-128. Sums are formed inside the tasks; at most ``ranges`` rows leave.
+    """
+    folder = F.regexp_replace("path", r"[^/]*$", "")
+    one, other = F.xxhash64("path"), F.xxhash64(F.lit(1), "path")
+    return paths.groupBy(F.pmod(F.xxhash64(folder), F.lit(ranges)).cast("int").alias("range")).agg(
+        F.count(F.lit(1)).alias("paths"), F.sum(one.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"),
+        F.sum(F.shiftrightunsigned(one, 32)).alias("high"), F.bit_xor(other).alias("mixed"),
+    )
+
+
+def differing(left: DataFrame, right: DataFrame, ranges: int = RANGES) -> tuple[DataFrame, DataFrame]:
+    """Both sides (``path``) without the ranges whose digests agree.
+
+    What one side has and the other has not is the same before and after, while of two sides that are nearly equal
+    only the few ranges that differ are left to be shuffled and joined. Each side is read twice. A path that one side
+    repeats makes its range differ, which costs time and changes no result; so do nulls, which form a range.
+    """
+    a, b = range_digests(left, ranges), range_digests(right, ranges)
+    b = b.select("range", F.struct("paths", "low", "high", "mixed").alias("_b"))
+    both = a.select("range", F.struct("paths", "low", "high", "mixed").alias("_a")).join(b, "range", "full_outer")
+    unlike = F.broadcast(both.filter(~F.col("_a").eqNullSafe(F.col("_b"))).select("range"))  # at most ``ranges`` numbers
+    at = F.pmod(F.xxhash64(F.regexp_replace("path", r"[^/]*$", "")), F.lit(ranges)).cast("int")
+    return tuple(side.select("path", at.alias("range")).join(unlike, "range", "left_semi").select("path") for side in (left, right))
+
+
+def _known_and_there(assets: DataFrame, files: DataFrame, by_range: bool) -> tuple[DataFrame, DataFrame]:
+    known, there = _registered(assets), _sources(files)
+    known, there = differing(known, there) if by_range else (known, there)
+    return known.distinct(), there.distinct()
 
 
-def missing_assets(assets: DataFrame, files: DataFrame) -> DataFrame:
-    return registered_paths(assets).join(source_files(files), "path", "left_anti")
+def missing_assets(assets: DataFrame, files: DataFrame, by_range: bool = False) -> DataFrame:
+    """Registered paths without a file. ``by_range`` compares digests first, for sides that are nearly equal."""
+    known, there = _known_and_there(assets, files, by_range)
+    return known.join(there, "path", "left_anti")
 
 
-def unregistered_files(assets: DataFrame, files: DataFrame) -> DataFrame:
-    return source_files(files).join(registered_paths(assets), "path", "left_anti")
+def unregistered_files(assets: DataFrame, files: DataFrame, by_range: bool = False) -> DataFrame:
+    """Files of the source layer that no asset names. ``by_range`` as in :func:`missing_assets`."""
+    known, there = _known_and_there(assets, files, by_range)
+    return there.join(known, "path", "left_anti")
 
 
-def path_audit(assets: DataFrame, files: DataFrame) -> DataFrame:
-    """One row with the number of missing and of unregistered paths; each side is read once."""
-    known = registered_paths(assets).withColumn("_known", F.lit(True))
-    there = source_files(files).withColumn("_there", F.lit(True))
+def path_audit(assets: DataFrame, files: DataFrame, by_range: bool = False) -> DataFrame:
+    """One row with the number of missing and of unregistered paths; without ``by_range`` each side is read once."""
+    known, there = _known_and_there(assets, files, by_range)
+    known, there = known.withColumn("_known", F.lit(True)), there.withColumn("_there", F.lit(True))
     return known.join(there, "path", "full_outer").agg(
         F.count_if(F.col("_there").isNull()).alias("missing_assets"), F.count_if(F.col("_known").isNull()).alias("unregistered_source_files")
     )
 
 
-def path_except(left: DataFrame, right: DataFrame) -> DataFrame:
-    return left.select("path").subtract(right.select("path"))
+def path_except(left: DataFrame, right: DataFrame, by_range: bool = False) -> DataFrame:
+    """Distinct paths of ``left`` that ``right`` has not; a null counts as a path. ``by_range`` as in :func:`missing_assets`."""
+    left, right = left.select("path"), right.select("path")
+    left, right = differing(left, right) if by_range else (left, right)
+    return left.subtract(right)
 
 
 def layer_scan(files: DataFrame) -> DataFrame:

@@ -194,3 +194,23 @@ def test_normalize_json(spark):
 def test_materialize_reads_back(spark):
     df = spark.createDataFrame([(1, [1.0, None], {"a": "b"})], "x INT, y ARRAY<DOUBLE>, z MAP<STRING, STRING>")
     assert materialize(df).collect() == df.collect()
+
+
+def test_audit_by_range_joins_what_differs(spark):
+    """Nearly equal sides: same rows as a whole join, and only folders whose digests differ reach it."""
+    paths = spark.range(5000).select(F.format_string("source/d%03d/%05d.tif", F.col("id") % 500, "id").alias("path"))
+    gone = F.col("path").startswith("source/d007/") | (F.col("path") == "source/d009/00009.tif")
+    files = paths.filter(~gone).unionByName(spark.createDataFrame([("source/new/1.tif",), ("source/d011/.DS_Store",)], "path STRING"))
+    assets = paths.withColumnRenamed("path", "local_path")
+    assets = assets.unionByName(spark.createDataFrame([("",), (None,), ("source/d020/00020.tif",)], "local_path STRING"))
+    for find in (audit.missing_assets, audit.unregistered_files, audit.path_audit):
+        assert sorted(find(assets, files, by_range=True).collect()) == sorted(find(assets, files).collect())
+    assert audit.path_audit(assets, files, by_range=True).first()[:] == (11, 1)
+    left, right = audit.differing(paths, files)
+    assert left.count() == 30 and right.count() == 9 + 1 + 11  # the folders d007, d009, d011 and new; junk is a path here
+    same = audit.differing(paths, paths.repartition(7))
+    assert [side.count() for side in same] == [0, 0]
+    x, y = (spark.createDataFrame([(p,)] * 2 + [(None,)], "path STRING") for p in ("a/x", "a/y"))
+    assert [r["path"] for r in audit.path_except(x, y, by_range=True).collect()] == ["a/x"]
+    assert [r["path"] for r in audit.path_except(x, y.filter("path IS NOT NULL"), by_range=True).orderBy("path").collect()] == [None, "a/x"]
+    assert audit.path_except(x, x, by_range=True).isEmpty() and audit.path_except(x.limit(0), y, by_range=True).isEmpty()
