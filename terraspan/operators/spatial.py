@@ -17,7 +17,7 @@ LEVELS = 32
 # Sides beyond this are held to it, which keeps cell numbers inside a long and leaves overlaps as they are.
 FARTHEST = 1e15
 # A cell with more rows of a side than this, and more than its share of all rows, is split.
-PIECE_ROWS = 10_000
+PIECE_ROWS = 50_000
 PIECES = 2048
 
 
@@ -38,9 +38,11 @@ def _levelled(df: DataFrame, cell: float) -> DataFrame:
     return df.filter(known).withColumn("_own", level.cast("int"))
 
 
-def _seen(levelled: DataFrame) -> tuple[int, list[int]]:
-    row = levelled.agg(F.count(F.lit(1)).alias("n"), F.collect_set("_own").alias("levels")).first()
-    return row["n"], sorted(row["levels"])
+def _seen(sides: list[DataFrame]) -> list[tuple[int, list[int]]]:
+    """Rows and levels of each side, by one job over the boxes."""
+    marked = [side.select(F.lit(i).alias("_of"), "_own") for i, side in enumerate(sides)]
+    counts = marked[0].unionByName(marked[1]).groupBy("_of", "_own").count().collect()  # at most LEVELS rows a side
+    return [(sum(r["count"] for r in counts if r["_of"] == i), sorted(r["_own"] for r in counts if r["_of"] == i)) for i in range(2)]
 
 
 def _in_cells(levelled: DataFrame, met: list[int], cell: float) -> DataFrame:
@@ -76,7 +78,7 @@ def box_cells(
     of that cell only. Crowded cells are found by counting all rows; there are at most some thousands.
     """
     sides = [_levelled(items, cell), _levelled(areas, cell)]
-    seen = [_seen(side) for side in sides]
+    seen = _seen(sides)
     cells = [_in_cells(side, seen[1 - i][1], cell) for i, side in enumerate(sides)]
     pieces = [piece or max(PIECE_ROWS, n // PIECES) for n, _ in seen]
     key = ["_k", "_cx", "_cy"]
