@@ -19,6 +19,22 @@ def mask_class(value: Column, valid: Column) -> Column:
     return F.when(valid, rule.otherwise("clear"))
 
 
+def fused(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c with the product unrounded, by error-free halves of the factors; plain where these would overflow."""
+
+    def halves(x: Column) -> tuple[Column, Column]:
+        scaled = x * F.lit(134217729.0)  # 2^27 + 1
+        upper = scaled - (scaled - x)
+        return upper, x - upper
+
+    (ah, al), (bh, bl), product = halves(a), halves(b), a * b
+    lost = al * bl - (((product - ah * bh) - al * bh) - ah * bl)
+    total = product + c
+    other = total - product
+    rest = (product - (total - other)) + (c - other)
+    return F.when((F.abs(a) < 1e290) & (F.abs(b) < 1e290), total + (rest + lost)).otherwise(total)
+
+
 def stretch(value: Column, low: Column, high: Column) -> Column:
     """Linear stretch between the bounds to a byte, cut off, not rounded."""
     scaled = F.least(F.greatest((value - low) / (high - low), F.lit(0.0)), F.lit(1.0))

@@ -47,16 +47,16 @@ def _usable() -> Column:
 def percentile_bounds(pixels: DataFrame) -> DataFrame:
     """Stretch bounds per asset: 2nd and 98th percentile of the valid pixels, with fallbacks for flat data.
 
-    For 8 and 16-bit values the built-in exact percentile is used: its state holds
-    at most 65,536 counts. Other types may have as many values as pixels; their ranks
-    are narrowed down by histograms, so no task holds the values of an asset.
+    For 8 and 16-bit values the values are counted, at most 65,536 of an asset. Other types
+    may have as many values as pixels; their ranks are narrowed down by histograms, so no
+    task holds the values of an asset.
     """
     small = isinstance(pixels.schema["value"].dataType, (T.ByteType, T.ShortType))
     usable = F.when(_usable(), F.col("value"))
-    extremes = [F.min(usable).cast("double").alias("_min"), F.max(usable).cast("double").alias("_max")]
     if small:
-        stats = pixels.groupBy("asset_id").agg(F.percentile(usable, F.array(*[F.lit(s) for s in SHARES])).alias("_p"), *extremes)
+        stats = _counted_percentiles(pixels.select("asset_id", usable.alias("value")))
     else:
+        extremes = [F.min(usable).cast("double").alias("_min"), F.max(usable).cast("double").alias("_max")]
         stats = pixels.groupBy("asset_id").agg(*extremes).join(_ranked_percentiles(pixels.select("asset_id", usable.alias("value"))), "asset_id", "left")
     flat = F.col("_p")[1] <= F.col("_p")[0]
     low = F.when(flat, F.col("_min")).otherwise(F.col("_p")[0])
@@ -68,6 +68,32 @@ def percentile_bounds(pixels: DataFrame) -> DataFrame:
     )
 
 
+def _ranks(total: Column) -> list[Column]:
+    return [(total - 1) * share for share in SHARES]
+
+
+def _interpolated() -> Column:
+    """Percentiles between the values at the lower and the upper rank (``_v0``, ``_v1`` and so on) of ``_total``.
+
+    Rounded as the SQL counterpart does it, so that a pixel on the edge between two gray levels gets the same one.
+    """
+    parts = [rank - F.floor(rank) for rank in _ranks(F.col("_total"))]
+    ends = [(F.col(f"_v{2 * i}").cast("double"), F.col(f"_v{2 * i + 1}").cast("double")) for i in range(len(SHARES))]
+    return F.array(*[F.when(low == high, low).otherwise(px.fused(low, 1 - part, high * part)) for (low, high), part in zip(ends, parts)])
+
+
+def _counted_percentiles(values: DataFrame) -> DataFrame:
+    """Percentiles and extremes of few distinct values by their running counts; null values count for nothing."""
+    counts = values.groupBy("asset_id", "value").agg(F.count("value").alias("_n"))
+    asset = Window.partitionBy("asset_id")
+    upto = asset.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = counts.withColumns({"_upto": F.sum("_n").over(upto), "_total": F.sum("_n").over(asset)})
+    ranks = [end(rank) for rank in _ranks(F.col("_total")) for end in (F.floor, F.ceil)]
+    at = [F.max(F.when((rank >= F.col("_upto") - F.col("_n")) & (rank < F.col("_upto")), F.col("value"))).alias(f"_v{i}") for i, rank in enumerate(ranks)]
+    extremes = [F.min("value").cast("double").alias("_min"), F.max("value").cast("double").alias("_max")]
+    return rows.groupBy("asset_id").agg(F.max("_total").alias("_total"), *at, *extremes).select("asset_id", _interpolated().alias("_p"), "_min", "_max")
+
+
 def _coarse_bin(value: Column) -> Column:
     """Some fifteen bins for each power of two, in the order of the values: at most 63,000 for all doubles."""
     size = F.floor((F.log2(F.abs(value)) + 1075) * 15) + 1
@@ -100,7 +126,7 @@ def _ranked_percentiles(values: DataFrame) -> DataFrame:
     counted = [F.count(F.lit(1)).alias("_n"), F.min("value").alias("_low"), F.max("value").alias("_high")]
     coarse = values.groupBy("asset_id", _coarse_bin(F.col("value")).alias("_bin")).agg(*counted)
     total = F.sum("_n").over(Window.partitionBy("asset_id"))
-    ranks = [(F.col("_total") - 1) * share for share in SHARES]
+    ranks = _ranks(F.col("_total"))
     wanted = [F.struct(F.lit(2 * i + up).alias("slot"), end(rank).cast("bigint").alias("at")) for i, rank in enumerate(ranks) for up, end in enumerate((F.floor, F.ceil))]
     coarse = coarse.withColumn("_total", total).withColumn("_wanted", F.array(*wanted))
     totals = materialize(coarse.select("asset_id", "_total", "_bin", "_n", "_low", "_high", "_wanted"))
@@ -122,10 +148,7 @@ def _ranked_percentiles(values: DataFrame) -> DataFrame:
     found = functools.reduce(DataFrame.unionByName, settled).groupBy("asset_id").agg(
         *[F.max(F.when(F.col("_slot") == slot, F.col("_value"))).alias(f"_v{slot}") for slot in range(2 * len(SHARES))]
     ).join(totals.select("asset_id", "_total").distinct(), "asset_id")
-    between = [
-        F.col(f"_v{2 * i}") + (F.col(f"_v{2 * i + 1}") - F.col(f"_v{2 * i}")) * (rank - F.floor(rank)) for i, rank in enumerate(ranks)
-    ]
-    return found.select("asset_id", F.array(*between).alias("_p"))
+    return found.select("asset_id", _interpolated().alias("_p"))
 
 
 def valid_stats(pixels: DataFrame, pixel_area: Column | float = 1.0) -> DataFrame:

@@ -194,6 +194,24 @@ def test_percentiles_of_many_values(spark):
     assert raster.percentile_bounds(df.limit(0)).count() == 0
 
 
+def test_gray_levels_on_an_edge_equal_sql(spark):
+    """(78 - 18.48) / 252.96 * 255 is 60 or just less, as the bounds are rounded."""
+    import duckdb
+
+    edge = [18, 19, 26, 28, 45, 54, 55, 56, 56, 73, 76, 78, 80, 97, 106, 116, 116, 144, 145, 148, 155, 155, 191, 260, 282]
+    rng = np.random.default_rng(6)
+    assets = [edge, *[rng.integers(-500, 4000, rng.integers(1, 70)).tolist() for _ in range(2000)]]
+    frame = pd.DataFrame([(i, v) for i, vs in enumerate(assets) for v in vs], columns=["asset_id", "value"]).astype({"value": "int16"})
+    df = spark.createDataFrame(frame).withColumn("valid", F.lit(True))
+    got = {r["asset_id"]: (r["low"], r["high"]) for r in raster.percentile_bounds(df).collect()}
+    wide = {r["asset_id"]: (r["low"], r["high"]) for r in raster.percentile_bounds(df.withColumn("value", F.col("value").cast("int"))).collect()}
+    con = duckdb.connect()
+    con.register("t", frame)
+    for key, low, high in con.execute("SELECT asset_id, quantile_cont(value::INTEGER, 0.02), quantile_cont(value::INTEGER, 0.98) FROM t GROUP BY 1").fetchall():
+        if high > low:
+            assert got[key] == wide[key] == (low, high), key
+
+
 def test_mask_classes(spark):
     df = spark.createDataFrame([("m", 0, i, v, ok) for i, (v, ok) in enumerate([(0, True), (1, True), (34, True), (32, True), (24, True), (63, False)])],
                                "asset_id STRING, row INT, col INT, value INT, valid BOOLEAN")
