@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch_dir
+from ..session import scratch_dir, settings
 from ..sources import inventory, pages, raster_headers
 from .base import query
 from .views import Views
@@ -30,7 +30,9 @@ def _written(v: Views, rows: DataFrame, encode: Callable[[str], bytes] = str.enc
                     out.write(encode(content))
             yield pd.DataFrame({"n": [len(batch)]})
 
-    rows.select("path", "content").mapInPandas(write, "n bigint").agg(F.sum("n")).collect()
+    # a table of one row group would be one task; small batches, as contents may be long
+    with settings(v.spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "500"}):
+        inventory.dealt(rows.select("path", "content")).mapInPandas(write, "n bigint").agg(F.sum("n")).collect()
     return root
 
 

@@ -18,6 +18,8 @@ MARKERS = ("zarr.json", ".zmetadata", ".zgroup", ".zattrs")
 STORE_MARKERS = ("zarr.json", ".zgroup", ".zmetadata")
 CHUNK_ROWS = 10_000
 CHUNK_BYTES = 1 << 20
+FILES_PER_TASK = 500  # a path is short, what it costs to open is not: small tables of paths are dealt to many tasks
+MOST_TASKS = 1024
 _COLUMNS = ["path", "name", "parent", "kind", "suffix", "byte_size", "modified_at"]
 
 
@@ -76,6 +78,12 @@ def _list(root: str):
     return task
 
 
+def dealt(files: DataFrame) -> DataFrame:
+    """Rows (``path`` and others) dealt to tasks by the number of their files; ``files`` is counted for that."""
+    tasks = -(-files.count() // FILES_PER_TASK)
+    return files.repartition(max(1, min(MOST_TASKS, tasks)), "path")
+
+
 def inventory(spark: SparkSession, root: str, start: str = "") -> DataFrame:
     """All files and directories below ``root``/``start``, with paths relative to ``root``.
 
@@ -93,7 +101,7 @@ def inventory(spark: SparkSession, root: str, start: str = "") -> DataFrame:
         frontier = level.filter("kind = 'directory'").select("path")
         if frontier.isEmpty():
             break
-        frontier = frontier.repartition("path")
+        frontier = dealt(frontier)
     found = levels[0]
     for level in levels[1:]:
         found = found.unionByName(level)
@@ -115,7 +123,7 @@ def checksums(files: DataFrame, root: str) -> DataFrame:
                 out.append((path, digest.hexdigest()))
             yield pd.DataFrame(out, columns=["path", "checksum_sha256"])
 
-    return files.select("path").repartition("path").mapInPandas(task, "path STRING, checksum_sha256 STRING")
+    return dealt(files.select("path")).mapInPandas(task, "path STRING, checksum_sha256 STRING")
 
 
 def _open(path: str):
@@ -154,7 +162,7 @@ def array_stores(spark: SparkSession, root: str, layer: str = "arrays") -> DataF
             yield pd.DataFrame(out, columns=["path", "marker", "document"])
 
     markers = listing.filter((F.col("kind") == "file") & F.col("name").isin(*MARKERS))
-    documents = markers.select("parent", "name", "path").mapInPandas(read, "path STRING, marker STRING, document STRING")
+    documents = dealt(markers.select("parent", "name", "path")).mapInPandas(read, "path STRING, marker STRING, document STRING")
     unreadable = F.lit('{"error": "metadata could not be read"}')
     checked = F.when(F.try_parse_json("document").isNotNull(), F.col("document")).otherwise(unreadable)
     metadata = documents.groupBy("path").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("marker", checked)))).alias("metadata"))
@@ -173,3 +181,29 @@ def array_stores(spark: SparkSession, root: str, layer: str = "arrays") -> DataF
         F.coalesce("metadata", F.create_map().cast("map<string, string>")).alias("metadata"),
         *[F.coalesce(c, zero).alias(c) for c in ("file_count", "directory_count", "byte_size")], "modified_at",
     )
+
+
+def files_named(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """(path) of the files below ``root`` that have this name, folders listed by the executors."""
+    found = inventory(spark, root)
+    return found.filter((F.col("kind") == "file") & (F.col("name") == name)).select("path")
+
+
+def texts(files: DataFrame, root: str) -> DataFrame:
+    """(path, value) of small files: their whole text, read by many tasks and passed on in bounded batches."""
+    base = root.rstrip("/")
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows, held = [], 0
+            for path in batch["path"]:
+                with _open(f"{base}/{path}") as stream:
+                    value = stream.read().decode("utf-8", "replace")
+                rows.append((path, value))
+                held += len(value)
+                if held >= CHUNK_BYTES:
+                    yield pd.DataFrame(rows, columns=["path", "value"])
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=["path", "value"])
+
+    return dealt(files.select("path")).mapInPandas(task, "path STRING, value STRING")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import ITEM_DDL, parse
-from . import page_files
+from . import inventory, page_files
 
 
 def write_pages(items: DataFrame, path: str, file_bytes: int = page_files.FILE_BYTES) -> None:
@@ -60,10 +60,13 @@ def page_checksums(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sidecars(spark: SparkSession, root: str) -> DataFrame:
-    """``metadata.json`` beside assets as (parent, item); an invalid document gives a null item."""
-    docs = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "metadata.json").text(root)
-    base = root.rstrip("/")
-    relative = F.regexp_replace(F.col("_metadata.file_path"), r"^file:/+", "/")
-    parent = F.regexp_replace(F.substring(relative, len(base) + 2, 1 << 20), r"/?metadata\.json$", "")
+    """``metadata.json`` beside assets as (parent, item); an invalid document gives a null item.
+
+    Folders are listed and documents read by the executors. Spark's file source would list every folder on the driver
+    and plan every document as a file of its own there. As in that source, hidden folders and what is below them are left out.
+    """
+    files = inventory.files_named(spark, root, "metadata.json")
+    docs = inventory.texts(files.filter(~F.col("path").rlike("(^|/)[._]")), root)
+    parent = F.regexp_replace("path", r"/?metadata\.json$", "")
     valid = F.try_parse_json("value").isNotNull() & F.col("value").rlike(r"^\s*\{")
     return docs.select(parent.alias("parent"), F.when(valid, F.from_json("value", parse(ITEM_DDL))).alias("item"))

@@ -189,6 +189,21 @@ def test_sidecars(spark, tmp_path):
     assert rows["source/n/c/i1"]["properties"]["datetime"] == "d" and rows["source/n/c/i2"] is None and rows["source/n/c/i3"] is None
 
 
+def test_files_are_dealt_to_many_tasks(spark, tmp_path):
+    """A table of one row group is one task; its files are not."""
+    from terraspan.plans.file_queries import _written
+    from terraspan.plans.views import Views
+
+    spark.range(0, 2500, 1, 1).select(F.concat_ws("/", F.lit("d"), "id", F.lit("metadata.json")).alias("path")).write.parquet(str(tmp_path / "t"))
+    paths = spark.read.parquet(str(tmp_path / "t"))
+    assert paths.rdd.getNumPartitions() == 1 and inventory.dealt(paths).rdd.getNumPartitions() == 5
+    root = _written(Views(spark, str(tmp_path)), paths.withColumn("content", F.concat(F.lit('{"id":"'), "path", F.lit('"}'))))
+    docs = pages.read_sidecars(spark, root)
+    assert docs.rdd.getNumPartitions() >= 5
+    rows = docs.select("parent", "item.id").collect()
+    assert len(rows) == 2500 and all(r["id"] == f"{r['parent']}/metadata.json" for r in rows)
+
+
 def test_item_files_fold_equal_short_keys(spark):
     head = "'c' AS catalog, 'col' AS collection, 'r' AS run_id, 'm' AS media_type, 'big' AS source_item_id, 's' AS checksum_sha256"
     df = spark.range(0, 3000).selectExpr("concat('x', id % 2, '/k', id div 2) AS asset_key", "concat('p', id) AS local_path", "concat('a', id) AS asset_id", *head.split(", "))
