@@ -28,21 +28,23 @@ def conform(df: DataFrame, table: str) -> DataFrame:
 
 
 def fold_arrivals(
-    df: DataFrame, key: str, order: Sequence[str], first: Sequence[str] = (), last: Sequence[str] | None = None
+    df: DataFrame, key: str, order: Sequence[str], first: Sequence[str] = (), last: Sequence[str] | None = None, same: Sequence[str] = ()
 ) -> DataFrame:
     """One row per key: ``first`` columns from the earliest arrival, ``last`` ones from the newest.
 
     Folding rows in arrival order through an upsert gives the same, but here each
     task folds its own rows before the shuffle, so a key seen often stays small.
+    Columns named in ``same`` are replaced by ``<name>_same``: whether all arrivals have equal values, none null.
     """
-    last = [c for c in df.columns if c != key and c not in first and c not in order] if last is None else list(last)
+    last = [c for c in df.columns if c != key and c not in first and c not in order and c not in same] if last is None else list(last)
     by = F.struct(*order)
     parts = [F.max_by(F.struct(*last), by).alias("_last")] if last else []
     if first:
         parts.append(F.min_by(F.struct(*first), by).alias("_first"))
+    parts += [(F.min(c) == F.max(c)).alias(f"{c}_same") for c in same]
     if not parts:
         return df.select(key).distinct()
-    return df.groupBy(key).agg(*parts).select(key, *[f"_last.{c}" for c in last], *[f"_first.{c}" for c in first])
+    return df.groupBy(key).agg(*parts).select(key, *[f"_last.{c}" for c in last], *[f"_first.{c}" for c in first], *[f"{c}_same" for c in same])
 
 
 def upsert(
@@ -100,14 +102,34 @@ def register(deliveries: DataFrame) -> dict[str, DataFrame]:
     )
     collection = F.col("collection")
 
-    # A file inspected again may have another grid, and both stay registered: grids come from all
-    # deliveries. They are folded by what the id is made of, so ids are computed once per grid.
+    # Catalog, product and variable are functions of the asset identity, so their first and newest
+    # arrivals are those of some asset: one fold of the deliveries serves all tables.
     raster = F.col("raster")
+    facts = F.struct(raster.isNotNull().alias("known"), *[raster[f].alias(f) for f in GRID_ID_FACTS])
+    identity = [F.col(c) for c in ("catalog", "collection", "item_id", "asset_key", "source_url")]
+    rows = given.withColumns({"asset_id": text.asset_id(*identity), "_first_seq": F.col("seq"), "_last_seq": F.col("seq")})
+    rows = rows.withColumns({"created_at": F.col("registered_at"), "_grid": facts})
+    folded = materialize(
+        fold_arrivals(rows, "asset_id", ["seq"], first=["status", "run_id", "created_at", "_first_seq"], same=["_grid"])
+    ).withColumns(
+        {
+            "product_id": text.product_id(collection), "modality": semantics.modality(collection),
+            "updated_at": F.col("registered_at"),
+        }
+    )
+
+    # A file inspected again may have another grid, and both stay registered: grids come from all
+    # deliveries, which are read a second time only if some file has changed its grid. They are
+    # folded by what the id is made of, so ids are computed once per grid.
+    if folded.filter(~F.col("_grid_same")).isEmpty():
+        seen = folded.select("collection", "raster", "registered_at", "created_at", "_first_seq", "_last_seq")
+    else:
+        seen = given.select("collection", "raster", "registered_at", F.col("registered_at").alias("created_at"), F.col("seq").alias("_first_seq"), F.col("seq").alias("_last_seq"))
     parts = {"collection": collection, "_known": raster.isNotNull()}
     parts.update({f"_{f}": raster[f] for f in GRID_ID_FACTS})
-    grids = given.groupBy(*[c.alias(n) for n, c in parts.items()]).agg(
-        F.max_by(F.struct(F.col("registered_at").alias("updated_at"), *[raster[f].alias(f) for f in GRID_FACTS]), "seq").alias("_l"),
-        F.min_by("registered_at", "seq").alias("created_at"), F.min("seq").alias("_first_seq"), F.max("seq").alias("_last_seq"),
+    grids = seen.groupBy(*[c.alias(n) for n, c in parts.items()]).agg(
+        F.max_by(F.struct(F.col("registered_at").alias("updated_at"), *[raster[f].alias(f) for f in GRID_FACTS]), "_last_seq").alias("_l"),
+        F.min_by("created_at", "_first_seq").alias("created_at"), F.min("_first_seq").alias("_first_seq"), F.max("_last_seq").alias("_last_seq"),
     ).withColumn(
         "raster",
         F.when(F.col("_known"), F.struct(*[F.col(f"_{f}").alias(f) for f in GRID_ID_FACTS], *[F.col("_l")[f].alias(f) for f in GRID_FACTS])),
@@ -119,20 +141,6 @@ def register(deliveries: DataFrame) -> dict[str, DataFrame]:
     grid = semantics.grid_columns(collection, raster)
     grids = grids.select("grid_id", *[c.alias(n) for n, c in grid.items()], "created_at", "updated_at")
 
-    # Catalog, product and variable are functions of the asset identity, so their first and newest
-    # arrivals are those of some asset: one fold of the deliveries serves all four tables.
-    identity = [F.col(c) for c in ("catalog", "collection", "item_id", "asset_key", "source_url")]
-    rows = given.withColumns({"asset_id": text.asset_id(*identity), "_first_seq": F.col("seq"), "_last_seq": F.col("seq")})
-    rows = rows.withColumn("created_at", F.col("registered_at"))
-    folded = materialize(
-        fold_arrivals(rows, "asset_id", ["seq"], first=["status", "run_id", "created_at", "_first_seq"])
-    ).withColumns(
-        {
-            "product_id": text.product_id(collection), "modality": semantics.modality(collection),
-            "updated_at": F.col("registered_at"),
-        }
-    )
-
     def dimension(key: Column, *last: str) -> DataFrame:
         """One row per key: creation from the first arrival, the rest from the newest."""
         picked = folded.select(key.alias("_key"), "_first_seq", "_last_seq", "created_at", "updated_at", *last)
@@ -257,7 +265,8 @@ def rebuild(
     registries: dict[str, DataFrame], files: DataFrame, sidecars: DataFrame, collections: DataFrame, now: str
 ) -> dict[str, DataFrame]:
     """The registries after a full reindex: deliveries rebuilt, registered and merged, stale grids dropped."""
-    rows = reindex(registries["assets"], registries["products"], files, sidecars, collections, now)
+    # written once, so that the shuffles of its joins are gone before the fold makes its own
+    rows = materialize(reindex(registries["assets"], registries["products"], files, sidecars, collections, now))
     merged = {**registries, **merge_registries(registries, register(rows))}
     return {**merged, "grids": drop_stale_grids(merged["grids"], merged["assets"])}
 

@@ -149,11 +149,11 @@ def _sidecars(v: Views):
     """Sidecar items of the stored scenes: one in four whole, one without id and date, one broken, one absent."""
     from ..schemas import ITEM_DDL
 
-    scenes = v.sightings().select("local_path", "collection", "source_item_id", "l_orderkey").withColumn("parent", F.regexp_replace("local_path", "/[^/]*$", ""))
+    scenes = v.scenes().withColumn("parent", F.regexp_replace("local_path", "/[^/]*$", ""))
     kind = F.col("l_orderkey") % 4
     whole = F.concat(F.lit('{"id":"'), "source_item_id", F.lit('","collection":"'), "collection", F.lit('","properties":{"datetime":"2030-01-01T00:00:00Z"}}'))
     text_ = F.when(kind == 0, whole).when(kind == 1, F.lit('{"properties":{}}')).otherwise("{broken")
-    rows = scenes.filter(kind < 3).select("parent", text_.alias("value")).distinct()
+    rows = scenes.filter(kind < 3).select("parent", text_.alias("value"))
     item = F.when(F.try_parse_json("value").isNotNull(), F.from_json("value", ITEM_DDL))
     return rows.select("parent", item.alias("item"))
 

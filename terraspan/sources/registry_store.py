@@ -75,7 +75,7 @@ class RegistryStore:
         version = f"v{time.time_ns()}-{uuid.uuid4().hex[:8]}"
         rows = conform(df, table).withColumn("_part", part_of(table))
         laid = rows.repartition("_part").sortWithinPartitions("_part", REGISTRY_KEY[table])
-        laid.write.partitionBy("_part").parquet(f"{self.root}/{table}/{version}")
+        laid.write.option("compression", "zstd").partitionBy("_part").parquet(f"{self.root}/{table}/{version}")
         fs, home = self._fs(f"{self.root}/{table}/{version}")
         written = [s.getPath().getName() for s in fs.listStatus(home) if s.isDirectory()]
         fresh = {name.removeprefix("_part="): f"{version}/{name}" for name in written}

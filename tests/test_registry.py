@@ -214,3 +214,24 @@ def test_audit_by_range_joins_what_differs(spark):
     assert [r["path"] for r in audit.path_except(x, y, by_range=True).collect()] == ["a/x"]
     assert [r["path"] for r in audit.path_except(x, y.filter("path IS NOT NULL"), by_range=True).orderBy("path").collect()] == [None, "a/x"]
     assert audit.path_except(x, x, by_range=True).isEmpty() and audit.path_except(x.limit(0), y, by_range=True).isEmpty()
+
+
+def test_assets_are_folded_where_the_join_left_them(spark):
+    """Two shuffles for the join and none for the fold, which is keyed by what the ids are made of."""
+    from terraspan.plans.views import Views
+    from terraspan.session import settings
+
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}):
+        folded = Views(spark, "/root/testdata/sf0.001").assets("local_path", "status", "byte_size")
+        plan = folded._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_files_whose_grid_changes_keep_both_grids(spark):
+    """Grids come from the folded files while each has one, else from all deliveries."""
+    one, other = delivery(spark), delivery(spark, seq=2, registered_at="2024-01-03T00:00:00Z", raster={**GRID, "width": 5})
+    again = delivery(spark, seq=3, registered_at="2024-01-04T00:00:00Z")
+    grids = registry.register(one.unionByName(other).unionByName(again))["grids"].collect()
+    assert sorted((r["tile_width"], r["created_at"][:10], r["updated_at"][:10]) for r in grids) == [(2, "2024-01-02", "2024-01-04"), (5, "2024-01-03", "2024-01-03")]
+    grid = registry.register(one.unionByName(again))["grids"].collect()
+    assert [(r["tile_width"], r["created_at"][:10], r["updated_at"][:10]) for r in grid] == [(2, "2024-01-02", "2024-01-04")]
