@@ -181,7 +181,7 @@ def p07_long(v: Views):
         F.when(k % 5 == 0, F.concat(F.lit("POLYGON (("), open_, F.lit(", 1 2))"))).when(k % 5 == 1, F.lit("POLYGON ((0 0, 1 1))"))
         .when(k % 5 == 2, F.concat(F.lit("POINT (1.2.3 "), k, F.lit(")"))).when(k % 5 == 3, F.lit("POINT EMPTY")).otherwise(F.concat(F.lit("POLYGON (("), open_))
     )
-    return v.table("customer").select("c_custkey", geo.wkt_is_valid(F.when(k % 3 == 0, bad).otherwise(good)).alias("valid"))
+    return v.spread("customer", "c_custkey").select("c_custkey", geo.wkt_is_valid(F.when(k % 3 == 0, bad).otherwise(good)).alias("valid"))
 
 
 @query("e06_collection_discovery", """

@@ -95,3 +95,14 @@ def test_numbers_of_groups_that_cross_partitions(spark):
     whole = ordering.number_rows(df.filter("g = 'hot'"), [], ["at"], "n").collect()
     assert sorted((r["at"], r["n"]) for r in whole) == [(i, i + 1) for i in range(3000)]
     assert ordering.number_rows(df.limit(0), ["g"], ["at"], "n").columns == ["g", "at", "_first", "n"]
+
+
+def test_rows_that_are_heavy_are_dealt_to_many_tasks(spark):
+    """The customers are one row group, which is one task; texts of their areas are checked by more."""
+    from terraspan.plans.queries import QUERIES
+    from terraspan.plans.views import Views
+
+    folder = "/root/testdata/sf0.1"
+    assert Views(spark, folder).table("customer").rdd.getNumPartitions() == 1
+    assert Views(spark, folder).spread("customer", "c_custkey").rdd.getNumPartitions() == 8
+    assert QUERIES["p07_long_wkt"](spark, folder).rdd.getNumPartitions() == 8
