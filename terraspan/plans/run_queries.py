@@ -101,7 +101,7 @@ def p06(v: Views):
 
 def _granules(v: Views):
     """Landed granule responses built from the scenes: polygon, two polygons, or box."""
-    g = v.geo()
+    g = v.geo(v.spread("customer", "c_custkey", "c_nationkey", "c_mktsegment", rows=20_000))
     w, s, e, n = (F.col(c).cast("int").cast("string") for c in ("west", "south", "east", "north"))
     one = F.concat_ws(" ", s, w, s, e, n, e, n, w)
     box = F.concat_ws(" ", s, w, n, e)
