@@ -74,7 +74,8 @@ class RegistryStore:
         """Write the rows of the touched parts (all if None) to a new folder and point the manifest there."""
         version = f"v{time.time_ns()}-{uuid.uuid4().hex[:8]}"
         rows = conform(df, table).withColumn("_part", part_of(table))
-        laid = rows.repartition("_part").sortWithinPartitions("_part", REGISTRY_KEY[table])
+        # a part of any size is split over several tasks (and files), small ones meet in one
+        laid = rows.hint("rebalance", F.col("_part")).sortWithinPartitions("_part", REGISTRY_KEY[table])
         laid.write.option("compression", "zstd").partitionBy("_part").parquet(f"{self.root}/{table}/{version}")
         fs, home = self._fs(f"{self.root}/{table}/{version}")
         written = [s.getPath().getName() for s in fs.listStatus(home) if s.isDirectory()]

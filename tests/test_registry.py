@@ -235,3 +235,15 @@ def test_files_whose_grid_changes_keep_both_grids(spark):
     assert sorted((r["tile_width"], r["created_at"][:10], r["updated_at"][:10]) for r in grids) == [(2, "2024-01-02", "2024-01-04"), (5, "2024-01-03", "2024-01-03")]
     grid = registry.register(one.unionByName(again))["grids"].collect()
     assert [(r["tile_width"], r["created_at"][:10], r["updated_at"][:10]) for r in grid] == [(2, "2024-01-02", "2024-01-04")]
+
+
+def test_a_large_part_is_written_by_several_tasks(spark, tmp_path):
+    from terraspan.session import settings
+
+    rows = spark.range(0, 60_000, 1, 8).select(F.sha2(F.col("id").cast("string"), 256).alias("asset_id"), F.lit("p").alias("product_id"), F.lit("one").alias("source_item_id"))
+    store = RegistryStore(spark, str(tmp_path))
+    with settings(spark, {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "256k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k"}):
+        store.write("assets", rows)
+    (folder,) = store.manifest("assets")["parts"].values()
+    assert len([f for f in os.listdir(f"{tmp_path}/assets/{folder}") if f.endswith(".parquet")]) > 1
+    assert store.read("assets").select("asset_id").distinct().count() == 60_000
