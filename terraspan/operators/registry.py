@@ -89,61 +89,43 @@ PRODUCT_FILL = (
 )
 
 
-def register(deliveries: DataFrame) -> dict[str, DataFrame]:
+def register(deliveries: DataFrame, asset_columns: Sequence[str] | None = None) -> dict[str, DataFrame]:
     """Registry rows of delivered files, one row per key, ready for :func:`merge_registries`.
 
     ``deliveries`` has run_id, catalog, collection, item_id, asset_key, source_url,
     local_path, byte_size, checksum_sha256, datetime, bbox, geometry, raster,
-    status, collection_metadata, registered_at and seq (arrival order).
+    status, collection_metadata, registered_at and seq (arrival order). They are read twice. The
+    assets are no more than a plan: of the fold of wide rows nothing is written here. With
+    ``asset_columns`` only these and what they are made of travel through it; the others are null.
     """
     spark = deliveries.sparkSession
     given = deliveries.withColumns(
         {"collection": F.coalesce("collection", F.lit("unknown")), "item_id": F.coalesce("item_id", F.lit("unknown"))}
     )
-    collection = F.col("collection")
+    collection, raster = F.col("collection"), F.col("raster")
 
-    # Catalog, product and variable are functions of the asset identity, so their first and newest
-    # arrivals are those of some asset: one fold of the deliveries serves all tables.
-    raster = F.col("raster")
-    facts = F.struct(raster.isNotNull().alias("known"), *[raster[f].alias(f) for f in GRID_ID_FACTS])
-    identity = [F.col(c) for c in ("catalog", "collection", "item_id", "asset_key", "source_url")]
-    rows = given.withColumns({"asset_id": text.asset_id(*identity), "_first_seq": F.col("seq"), "_last_seq": F.col("seq")})
-    rows = rows.withColumns({"created_at": F.col("registered_at"), "_grid": facts})
-    folded = materialize(
-        fold_arrivals(rows, "asset_id", ["seq"], first=["status", "run_id", "created_at", "_first_seq"], same=["_grid"])
-    ).withColumns(
-        {
-            "product_id": text.product_id(collection), "modality": semantics.modality(collection),
-            "updated_at": F.col("registered_at"),
-        }
-    )
-
-    # A file inspected again may have another grid, and both stay registered: grids come from all
-    # deliveries, which are read a second time only if some file has changed its grid. They are
-    # folded by what the id is made of, so ids are computed once per grid.
-    if folded.filter(~F.col("_grid_same")).isEmpty():
-        seen = folded.select("collection", "raster", "registered_at", "created_at", "_first_seq", "_last_seq")
-    else:
-        seen = given.select("collection", "raster", "registered_at", F.col("registered_at").alias("created_at"), F.col("seq").alias("_first_seq"), F.col("seq").alias("_last_seq"))
-    parts = {"collection": collection, "_known": raster.isNotNull()}
+    # Source, product, variable and grid of a file are functions of its catalog, collection, key and grid: the
+    # deliveries are folded to one row for each of these, which are few, inside the tasks, and serve four tables.
+    parts = {"catalog": F.col("catalog"), "collection": collection, "asset_key": F.col("asset_key"), "_known": raster.isNotNull()}
     parts.update({f"_{f}": raster[f] for f in GRID_ID_FACTS})
-    grids = seen.groupBy(*[c.alias(n) for n, c in parts.items()]).agg(
-        F.max_by(F.struct(F.col("registered_at").alias("updated_at"), *[raster[f].alias(f) for f in GRID_FACTS]), "_last_seq").alias("_l"),
-        F.min_by("created_at", "_first_seq").alias("created_at"), F.min("_first_seq").alias("_first_seq"), F.max("_last_seq").alias("_last_seq"),
-    ).withColumn(
-        "raster",
-        F.when(F.col("_known"), F.struct(*[F.col(f"_{f}").alias(f) for f in GRID_ID_FACTS], *[F.col("_l")[f].alias(f) for f in GRID_FACTS])),
-    )
-    grids = grids.groupBy(semantics.grid_id(collection, raster).alias("grid_id")).agg(
-        F.max_by(F.struct("collection", "raster", F.col("_l")["updated_at"].alias("updated_at")), "_last_seq").alias("_l"),
-        F.min_by("created_at", "_first_seq").alias("created_at"),
+    families = materialize(
+        given.groupBy(*[c.alias(n) for n, c in parts.items()]).agg(
+            F.max_by(F.struct(F.col("registered_at").alias("updated_at"), "raster", "collection_metadata"), "seq").alias("_l"),
+            F.min_by("registered_at", "seq").alias("created_at"), F.min("seq").alias("_first_seq"), F.max("seq").alias("_last_seq"),
+        )
+    ).select("*", "_l.*").drop("_l").withColumns({"product_id": text.product_id(collection), "modality": semantics.modality(collection)})
+
+    # a file inspected again may have another grid, and both stay registered
+    same_grid = F.when(F.col("_known"), F.struct(*[F.col(f"_{f}").alias(f) for f in GRID_ID_FACTS], *[raster[f].alias(f) for f in GRID_FACTS]))
+    grids = families.withColumn("raster", same_grid).groupBy(semantics.grid_id(collection, raster).alias("grid_id")).agg(
+        F.max_by(F.struct("collection", "raster", "updated_at"), "_last_seq").alias("_l"), F.min_by("created_at", "_first_seq").alias("created_at"),
     ).select("grid_id", "_l.*", "created_at")
     grid = semantics.grid_columns(collection, raster)
     grids = grids.select("grid_id", *[c.alias(n) for n, c in grid.items()], "created_at", "updated_at")
 
     def dimension(key: Column, *last: str) -> DataFrame:
         """One row per key: creation from the first arrival, the rest from the newest."""
-        picked = folded.select(key.alias("_key"), "_first_seq", "_last_seq", "created_at", "updated_at", *last)
+        picked = families.select(key.alias("_key"), "_first_seq", "_last_seq", "created_at", "updated_at", *last)
         made = picked.groupBy("_key").agg(
             F.max_by(F.struct("updated_at", *last), "_last_seq").alias("_l"), F.min_by("created_at", "_first_seq").alias("created_at")
         )
@@ -170,15 +152,27 @@ def register(deliveries: DataFrame) -> dict[str, DataFrame]:
         F.col("_key").alias("variable_id"), "profile_version", *[c.alias(n) for n, c in facts.items()], "created_at", "updated_at"
     )
 
-    assets = folded.select(
-        "asset_id", "product_id", semantics.grid_id(collection, F.col("raster")).alias("grid_id"), F.col("item_id").alias("source_item_id"), "asset_key", "source_url", "local_path",
-        text.media_type(F.col("local_path")).alias("media_type"), "byte_size", "checksum_sha256", "datetime", "bbox",
-        "geometry", F.col("raster").alias("raster_metadata"), "status", "run_id", "created_at", "updated_at",
-    )
-    made = {"sources": sources, "products": products, "grids": grids, "variables": variables, "assets": assets}
+    made = {"sources": sources, "products": products, "grids": grids, "variables": variables, "assets": _registered_assets(given, asset_columns)}
     return {table: conform(df, table) for table, df in made.items()}
 
 
+def _registered_assets(given: DataFrame, columns: Sequence[str] | None) -> DataFrame:
+    """Deliveries folded to assets. The ids travel through the fold as 32 bytes, not as 64 digits."""
+    made = {
+        "product_id": (text.product_id(F.col("collection")), ["collection"]), "grid_id": (semantics.grid_id(F.col("collection"), F.col("raster")), ["collection", "raster"]),
+        "source_item_id": (F.col("item_id"), ["item_id"]), "media_type": (text.media_type(F.col("local_path")), ["local_path"]),
+        "raster_metadata": (F.col("raster"), ["raster"]), "updated_at": (F.col("registered_at"), ["registered_at"]),
+    }
+    made.update({c: (F.col(c), [c]) for c in ("asset_key", "source_url", "local_path", "byte_size", "checksum_sha256", "datetime", "bbox", "geometry")})
+    asked = [c for c in (*made, *ASSET_KEEP, "created_at") if columns is None or c in columns]
+    first = [c for c in (*ASSET_KEEP, "created_at") if c in asked]
+    last = list(dict.fromkeys(raw for c in asked if c in made for raw in made[c][1]))
+    identity = [F.col(c) for c in ("catalog", "collection", "item_id", "asset_key", "source_url")]
+    rows = given.withColumns({"_id": F.unhex(text.asset_id(*identity)), "created_at": F.col("registered_at")})
+    folded = fold_arrivals(rows, "_id", ["seq"], first=first, last=last)
+    return folded.select(F.lower(F.hex("_id")).alias("asset_id"), *[made[c][0].alias(c) if c in made else c for c in asked])
+
+
 def _with_profile(products: DataFrame) -> DataFrame:
     dim = profiles(products.sparkSession)
     dim = dim.select(*[F.col(c).alias(f"p_{c}") for c in dim.columns])
@@ -267,7 +261,9 @@ def rebuild(
     """The registries after a full reindex: deliveries rebuilt, registered and merged, stale grids dropped."""
     # written once, so that the shuffles of its joins are gone before the fold makes its own
     rows = materialize(reindex(registries["assets"], registries["products"], files, sidecars, collections, now))
-    merged = {**registries, **merge_registries(registries, register(rows))}
+    new = register(rows)
+    new["assets"] = materialize(new["assets"])  # read by the merge and the search for stale grids
+    merged = {**registries, **merge_registries(registries, new)}
     return {**merged, "grids": drop_stale_grids(merged["grids"], merged["assets"])}
 
 

@@ -122,7 +122,7 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
 
 
 @contextmanager
-def _shuffle_files_freed(spark: SparkSession) -> Iterator[None]:
+def shuffle_files_freed(spark: SparkSession) -> Iterator[None]:
     """Free the shuffle files of the writes inside as soon as they are done; safe for several threads of a session."""
     key = id(spark._jsparkSession)
     with _writes_lock:
@@ -147,6 +147,6 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_folder(spark)
-    with _shuffle_files_freed(spark):  # nothing reads them again
+    with shuffle_files_freed(spark):  # nothing reads them again
         df.write.option("compression", "zstd").parquet(path)  # ids and digests take half the space
     return spark.read.schema(df.schema).parquet(path)

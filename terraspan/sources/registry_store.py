@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.registry import conform, merge_registries
 from ..schemas import REGISTRY, REGISTRY_KEY, registry_schema
+from ..session import shuffle_files_freed, materialize, scratch_scope
 
 MANIFEST = "_current"
 BUCKETS = 32
@@ -60,7 +61,8 @@ class RegistryStore:
         known = self.manifest(table)["parts"]
         folders = [f"{self.root}/{table}/{f}" for p, f in sorted(known.items()) if parts is None or p in parts]
         if not folders:
-            return self.spark.createDataFrame([], registry_schema(table))
+            # known to be empty when a query is planned, so that joins with it go
+            return self.spark.createDataFrame([], registry_schema(table)).limit(0)
         return evolve(self.spark.read.schema(registry_schema(table)).parquet(*folders), table)
 
     def read_all(self) -> dict[str, DataFrame]:
@@ -76,7 +78,8 @@ class RegistryStore:
         rows = conform(df, table).withColumn("_part", part_of(table))
         # a part of any size is split over several tasks (and files), small ones meet in one
         laid = rows.hint("rebalance", F.col("_part")).sortWithinPartitions("_part", REGISTRY_KEY[table])
-        laid.write.option("compression", "zstd").partitionBy("_part").parquet(f"{self.root}/{table}/{version}")
+        with shuffle_files_freed(self.spark):
+            laid.write.option("compression", "zstd").partitionBy("_part").parquet(f"{self.root}/{table}/{version}")
         fs, home = self._fs(f"{self.root}/{table}/{version}")
         written = [s.getPath().getName() for s in fs.listStatus(home) if s.isDirectory()]
         fresh = {name.removeprefix("_part="): f"{version}/{name}" for name in written}
@@ -107,14 +110,12 @@ class RegistryStore:
         The names of touched parts are collected: at most BUCKETS for each product.
         """
         for table, df in delta.items():
-            df = df.persist()
-            try:
-                touched = [r[0] for r in conform(df, table).select(part_of(table).alias("p")).distinct().collect()]
+            with scratch_scope(self.spark):
+                rows = materialize(conform(df, table))  # packed, and the shuffles that made it are gone before the merge makes its own
+                touched = [r[0] for r in rows.select(part_of(table).alias("p")).distinct().collect()]
                 if touched:
-                    merged = merge_registries({table: self.read(table, touched)}, {table: df}, mode)
+                    merged = merge_registries({table: self.read(table, touched)}, {table: rows}, mode)
                     self._store(table, merged[table], touched)
-            finally:
-                df.unpersist()
 
 
 def evolve(df: DataFrame, table: str) -> DataFrame:

@@ -61,18 +61,13 @@ def register_stream(deliveries: DataFrame, store: RegistryStore, checkpoint: str
     """Upsert the registries with each micro-batch of delivered files.
 
     The upsert is keyed by asset and keeps the first status, run and creation time,
-    so a batch that is replayed after a failure changes nothing. The scratch of a micro-batch is
-    deleted when its merge is done.
+    so a batch that is replayed after a failure changes nothing. A batch is read twice rather than
+    held; its scratch is deleted when its merge is done.
     """
 
     def write(batch: DataFrame, _: int) -> None:
-        batch = batch.persist()  # read by several writes
-        try:
-            if not batch.isEmpty():
-                with scratch_scope(batch.sparkSession):
-                    store.merge(registry.register(batch))
-        finally:
-            batch.unpersist()
+        with scratch_scope(batch.sparkSession):
+            store.merge(registry.register(batch))
 
     return (
         deliveries.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

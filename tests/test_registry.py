@@ -247,3 +247,23 @@ def test_a_large_part_is_written_by_several_tasks(spark, tmp_path):
     (folder,) = store.manifest("assets")["parts"].values()
     assert len([f for f in os.listdir(f"{tmp_path}/assets/{folder}") if f.endswith(".parquet")]) > 1
     assert store.read("assets").select("asset_id").distinct().count() == 60_000
+
+
+def test_registration_writes_kinds_of_files_not_files(spark, monkeypatch):
+    """The fold of wide deliveries stays a plan; of the assets only the asked columns travel through it."""
+    written = []
+    monkeypatch.setattr(registry, "materialize", lambda df: written.append(materialize(df)) or written[-1])
+    many = delivery(spark).drop("item_id").crossJoin(spark.range(40).select(F.concat(F.lit("granule-"), "id").alias("item_id")))
+    made = registry.register(many, asset_columns=("created_at", "updated_at"))
+    assert [df.count() for df in written] == [1]
+    whole = registry.register(many)["assets"]
+    columns = ["asset_id", "created_at", "updated_at"]
+    assert sorted(made["assets"].select(columns).collect()) == sorted(whole.select(columns).collect()) and whole.count() == 40
+    exchange = made["assets"].select(columns)._jdf.queryExecution().optimizedPlan().toString()
+    assert "checksum_sha256" not in exchange.split("Aggregate")[1].splitlines()[0]
+
+
+def test_merge_into_an_absent_table_joins_nothing(spark, tmp_path):
+    rows = registry.conform(spark.range(3).select(F.col("id").cast("string").alias("asset_id")), "assets")
+    merged = registry.merge_registries({"assets": RegistryStore(spark, str(tmp_path)).read("assets")}, {"assets": rows})["assets"]
+    assert merged.count() == 3 and "Join" not in merged._jdf.queryExecution().optimizedPlan().toString()
