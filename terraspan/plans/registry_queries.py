@@ -120,7 +120,7 @@ def j08(v: Views):
     UNION ALL SELECT 'grids', CASE WHEN collection LIKE 'HLS%' THEN 'hls_mgrs_30m' ELSE product_id || '_native' END, min(created_at), max(updated_at) FROM v_raw GROUP BY 2
     UNION ALL SELECT 'assets', asset_id, min(created_at), max(updated_at) FROM v_raw GROUP BY asset_id""", "v_raw")
 def e04(v: Views):
-    made = registry.register(deliveries(v))
+    made = registry.register(deliveries(v), asset_columns=("created_at", "updated_at"))
     parts = None
     for table, df in made.items():
         key = df.columns[0]
