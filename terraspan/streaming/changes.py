@@ -2,17 +2,23 @@
 
 Each key has one winning row, the first or the newest in some order. The state knows what
 order the winner of each key has; a micro-batch emits the rows that win now, and what they
-replace. Keys are dealt to shards by their hash, and the state of a shard is one packed
-value, read and written once a micro-batch, however many groups or keys it holds. When a
-group has been silent in a shard for a while it counts as closed: a timer drops its keys.
+replace. Keys are dealt to shards by their hash, and the state of a shard is a map of
+packed values of bounded size, each read and written once a micro-batch, however many groups or
+keys it holds. The rows of a micro-batch pass in chunks and wait in a file until it is known
+which of them win. When a group has been silent in a shard for a while it counts as closed: a
+timer drops its keys.
 """
 
 from __future__ import annotations
 
+import os
+import pickle
 import sys
+import tempfile
 import time
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -24,6 +30,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..session import settings
 
 SHARDS = 64  # states; a group of any size is spread over all of them
+KEYS_PER_BUCKET = 50_000  # keys of a shard that are read, compared and written at once
+HELD_ROWS = 20_000  # rows of a shard that wait in memory; more wait in a file
 IDLE_MS = 24 * 3600 * 1000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -35,56 +43,147 @@ _DIGEST, _PLACE, _GROUP, _SEEN = ("key_digest_a", "key_digest_b"), "place_in_bat
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+class _Waiting:
+    """Chunks of rows that are read twice: in memory while they are few, else in a local file."""
+
+    def __init__(self):
+        self.chunks, self.rows, self.file = [], 0, None
+
+    def add(self, chunk: pd.DataFrame) -> None:
+        self.chunks.append(chunk)
+        self.rows += len(chunk)
+        if self.rows > HELD_ROWS:
+            if self.file is None:
+                local = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]
+                self.file = tempfile.TemporaryFile(dir=local if os.path.isdir(local) else None)
+            for held in self.chunks:
+                pickle.dump(held, self.file, protocol=5)
+            self.chunks = []
+
+    def again(self) -> Iterator[pd.DataFrame]:
+        if self.file is not None:
+            end = self.file.tell()
+            self.file.seek(0)
+            while self.file.tell() < end:
+                yield pickle.load(self.file)
+            self.file.close()
+        yield from self.chunks
+
+
 class Winner(StatefulProcessor):
-    """Keeps the order columns of the winner of each key of a shard as one Arrow table."""
+    """Keeps the order columns of the winner of each key of a shard, in Arrow tables of some ``KEYS_PER_BUCKET`` keys."""
 
     def __init__(self, order: Sequence[str], newest: bool, idle_ms: int):
         self.order, self.newest, self.idle_ms = list(order), newest, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.known = handle.getValueState("known", "packed BINARY")
+        self.about = handle.getValueState("about", "bits INT, keys BIGINT")
+        self.known = handle.getMapState("buckets", "bucket INT", "packed BINARY")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        now = int(time.time() * 1000)
-        fresh = pd.concat(list(rows), ignore_index=True)
-        known = self._open(now, fresh)
-        fresh[_PLACE], fresh[_SEEN], known[_PLACE] = range(len(fresh)), now, -1
-        columns = [*_DIGEST, *self.order, _GROUP, _SEEN, _PLACE]
-        # what is known comes first, so that an equal row changes nothing
-        both = pd.concat([known[columns], fresh[columns]], ignore_index=True) if len(known) else fresh[columns]
-        both = both.sort_values(self.order, ascending=not self.newest, kind="stable")
-        winners = both.drop_duplicates(list(_DIGEST)).copy()
-        winners.loc[winners[_GROUP].isin(fresh[_GROUP]), _SEEN] = now
-        self._keep(winners)
-        out = fresh.iloc[winners[_PLACE][winners[_PLACE] >= 0].sort_values()].drop(columns=[_PLACE, _SEEN, _GROUP])
-        before = known[[*_DIGEST, *self.order]].rename(columns={c: f"replaced_{c}" for c in self.order})
-        yield out.merge(before, on=list(_DIGEST), how="left").drop(columns=list(_DIGEST))
-
-    def _open(self, now: int, like: pd.DataFrame | None = None) -> pd.DataFrame:
+        now, waiting, narrow, kinds = int(time.time() * 1000), _Waiting(), [], None
+        for chunk in rows:
+            table = pa.Table.from_pandas(chunk[[*_DIGEST, *self.order, _GROUP]], schema=kinds, preserve_index=False)
+            kinds = table.schema
+            narrow.append(table.append_column(_PLACE, pa.array(np.arange(waiting.rows, waiting.rows + len(chunk)))))
+            waiting.add(chunk)
+        places, replaced = self._merge(now, pa.concat_tables(narrow))
+        narrow, start = None, 0
+        for chunk in waiting.again():
+            first, last = np.searchsorted(places, (start, start + len(chunk)))
+            out = chunk.iloc[places[first:last] - start].drop(columns=[*_DIGEST, _GROUP]).reset_index(drop=True)
+            a, b = np.searchsorted(replaced[_PLACE], (start, start + len(chunk)))
+            at = np.searchsorted(places[first:last], replaced[_PLACE].iloc[a:b])
+            for c in self.order:  # as objects: whole numbers stay exact beside nulls
+                values = np.full(len(out), None, object)
+                values[at] = replaced[c].iloc[a:b].astype(object)
+                out[f"replaced_{c}"] = values
+            start += len(chunk)
+            if len(out):
+                yield out
+
+    def _merge(self, now: int, fresh: pa.Table) -> tuple[np.ndarray, pd.DataFrame]:
+        """Bring the state up to date; places of the rows that win now, and the order columns of what some of them replace."""
+        groups = fresh[_GROUP].unique().to_pandas()
+        bits = self._grown(now, len(fresh))
+        bucket = fresh[_DIGEST[1]].to_numpy() & ((1 << bits) - 1)
+        by_bucket = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[by_bucket], np.arange((1 << bits) + 1))
+        del bucket
+        places, replaced, keys, oldest = [], [], 0, now
+        for n in range(1 << bits):
+            rows = fresh.take(pa.array(by_bucket[cuts[n] : cuts[n + 1]])).to_pandas()
+            rows[_SEEN] = now
+            known = self._open(n, now)
+            # what is known comes first, so that an equal row changes nothing
+            both = rows if known is None else pd.concat([known.assign(**{_PLACE: -1}), rows], ignore_index=True)
+            both = both.sort_values(self.order, ascending=not self.newest, kind="stable")
+            winners = both.drop_duplicates(list(_DIGEST)).copy()
+            winners.loc[winners[_GROUP].isin(groups), _SEEN] = now
+            self._keep(n, winners)
+            won = winners.loc[winners[_PLACE] >= 0, [*_DIGEST, _PLACE]]
+            places.append(won[_PLACE].to_numpy(np.int64))
+            if known is not None:
+                replaced.append(won.merge(known[[*_DIGEST, *self.order]], on=list(_DIGEST))[[_PLACE, *self.order]])
+            if len(winners):
+                keys, oldest = keys + len(winners), min(oldest, int(winners[_SEEN].min()))
+        self._settle(bits, keys, oldest)
+        gone = pd.concat(replaced).sort_values(_PLACE) if replaced else pd.DataFrame(columns=[_PLACE, *self.order])
+        return np.sort(np.concatenate(places)), gone.reset_index(drop=True)
+
+    def _grown(self, now: int, more: int) -> int:
+        """Number of bits that tell buckets apart, after the buckets were split for ``more`` keys."""
+        before, keys = self.about.get() if self.about.exists() else (0, 0)
+        bits = before
+        while keys + more > KEYS_PER_BUCKET << bits:
+            bits += 1
+        for n in range(1 << before) if keys and bits > before else ():
+            known = self._open(n, now)
+            for part in range(n, 1 << bits, 1 << before):
+                if known is not None:
+                    self._keep(part, known[known[_DIGEST[1]] & ((1 << bits) - 1) == part])
+        return bits
+
+    def _open(self, bucket: int, now: int) -> pd.DataFrame | None:
         """What is known of groups that are not closed."""
-        if not self.known.exists():
-            return like.iloc[:0].assign(**{_SEEN: pd.Series(dtype="int64")})
-        known = pa.ipc.open_stream(self.known.get()[0]).read_pandas()
+        packed = self.known.getValue((bucket,)) if self.known.containsKey((bucket,)) else None
+        if packed is None:
+            return None
+        known = pa.ipc.open_stream(packed[0]).read_pandas()
         return known[known[_SEEN] + self.idle_ms > now].reset_index(drop=True)
 
-    def _keep(self, rows: pd.DataFrame) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+    def _keep(self, bucket: int, rows: pd.DataFrame) -> None:
+        if not len(rows):
+            if self.known.containsKey((bucket,)):
+                self.known.removeKey((bucket,))
+            return
         table = pa.Table.from_pandas(rows[[*_DIGEST, *self.order, _GROUP, _SEEN]], preserve_index=False)
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, table.schema) as writer:
             writer.write_table(table)
-        self.known.update((sink.getvalue().to_pybytes(),))
-        self.handle.registerTimer(int(rows[_SEEN].min()) + self.idle_ms)
+        self.known.updateValue((bucket,), (sink.getvalue().to_pybytes(),))
+
+    def _settle(self, bits: int, keys: int, oldest: int) -> None:
+        self.about.update((bits, keys))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(oldest + self.idle_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.known.exists():
-            left = self._open(int(time.time() * 1000))
-            if len(left):
-                self._keep(left)
+        if self.about.exists():
+            now, keys, oldest = int(time.time() * 1000), 0, None
+            bits = self.about.get()[0]
+            for n in range(1 << bits):
+                left = self._open(n, now)
+                if left is not None:
+                    self._keep(n, left)
+                    if len(left):
+                        keys, oldest = keys + len(left), min(int(left[_SEEN].min()), oldest or now)
+            if keys:
+                self._settle(bits, keys, oldest)
             else:
-                self.known.clear()
+                self.about.clear()
         return iter(())
 
     def close(self) -> None:

@@ -5,9 +5,10 @@ from test_registry import delivery
 from test_sources import page_rows
 
 from terraspan.operators import registry, runs
+from terraspan.session import settings
 from terraspan.sources import pages
 from terraspan.sources.registry_store import RegistryStore
-from terraspan.streaming import ingest, progress
+from terraspan.streaming import changes, ingest, progress
 
 
 def test_page_stream_resumes_and_deduplicates(spark, tmp_path):
@@ -97,3 +98,29 @@ def test_live_progress_stream_closes_windows(spark, tmp_path):
     query.awaitTermination()
     done = spark.read.parquet(str(tmp_path / "out")).collect()
     assert [(r["updates"], r["completed_files"], r["failed_files"], r["speed"]) for r in done] == [(2, 1, 1, 1.0)]
+
+
+def test_rows_of_a_shard_pass_in_chunks(spark, tmp_path, monkeypatch):
+    """Many keys in one shard, in buckets of few and with rows that wait in a file: the same winners, replaced once a micro-batch."""
+    monkeypatch.setattr(changes, "KEYS_PER_BUCKET", 100)
+    monkeypatch.setattr(changes, "HELD_ROWS", 50)
+    landed, out, check = str(tmp_path / "rows"), str(tmp_path / "out"), str(tmp_path / "check")
+    far = (1 << 60) + 1  # no double holds it
+    rows = spark.range(900).select((F.col("id") % 300).alias("name"), F.lit("g").alias("grp"), (far + F.col("id") * 7 % 900).alias("place"))
+
+    def run():
+        stream = changes.winning_rows(spark.readStream.schema(rows.schema).parquet(landed), "grp", ["name"], ["place"], shards=1)
+        write = lambda batch, n: changes.append_changes(batch, n, out, ["name"], ["place"])
+        with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "40"}), changes.keyed_state(spark):
+            stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+
+    rows.write.parquet(landed)
+    run()
+    assert spark.read.parquet(f"{out}/rows").count() == 300 and spark.read.parquet(f"{out}/replaced").count() == 0
+    earlier = rows.filter("name < 200").withColumn("place", F.col("place") - 1000)
+    earlier.write.mode("append").parquet(landed)
+    run()
+    got = changes.current_rows(spark, out, ["name"], ["place"]).select("name", "place")
+    want = rows.unionByName(earlier).groupBy("name").agg(F.min("place").alias("place"))
+    assert sorted(got.collect()) == sorted(want.collect())
+    assert spark.read.parquet(f"{out}/replaced").count() == 200
