@@ -49,3 +49,19 @@ def test_layout_of_an_empty_table_and_odd_values(spark, tmp_path):
     odd = write_search_layout(spark.createDataFrame([(1, None), (2, ""), (3, "ab"), (4, long), (5, "a\nb'c"), (6, None)], schema), str(tmp_path / "o"), ["part"], rows_per_part=2)
     assert [r["part"] for r in odd.search("NEEDLE").collect()] == [4] and [r["part"] for r in odd.search("\nb'").collect()] == [5]
     assert [r["part"] for r in odd.search("ab").collect()] == [3] and odd.page(0, 9).count() == 6
+
+
+def test_many_parts_share_folders(spark, tmp_path, monkeypatch):
+    """Of a layout of very many parts some share a file; pages, texts and keys find the same rows."""
+    from terraspan.sources import search_layout
+
+    monkeypatch.setattr(search_layout, "MOST_FOLDERS", 4)
+    df = _rows(spark)
+    laid = search_layout.write_search_layout(df, str(tmp_path / "t"), ["key"], keys=["key"], rows_per_part=30)
+    assert laid.parts == 67 and len(laid.read().inputFiles()) == 4
+    assert [r["key"] for r in laid.page(505, 40).collect()] == [f"k{n:05d}" for n in range(505, 545)]
+    for text in ("straße 🚲", "b04.tif", "ok", "[617]", "k00"):
+        want = df.filter(row_contains(text, df.columns))
+        assert sorted(map(tuple, laid.search(text).collect())) == sorted(map(tuple, want.collect())), text
+    assert len(laid.lookup(key="k00123").inputFiles()) == 1 == laid.lookup(key="k00123").count()
+    assert sorted(r["_rank"] for r in laid.read([0, 1, 40]).collect()) == [*range(1, 61), *range(1201, 1231)]
