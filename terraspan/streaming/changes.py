@@ -78,7 +78,6 @@ class Winner(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.about = handle.getValueState("about", "bits INT, keys BIGINT")
         self.known = handle.getMapState("buckets", "bucket INT", "packed BINARY")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -111,38 +110,45 @@ class Winner(StatefulProcessor):
         by_bucket = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[by_bucket], np.arange((1 << bits) + 1))
         del bucket
-        places, replaced, keys, oldest = [], [], 0, now
+        places, replaced, oldest = [], [], now
         for n in range(1 << bits):
+            name = (1 << bits) + n
             rows = fresh.take(pa.array(by_bucket[cuts[n] : cuts[n + 1]])).to_pandas()
             rows[_SEEN] = now
-            known = self._open(n, now)
+            known = self._open(name, now)
             # what is known comes first, so that an equal row changes nothing
             both = rows if known is None else pd.concat([known.assign(**{_PLACE: -1}), rows], ignore_index=True)
             both = both.sort_values(self.order, ascending=not self.newest, kind="stable")
             winners = both.drop_duplicates(list(_DIGEST)).copy()
             winners.loc[winners[_GROUP].isin(groups), _SEEN] = now
-            self._keep(n, winners)
+            self._keep(name, winners)
             won = winners.loc[winners[_PLACE] >= 0, [*_DIGEST, _PLACE]]
             places.append(won[_PLACE].to_numpy(np.int64))
             if known is not None:
                 replaced.append(won.merge(known[[*_DIGEST, *self.order]], on=list(_DIGEST))[[_PLACE, *self.order]])
             if len(winners):
-                keys, oldest = keys + len(winners), min(oldest, int(winners[_SEEN].min()))
-        self._settle(bits, keys, oldest)
+                oldest = min(oldest, int(winners[_SEEN].min()))
+        self._settle(oldest)
         gone = pd.concat(replaced).sort_values(_PLACE) if replaced else pd.DataFrame(columns=[_PLACE, *self.order])
         return np.sort(np.concatenate(places)), gone.reset_index(drop=True)
 
+    def _names(self) -> list[int]:
+        """Buckets that hold keys. Bucket n of 2^b is named 2^b + n."""
+        return [key[0] for key in self.known.keys()]
+
     def _grown(self, now: int, more: int) -> int:
         """Number of bits that tell buckets apart, after the buckets were split for ``more`` keys."""
-        before, keys = self.about.get() if self.about.exists() else (0, 0)
-        bits = before
+        names = self._names()
+        before = names[0].bit_length() - 1 if names else 0
+        one = self._open(names[0], now) if names else None  # keys are dealt by hash, so a bucket tells of the others
+        keys, bits = (0 if one is None else len(one) << before), before
         while keys + more > KEYS_PER_BUCKET << bits:
             bits += 1
-        for n in range(1 << before) if keys and bits > before else ():
-            known = self._open(n, now)
-            for part in range(n, 1 << bits, 1 << before):
-                if known is not None:
-                    self._keep(part, known[known[_DIGEST[1]] & ((1 << bits) - 1) == part])
+        for name in names if bits > before else ():
+            known = self._open(name, now)
+            self.known.removeKey((name,))
+            for part in range(name - (1 << before), 1 << bits, 1 << before):
+                self._keep((1 << bits) + part, known[known[_DIGEST[1]] & ((1 << bits) - 1) == part])
         return bits
 
     def _open(self, bucket: int, now: int) -> pd.DataFrame | None:
@@ -164,26 +170,19 @@ class Winner(StatefulProcessor):
             writer.write_table(table)
         self.known.updateValue((bucket,), (sink.getvalue().to_pybytes(),))
 
-    def _settle(self, bits: int, keys: int, oldest: int) -> None:
-        self.about.update((bits, keys))
+    def _settle(self, oldest: int) -> None:
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(oldest + self.idle_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.about.exists():
-            now, keys, oldest = int(time.time() * 1000), 0, None
-            bits = self.about.get()[0]
-            for n in range(1 << bits):
-                left = self._open(n, now)
-                if left is not None:
-                    self._keep(n, left)
-                    if len(left):
-                        keys, oldest = keys + len(left), min(int(left[_SEEN].min()), oldest or now)
-            if keys:
-                self._settle(bits, keys, oldest)
-            else:
-                self.about.clear()
+        now, oldest = int(time.time() * 1000), []
+        for name in self._names():
+            left = self._open(name, now)
+            self._keep(name, left)
+            oldest += [int(left[_SEEN].min())] if len(left) else []
+        if oldest:
+            self._settle(min(oldest))
         return iter(())
 
     def close(self) -> None:
