@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import re
 import struct
@@ -25,14 +26,18 @@ def _written(v: Views, rows: DataFrame, encode: Callable[[str], bytes] = str.enc
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                os.makedirs(os.path.dirname(f"{root}/{path}"), exist_ok=True)
-                with open(f"{root}/{path}", "wb") as out:
-                    out.write(encode(content))
+                try:
+                    out = open(f"{root}/{path}", "wb", buffering=0)
+                except FileNotFoundError:  # the first file of a folder
+                    os.makedirs(os.path.dirname(f"{root}/{path}"), exist_ok=True)
+                    out = open(f"{root}/{path}", "wb", buffering=0)
+                with io.BufferedWriter(out) as whole:
+                    whole.write(encode(content))
             yield pd.DataFrame({"n": [len(batch)]})
 
     # a table of one row group would be one task; small batches, as contents may be long
     with settings(v.spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "500"}):
-        inventory.dealt(rows.select("path", "content")).mapInPandas(write, "n bigint").agg(F.sum("n")).collect()
+        inventory.dealt(rows.select("path", "content"), inventory.SMALL_FILES_PER_TASK).mapInPandas(write, "n bigint").agg(F.sum("n")).collect()
     return root
 
 

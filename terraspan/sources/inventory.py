@@ -19,6 +19,8 @@ STORE_MARKERS = ("zarr.json", ".zgroup", ".zmetadata")
 CHUNK_ROWS = 10_000
 CHUNK_BYTES = 1 << 20
 FILES_PER_TASK = 500  # a path is short, what it costs to open is not: small tables of paths are dealt to many tasks
+SMALL_FILES_PER_TASK = 2_000  # a task itself costs as much as some hundred small files
+FOLDERS_APART = 64  # so many folders are listed by a task each, for a few folders may hold most of the files
 MOST_TASKS = 1024
 _COLUMNS = ["path", "name", "parent", "kind", "suffix", "byte_size", "modified_at"]
 
@@ -78,12 +80,17 @@ def _list(root: str):
     return task
 
 
-def dealt(files: DataFrame) -> DataFrame:
+def dealt(files: DataFrame, each: int = FILES_PER_TASK) -> DataFrame:
     """Rows (``path`` and others) dealt to tasks by the number of their files; ``files`` is counted for that."""
-    tasks = -(-files.count() // FILES_PER_TASK)
+    tasks = -(-files.count() // each)
     return files.repartition(max(1, min(MOST_TASKS, tasks)), "path")
 
 
+def listing_tasks(folders: int) -> int:
+    """Tasks that list so many folders: one each while they are few, since their sizes are not known."""
+    return min(MOST_TASKS, max(min(folders, FOLDERS_APART), -(-folders // SMALL_FILES_PER_TASK)))
+
+
 def inventory(spark: SparkSession, root: str, start: str = "") -> DataFrame:
     """All files and directories below ``root``/``start``, with paths relative to ``root``.
 
@@ -99,9 +106,10 @@ def inventory(spark: SparkSession, root: str, start: str = "") -> DataFrame:
         level = materialize(frontier.mapInPandas(_list(root), FILE_ENTRY_DDL))
         levels.append(level)
         frontier = level.filter("kind = 'directory'").select("path")
-        if frontier.isEmpty():
+        folders = frontier.count()
+        if not folders:
             break
-        frontier = dealt(frontier)
+        frontier = frontier.repartition(listing_tasks(folders))
     found = levels[0]
     for level in levels[1:]:
         found = found.unionByName(level)
@@ -144,7 +152,7 @@ def array_stores(spark: SparkSession, root: str, layer: str = "arrays") -> DataF
     base = root.rstrip("/")
     if "://" not in base and not os.path.isdir(f"{base}/{layer}"):
         return spark.createDataFrame([], "path STRING, name STRING, metadata MAP<STRING, STRING>, file_count BIGINT, directory_count BIGINT, byte_size BIGINT, modified_at STRING")
-    listing = materialize(inventory(spark, root, layer))
+    listing = inventory(spark, root, layer)  # its levels are written already
     named = listing.filter((F.col("kind") == "directory") & F.col("name").endswith(".zarr")).select("path")
     marked = listing.filter((F.col("kind") == "file") & F.col("name").isin(*STORE_MARKERS)).select(F.col("parent").alias("path"))
     stores = named.union(marked).distinct()
@@ -162,7 +170,7 @@ def array_stores(spark: SparkSession, root: str, layer: str = "arrays") -> DataF
             yield pd.DataFrame(out, columns=["path", "marker", "document"])
 
     markers = listing.filter((F.col("kind") == "file") & F.col("name").isin(*MARKERS))
-    documents = dealt(markers.select("parent", "name", "path")).mapInPandas(read, "path STRING, marker STRING, document STRING")
+    documents = dealt(markers.select("parent", "name", "path"), SMALL_FILES_PER_TASK).mapInPandas(read, "path STRING, marker STRING, document STRING")
     unreadable = F.lit('{"error": "metadata could not be read"}')
     checked = F.when(F.try_parse_json("document").isNotNull(), F.col("document")).otherwise(unreadable)
     metadata = documents.groupBy("path").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("marker", checked)))).alias("metadata"))

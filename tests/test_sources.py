@@ -229,3 +229,13 @@ def test_catalog_tree_and_features(spark, tmp_path):
     feature = json.loads(spark.read.text(str(tmp_path / "features")).first()["value"])
     assert feature["properties"]["geometry_source"] == "raster_grid" and len(feature["geometry"]["coordinates"][0]) == 5
     assert feature["properties"]["previewable"] is True
+
+
+def test_few_folders_are_listed_by_a_task_each(spark, tmp_path):
+    for name in "abc":
+        os.makedirs(tmp_path / "arrays" / name / "k.zarr")
+    assert [inventory.listing_tasks(n) for n in (1, 3, 64, 65, 1_000_000, 10_000_000)] == [1, 3, 64, 64, 500, 1024]
+    found = inventory.inventory(spark, str(tmp_path), "arrays")
+    assert sorted(r.path for r in found.collect()) == sorted([*(f"arrays/{n}" for n in "abc"), *(f"arrays/{n}/k.zarr" for n in "abc")])
+    paths = spark.range(4_000).select(F.col("id").cast("string").alias("path"))
+    assert inventory.dealt(paths, inventory.SMALL_FILES_PER_TASK).rdd.getNumPartitions() == 2
