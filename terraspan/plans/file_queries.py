@@ -146,13 +146,13 @@ def _geotiff(text: str) -> bytes:
            CASE WHEN c_custkey % 5 > 0 THEN 5000000.0::DOUBLE - 30 * 200 END AS bottom, CASE WHEN c_custkey % 5 > 0 THEN 'uint16' END AS dtype, NULL::VARCHAR AS crs_wkt
     FROM customer""")
 def s11(v: Views):
-    """Headers of hand-made GeoTIFFs; every fifth file is none."""
+    """Headers of hand-made GeoTIFFs, a thousand in a folder, as one folder takes one new file at a time; every fifth file is none."""
     k = F.col("c_custkey")
     content = F.when(k % 5 == 0, F.lit("no raster")).otherwise(F.concat_ws(" ", (k % 900 + 100), F.lit(200), F.col("c_nationkey") + 32601, k * 10, F.lit(5_000_000)))
-    rows = v.table("customer").select(F.concat(F.lit("source/"), k, F.lit(".tif")).alias("path"), content.alias("content"))
+    rows = v.table("customer").select(F.concat(F.lit("source/"), F.floor(k / 1000), F.lit("/"), k, F.lit(".tif")).alias("path"), content.alias("content"))
     found = raster_headers.raster_headers(rows.select("path"), _written(v, rows, _geotiff))
     r = F.col("raster")
     return found.select(
-        F.regexp_extract("path", "([0-9]+)", 1).cast("bigint").alias("c_custkey"), r["width"].alias("width"), r["height"].alias("height"), r["epsg"].alias("epsg"),
+        F.regexp_extract("path", "([0-9]+)[.]tif$", 1).cast("bigint").alias("c_custkey"), r["width"].alias("width"), r["height"].alias("height"), r["epsg"].alias("epsg"),
         r["x_origin"].alias("x_origin"), r["bounds"][1].alias("bottom"), r["dtype"].alias("dtype"), r["crs_wkt"].alias("crs_wkt"),
     )

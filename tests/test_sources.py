@@ -239,3 +239,9 @@ def test_few_folders_are_listed_by_a_task_each(spark, tmp_path):
     assert sorted(r.path for r in found.collect()) == sorted([*(f"arrays/{n}" for n in "abc"), *(f"arrays/{n}/k.zarr" for n in "abc")])
     paths = spark.range(4_000).select(F.col("id").cast("string").alias("path"))
     assert inventory.dealt(paths, inventory.SMALL_FILES_PER_TASK).rdd.getNumPartitions() == 2
+
+
+def test_headers_of_many_small_files_take_few_tasks(spark, tmp_path):
+    spark.range(0, 2500, 1, 1).select(F.concat(F.lit("source/0/"), "id", F.lit(".tif")).alias("path")).write.parquet(str(tmp_path / "t"))
+    found = raster_headers(spark.read.parquet(str(tmp_path / "t")), str(tmp_path))
+    assert found.rdd.getNumPartitions() == 2 and found.filter("raster IS NULL").count() == 2500
