@@ -106,6 +106,17 @@ def preview_key(checksum: Column, byte_size: Column) -> Column:
     )
 
 
+def folder(path: Column) -> Column:
+    """Path up to and including its last slash, without a regular expression, which would try every start."""
+    return F.left(path, F.length(path) - F.length(F.substring_index(path, "/", -1)))
+
+
+def parent(path: Column) -> Column:
+    """Path of the folder that holds a file; a path without a slash stays as it is."""
+    inside = folder(path)
+    return F.when(inside == "", path).otherwise(F.left(inside, F.length(inside) - 1))
+
+
 def path_suffix(name: Column) -> Column:
     """Lower-case extension; a leading dot does not start one."""
     return F.lower(F.regexp_extract(name, r"^.+(\.[^.]+)$", 1))

@@ -35,6 +35,10 @@ def source_files(files: DataFrame) -> DataFrame:
     return _sources(files).distinct()
 
 
+def _range(ranges: int) -> Column:
+    return F.pmod(F.xxhash64(text.folder(F.col("path"))), F.lit(ranges)).cast("int")
+
+
 def range_digests(paths: DataFrame, ranges: int = RANGES) -> DataFrame:
     """Per range of folders a digest of its paths that does not depend on their order.
 
@@ -42,9 +46,8 @@ def range_digests(paths: DataFrame, ranges: int = RANGES) -> DataFrame:
     number of paths, the sums of the halves of one hash and the exclusive or of another: repeated paths count, and
     unlike ranges agree with a chance of about 2^-128. Sums are formed inside the tasks; at most ``ranges`` rows leave.
     """
-    folder = F.regexp_replace("path", r"[^/]*$", "")
     one, other = F.xxhash64("path"), F.xxhash64(F.lit(1), "path")
-    return paths.groupBy(F.pmod(F.xxhash64(folder), F.lit(ranges)).cast("int").alias("range")).agg(
+    return paths.groupBy(_range(ranges).alias("range")).agg(
         F.count(F.lit(1)).alias("paths"), F.sum(one.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"),
         F.sum(F.shiftrightunsigned(one, 32)).alias("high"), F.bit_xor(other).alias("mixed"),
     )
@@ -61,8 +64,7 @@ def differing(left: DataFrame, right: DataFrame, ranges: int = RANGES) -> tuple[
     b = b.select("range", F.struct("paths", "low", "high", "mixed").alias("_b"))
     both = a.select("range", F.struct("paths", "low", "high", "mixed").alias("_a")).join(b, "range", "full_outer")
     unlike = F.broadcast(both.filter(~F.col("_a").eqNullSafe(F.col("_b"))).select("range"))  # at most ``ranges`` numbers
-    at = F.pmod(F.xxhash64(F.regexp_replace("path", r"[^/]*$", "")), F.lit(ranges)).cast("int")
-    return tuple(side.select("path", at.alias("range")).join(unlike, "range", "left_semi").select("path") for side in (left, right))
+    return tuple(side.select("path", _range(ranges).alias("range")).join(unlike, "range", "left_semi").select("path") for side in (left, right))
 
 
 def _known_and_there(assets: DataFrame, files: DataFrame, by_range: bool) -> tuple[DataFrame, DataFrame]:

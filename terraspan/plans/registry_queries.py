@@ -579,13 +579,13 @@ def j04(v: Views):
 
 @query("j03_missing_by_range", "SELECT path FROM v_registered EXCEPT SELECT path FROM v_source_files", "v_registered", "v_source_files")
 def j03_by_range(v: Views):
-    """Only ranges of folders whose digests differ are joined."""
-    return audit.missing_assets(v.sightings().select("local_path"), v.files(), by_range=True)
+    """Only ranges of folders whose digests differ are joined. Both sides are read twice and so made once, from their joins."""
+    return audit.missing_assets(materialize(v.sightings().select("local_path")), materialize(v.files().select("path", "kind")), by_range=True)
 
 
 @query("u06_except_by_range", "SELECT path FROM v_files EXCEPT SELECT path FROM v_registered", "v_files", "v_registered")
 def u06_by_range(v: Views):
-    return audit.path_except(v.files(), audit.registered_paths(v.sightings().select("local_path")), by_range=True)
+    return audit.path_except(materialize(v.files().select("path")), materialize(audit.registered_paths(v.sightings().select("local_path"))), by_range=True)
 
 
 @query("u06_path_except", "SELECT path FROM v_files EXCEPT SELECT path FROM v_registered", "v_files", "v_registered")

@@ -235,3 +235,14 @@ def test_static_collections_skip_the_date_filter(spark):
     items = spark.createDataFrame([("2020-01-01T00:00:00Z",), ("2021-01-01T00:00:00Z",)], "datetime STRING")
     assert ingest.temporal_filter(items, "2020-01-01", "2020-01-01", ["a"]).count() == 1
     assert ingest.temporal_filter(items, "2020-01-01", "2020-01-01", ["a", "COP-DEM"]).count() == 2
+
+
+def test_folder_and_parent_are_those_of_the_patterns(spark):
+    from terraspan.functions import text
+
+    paths = [(p,) for p in ("", "a", "/", "/a", "a/", "a//", "a/b", "a/b/c.tif", "a/b\n", "a\n/b", "ä/ö.tif", None)]
+    rows = spark.createDataFrame(paths, "path string").select(
+        text.folder(F.col("path")).alias("folder"), F.regexp_replace("path", r"[^/]*$", "").alias("_folder"),
+        text.parent(F.col("path")).alias("parent"), F.regexp_replace("path", r"/[^/]*$", "").alias("_parent"),
+    ).collect()
+    assert [(r.folder, r.parent) for r in rows] == [(r._folder, r._parent) for r in rows]
