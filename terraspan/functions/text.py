@@ -90,6 +90,20 @@ def asset_id(catalog: Column, collection: Column, item_id: Column, asset_key: Co
     return F.sha2(F.concat_ws("|", *parts), 256)
 
 
+def packed(digest: Column) -> Column:
+    """A SHA-256 in lower-case hex as 33 bytes, any other text as its bytes behind a mark; :func:`unpacked` gives the text back.
+
+    Order is kept among digests and among other texts, which come after them.
+    """
+    is_digest = (F.length(digest) == 64) & digest.rlike("^[0-9a-f]{64}$")
+    return F.when(is_digest, F.concat(F.unhex(F.lit("01")), F.unhex(digest))).otherwise(F.concat(F.unhex(F.lit("FF")), digest.cast("binary")))
+
+
+def unpacked(value: Column) -> Column:
+    rest = F.substring(value, 2, 2**31 - 1)
+    return F.when(F.substring(value, 1, 1) == F.unhex(F.lit("01")), F.lower(F.hex(rest))).otherwise(rest.cast("string"))
+
+
 def attempt_id(run_id: Column, collection: Column, item_id: Column, asset_key: Column) -> Column:
     """Identity of a planned transfer; the collection takes part so equal item ids do not collide."""
     return F.sha2(F.concat_ws("\0", run_id, collection, item_id, asset_key), 256)

@@ -13,16 +13,25 @@ ITEM = ("catalog", "collection", "source_item_id")
 def item_files(assets: DataFrame) -> DataFrame:
     """One row per file of an item document: its key, shortened to a safe name, and the asset entry.
 
-    Files whose keys shorten to the same name are one entry, the last by key and id. Rows
+    Files whose keys shorten to the same name are one entry, the last by key and id (ids that are no digests come after digests). Rows
     rather than a map per item hold the files, so an item may have any number of them.
     """
+    # key and id come first, so that the largest row is the last by them and the id travels once; digests travel as bytes,
+    # paths without the folder of their item, and what is the same for all is added after the fold
+    path, home = F.col("local_path"), F.concat(F.lit("source/"), F.concat_ws("/", *ITEM), F.lit("/"))
+    inside = path.startswith(home)
+    facts = [
+        "asset_key", text.packed(F.col("asset_id")).alias("id"), inside.alias("inside"), F.when(inside, F.substring(path, F.length(home) + 1, F.length(path))).otherwise(path).alias("path"),
+        "media_type", text.packed(F.col("checksum_sha256")).alias("checksum"), "run_id",
+    ]
+    rows = assets.select(*ITEM, text.safe_component(F.col("asset_key"), "data").alias("key"), F.struct(*facts).alias("_row"))
+    last = rows.groupBy(*ITEM, "key").agg(F.max("_row").alias("_row"))
+    row = F.col("_row")
     entry = F.struct(
-        F.col("local_path").alias("href"), F.col("media_type").alias("type"), F.array(F.lit("data")).alias("roles"),
-        F.col("asset_id").alias("lake:asset_id"), F.col("checksum_sha256").alias("lake:checksum_sha256"),
-        F.col("run_id").alias("lake:lineage_id"),
+        F.when(row["inside"], F.concat(home, row["path"])).otherwise(row["path"]).alias("href"), row["media_type"].alias("type"), F.array(F.lit("data")).alias("roles"),
+        text.unpacked(row["id"]).alias("lake:asset_id"), text.unpacked(row["checksum"]).alias("lake:checksum_sha256"), row["run_id"].alias("lake:lineage_id"),
     )
-    rows = assets.select(*ITEM, text.safe_component(F.col("asset_key"), "data").alias("key"), entry.alias("asset"), "asset_key", "asset_id")
-    return rows.groupBy(*ITEM, "key").agg(F.max_by("asset", F.struct("asset_key", "asset_id")).alias("asset"))
+    return last.select(*ITEM, "key", entry.alias("asset"))
 
 
 def item_documents(assets: DataFrame) -> DataFrame:

@@ -246,3 +246,12 @@ def test_folder_and_parent_are_those_of_the_patterns(spark):
         text.parent(F.col("path")).alias("parent"), F.regexp_replace("path", r"/[^/]*$", "").alias("_parent"),
     ).collect()
     assert [(r.folder, r.parent) for r in rows] == [(r._folder, r._parent) for r in rows]
+
+
+def test_packed_digests_come_back(spark):
+    texts = ["ab" * 32, "0" * 64, "f" * 64, "F" * 64, "ab" * 32 + "\n", "ab" * 31, "p7", "", "ä" * 64, None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.packed(F.col("t")).alias("p"))
+    rows = rows.withColumn("back", text.unpacked(F.col("p"))).collect()
+    assert [r.back for r in rows] == texts and [len(r.p) for r in rows[:3]] == [33] * 3
+    digests = sorted(r.t for r in rows[:3])
+    assert [r.t for r in sorted(rows[:3], key=lambda r: r.p)] == digests

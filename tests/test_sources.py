@@ -245,3 +245,13 @@ def test_headers_of_many_small_files_take_few_tasks(spark, tmp_path):
     spark.range(0, 2500, 1, 1).select(F.concat(F.lit("source/0/"), "id", F.lit(".tif")).alias("path")).write.parquet(str(tmp_path / "t"))
     found = raster_headers(spark.read.parquet(str(tmp_path / "t")), str(tmp_path))
     assert found.rdd.getNumPartitions() == 2 and found.filter("raster IS NULL").count() == 2500
+
+
+def test_item_files_keep_odd_paths_and_digests(spark):
+    rows = [("B1", "0a" * 32, "source/n/c/i/x.tif", "ab" * 32), ("B2", "odd", "elsewhere/y.tif", "no digest"), ("B3", "ff" * 32, None, None)]
+    df = spark.createDataFrame(rows, "asset_key string, asset_id string, local_path string, checksum_sha256 string").withColumns(
+        {"catalog": F.lit("n"), "collection": F.lit("c"), "source_item_id": F.lit("i"), "run_id": F.lit("r"), "media_type": F.lit("m")}
+    )
+    made = catalog_tree.item_files(df)
+    back = [(r.key, r.asset["lake:asset_id"], r.asset["href"], r.asset["lake:checksum_sha256"]) for r in made.orderBy("key").collect()]
+    assert back == rows and "max(_row" in made._jdf.queryExecution().analyzed().toString()  # each id travels once
