@@ -232,13 +232,15 @@ def reindex(
     registered with, and thereby its id.
     """
     base = assets.select(
-        "asset_id", "product_id", "source_item_id", "asset_key", "source_url", "local_path", "status", "run_id",
+        text.packed(F.col("asset_id")).alias("_id"), "product_id", "source_item_id", "asset_key", "source_url", "local_path", "status", "run_id",
         F.col("datetime").alias("_datetime"), "updated_at",
     )
     facts = files.select(F.col("path").alias("local_path"), "byte_size", "checksum_sha256", "raster")
-    joined = base.join(facts, "local_path").withColumn(
-        "parent", F.regexp_replace("local_path", r"/[^/]*$", "")
-    ).join(sidecars, "parent", "left")
+    # sidecars meet the files first: a file is a path and few facts, an asset is wide and travels once
+    facts = facts.withColumn("parent", text.parent(F.col("local_path")))
+    facts = facts.withColumn("_rest", F.substring("local_path", F.length("parent") + 1, F.length("local_path"))).drop("local_path")
+    beside = facts.join(sidecars, "parent", "left").withColumn("local_path", F.concat("parent", "_rest")).drop("parent", "_rest")
+    joined = base.join(beside, "local_path")
     named = products.select("product_id", F.col("collection_id").alias("_collection"))
     joined = joined.join(named, "product_id", "left")
     item = F.col("item")
@@ -250,7 +252,7 @@ def reindex(
         "asset_key", "source_url", "local_path", "byte_size", "checksum_sha256",
         F.when(item.isNull(), F.col("_datetime")).otherwise(item["properties"]["datetime"]).alias("datetime"),
         item["bbox"].alias("bbox"), item["geometry"].alias("geometry"), "raster", "status",
-        F.lit(now).alias("registered_at"), F.struct("updated_at", "asset_id").alias("seq"),
+        F.lit(now).alias("registered_at"), F.struct("updated_at", text.unpacked(F.col("_id")).alias("asset_id")).alias("seq"),
     )
     return rows.join(collections, "collection", "left")
 
@@ -289,13 +291,15 @@ def run_digests(assets: DataFrame) -> DataFrame:
     constant memory, 65 bytes for an id. The definition is the same for runs of any size.
     """
     kind = assets.schema["run_id"].dataType.simpleString()
-    ids = run_outputs(assets).repartition("run_id").sortWithinPartitions("run_id", "asset_id")
+    # a pair seen twice is next to itself once sorted, so that no shuffle of its own has to find it
+    ids = assets.select("run_id", text.packed(F.col("asset_id")).alias("_id")).repartition("run_id")
+    ids = ids.select("run_id", text.unpacked(F.col("_id")).alias("asset_id")).sortWithinPartitions("run_id", "asset_id")
     return ids.mapInArrow(_digest_runs, f"run_id {kind}, output_count bigint, checksum string")
 
 
 def _digest_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per run from rows sorted by (run, id)."""
-    run, digest, count, schema = None, None, 0, None
+    """One row per run from rows sorted by (run, id); equal rows count once."""
+    run, digest, count, schema, before = None, None, 0, None, None
 
     def row() -> pa.RecordBatch:
         columns = [pa.array([run], schema), pa.array([count], pa.int64()), pa.array([digest.hexdigest()], pa.string())]
@@ -308,8 +312,10 @@ def _digest_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if digest is not None:
                     yield row()
                 run, digest, count = name, hashlib.sha256(), 0
+            elif asset == before:
+                continue
             digest.update(asset.encode() if not count else b"\n" + asset.encode())
-            count += 1
+            before, count = asset, count + 1
     if digest is not None:
         yield row()
 

@@ -267,3 +267,29 @@ def test_merge_into_an_absent_table_joins_nothing(spark, tmp_path):
     rows = registry.conform(spark.range(3).select(F.col("id").cast("string").alias("asset_id")), "assets")
     merged = registry.merge_registries({"assets": RegistryStore(spark, str(tmp_path)).read("assets")}, {"assets": rows})["assets"]
     assert merged.count() == 3 and "Join" not in merged._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_run_digests_count_a_repeated_pair_once_and_shuffle_once(spark):
+    ids = ["p7", "b" * 64, "0a" * 32, "c", "b" * 64, "p7"]
+    made = registry.run_digests(spark.createDataFrame([("r", i) for i in ids] + [("s", "b" * 64)], "run_id string, asset_id string"))
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    rows = {r.run_id: (r.output_count, r.checksum) for r in made.collect()}
+    assert rows == {"r": (4, hashlib.sha256("\n".join(sorted(set(ids))).encode()).hexdigest()), "s": (1, hashlib.sha256(b"b" * 64).hexdigest())}
+
+
+def test_sidecars_meet_files_before_the_wide_assets(spark):
+    from terraspan.schemas import ITEM_DDL
+
+    names = "asset_id string, product_id string, source_item_id string, asset_key string, source_url string, local_path string, status string, run_id string, datetime string, updated_at string"
+    paths = {"odd": "lone.tif", "0a" * 32: "source/nasa/c/i/a.tif", "top": "/root.tif", "none": "source/nasa/c/j/b.tif"}
+    assets = spark.createDataFrame([(i, "p", "own", "k", "u", p, "s", "r", "d", "t") for i, p in paths.items()], names)
+    files = spark.createDataFrame([(p, n, "c") for n, p in enumerate(paths.values())], "path string, byte_size bigint, checksum_sha256 string")
+    files = files.withColumn("raster", F.lit(None).cast(RASTER_DDL))
+    item = F.from_json(F.lit('{"id":"i1"}'), ITEM_DDL)
+    sidecars = spark.createDataFrame([("source/nasa/c/i",), ("",)], "parent string").withColumn("item", item)
+    products = spark.createDataFrame([("p", "c")], "product_id string, collection_id string")
+    none = spark.createDataFrame([], "collection string, collection_metadata string")
+    made = registry.reindex(assets, products, files, sidecars, none, "now")
+    rows = {r.seq.asset_id: (r.local_path, r.item_id, r.byte_size) for r in made.collect()}
+    assert rows == {"odd": ("lone.tif", "own", 0), "0a" * 32: (paths["0a" * 32], "i1", 1), "top": ("/root.tif", "i1", 2), "none": (paths["none"], "own", 3)}
+    assert "_rest" in made._jdf.queryExecution().optimizedPlan().toString()
