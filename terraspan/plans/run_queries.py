@@ -75,7 +75,7 @@ def w04(v: Views):
 @query("u01_union_sources", """
     SELECT catalog, collection, count(DISTINCT source_item_id) AS items FROM v_raw GROUP BY ALL""", "v_raw")
 def u01(v: Views):
-    items = v.sightings().select("catalog", "collection", "source_item_id")
+    items = v.sightings(v.lines_by_order()).select("catalog", "collection", "source_item_id")
     parts = [items.filter(F.col("catalog") == name) for name in ("microsoft", "earth-search", "nasa")]
     return ingest.union_items(parts).distinct().groupBy("catalog", "collection").agg(F.count(F.lit(1)).alias("items"))
 
@@ -547,7 +547,7 @@ def u09_runs(v: Views):
 def s04(v: Views):
     path = f"{scratch_dir(v.spark)}/{uuid.uuid4().hex}"
     pages.write_pages(_landed(v), path)
-    back = pages.read_pages(v.spark, path)
+    back = pages.read_pages(v.spark, path, "id STRING, collection STRING")
     return back.groupBy(F.col("run_id").cast("bigint").alias("run_id"), "page_number", "id", "collection").agg(F.count(F.lit(1)).alias("sightings"))
 
 

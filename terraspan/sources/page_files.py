@@ -16,7 +16,9 @@ import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark import cloudpickle
@@ -89,6 +91,18 @@ def _remove(system: fs.FileSystem, root: str, files: Sequence[tuple[str, int, in
                 system.delete_file(path)
 
 
+def _page_ends(runs: pa.Array, numbers: pa.Array) -> list[int]:
+    """Rows at which another page begins, but the first."""
+    n, starts = len(runs), False
+    if n < 2:
+        return []
+    for column in (runs, numbers):
+        one, other = column.slice(0, n - 1), column.slice(1)
+        same = pc.or_(pc.fill_null(pc.equal(one, other), False), pc.and_(pc.is_null(one), pc.is_null(other)))
+        starts = starts | ~np.asarray(same, dtype=bool)
+    return [int(k) + 1 for k in np.flatnonzero(starts)]
+
+
 class PageWriter(DataSourceArrowWriter):
     """Rows (run_id, page_number, value), those of a page one after another in one task."""
 
@@ -101,12 +115,16 @@ class PageWriter(DataSourceArrowWriter):
         try:
             page, lines = None, []
             for batch in iterator:
-                for run_id, number, line in zip(*(batch.column(n).to_pylist() for n in ("run_id", "page_number", "value"))):
-                    if (run_id, number) != page:
+                runs, numbers, values = (batch.column(n) for n in ("run_id", "page_number", "value"))
+                ends = [*_page_ends(runs, numbers), batch.num_rows]
+                for start, end in zip([0, *ends[:-1]], ends):
+                    if start == end:
+                        continue
+                    if (key := (runs[start].as_py(), numbers[start].as_py())) != page:
                         if page is not None:
                             packer.add(*page, lines)
-                        page, lines = (run_id, number), []
-                    lines.append(line)
+                        page, lines = key, []
+                    lines += values.slice(start, end - start).to_pylist()
             if page is not None:
                 packer.add(*page, lines)
             packer.close()
@@ -171,15 +189,15 @@ def _read_pages(path: str, partition: InputPartition) -> Iterator[pa.RecordBatch
         index = _index(system, root, name, first, last).to_pylist()
         with system.open_input_file(f"{root}/{name}") as file:
             for at in range(0, len(index), 50):
-                columns: list[list] = [[], [], [], []]
-                for page in index[at : at + 50]:
+                pages, texts = index[at : at + 50], []
+                for page in pages:
                     file.seek(page["offset"])
-                    lines = gzip.decompress(file.read(page["byte_size"])).decode().split("\n")
-                    for column, value in zip(columns, (page["run_id"], page["page_number"], commit)):
-                        column += [value] * len(lines)
-                    columns[3] += lines
-                kinds = (pa.string(), pa.int32(), pa.int64(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["run_id", "page_number", "commit", "value"])
+                    texts.append(gzip.decompress(file.read(page["byte_size"])).decode())
+                lines = pc.split_pattern(pa.array(texts, pa.string()), "\n")
+                of = pa.array(np.repeat(np.arange(len(pages)), np.asarray(pc.list_value_length(lines))))
+                columns = [pa.array([page[c] for page in pages], kind).take(of) for c, kind in (("run_id", pa.string()), ("page_number", pa.int32()))]
+                columns += [pa.array(np.full(len(of), commit, np.int64)), lines.flatten()]
+                yield pa.RecordBatch.from_arrays(columns, names=["run_id", "page_number", "commit", "value"])
 
 
 class PageReader(DataSourceReader):

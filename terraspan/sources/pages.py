@@ -33,18 +33,21 @@ def replaced_pages(spark: SparkSession, path: str) -> DataFrame:
     return versions.filter("_n > 1").select("run_id", "page_number", "_newest")
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Items of all pages with run_id, page_number and position; the schema is declared, nothing is inferred."""
+def read_pages(spark: SparkSession, path: str, columns: str | None = None) -> DataFrame:
+    """Items of all pages with run_id, page_number and position; the schema is declared, nothing is inferred.
+
+    ``columns`` declares fewer item columns; of an item only what is declared is parsed.
+    """
     rows = page_files.registered(spark).read.format(page_files.FORMAT).load(path)
     replaced = replaced_pages(spark, path)
     if not replaced.isEmpty():  # else no page has to be compared with any other
         rows = rows.join(replaced, ["run_id", "page_number"], "left").filter("_newest IS NULL OR commit = _newest").drop("_newest")
-    return parsed_items(rows.drop("commit"))
+    return parsed_items(rows.drop("commit"), columns)
 
 
-def parsed_items(rows: DataFrame) -> DataFrame:
-    """Item columns from the JSON text of each row in ``value``; the other columns stay."""
-    schema = parse(ITEM_DDL + ", position BIGINT")
+def parsed_items(rows: DataFrame, columns: str | None = None) -> DataFrame:
+    """Item columns from the JSON text of each row in ``value``, those of ``columns`` if given; the other columns stay."""
+    schema = parse(columns or ITEM_DDL + ", position BIGINT")
     item = rows.withColumn("_i", F.from_json("value", schema))
     return item.select(*[c for c in rows.columns if c != "value"], "_i.*")
 

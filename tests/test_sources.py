@@ -263,3 +263,12 @@ def test_lines_are_dealt_by_rows_whatever_they_shrink_to(spark, tmp_path):
     spark.range(0, 2500, 1, 1).select(F.lit(7).alias("l_partkey"), (F.col("id") % 50).alias("l_orderkey")).write.parquet(str(tmp_path / "lineitem.parquet"))
     lines = Views(spark, str(tmp_path)).lines_by_order(rows=500)
     assert lines.rdd.getNumPartitions() == 5 and lines.count() == 2500
+
+
+def test_page_ends_of_a_batch():
+    import pyarrow as pa
+
+    runs = pa.array(["a", "a", "b", "b", None, None, "c"])
+    numbers = pa.array([1, 1, 1, 2, 2, None, None], pa.int32())
+    assert page_files._page_ends(runs, numbers) == [2, 3, 4, 5, 6]
+    assert page_files._page_ends(runs[:1], numbers[:1]) == [] == page_files._page_ends(runs[:0], numbers[:0])
