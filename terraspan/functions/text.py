@@ -77,10 +77,8 @@ def media_type(path: Column) -> Column:
 
 
 def source_catalog(local_path: Column) -> Column:
-    parts = F.split(local_path, "/")
-    return F.when(
-        local_path.startswith("source/") & (F.size(parts) > 1) & (parts[1] != ""), parts[1]
-    ).otherwise("unknown")
+    name = F.substring_index(F.substring(local_path, 8, 2**31 - 1), "/", 1)
+    return F.when(local_path.startswith("source/") & (name != ""), name).otherwise("unknown")
 
 
 def asset_id(catalog: Column, collection: Column, item_id: Column, asset_key: Column, href: Column) -> Column:

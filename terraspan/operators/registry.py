@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import pyarrow as pa
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import semantics, text
 from ..profiles import profile_bands, profiles, source_info
 from ..schemas import REGISTRY, REGISTRY_KEY, registry_schema
-from ..session import materialize
+from ..session import SMALL_TASKS, materialize, settings
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:
@@ -63,23 +63,27 @@ def upsert(
     """
     o, n = old.alias("o"), new.alias("n")
     there, here = F.col(f"o.{key}").isNotNull(), F.col(f"n.{key}").isNotNull()
-    columns = []
-    for name in old.columns:
-        was, now = F.col(f"o.{name}"), F.col(f"n.{name}")
-        if name == key:
-            value: Column = F.coalesce(now, was)
-        elif name in keep:
-            value = F.when(there, was).otherwise(now)
-        elif name == created:
-            value = F.when(here, text.first_truthy(was, now)).otherwise(was)
-        elif name in fill:
-            value = F.coalesce(now, was)
-        else:
-            value = F.when(here, now).otherwise(was)
-        columns.append(value.alias(name))
+    columns = [_merged(name, F.col(f"o.{name}"), F.col(f"n.{name}"), there, here, key, keep, created, fill) for name in old.columns]
     return o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer").select(*columns)
 
 
+def _merged(
+    name: str, was: Column, now: Column, there: Column, here: Column, key: str, keep: Sequence[str] = (), created: str | None = "created_at", fill: Sequence[str] = ()
+) -> Column:
+    """A column of an upsert: ``there`` and ``here`` tell whether the old and the new row exist."""
+    if name == key:
+        value = F.coalesce(now, was)
+    elif name in keep:
+        value = F.when(there, was).otherwise(now)
+    elif name == created:
+        value = F.when(here, text.first_truthy(was, now)).otherwise(was)
+    elif name in fill:
+        value = F.coalesce(now, was)
+    else:
+        value = F.when(here, now).otherwise(was)
+    return value.alias(name)
+
+
 GRID_ID_FACTS = ("epsg", "transform", "width", "height")
 GRID_FACTS = ("crs_wkt", "x_origin", "y_origin", "pixel_size_x", "pixel_size_y")
 ASSET_KEEP = ("status", "run_id")
@@ -99,9 +103,7 @@ def register(deliveries: DataFrame, asset_columns: Sequence[str] | None = None)
     ``asset_columns`` only these and what they are made of travel through it; the others are null.
     """
     spark = deliveries.sparkSession
-    given = deliveries.withColumns(
-        {"collection": F.coalesce("collection", F.lit("unknown")), "item_id": F.coalesce("item_id", F.lit("unknown"))}
-    )
+    given = _given(deliveries)
     collection, raster = F.col("collection"), F.col("raster")
 
     # Source, product, variable and grid of a file are functions of its catalog, collection, key and grid: the
@@ -156,19 +158,33 @@ def register(deliveries: DataFrame, asset_columns: Sequence[str] | None = None)
     return {table: conform(df, table) for table, df in made.items()}
 
 
-def _registered_assets(given: DataFrame, columns: Sequence[str] | None) -> DataFrame:
-    """Deliveries folded to assets. The ids travel through the fold as 32 bytes, not as 64 digits."""
+def _given(deliveries: DataFrame) -> DataFrame:
+    return deliveries.withColumns({c: F.coalesce(c, F.lit("unknown")) for c in ("collection", "item_id")})
+
+
+def _delivered_id() -> Column:
+    """Id of the asset that a delivery registers."""
+    return text.asset_id(*[F.col(c) for c in ("catalog", "collection", "item_id", "asset_key", "source_url")])
+
+
+def _asset_values() -> dict[str, tuple[Column, list[str]]]:
+    """Columns of an asset that its newest delivery gives, and the columns they are made of."""
     made = {
         "product_id": (text.product_id(F.col("collection")), ["collection"]), "grid_id": (semantics.grid_id(F.col("collection"), F.col("raster")), ["collection", "raster"]),
         "source_item_id": (F.col("item_id"), ["item_id"]), "media_type": (text.media_type(F.col("local_path")), ["local_path"]),
         "raster_metadata": (F.col("raster"), ["raster"]), "updated_at": (F.col("registered_at"), ["registered_at"]),
     }
     made.update({c: (F.col(c), [c]) for c in ("asset_key", "source_url", "local_path", "byte_size", "checksum_sha256", "datetime", "bbox", "geometry")})
+    return made
+
+
+def _registered_assets(given: DataFrame, columns: Sequence[str] | None) -> DataFrame:
+    """Deliveries folded to assets. The ids travel through the fold as 32 bytes, not as 64 digits."""
+    made = _asset_values()
     asked = [c for c in (*made, *ASSET_KEEP, "created_at") if columns is None or c in columns]
     first = [c for c in (*ASSET_KEEP, "created_at") if c in asked]
     last = list(dict.fromkeys(raw for c in asked if c in made for raw in made[c][1]))
-    identity = [F.col(c) for c in ("catalog", "collection", "item_id", "asset_key", "source_url")]
-    rows = given.withColumns({"_id": F.unhex(text.asset_id(*identity)), "created_at": F.col("registered_at")})
+    rows = given.withColumns({"_id": F.unhex(_delivered_id()), "created_at": F.col("registered_at")})
     folded = fold_arrivals(rows, "_id", ["seq"], first=first, last=last)
     return folded.select(F.lower(F.hex("_id")).alias("asset_id"), *[made[c][0].alias(c) if c in made else c for c in asked])
 
@@ -232,43 +248,119 @@ def reindex(
     registered with, and thereby its id.
     """
     base = assets.select(
-        text.packed(F.col("asset_id")).alias("_id"), "product_id", "source_item_id", "asset_key", "source_url", "local_path", "status", "run_id",
-        F.col("datetime").alias("_datetime"), "updated_at",
+        text.packed(F.col("asset_id")).alias("_id"), "product_id", "source_item_id", "asset_key", "source_url", "local_path", "status", "run_id", "datetime", "updated_at",
     )
-    facts = files.select(F.col("path").alias("local_path"), "byte_size", "checksum_sha256", "raster")
-    # sidecars meet the files first: a file is a path and few facts, an asset is wide and travels once
+    named = products.select("product_id", F.col("collection_id").alias("_collection"))
+    joined = base.join(_beside(files, sidecars), "local_path").join(named, "product_id", "left")
+    return joined.select(*_delivery(F.col, text.unpacked(F.col("_id")), now)).join(collections, "collection", "left")
+
+
+def _beside(files: DataFrame, sidecars: DataFrame) -> DataFrame:
+    """Facts of each file and the item of its sidecar, as far as a delivery takes something from it.
+
+    Sidecars meet the files, not the assets: a file is a path and few facts, an asset is wide and travels once.
+    """
+    facts = files.select(F.col("path").alias("local_path"), F.col("byte_size").alias("_size"), text.packed(F.col("checksum_sha256")).alias("_sum"), F.col("raster").alias("_raster"))
     facts = facts.withColumn("parent", text.parent(F.col("local_path")))
     facts = facts.withColumn("_rest", F.substring("local_path", F.length("parent") + 1, F.length("local_path"))).drop("local_path")
-    beside = facts.join(sidecars, "parent", "left").withColumn("local_path", F.concat("parent", "_rest")).drop("parent", "_rest")
-    joined = base.join(beside, "local_path")
-    named = products.select("product_id", F.col("collection_id").alias("_collection"))
-    joined = joined.join(named, "product_id", "left")
     item = F.col("item")
-    rows = joined.select(
-        text.first_truthy(F.col("run_id"), F.lit("reindex")).alias("run_id"),
+    used = F.struct(item["id"].alias("id"), item["collection"].alias("collection"), item["properties"]["datetime"].alias("datetime"), item["bbox"].alias("bbox"), item["geometry"].alias("geometry"))
+    items = sidecars.select("parent", F.when(item.isNotNull(), used).alias("item"))
+    return facts.join(items, "parent", "left").withColumn("local_path", F.concat("parent", "_rest")).drop("parent", "_rest")
+
+
+def _delivery(was: Callable[[str], Column], asset_id: Column, now: str) -> list[Column]:
+    """Columns of the delivery that an asset makes with its file and sidecar; ``was`` gives the columns of the asset."""
+    item = F.col("item")
+    return [
+        text.first_truthy(was("run_id"), F.lit("reindex")).alias("run_id"),
         text.source_catalog(F.col("local_path")).alias("catalog"),
-        text.first_truthy(item["collection"], F.coalesce("_collection", "product_id")).alias("collection"),
-        F.when(item.isNull(), F.col("source_item_id")).otherwise(text.first_truthy(item["id"], F.lit("unknown"))).alias("item_id"),
-        "asset_key", "source_url", "local_path", "byte_size", "checksum_sha256",
-        F.when(item.isNull(), F.col("_datetime")).otherwise(item["properties"]["datetime"]).alias("datetime"),
-        item["bbox"].alias("bbox"), item["geometry"].alias("geometry"), "raster", "status",
-        F.lit(now).alias("registered_at"), F.struct("updated_at", text.unpacked(F.col("_id")).alias("asset_id")).alias("seq"),
-    )
-    return rows.join(collections, "collection", "left")
+        text.first_truthy(item["collection"], F.coalesce("_collection", was("product_id"))).alias("collection"),
+        F.when(item.isNull(), was("source_item_id")).otherwise(text.first_truthy(item["id"], F.lit("unknown"))).alias("item_id"),
+        was("asset_key").alias("asset_key"), was("source_url").alias("source_url"), "local_path", F.col("_size").alias("byte_size"), text.unpacked(F.col("_sum")).alias("checksum_sha256"),
+        F.when(item.isNull(), was("datetime")).otherwise(item["datetime"]).alias("datetime"),
+        item["bbox"].alias("bbox"), item["geometry"].alias("geometry"), F.col("_raster").alias("raster"), was("status").alias("status"),
+        F.lit(now).alias("registered_at"), F.struct(was("updated_at").alias("updated_at"), asset_id.alias("asset_id")).alias("seq"),
+    ]
 
 
 def rebuild(
     registries: dict[str, DataFrame], files: DataFrame, sidecars: DataFrame, collections: DataFrame, now: str
 ) -> dict[str, DataFrame]:
-    """The registries after a full reindex: deliveries rebuilt, registered and merged, stale grids dropped."""
-    # written once, so that the shuffles of its joins are gone before the fold makes its own
-    rows = materialize(reindex(registries["assets"], registries["products"], files, sidecars, collections, now))
-    new = register(rows)
-    new["assets"] = materialize(new["assets"])  # read by the merge and the search for stale grids
-    merged = {**registries, **merge_registries(registries, new)}
+    """The registries after a full reindex: deliveries rebuilt, registered and merged, stale grids dropped.
+
+    Assets are read once. Each is written with its file and sidecar; most keep their id, and so become their new row
+    where they lie. Only ids that more than one row lays claim to are folded and merged.
+    """
+    # few rows, known to be few when the joins with them are planned
+    registries, collections = {**registries, "products": materialize(conform(registries["products"], "products"))}, materialize(collections)
+    with settings(files.sparkSession, SMALL_TASKS):
+        met = materialize(_met(conform(registries["assets"], "assets"), registries["products"], files, sidecars))
+        old = F.struct(*[_was(c).alias(c) for c in registry_schema("assets").names]).alias("_old")
+        found = met.select(old, "_found", F.col("_id").isNotNull().alias("_odd"), F.struct(*_own_identity(_was)[1:3]).alias("_own"), *_delivery(_was, _was("asset_id"), now))
+        assets = _rewritten(_given(found))
+        new = register(found.filter("_found").drop("_old", "_found", "_odd", "_own").join(collections, "collection", "left"))
+    new.pop("assets")
+    merged = {**registries, **merge_registries(registries, new), "assets": assets}
     return {**merged, "grids": drop_stale_grids(merged["grids"], merged["assets"])}
 
 
+def _met(assets: DataFrame, products: DataFrame, files: DataFrame, sidecars: DataFrame) -> DataFrame:
+    """Assets with the facts of their file and sidecar, if there are any. An id that is the digest of its own row does not travel: it is made again."""
+    named = products.select("product_id", F.col("collection_id").alias("_collection"))
+    own = text.asset_id(*_own_identity(F.col))
+    columns = [text.packed(F.col(c)).alias(c) if c == "checksum_sha256" else F.col(c) for c in assets.columns if c not in ("asset_id", "local_path")]
+    rows = assets.join(named, "product_id", "left").select(
+        "local_path", "_collection", F.when(~own.eqNullSafe(F.col("asset_id")), text.packed(F.col("asset_id"))).alias("_id"), F.struct(*columns).alias("_was"))
+    beside = _beside(files, sidecars).withColumn("_found", F.lit(True))
+    return rows.join(beside, "local_path", "left").withColumn("_found", F.coalesce("_found", F.lit(False)))
+
+
+def _own_identity(was: Callable[[str], Column]) -> list[Column]:
+    """Identity of a delivery of the asset itself, without a sidecar."""
+    known = [F.coalesce("_collection", was("product_id"), F.lit("unknown")), F.coalesce(was("source_item_id"), F.lit("unknown"))]
+    return [text.source_catalog(F.col("local_path")), *known, was("asset_key"), was("source_url")]
+
+
+def _was(name: str) -> Column:
+    """A column of the asset in the rows of :func:`_met`."""
+    value = F.col("_was")[name]
+    if name == "asset_id":
+        return F.coalesce(text.unpacked(F.col("_id")), text.asset_id(*_own_identity(lambda c: F.col("_was")[c])))
+    return F.col(name) if name == "local_path" else text.unpacked(value) if name == "checksum_sha256" else value
+
+
+def _rewritten(found: DataFrame) -> DataFrame:
+    """Assets (``_old``) after the upsert of the deliveries beside them, those with ``_found``.
+
+    The rows lay claim to their old id and, if it differs, to the new one. An id with one claim has at most one old row and one
+    delivery, side by side. Claims are counted by 8 bytes of the ids; those that share these go to the fold and the join by id.
+    """
+    fields = registry_schema("assets").fields
+    values = {"asset_id": _delivered_id(), "created_at": F.col("registered_at"), **{c: F.col(c) for c in ASSET_KEEP}, **{c: made for c, (made, _) in _asset_values().items()}}
+    # with its own collection and item a file keeps the id, if that is a digest; only for others it is made and compared
+    other = F.col("_odd") | (F.struct("collection", "item_id") != F.col("_own"))
+    rows = found.withColumn("_moved", F.when(F.col("_found") & other, F.col("_old.asset_id") != _delivered_id()).otherwise(False))
+    stayed = rows.withColumn("_claim", F.xxhash64("_old.asset_id"))
+    moved = rows.filter("_moved").withColumn("_claim", F.xxhash64(_delivered_id()))
+    claims = stayed.select("_claim").unionByName(moved.select("_claim"))
+    several = materialize(claims.groupBy("_claim").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_claim"))
+
+    def written(stayed: DataFrame, moved: DataFrame) -> DataFrame:
+        here = F.col("_found") & ~F.col("_moved")
+        now = {f.name: values[f.name].cast(f.dataType) for f in fields}
+        kept = [_merged(c, F.col("_old")[c], F.col("_old.asset_id") if c == "asset_id" else now[c], F.lit(True), here, "asset_id", ASSET_KEEP) for c in now]
+        return stayed.select(*kept).unionByName(moved.select(*[value.alias(c) for c, value in now.items()]))
+
+    if several.isEmpty():
+        return written(stayed, moved)
+    old = stayed.join(several, "_claim", "left_semi").select("_old.*").dropDuplicates(["asset_id"])
+    again = found.filter("_found").withColumn("_claim", F.xxhash64(_delivered_id())).join(several, "_claim", "left_semi")
+    folded = upsert(old, conform(_registered_assets(again, None), "assets"), "asset_id", keep=ASSET_KEEP)
+    alone = [side.join(several, "_claim", "left_anti") for side in (stayed, moved)]
+    return written(*alone).unionByName(materialize(folded))
+
+
 # ---- processing runs -------------------------------------------------------
 
 

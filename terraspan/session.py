@@ -26,6 +26,9 @@ DEFAULTS = {
 }
 
 
+# For writes of large joins: adaptive execution starts from as many partitions, so that no task has to spill what it sorts, and puts small ones together.
+SMALL_TASKS = {"spark.sql.adaptive.coalescePartitions.initialPartitionNum": "512"}
+
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 

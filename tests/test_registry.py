@@ -293,3 +293,35 @@ def test_sidecars_meet_files_before_the_wide_assets(spark):
     rows = {r.seq.asset_id: (r.local_path, r.item_id, r.byte_size) for r in made.collect()}
     assert rows == {"odd": ("lone.tif", "own", 0), "0a" * 32: (paths["0a" * 32], "i1", 1), "top": ("/root.tif", "i1", 2), "none": (paths["none"], "own", 3)}
     assert "_rest" in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_reindex_rewrites_assets_where_they_lie(spark):
+    """As registering and merging all deliveries, but only ids with several claims are shuffled again."""
+    from terraspan.schemas import ITEM_DDL
+
+    def stored(*names):
+        rows = spark.createDataFrame([(i,) for i in names], "source_item_id string").withColumns(
+            {"asset_key": F.lit("B04"), "source_url": F.concat(F.lit("https://example/"), "source_item_id"), "local_path": F.concat(F.lit("source/nasa/c/"), "source_item_id", F.lit("/a.tif")),
+             **{c: F.lit(v) for c, v in {"product_id": "p", "grid_id": "c_native", "byte_size": 99, "status": "downloaded", "run_id": "run-1", "datetime": "2024", "created_at": "2025", "updated_at": "2026"}.items()}})
+        identity = F.concat_ws("|", F.lit("nasa"), F.lit("C"), "source_item_id", "asset_key", "source_url")
+        return registry.conform(rows.withColumns({"asset_id": F.sha2(identity, 256), "checksum_sha256": F.when(F.col("source_item_id") < "m", "cd" * 32)}), "assets")
+
+    held = stored("held").withColumns({"asset_id": F.sha2(F.lit("nasa|C|unknown|B04|https://example/nameless"), 256), "run_id": F.lit("first")})
+    odd, lost = stored("odd").withColumn("asset_id", F.lit("not a digest")), stored("lost").withColumn("local_path", F.lit(None).cast("string"))
+    start = {**registry.empty_registries(spark), "products": registry.conform(spark.createDataFrame([("p", "C")], "product_id string, collection_id string"), "products")}
+    names = ["plain", "dated", "nameless", "twice", "twice", "odd", "held", "new"]
+    files = spark.createDataFrame([(f"source/nasa/c/{i}/a.tif", names.index(i), "ab" * 32 if i < "m" else None) for i in names], "path string, byte_size bigint, checksum_sha256 string")
+    files = files.withColumn("raster", F.from_json(F.when(F.col("byte_size") < 3, json.dumps(GRID)), RASTER_DDL))
+    items = {"dated": '{"id":"dated","properties":{"datetime":"2030"},"bbox":[1,2,3,4]}', "nameless": "{}", "twice": '{"id":"other","collection":"d"}', "held": None}
+    sidecars = spark.createDataFrame([(f"source/nasa/c/{i}", t) for i, t in items.items()], "parent string, value string").select("parent", F.from_json("value", ITEM_DDL).alias("item"))
+    records = spark.createDataFrame([("d", "about d")], "collection string, collection_metadata string")
+
+    start["assets"] = materialize(stored("plain", "gone", "dated", "nameless", "twice").unionByName(odd).unionByName(lost).unionByName(held))
+    made = registry.rebuild(start, files, sidecars, records, "2031")
+    want = registry.merge_registries(start, registry.register(registry.reindex(start["assets"], start["products"], files, sidecars, records, "2031")))
+    for table in ("assets", "products"):
+        assert sorted(map(str, made[table].collect())) == sorted(map(str, want[table].collect())), table
+    assert made["assets"].count() == 11  # new ids: of the file listed twice, of the odd and the held one; the file without a name meets the held id
+    start["assets"] = materialize(stored("plain", "gone", "nameless"))
+    single = registry.rebuild(start, files, sidecars, records, "2031")["assets"]
+    assert single.count() == 4 and "Exchange" not in single._jdf.queryExecution().executedPlan().toString()
