@@ -28,23 +28,24 @@ def conform(df: DataFrame, table: str) -> DataFrame:
 
 
 def fold_arrivals(
-    df: DataFrame, key: str, order: Sequence[str], first: Sequence[str] = (), last: Sequence[str] | None = None, same: Sequence[str] = ()
+    df: DataFrame, key: str, order: Sequence[str], first: Sequence[str] = (), last: Sequence[str] | None = None, same: Sequence[str] = (), dealt_by: Sequence[str] = ()
 ) -> DataFrame:
     """One row per key: ``first`` columns from the earliest arrival, ``last`` ones from the newest.
 
     Folding rows in arrival order through an upsert gives the same, but here each
     task folds its own rows before the shuffle, so a key seen often stays small.
     Columns named in ``same`` are replaced by ``<name>_same``: whether all arrivals have equal values, none null.
+    Rows that are dealt to tasks by ``dealt_by``, columns in which rows of a key are equal, are folded where they are.
     """
-    last = [c for c in df.columns if c != key and c not in first and c not in order and c not in same] if last is None else list(last)
+    last = [c for c in df.columns if c != key and c not in first and c not in order and c not in same and c not in dealt_by] if last is None else list(last)
     by = F.struct(*order)
     parts = [F.max_by(F.struct(*last), by).alias("_last")] if last else []
     if first:
         parts.append(F.min_by(F.struct(*first), by).alias("_first"))
     parts += [(F.min(c) == F.max(c)).alias(f"{c}_same") for c in same]
     if not parts:
-        return df.select(key).distinct()
-    return df.groupBy(key).agg(*parts).select(key, *[f"_last.{c}" for c in last], *[f"_first.{c}" for c in first], *[f"{c}_same" for c in same])
+        return df.select(*dealt_by, key).distinct().select(key)
+    return df.groupBy(*dealt_by, key).agg(*parts).select(key, *[f"_last.{c}" for c in last], *[f"_first.{c}" for c in first], *[f"{c}_same" for c in same])
 
 
 def upsert(
@@ -158,6 +159,11 @@ def register(deliveries: DataFrame, asset_columns: Sequence[str] | None = None)
     return {table: conform(df, table) for table, df in made.items()}
 
 
+def register_dealt(deliveries: DataFrame, dealt_by: Sequence[str]) -> DataFrame:
+    """The assets of :func:`register` from deliveries that are dealt to tasks by further columns, in which those of an asset are equal: they are folded without a shuffle."""
+    return conform(_registered_assets(_given(deliveries), None, dealt_by), "assets")
+
+
 def _given(deliveries: DataFrame) -> DataFrame:
     return deliveries.withColumns({c: F.coalesce(c, F.lit("unknown")) for c in ("collection", "item_id")})
 
@@ -178,14 +184,14 @@ def _asset_values() -> dict[str, tuple[Column, list[str]]]:
     return made
 
 
-def _registered_assets(given: DataFrame, columns: Sequence[str] | None) -> DataFrame:
+def _registered_assets(given: DataFrame, columns: Sequence[str] | None, dealt_by: Sequence[str] = ()) -> DataFrame:
     """Deliveries folded to assets. The ids travel through the fold as 32 bytes, not as 64 digits."""
     made = _asset_values()
     asked = [c for c in (*made, *ASSET_KEEP, "created_at") if columns is None or c in columns]
     first = [c for c in (*ASSET_KEEP, "created_at") if c in asked]
     last = list(dict.fromkeys(raw for c in asked if c in made for raw in made[c][1]))
     rows = given.withColumns({"_id": F.unhex(_delivered_id()), "created_at": F.col("registered_at")})
-    folded = fold_arrivals(rows, "_id", ["seq"], first=first, last=last)
+    folded = fold_arrivals(rows, "_id", ["seq"], first=first, last=last, dealt_by=dealt_by)
     return folded.select(F.lower(F.hex("_id")).alias("asset_id"), *[made[c][0].alias(c) if c in made else c for c in asked])
 
 

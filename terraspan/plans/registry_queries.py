@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import semantics, text
@@ -14,7 +15,7 @@ from ..session import materialize, scratch_dir, scratch_folder
 from ..sources.registry_store import RegistryStore
 from ..sources.search_layout import write_search_layout
 from .base import query
-from .views import ARRIVAL, Views
+from .views import ARRIVAL, DEALT_BY, Views
 
 CUTOFF = "1997-01-01T00:00:00Z"
 
@@ -129,9 +130,10 @@ def e04(v: Views):
     return parts
 
 
-def deliveries(v: Views, lines=None):
-    """Sightings in the shape that registration takes; ``lines`` may be a stream."""
-    return v.sightings(lines).select(
+def deliveries(v: Views, lines=None, parts: Column | None = None):
+    """Sightings in the shape that registration takes; ``lines`` are all or a batch of lineitem. With ``parts`` dealt by DEALT_BY, see :meth:`Views.sightings`."""
+    return v.sightings(lines, parts).select(
+        *(DEALT_BY if parts is not None else ()),
         "run_id", "catalog", "collection", F.col("source_item_id").alias("item_id"), "asset_key", "source_url", "local_path",
         "byte_size", F.sha2("local_path", 256).alias("checksum_sha256"), "datetime",
         F.lit(None).cast("array<double>").alias("bbox"),

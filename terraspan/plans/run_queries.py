@@ -13,11 +13,11 @@ from ..operators import audit, catalog, ingest, planning, runs
 from ..schemas import GRANULE_RESPONSE_DDL
 from ..session import scratch_dir
 from ..sources import pages
-from ..sources.registry_store import RegistryStore
+from ..sources.registry_store import RegistryStore, part_of
 from ..streaming import ingest as ingest_stream
 from ..streaming import progress as live
 from .base import query
-from .views import Views
+from .views import DEALT_BY, Views
 
 SIGHTING_ORDER = ("page_number", "l_partkey", "l_suppkey", "arrived_at")
 
@@ -587,12 +587,14 @@ def _streamed(v: Views):
 @query("t03_stream_register", """
     SELECT asset_id, status, run_id, created_at, updated_at, byte_size FROM v_assets""", "v_assets")
 def t03(v: Views):
-    """Deliveries stream into the registries: a stream of lines, a static join, an upsert per micro-batch."""
+    """Deliveries stream into the registries: a stream of lines, a static join, an upsert per micro-batch. A file belongs to one order."""
     from .registry_queries import deliveries
 
     home = f"{scratch_dir(v.spark)}/{uuid.uuid4().hex}"
     schema = v.table("lineitem").schema
     lines = v.spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(v.folder)
     store = RegistryStore(v.spark, f"{home}/registry")
-    ingest_stream.register_stream(deliveries(v, lines), store, f"{home}/checkpoint").awaitTermination()
+    ingest_stream.register_stream(
+        lines, store, f"{home}/checkpoint", lambda batch: deliveries(v, batch), lambda batch: deliveries(v, batch, part_of("assets")), DEALT_BY
+    ).awaitTermination()
     return store.read("assets").select("asset_id", "status", "run_id", "created_at", "updated_at", "byte_size")

@@ -5,10 +5,12 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators.registry import conform, merge_registries
 from ..schemas import REGISTRY, REGISTRY_KEY, registry_schema
 from ..session import shuffle_files_freed, materialize, scratch_scope
@@ -16,6 +18,7 @@ from ..session import shuffle_files_freed, materialize, scratch_scope
 MANIFEST = "_current"
 BUCKETS = 32
 WHOLE = "all"
+DIGESTS = ("asset_id", "checksum_sha256")
 
 
 def part_of(table: str) -> Column:
@@ -72,16 +75,25 @@ class RegistryStore:
         """Replace a table."""
         self._store(table, df, None)
 
-    def _store(self, table: str, df: DataFrame, touched: list[str] | None) -> None:
-        """Write the rows of the touched parts (all if None) to a new folder and point the manifest there."""
+    def _store(self, table: str, df: DataFrame, touched: list[str] | None, dealt: bool = False) -> None:
+        """Write the rows of the touched parts (all if None) to a new folder and point the manifest there; ``dealt`` rows lie by part already."""
         version = f"v{time.time_ns()}-{uuid.uuid4().hex[:8]}"
         rows = conform(df, table).withColumn("_part", part_of(table))
-        # a part of any size is split over several tasks (and files), small ones meet in one
-        laid = rows.hint("rebalance", F.col("_part")).sortWithinPartitions("_part", REGISTRY_KEY[table])
+        order = ["_part", REGISTRY_KEY[table]]
+        if dealt:
+            laid = rows.sortWithinPartitions(*order)
+        else:
+            digests = [c for c in DIGESTS if c in rows.columns]
+            # a part of any size is split over several tasks (and files), small ones meet in one; digests travel as bytes
+            laid = rows.withColumns({c: text.packed(F.col(c)) for c in digests}).hint("rebalance", F.col("_part")).sortWithinPartitions(*order)
+            laid = laid.withColumns({c: text.unpacked(F.col(c)) for c in digests})
         with shuffle_files_freed(self.spark):
             laid.write.option("compression", "zstd").partitionBy("_part").parquet(f"{self.root}/{table}/{version}")
         fs, home = self._fs(f"{self.root}/{table}/{version}")
         written = [s.getPath().getName() for s in fs.listStatus(home) if s.isDirectory()]
+        if touched is not None and not written:
+            fs.delete(home, True)
+            return
         fresh = {name.removeprefix("_part="): f"{version}/{name}" for name in written}
         before = self.manifest(table)
         kept = {} if touched is None else {p: f for p, f in before["parts"].items() if p not in touched}
@@ -104,12 +116,16 @@ class RegistryStore:
         flags[0] = options.OVERWRITE
         context.rename(temporary, pointer, flags)
 
-    def merge(self, delta: dict[str, DataFrame], mode: str = "fill") -> None:
+    def merge(self, delta: dict[str, DataFrame], mode: str = "fill", dealt: Sequence[str] = ()) -> None:
         """Upsert registration rows. Of each table only the parts that the rows fall into are read and rewritten.
 
-        The names of touched parts are collected: at most BUCKETS for each product.
+        The names of touched parts are collected: at most BUCKETS for each product. Rows of a table that has no parts yet are written as they are made,
+        those of the tables named in ``dealt`` by the tasks that they lie in.
         """
         for table, df in delta.items():
+            if not self.manifest(table)["parts"]:
+                self._store(table, merge_registries({table: self.read(table)}, {table: conform(df, table)}, mode)[table], [], table in dealt)
+                continue
             with scratch_scope(self.spark):
                 rows = materialize(conform(df, table))  # packed, and the shuffles that made it are gone before the merge makes its own
                 touched = [r[0] for r in rows.select(part_of(table).alias("p")).distinct().collect()]

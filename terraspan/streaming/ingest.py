@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import registry
 from ..operators.ingest import ITEM_KEY
 from ..schemas import ITEM_DDL, parse
-from ..session import scratch_scope
+from ..session import SMALL_TASKS, scratch_scope, settings
 from ..sources.registry_store import RegistryStore
 from . import changes
 
@@ -57,18 +59,27 @@ def read_items(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def register_stream(deliveries: DataFrame, store: RegistryStore, checkpoint: str) -> StreamingQuery:
+def register_stream(
+    arrivals: DataFrame, store: RegistryStore, checkpoint: str, deliver: Callable[[DataFrame], DataFrame] | None = None,
+    deal: Callable[[DataFrame], DataFrame] | None = None, dealt_by: Sequence[str] = (),
+) -> StreamingQuery:
     """Upsert the registries with each micro-batch of delivered files.
 
     The upsert is keyed by asset and keeps the first status, run and creation time,
     so a batch that is replayed after a failure changes nothing. A batch is read twice rather than
-    held; its scratch is deleted when its merge is done.
+    held; its scratch is deleted when its merge is done. ``deliver`` makes deliveries of the rows of a batch, if they are none yet. ``deal`` makes the
+    same ones, but dealt by the columns ``dealt_by``: first the part of the store, then such in which the deliveries of an asset are equal.
+    Where rows are narrow before they become deliveries, that shuffle is the only one they need.
     """
 
     def write(batch: DataFrame, _: int) -> None:
         with scratch_scope(batch.sparkSession):
-            store.merge(registry.register(batch))
-
-    return (
-        deliveries.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+            made = registry.register(deliver(batch) if deliver else batch)
+            if deal:
+                made["assets"] = registry.register_dealt(deal(batch), dealt_by)
+            store.merge(made, dealt=["assets"] if deal else [])
+
+    with settings(arrivals.sparkSession, SMALL_TASKS):  # the stream keeps the settings it starts with
+        return (
+            arrivals.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        )

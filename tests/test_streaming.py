@@ -71,6 +71,39 @@ def test_register_stream_equals_batch(spark, tmp_path):
         assert sorted(map(str, store.read(table).collect())) == sorted(map(str, batch[table].collect())), table
 
 
+def test_dealt_deliveries_are_shuffled_while_narrow(spark, tmp_path, monkeypatch):
+    """Lines and orders meet, their rows are dealt by part, and neither fold nor store shuffles or writes them before the store has parts."""
+    from terraspan.plans.registry_queries import deliveries
+    from terraspan.plans.views import DEALT_BY, Views
+    from terraspan.sources import registry_store
+
+    v = Views(spark, "/root/testdata/sf0.001")
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}):
+        dealt = registry.register_dealt(deliveries(v, None, registry_store.part_of("assets")), DEALT_BY)
+        plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("Exchange") == 3
+    monkeypatch.setattr(registry_store, "materialize", None)
+    store = RegistryStore(spark, str(tmp_path))
+    store.merge({"assets": dealt.limit(0)}, dealt=["assets"])
+    assert store.manifest("assets")["parts"] == {}
+    store.merge({"assets": dealt}, dealt=["assets"])
+    want = registry.register(deliveries(v))["assets"]
+    assert sorted(map(str, store.read("assets").collect())) == sorted(map(str, want.collect()))
+
+
+def test_dealt_batches_meet_what_is_stored(spark, tmp_path):
+    first = delivery(spark).unionByName(delivery(spark, item_id="granule-2", checksum_sha256="not a digest"))
+    second = delivery(spark, run_id="run-2", status="skipped", seq=2, registered_at="2024-01-05T00:00:00Z", checksum_sha256=None)
+    store, landed = RegistryStore(spark, str(tmp_path / "lake")), str(tmp_path / "landed")
+    deal = lambda rows: rows.withColumns({"_part": F.lit("p"), "item": F.col("item_id")}).repartitionByRange(2, "_part", "item")
+    for batch in (first, second):
+        batch.write.mode("append").parquet(landed)
+        source = spark.readStream.schema(first.schema).parquet(landed)
+        ingest.register_stream(source, store, str(tmp_path / "check"), deal=deal, dealt_by=["_part", "item"]).awaitTermination()
+    batch = registry.merge_registries(registry.empty_registries(spark), registry.register(first.unionByName(second)))
+    assert sorted(map(str, store.read("assets").collect())) == sorted(map(str, batch["assets"].collect()))
+
+
 def test_attempt_state_stream(spark, tmp_path):
     from test_runs import events
 
