@@ -160,8 +160,8 @@ def _sidecars(v: Views):
     return rows.select("parent", item.alias("item"))
 
 
-def _stored(v: Views):
-    return v.assets("product_id", "source_item_id", "asset_key", "source_url", "local_path", "status", "run_id", "datetime", "created_at", "updated_at")
+def _stored(v: Views, by_path: bool = False):
+    return v.assets("product_id", "source_item_id", "asset_key", "source_url", "local_path", "status", "run_id", "datetime", "created_at", "updated_at", by_path=by_path)
 
 
 def _file_facts(v: Views):
@@ -208,7 +208,7 @@ def e05(v: Views):
     Assets keep their ids, but those beside a sidecar without an id: they are registered anew as those of an unknown item.
     """
     stale = v.spark.createDataFrame([("hls_mgrs_30m_old", None)], "grid_id string, epsg int")
-    before = {**registry.empty_registries(v.spark), "assets": registry.conform(_stored(v), "assets"), "grids": registry.conform(stale, "grids"),
+    before = {**registry.empty_registries(v.spark), "assets": registry.conform(_stored(v, by_path=True), "assets"), "grids": registry.conform(stale, "grids"),
               "products": registry.conform(_product_records(v), "products")}
     after = registry.rebuild(before, _file_facts(v), _sidecars(v), v.spark.createDataFrame([], "collection string, collection_metadata string"), _NOW)
     grids = after["grids"].select(F.lit("grids").alias("table_name"), F.col("grid_id").alias("key"), *[F.lit(None).cast("string").alias(c) for c in _E05_COLUMNS],

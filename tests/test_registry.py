@@ -325,3 +325,19 @@ def test_reindex_rewrites_assets_where_they_lie(spark):
     start["assets"] = materialize(stored("plain", "gone", "nameless"))
     single = registry.rebuild(start, files, sidecars, records, "2031")["assets"]
     assert single.count() == 4 and "Exchange" not in single._jdf.queryExecution().executedPlan().toString()
+
+
+def test_assets_are_dealt_by_path_while_narrow(spark):
+    """A join by path shuffles the assets before their names and ids are made, and not again."""
+    from terraspan.plans.views import Views
+    from terraspan.session import settings
+
+    v = Views(spark, "/root/testdata/sf0.001")
+    columns = ["local_path", "source_url", "status", "updated_at"]
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}):
+        met = v.assets(*columns, by_path=True).join(v.files().select(F.col("path").alias("local_path")).distinct(), "local_path")
+        plan = met._jdf.queryExecution().executedPlan().toString()
+    before, after = plan.split("REPARTITION_BY_COL")
+    assert "https://example/" in before and "https://example/" not in after and before.count("Exchange") == 1
+    without = v.assets(*columns).join(v.files().select(F.col("path").alias("local_path")).distinct(), "local_path")
+    assert sorted(met.collect()) == sorted(without.collect())
